@@ -32,6 +32,14 @@ LANGUAGE_NAMES = {
     "pt": "Portuguese",
     "nl": "Dutch",
     "pl": "Polish",
+    "ru": "Russian",
+    "ja": "Japanese",
+    "ko": "Korean",
+    "zh-cn": "Chinese (Simplified)",
+    "zh-tw": "Chinese (Traditional)",
+    "ar": "Arabic",
+    "hi": "Hindi",
+    "tr": "Turkish",
     "sv": "Swedish",
     "da": "Danish",
     "no": "Norwegian",

@@ -122,10 +122,13 @@ MIN_LANGUAGE_WORDS = 5
 
 def language_hits(lower_words: Column) -> dict[str, Column]:
     """How many of the words belong to each language's profile."""
-    return {
-        code: F.size(F.filter(lower_words, lambda w, p=profile: w.isin(*p)))
-        for code, profile in LANGUAGE_PROFILES.items()
-    }
+    known = sorted({w for profile in LANGUAGE_PROFILES.values() for w in profile})
+    telling = F.filter(lower_words, lambda w: w.isin(*known))
+
+    def hits(profile: tuple[str, ...]) -> Column:
+        return F.size(F.filter(telling, lambda w: w.isin(*profile)))
+
+    return {code: hits(profile) for code, profile in LANGUAGE_PROFILES.items()}
 
 
 def letter_words(text: Column) -> Column:

@@ -8,6 +8,8 @@ from .registry import REGISTRY, Query
 
 _MODULES = (
     "usage_reports",
+    "text_queries",
+    "chunk_queries",
 )
 
 

@@ -31,6 +31,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_if_narrow(df: DataFrame, key: str) -> DataFrame:
+    """Share the rows of a scan with fewer tasks than cores; leave a wide scan as it is.
+
+    A small file is one task, which starves CPU-heavy text work. A large input is
+    already split by its row groups, and gets no exchange.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
+def wide_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    return spread_if_narrow(table(spark, sf_dir, name), key)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The cluster's shared folder.
 
