@@ -10,6 +10,8 @@ _MODULES = (
     "usage_reports",
     "text_queries",
     "chunk_queries",
+    "decision_queries",
+    "monitoring_queries",
 )
 
 
