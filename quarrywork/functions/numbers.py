@@ -11,7 +11,7 @@ GB = 1024 * 1024 * 1024
 
 def half_up(col: Column, scale: int) -> Column:
     """Round in decimal, halves away from zero, and return a double."""
-    return F.round(col.cast("decimal(38,12)"), scale).cast("double")
+    return F.round(col.cast("decimal(38,9)"), scale).cast("double")
 
 
 def exact_sum(col: Column, scale: int = 6) -> Column:
@@ -34,7 +34,7 @@ def human_bytes(size: Column) -> Column:
     """KB / MB / GB text with two decimals."""
     def text(unit: int, label: str) -> Column:
         return F.concat(
-            F.round(size.cast("decimal(38,12)") / F.lit(unit), 2).cast("decimal(28,2)").cast("string"),
+            F.round(size.cast("decimal(38,9)") / F.lit(unit), 2).cast("decimal(28,2)").cast("string"),
             F.lit(f" {label}"),
         )
 

@@ -12,6 +12,7 @@ _MODULES = (
     "chunk_queries",
     "decision_queries",
     "monitoring_queries",
+    "relational_queries",
 )
 
 

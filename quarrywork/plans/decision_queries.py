@@ -424,7 +424,7 @@ def honeypot_filter(spark, sf):
 
 def bytes_sql(size: str) -> str:
     def text(unit: int, label: str) -> str:
-        return f"CAST(CAST(ROUND(CAST({size} AS DECIMAL(38,12)) / {unit}, 2) AS DECIMAL(28,2)) AS VARCHAR) || ' {label}'"
+        return f"CAST(CAST(ROUND(CAST({size} AS DECIMAL(38,9)) / {unit}, 2) AS DECIMAL(28,2)) AS VARCHAR) || ' {label}'"
 
     return f"CASE WHEN {size} >= 1073741824 THEN {text(1073741824, 'GB')} WHEN {size} >= 1048576 THEN {text(1048576, 'MB')} ELSE {text(1024, 'KB')} END"
 

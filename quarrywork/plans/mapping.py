@@ -27,7 +27,7 @@ K_SQL = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 
 def rounded(expr: str, scale: int) -> str:
     """SQL twin of ``half_up``."""
-    return f"CAST(ROUND(CAST({expr} AS DECIMAL(38,12)), {scale}) AS DOUBLE)"
+    return f"CAST(ROUND(CAST({expr} AS DECIMAL(38,9)), {scale}) AS DOUBLE)"
 
 
 def dsum(expr: str, scale: int = 6) -> str:

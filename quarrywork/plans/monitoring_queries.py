@@ -87,7 +87,7 @@ def metric_gauge(spark, sf):
 
 
 @query("concurrency_profile", """
-WITH r AS (SELECT event_id AS id, ts AS started, ts + INTERVAL 1 MICROSECOND * CAST(ROUND(value * 20000000) AS BIGINT) AS ended, event_type IN ('purchase', 'signup') AS heavy FROM events),
+WITH r AS (SELECT event_id AS id, ts AS started, ts + to_microseconds(CAST(ROUND(value * 20000000) AS BIGINT)) AS ended, event_type IN ('purchase', 'signup') AS heavy FROM events),
 l AS (SELECT id, started AS moment, 1 AS step, heavy FROM r UNION ALL SELECT id, ended, -1, heavy FROM r),
 w AS (SELECT *, CAST(SUM(step) OVER o AS BIGINT) AS active, CAST(SUM(CASE WHEN heavy THEN step ELSE 0 END) OVER o AS BIGINT) AS heavy_active FROM l WINDOW o AS (ORDER BY moment, step, id ROWS UNBOUNDED PRECEDING))
 SELECT id, active, heavy_active, active > 5 AS over_total, heavy AND heavy_active > 2 AS over_heavy FROM w WHERE step = 1""")

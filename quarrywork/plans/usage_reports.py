@@ -26,9 +26,9 @@ e AS (SELECT COUNT(*) AS errors FROM errors),
 s AS (SELECT COUNT(*) FILTER (event_type = 'rate_limit') AS rate_limit_hits,
              COUNT(*) FILTER (event_type LIKE 'blocked:%') AS blocked_requests FROM security)
 SELECT c.*, e.errors, s.*,
-  CASE WHEN total_bytes >= 1073741824 THEN CAST(CAST(ROUND(CAST(total_bytes AS DECIMAL(38,12)) / 1073741824, 2) AS DECIMAL(28,2)) AS VARCHAR) || ' GB'
-       WHEN total_bytes >= 1048576 THEN CAST(CAST(ROUND(CAST(total_bytes AS DECIMAL(38,12)) / 1048576, 2) AS DECIMAL(28,2)) AS VARCHAR) || ' MB'
-       ELSE CAST(CAST(ROUND(CAST(total_bytes AS DECIMAL(38,12)) / 1024, 2) AS DECIMAL(28,2)) AS VARCHAR) || ' KB' END AS total_data_processed,
+  CASE WHEN total_bytes >= 1073741824 THEN CAST(CAST(ROUND(CAST(total_bytes AS DECIMAL(38,9)) / 1073741824, 2) AS DECIMAL(28,2)) AS VARCHAR) || ' GB'
+       WHEN total_bytes >= 1048576 THEN CAST(CAST(ROUND(CAST(total_bytes AS DECIMAL(38,9)) / 1048576, 2) AS DECIMAL(28,2)) AS VARCHAR) || ' MB'
+       ELSE CAST(CAST(ROUND(CAST(total_bytes AS DECIMAL(38,9)) / 1024, 2) AS DECIMAL(28,2)) AS VARCHAR) || ' KB' END AS total_data_processed,
   {rounded("CAST(e.errors AS DOUBLE) / greatest(total_conversions, 1) * 100", 1)} AS error_rate_percent
 FROM c, e, s""")
 def usage_summary(spark, sf):

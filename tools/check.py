@@ -74,8 +74,8 @@ def compare(name: str, spark, sf_dir: str, con) -> tuple[bool, str]:
     if got_cols != want_cols:
         return False, f"columns {got_cols} != {want_cols}"
     if got != want:
-        only_got = [r for r in got if r not in set(want)][:3]
-        only_want = [r for r in want if r not in set(got)][:3]
+        only_got = sorted(set(got) - set(want), key=str)[:3]
+        only_want = sorted(set(want) - set(got), key=str)[:3]
         return False, f"rows {len(got)} vs {len(want)}\n   spark  {str(only_got)[:900]}\n   duckdb {str(only_want)[:900]}"
     return True, f"{len(got)} rows equal, spark {took:.2f}s duckdb {sql_took:.2f}s"
 
