@@ -13,6 +13,7 @@ _MODULES = (
     "decision_queries",
     "monitoring_queries",
     "relational_queries",
+    "source_queries",
 )
 
 
