@@ -14,6 +14,7 @@ _MODULES = (
     "monitoring_queries",
     "relational_queries",
     "source_queries",
+    "stream_queries",
 )
 
 

@@ -88,7 +88,7 @@ def _page_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def html_to_text(html: Column) -> Column:
     """Visible text of each page as Markdown (Arrow batches)."""
-    convert = F.pandas_udf(_page_texts, T.StringType(), F.PandasUDFType.SCALAR_ITER)
+    convert = F.pandas_udf(_page_texts, T.StringType())
     return convert(html)
 
 
