@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
+_SPACES = re.compile(r"\s+")
 _HIDDEN = {"script", "style", "head", "noscript", "template"}
 _BLOCKS = {"p", "div", "section", "article", "main", "header", "footer", "nav", "aside", "table", "tr", "ul", "ol",
            "blockquote", "pre", "form", "figure"}
@@ -61,7 +63,7 @@ class _Markdown(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:
-            self.parts.append(" ".join(data.split()) if data.strip() else (" " if data else ""))
+            self.parts.append(_SPACES.sub(" ", data))
 
     def text(self) -> str:
         lines = [" ".join(line.split()) for line in "".join(self.parts).split("\n")]
