@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 KB = 1024
@@ -9,6 +11,11 @@ MB = 1024 * 1024
 GB = 1024 * 1024 * 1024
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, also where ``body`` uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def half_up(col: Column, scale: int) -> Column:
     """Round in decimal, halves away from zero, and return a double."""
     return F.round(col.cast("decimal(38,9)"), scale).cast("double")

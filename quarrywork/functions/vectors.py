@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .fixed import EMBEDDING_WORDS
+from .numbers import let
 
 DIMENSIONS = 100
 MODEL_NAME = "tfidf-fallback"
@@ -16,30 +17,41 @@ def _occurrences(text: Column, char: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
 
 
-def text_features(text: Column, words: Column) -> Column:
-    """The 100 raw features of a lower-cased text and its words.
+def _code(n: Column) -> Column:
+    """One letter per small number, so that counting numbers is counting letters."""
+    return F.char(n + 96)
+
+
+def length_codes(words: Column) -> Column:
+    """The words' lengths (longer ones as 20), one letter each."""
+    return F.array_join(F.transform(words, lambda w: _code(F.least(F.length(w), F.lit(MAX_WORD)))), "")
 
-    Letter counts a-t, word lengths 1-20 (longer count as 20), rates of twenty common
-    words, punctuation and size rates, sixteen digest bytes; the rest is zero.
-    """
-    n_chars = F.greatest(F.length(text), F.lit(1)).cast("double")
-    n_words = F.greatest(F.size(words), F.lit(1)).cast("double")
-    lengths = F.transform(words, lambda w: F.least(F.length(w), F.lit(MAX_WORD)))
 
-    def sized(k: int) -> Column:
-        return F.size(F.filter(lengths, lambda n: n == k)).cast("double")
+def common_word_codes(words: Column) -> Column:
+    """The common words among the words, one letter each."""
+    known = F.array(*[F.lit(w) for w in EMBEDDING_WORDS])
+    found = F.filter(words, lambda w: w.isin(*EMBEDDING_WORDS))
+    return F.array_join(F.transform(found, lambda w: _code(F.array_position(known, w))), "")
 
-    def rate(word: str) -> Column:
-        return F.size(F.filter(words, lambda w: w == word)) / n_words
 
-    digest = F.md5(text)
+def text_features(text: Column, n_words: Column, lengths: Column, common: Column, digest: Column) -> Column:
+    """The 100 raw features of a lower-cased text.
+
+    Letter counts a-t, word lengths 1-20, rates of twenty common words, punctuation
+    and size rates, sixteen digest bytes; the rest is zero. The arguments are columns
+    of their own (word count, :func:`length_codes`, :func:`common_word_codes`, MD5), so
+    each is computed once and the features stay plain string arithmetic.
+    """
+    n_chars = F.greatest(F.length(text), F.lit(1)).cast("double")
+    total = F.greatest(n_words, F.lit(1)).cast("double")
+    letters = [chr(97 + i) for i in range(MAX_WORD)]
     zero = F.lit(0.0)
     values = [_occurrences(text, c).cast("double") for c in LETTERS]
-    values += [sized(k) for k in range(1, MAX_WORD + 1)]
-    values += [rate(w) for w in EMBEDDING_WORDS]
+    values += [_occurrences(lengths, c).cast("double") for c in letters]
+    values += [_occurrences(common, c) / total for c in letters]
     values += [_occurrences(text, c) / n_chars * 100 for c in ".,?!:"]
     values += [
-        F.size(words) / F.lit(100.0),
+        n_words / F.lit(100.0),
         F.length(text) / F.lit(1000.0),
         zero,  # share of capitals: the text is already lower case
         F.regexp_count(text, F.lit(r"\p{Nd}")) / n_chars,
@@ -66,11 +78,9 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """Scale to length one; a zero vector stays zero."""
-    size = norm(a)
-    return F.when(size > 0, F.transform(a, lambda v: v / size)).otherwise(a)
+    return let(norm(a), lambda size: F.when(size > 0, F.transform(a, lambda v: v / size)).otherwise(a))
 
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; zero when either vector is zero."""
-    size = norm(a) * norm(b)
-    return F.when(size > 0, dot(a, b) / size).otherwise(F.lit(0.0))
+    return let(norm(a) * norm(b), lambda size: F.when(size > 0, dot(a, b) / size).otherwise(F.lit(0.0)))

@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.textstats import words
-from ..functions.vectors import MODEL_NAME, cosine, text_features, unit
+from ..functions.vectors import MODEL_NAME, common_word_codes, cosine, length_codes, text_features, unit
 from .topn import top_n_per_group
 
 
 def embed(df: DataFrame, text: str, name: str = "embedding") -> DataFrame:
     """Add the unit feature vector of a text column; row-wise, built-in expressions only."""
     staged = df.withColumn("_low", F.lower(F.col(text))).withColumn("_words", words(F.col("_low")))
-    raw = staged.withColumn("_raw", text_features(F.col("_low"), F.col("_words")))
-    return raw.withColumn(name, unit(F.col("_raw"))).drop("_low", "_words", "_raw")
+    coded = staged.withColumns({
+        "_n": F.size("_words"), "_lengths": length_codes(F.col("_words")),
+        "_common": common_word_codes(F.col("_words")), "_digest": F.md5("_low"),
+    }).drop("_words")
+    parts = ["_low", "_n", "_lengths", "_common", "_digest"]
+    raw = coded.withColumn("_raw", text_features(*[F.col(c) for c in parts])).drop(*parts)
+    return raw.withColumn(name, unit(F.col("_raw"))).drop("_raw")
 
 
 def text_hash(text: Column) -> Column:
@@ -28,10 +33,17 @@ def embed_rows(chunks: DataFrame) -> DataFrame:
     )
 
 
+def query_vectors(spark: SparkSession, texts: list[str]) -> Column:
+    """Vectors of questions, in order, as one scalar subquery: computed once, shipped with the plan."""
+    asked = spark.range(1).select(
+        F.posexplode(F.array(*[F.lit(t) for t in texts])).alias("pos", "text")
+    )
+    listed = embed(asked, "text").agg(F.array_sort(F.collect_list(F.struct("pos", "embedding"))).alias("rows"))
+    return listed.select(F.transform("rows", lambda r: r["embedding"]).alias("vectors")).scalar()
+
+
 def query_vector(spark: SparkSession, text: str) -> Column:
-    """Vector of a question as a scalar subquery: computed once, shipped with the plan."""
-    asked = embed(spark.range(1).select(F.lit(text).alias("text")), "text")
-    return asked.select("embedding").scalar()
+    return query_vectors(spark, [text])[0]
 
 
 def retrieve_topk(rows: DataFrame, vector: Column, k: int = 3, tie_break: list[str] | None = None) -> DataFrame:
@@ -53,14 +65,11 @@ def retrieve_multi(rows: DataFrame, tasks: list[str], key: list[str], per_task:
     fixed list of tasks in place, so nothing is cross-joined.
     """
     spark = rows.sparkSession
-    wide = rows
-    for i, task in enumerate(tasks):
-        wide = wide.withColumn(f"_q{i}", query_vector(spark, task))
-    scored = wide.select(
+    scored = rows.withColumn("_asked", query_vectors(spark, tasks)).select(
         *rows.columns,
         F.inline(F.array(*[
             F.struct(F.lit(i).alias("task_no"), F.lit(task).alias("matched_task"),
-                     cosine(F.col("embedding"), F.col(f"_q{i}")).alias("relevance_score"))
+                     cosine(F.col("embedding"), F.col("_asked")[i]).alias("relevance_score"))
             for i, task in enumerate(tasks)
         ])),
     ).drop("embedding")

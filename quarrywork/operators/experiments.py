@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.numbers import half_up
+from ..functions.numbers import half_up, let
 
 BUCKETS = 100
 CONTROL = "control"
@@ -25,12 +25,16 @@ class Experiment:
 
 def bucket(experiment_id: str, user: Column) -> Column:
     """``sha256("experiment:user") mod 100`` by folding four hexadecimal digits at a time."""
-    digest = F.sha2(F.concat(F.lit(f"{experiment_id}:"), user.cast("string")), 256)
-    pieces = F.transform(
-        F.sequence(F.lit(0), F.lit(15)),
-        lambda i: F.conv(F.substr(digest, i * 4 + 1, F.lit(4)), 16, 10).cast("int"),
-    )
-    return F.aggregate(pieces, F.lit(0), lambda a, p: (a * _STEP + p) % BUCKETS)
+    hashed = F.sha2(F.concat(F.lit(f"{experiment_id}:"), user.cast("string")), 256)
+
+    def folded(digest: Column) -> Column:
+        pieces = F.transform(
+            F.sequence(F.lit(0), F.lit(15)),
+            lambda i: F.conv(F.substr(digest, i * 4 + 1, F.lit(4)), 16, 10).cast("int"),
+        )
+        return F.aggregate(pieces, F.lit(0), lambda a, p: (a * _STEP + p) % BUCKETS)
+
+    return let(hashed, folded)
 
 
 def assign(experiment: Experiment | None, user: Column) -> Column:

@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.fixed import KEYWORD_STOP_WORDS
-from ..functions.markdown import strip
 from ..functions.numbers import half_up
 
 WORD = r"(?U)\w+"
+# more than ten characters without the white space at the ends
+SENTENCE = r"(?U)[^\s.!?][^.!?\n]{9,}[^\s.!?]"
 
 
 def keywords_by_frequency(docs: DataFrame, key: str, text: str, top_n: int = 10) -> DataFrame:
@@ -45,8 +46,7 @@ def keywords_by_tfidf(
     the ``max_features`` most used remain, idf is ``ln((1+n)/(1+df)) + 1`` and each
     sentence vector has unit length.
     """
-    pieces = F.transform(F.split(F.col(text), r"[.!?\n]+"), strip)
-    sentences = F.filter(pieces, lambda s: F.length(s) > 10)
+    sentences = F.regexp_extract_all(F.col(text), F.lit(SENTENCE), F.lit(0))
     stop = KEYWORD_STOP_WORDS
     tokens = F.filter(
         F.regexp_extract_all(F.lower(F.col("sentence")), F.lit(WORD), F.lit(0)),

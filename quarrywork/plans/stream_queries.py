@@ -75,6 +75,9 @@ def stream_sessions(spark, sf):
   + CASE WHEN length(text) - 200 > greatest(0, CAST(ceil((length(text) - 2048) / 1848.0) AS BIGINT)) * 1848 THEN 1 ELSE 0 END END AS chunks FROM documents WHERE regexp_matches(text, '\\S')""")
 def stream_ingest_docs(spark, sf):
     docs = table_stream(spark, sf, "documents").select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    if table(spark, sf, "documents").rdd.getNumPartitions() < cores:
+        docs = docs.repartition(cores, "doc_id")
     stored = run_append(aggregates.ingest(docs, "doc_id", "text"), "ingest")
     return stored.groupBy("doc_id").agg(F.count("*").alias("chunks"))
 
