@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import markdown as md, textstats as ts
-from .keywords import keywords_by_tfidf
+from .keywords import extract_keywords
 
 
 def _struct(parts: dict[str, Column]) -> Column:
@@ -39,9 +39,9 @@ def analyze_documents(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def analyze_with_keywords(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The row-wise analysis joined to each document's TF-IDF keywords (at most ten)."""
+    """The row-wise analysis joined to each document's keywords (at most ten)."""
     plain = docs.select(key, md.md_to_plain(F.col(text)).alias("plain"))
-    terms = keywords_by_tfidf(plain, key, "plain").groupBy(key).agg(
+    terms = extract_keywords(plain, key, "plain").groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("rank_in_doc", "keyword", "score"))).alias("keywords")
     )
     return analyze_documents(docs, key, text).join(terms, key, "left")

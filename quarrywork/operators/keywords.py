@@ -17,11 +17,12 @@ WORD = r"(?U)\w+"
 SENTENCE = r"(?U)[^\s.!?][^.!?\n]{9,}[^\s.!?]"
 
 
-def keywords_by_frequency(docs: DataFrame, key: str, text: str, top_n: int = 10) -> DataFrame:
+def keywords_by_frequency(docs: DataFrame, key: str, text: str, top_n: int = 10, laid_out: bool = False) -> DataFrame:
     """Most used words of three or more ASCII letters, with their share of all such words."""
+    docs = docs if laid_out else docs.repartition(key)
     tokens = F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0))
     kept = F.filter(tokens, lambda w: F.rlike(w, F.lit("^[a-z]{3,}$")) & ~w.isin(*KEYWORD_STOP_WORDS))
-    words = docs.repartition(key).select(key, F.explode(kept).alias("word"))
+    words = docs.select(key, F.explode_outer(kept).alias("word")).filter(F.col("word").isNotNull())
     counts = words.groupBy(key, "word").agg(F.count("*").alias("uses"))
     doc = Window.partitionBy(key)
     best = doc.orderBy(F.col("uses").desc(), "word")
@@ -36,8 +37,26 @@ def keywords_by_frequency(docs: DataFrame, key: str, text: str, top_n: int = 10)
     )
 
 
+def extract_keywords(docs: DataFrame, key: str, text: str, top_n: int = 10) -> DataFrame:
+    """TF-IDF keywords, by frequency where a text has fewer than two sentences.
+
+    Texts of fewer than five words have none.
+    """
+    # conditions blank the text instead of filtering rows: a filter would move below the
+    # column that computes the text and evaluate it again
+    shared = docs.select(key, text).repartition(key)
+    enough = F.regexp_count(F.col(text), F.lit(r"(?U)\S+")) >= 5
+    single = F.regexp_count(F.col(text), F.lit(SENTENCE)) < 2
+    by_frequency = keywords_by_frequency(
+        shared.withColumn(text, F.when(enough & single, F.col(text))), key, text, top_n, laid_out=True
+    )
+    by_tfidf = keywords_by_tfidf(shared.withColumn(text, F.when(enough, F.col(text))), key, text, top_n, laid_out=True)
+    return by_tfidf.unionByName(by_frequency.drop("uses"))
+
+
 def keywords_by_tfidf(
-    docs: DataFrame, key: str, text: str, top_n: int = 10, max_features: int = 100, max_df: float = 0.9
+    docs: DataFrame, key: str, text: str, top_n: int = 10, max_features: int = 100, max_df: float = 0.9,
+    laid_out: bool = False,
 ) -> DataFrame:
     """Mean TF-IDF of one- and two-word terms, each sentence taken as a document.
 
@@ -59,13 +78,16 @@ def keywords_by_tfidf(
             lambda a, b: F.concat_ws(" ", a, b),
         ),
     ).otherwise(F.array().cast("array<string>"))
+    docs = docs if laid_out else docs.repartition(key)
     rows = (
-        docs.repartition(key)
+        docs
         .select(key, sentences.alias("sentences"))
-        .filter(F.size("sentences") >= 2)
-        .select(key, F.size("sentences").alias("n"), F.posexplode("sentences").alias("pos", "sentence"))
+        # outer: a plain explode adds filters that evaluate the sentences again; a document
+        # with fewer than two sentences loses its terms to max_df
+        .select(key, F.size("sentences").alias("n"), F.posexplode_outer("sentences").alias("pos", "sentence"))
         .select(key, "n", "pos", tokens.alias("toks"))
-        .select(key, "n", "pos", F.explode(F.concat("toks", pairs)).alias("term"))
+        .select(key, "n", "pos", F.explode_outer(F.concat("toks", pairs)).alias("term"))
+        .filter(F.col("term").isNotNull())
     )
     tf = rows.groupBy(key, "n", "pos", "term").agg(F.count("*").alias("tf"))
 

@@ -103,6 +103,13 @@ def test_tfidf_by_hand(spark):
     assert rows["red"] == rows["red apple"] == pytest.approx(0.5 / math.sqrt(4), abs=1e-4)
 
 
+def test_keywords_of_a_single_sentence(spark):
+    df = spark.createDataFrame([(1, "lone apple apple pear words"), (2, "too few words"), (3, "one apple tree. two apple trees.")], "id bigint, t string")
+    rows = keywords.extract_keywords(df, "id", "t").collect()
+    assert {r.keyword: r.score for r in rows if r.id == 1} == {"apple": 0.4, "lone": 0.2, "pear": 0.2, "words": 0.2}
+    assert not [r for r in rows if r.id == 2] and [r for r in rows if r.id == 3]
+
+
 def test_blank_document(spark):
     df = spark.createDataFrame([(1, " \n"), (2, "Some words are here for the test of it")], "id bigint, t string")
     rows = {r.id: r for r in analysis.analyze_documents(df, "id", "t").collect()}
