@@ -17,15 +17,19 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import fixed
 from ..functions.limits import Breaker, SlidingLog
-from .ordered import BUCKET, micros, time_bucket
+from .ordered import BUCKET, micros, time_bucket, with_bucket_values
 
 SEGMENT = "_segment"
+GROUP = "_group"
 
 
 def _walk(rows: DataFrame, key: str, order: list[str], schema: str,
           start: Callable[[], object], step: Callable[[object, tuple], tuple | None], inputs: list[str]) -> DataFrame:
     """Walk every ``(key, segment)`` group in order; state passes from one Arrow batch to the next."""
-    grouped = rows.repartition(key, SEGMENT).sortWithinPartitions(key, SEGMENT, *order)
+    # a text label, so that a NULL key compares equal to itself in the walk
+    label = F.concat_ws("@", F.coalesce(F.col(key).cast("string"), F.lit("\0")), F.col(SEGMENT).cast("string"))
+    labelled = rows.withColumn(GROUP, label)
+    grouped = labelled.repartition(GROUP).sortWithinPartitions(GROUP, *order).select(GROUP, *inputs)
     names = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -33,7 +37,7 @@ def _walk(rows: DataFrame, key: str, order: list[str], schema: str,
         for pdf in batches:
             out = []
             columns = [pdf[c].tolist() for c in inputs]
-            for group, *values in zip(zip(pdf[key], pdf[SEGMENT]), *columns):
+            for group, *values in zip(pdf[GROUP].tolist(), *columns):
                 if group != current:
                     current, state = group, start()
                 row = step(state, tuple(values))
@@ -69,7 +73,7 @@ def rate_limit(
         F.max(F.when(F.col("_fresh"), F.col(BUCKET))).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias(SEGMENT),
         F.when(F.col("_calm"), F.col("_next")).alias("_run_up_for"),
     )
-    placed = rows.join(segments, [key, BUCKET])
+    placed = with_bucket_values(rows, segments, [key])
     own = F.struct(F.col(SEGMENT).alias("segment"), F.lit(False).alias("run_up"))
     extra = F.struct(F.col("_run_up_for").alias("segment"), F.lit(True).alias("run_up"))
     copies = placed.withColumn(
@@ -119,7 +123,7 @@ def circuit_breaker(calls: DataFrame, key: str, ts: str, row_id: str, ok: str, b
         key, BUCKET,
         F.max(F.when(F.col("_fresh"), F.col(BUCKET))).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias(SEGMENT),
     )
-    placed = rows.join(segments, [key, BUCKET]).drop(BUCKET)
+    placed = with_bucket_values(rows, segments, [key]).drop(BUCKET)
 
     def step(breaker: Breaker, row: tuple) -> tuple:
         call, at, good = row

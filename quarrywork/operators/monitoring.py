@@ -24,31 +24,27 @@ def p95_exclusive(df: DataFrame, keys: list[str], value: str, name: str = "p95")
     """
     v = F.col(value)
     keyed = df.select(*keys, value).filter(v.isNotNull())
-    if not keys:
-        keyed = keyed.withColumn("_all", F.lit(1))
-        keys_ = ["_all"]
-    else:
-        keys_ = keys
-    bounds = keyed.groupBy(*keys_).agg(
+    bounds = keyed.groupBy(*keys).agg(
         F.count("*").alias("_n"), F.min(v).alias("_min"), F.max(v).alias("_max"),
         F.percentile_approx(v, [0.949, 0.951], 10_000).alias("_near"),
     )
     whole = F.col("_n") < SMALL_GROUP * 2
     bounds = bounds.select(
-        *keys_, "_n", "_max",
+        *keys, "_n", "_max",
         F.when(whole, F.col("_min")).otherwise(F.col("_near")[0]).alias("_lo"),
         F.when(whole, F.col("_max")).otherwise(F.col("_near")[1]).alias("_hi"),
     )
-    near = keyed.join(bounds, keys_).filter(v <= F.col("_hi"))
-    counted = near.groupBy(*keys_, "_n", "_max", F.when(v >= F.col("_lo"), v).alias("_val")).agg(
+    joined = keyed.join(bounds, keys) if keys else with_overall(keyed, bounds)
+    near = joined.filter(v <= F.col("_hi"))
+    counted = near.groupBy(*keys, "_n", "_max", F.when(v >= F.col("_lo"), v).alias("_val")).agg(
         F.count("*").alias("_c")
     )
-    upto = Window.partitionBy(*keys_).orderBy(F.col("_val").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy(*keys).orderBy(F.col("_val").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     ranked = counted.withColumn("_cum", F.sum("_c").over(upto)).filter(F.col("_val").isNotNull())
     m = F.col("_n") + 1
     j = F.least(F.greatest(F.floor(m * 19 / 20), F.lit(1)), F.greatest(F.col("_n") - 1, F.lit(1)))
     delta = (m * 19 - j * 20).cast("double")
-    picked = ranked.groupBy(*keys_, "_n", "_max").agg(
+    picked = ranked.groupBy(*keys, "_n", "_max").agg(
         F.min(F.when(F.col("_cum") >= j, F.col("_val"))).alias("_a"),
         F.min(F.when(F.col("_cum") >= j + 1, F.col("_val"))).alias("_b"),
     )

@@ -10,6 +10,8 @@ bucket of the busiest key fits a task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BUCKET = "_bucket"
@@ -29,8 +31,12 @@ def number_bucket(position: Column, width: int) -> Column:
     return position - F.pmod(position, F.lit(width))
 
 
-def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    return left.join(right, [*keys, BUCKET], "left")
+def with_bucket_values(rows: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
+    """Bring a summary's values to the rows of its ``(key, bucket)``; a NULL key is a key like any other."""
+    on = [*keys, BUCKET]
+    renamed = summary.withColumnsRenamed({k: f"_k_{k}" for k in on})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in on])
+    return rows.join(renamed, same, "left").drop(*[f"_k_{k}" for k in on])
 
 
 def running_sum(
@@ -48,7 +54,7 @@ def running_sum(
         *keys, BUCKET, *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_c_{n}") for n in values]
     )
     inside = staged.withColumns({f"_l_{n}": F.sum(f"_v_{n}").over(local) for n in values})
-    joined = _same(inside, carried, keys)
+    joined = with_bucket_values(inside, carried, keys)
     return joined.select(*df.columns, *[(F.col(f"_l_{n}") + F.col(f"_c_{n}")).alias(n) for n in values])
 
 
@@ -68,10 +74,10 @@ def previous_value(
         F.max_by("_v", F.struct(*order)).alias("_end")
     )
     # every bucket needs a carried value, also those without a value of their own
-    frames = staged.groupBy(*keys, BUCKET).agg(F.lit(1).alias("_one")).drop("_one").join(ends, [*keys, BUCKET], "left")
+    frames = with_bucket_values(staged.select(*keys, BUCKET).distinct(), ends, keys)
     carried = frames.select(*keys, BUCKET, F.last("_end", ignorenulls=True).over(earlier).alias("_carry"))
     inside = staged.withColumn("_local", F.last("_v", ignorenulls=True).over(before))
-    return _same(inside, carried, keys).select(*df.columns, F.coalesce("_local", "_carry").alias(name))
+    return with_bucket_values(inside, carried, keys).select(*df.columns, F.coalesce("_local", "_carry").alias(name))
 
 
 def moving_average(

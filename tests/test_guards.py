@@ -140,3 +140,17 @@ def test_top_n_with_dominant_key(spark):
     w = Window.partitionBy("k").orderBy(F.col("id").desc())
     want = df.withColumn("r", F.row_number().over(w)).filter("r <= 5")
     assert {(r.k, r.id) for r in got.collect()} == {(r.k, r.id) for r in want.collect()}
+
+
+def test_null_keys_are_a_group_of_their_own(spark):
+    rows = [(i, None if k == 0 else k, ts, ok) for i, k, ts, ok in traffic(9, 800, 3)]
+    df = frame(spark, rows)
+    log, want = {}, {}
+    for i, k, ts, _ in sorted(rows, key=lambda r: (r[2], r[0])):
+        want[i] = log.setdefault(k, SlidingLog(5, 60)).admit(micros(ts))
+    got = guards.rate_limit(df, "k", "ts", "id", 5, 60).collect()
+    assert {r.id: (r.allowed, r.remaining, r.reset_seconds) for r in got} == want
+    w = Window.partitionBy("k").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
+    plain = {r.id: r.s for r in df.select("id", F.sum("id").over(w).alias("s")).collect()}
+    summed = ordered.running_sum(df, ["k"], ordered.time_bucket(F.col("ts"), 60), [F.col("ts"), F.col("id")], {"s": F.col("id")})
+    assert {r.id: r.s for r in summed.collect()} == plain
