@@ -107,8 +107,8 @@ def distinct_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.join(groups.select(key, "copies"), key).withColumn("text_hash", text_hash(F.col(text)))
 
 
-def jsonl_lines(chunks: DataFrame, include_embeddings: bool = False) -> DataFrame:
-    """One JSON object per chunk in a single string column, ready for ``write.text``."""
+def jsonl_value(include_embeddings: bool = False) -> Column:
+    """JSON object of a chunk row."""
     fields = [F.col("idx").alias("id"), F.col("text")]
     if include_embeddings:
         fields.append(F.col("embedding"))
@@ -116,7 +116,12 @@ def jsonl_lines(chunks: DataFrame, include_embeddings: bool = False) -> DataFram
         F.col("token_count").alias("tokens"),
         F.struct(F.col("start_char"), F.col("end_char")).alias("metadata"),
     ]
-    return chunks.select(F.to_json(F.struct(*fields)).alias("value"))
+    return F.to_json(F.struct(*fields))
+
+
+def jsonl_lines(chunks: DataFrame, include_embeddings: bool = False) -> DataFrame:
+    """One JSON object per chunk in a single string column, ready for ``write.text``."""
+    return chunks.select(jsonl_value(include_embeddings).alias("value"))
 
 
 def embedding_records(chunks: DataFrame, keep: list[str]) -> DataFrame:
@@ -128,12 +133,17 @@ def embedding_records(chunks: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
+def vector_record() -> list[Column]:
+    """Fields of one record with a ``vector``, from an embedded chunk."""
+    return [
+        F.concat(F.lit("chunk_"), F.col("idx").cast("string")).alias("id"), F.col("text"),
+        F.col("embedding").alias("vector"), F.col("token_count").alias("tokens"), F.col("text_hash"),
+    ]
+
+
 def vector_records(embedded: DataFrame, keep: list[str]) -> DataFrame:
     """One record per chunk with a ``vector`` field."""
-    return embedded.select(
-        *keep, F.concat(F.lit("chunk_"), F.col("idx").cast("string")).alias("id"), "text",
-        F.col("embedding").alias("vector"), F.col("token_count").alias("tokens"), "text_hash",
-    )
+    return embedded.select(*keep, *vector_record())
 
 
 def vector_batches(embedded: DataFrame, collection: str, batch: str) -> DataFrame:

@@ -280,8 +280,20 @@ def api_rollup(
     def nested(report: DataFrame, name: str) -> DataFrame:
         return report.select(F.struct(*report.columns).alias(name))
 
+    def listed(counts: DataFrame, name: str) -> DataFrame:
+        # one entry per type, day or hour: as many as there are kinds, not rows
+        key = counts.columns[0]
+        return counts.agg(F.map_from_entries(F.collect_list(F.struct(key, "cnt"))).alias(name))
+
+    recent = recent_rows(security.select("id", "event_type", "ip_hash", "created_at"))
     parts = one_row(
         nested(usage_summary(conversions, errors, security, as_of), "usage"),
+        listed(count_by(conversions, "file_type", "file_type"), "popular_formats"),
+        listed(by_day(conversions, as_of), "conversions_by_day"),
+        listed(by_hour(conversions), "conversions_by_hour"),
+        listed(errors_by_type(errors), "errors_by_type"),
+        last_event(conversions).select("last_conversion"),
+        recent.agg(F.sort_array(F.collect_list(F.struct("id", "event_type", "ip_hash")), asc=False).alias("recent_security_events")),
         nested(sandbox_stats(requests, as_of), "sql_sandbox"),
         nested(cost_totals(llm, as_of), "cost_tracking"),
         nested(agent_totals(agents, as_of), "agent_workflows"),

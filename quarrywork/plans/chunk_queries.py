@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import fixed, vectors
-from ..operators import chunking, embedding
+from ..operators import chunking, embedding, prepare
 from ..session import table, wide_table
 from . import sqltext as sx
 from .mapping import rounded
@@ -278,17 +278,20 @@ def sink_vector_records(spark, sf):
     return materialize(embedding.vector_records(embedded(spark, sf), ["doc_id"]), "vector-records")
 
 
-@query("rag_prepare")
+@query("rag_prepare", f"""WITH {fixed_sql(SIZE, OVERLAP, keep="doc_id")}, c AS (SELECT doc_id, COUNT(*) AS chunks_count,
+  md5(string_agg(md5(text), ',' ORDER BY idx)) AS digest FROM chunks GROUP BY doc_id)
+SELECT doc_id, chunks_count, digest, length(text) AS markdown_length, length(CASE WHEN length(text) > 5000 THEN left(text, 5000) || '...' ELSE text END) AS preview_length
+FROM c JOIN documents USING (doc_id)""")
 def rag_prepare(spark, sf):
-    """Chunk, embed and export every document in one job; the text preview stops at 5000 characters."""
-    docs = wide_table(spark, sf, "documents", "doc_id")
-    text = F.col("text")
-    preview = F.when(F.length(text) > 5000, F.concat(F.left(text, F.lit(5000)), F.lit("..."))).otherwise(text)
-    pieces = chunking.chunk_packed(docs, "text", ["doc_id"], "recursive_character", SIZE, OVERLAP)
-    vectors_ = embedding.vector_batches(
-        embedding.embed_rows(pieces).withColumn("collection", F.lit("documents")), "collection", "doc_id"
-    )
-    heads = docs.select("doc_id", F.length("text").alias("markdown_length"), preview.alias("markdown"))
-    return vectors_.join(heads, "doc_id").select(
-        "doc_id", "markdown_length", F.size("ids").alias("chunks_count"), "markdown", "ids", "embeddings"
-    )
+    docs = wide_table(spark, sf, "documents", "doc_id").select("doc_id", "text")
+    rows = prepare.prepare(docs, "doc_id", "text", SIZE, OVERLAP, "fixed_size", export="records")
+    texts = F.array_join(F.transform("export", lambda e: F.md5(e["text"])), ",")
+    return rows.select("doc_id", "chunks_count", F.md5(texts).alias("digest"), "markdown_length",
+                       F.length("markdown").alias("preview_length"))
+
+
+@query("rag_prepare_packed")
+def rag_prepare_packed(spark, sf):
+    docs = wide_table(spark, sf, "documents", "doc_id").select("doc_id", "text")
+    rows = prepare.prepare(docs, "doc_id", "text", SIZE, OVERLAP, export="arrays")
+    return rows.select("doc_id", "chunks_count", "markdown_length", "markdown", "export.ids", "export.embeddings")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import fixed, markdown as md, textstats as ts
-from ..operators import keywords, sections
+from ..operators import keywords, prepare, sections
 from ..session import table, wide_table
 from . import sqltext as sx
 from .mapping import rounded
@@ -95,8 +95,10 @@ CLEAN_SQL = sx.replace_all(sx.rules(sx.rules("md", md.MACRO_RULES), md.METADATA_
 
 @query("clean_documents", f"WITH {MD_DOCS}, p AS (SELECT doc_id, {CLEAN_SQL} AS t FROM md_docs) SELECT doc_id, {digest_sql('t')} FROM p")
 def clean_documents(spark, sf):
-    clean = md_docs(spark, sf).select("doc_id", md.clean_text(F.col("md")).alias("t"))
-    return clean.select("doc_id", *digest(F.col("t")))
+    clean = prepare.clean_documents(
+        md_docs(spark, sf), "doc_id", "source", "md", macros=True, metadata=True, emails=True
+    )
+    return clean.select("doc_id", *digest(F.col("content")))
 
 
 # -- sections -----------------------------------------------------------------------------

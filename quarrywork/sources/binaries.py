@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.fixed import CONVERTIBLE_EXTENSIONS, MAGIC_BYTES, MAX_FILE_BYTES, TEXT_EXTENSIONS
@@ -20,6 +25,32 @@ def with_extension(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn("ext", F.lower(F.regexp_extract(F.col(name), r"(\.[^./]+)$", 1)))
 
 
+def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Files inside archives; an unreadable archive becomes one row without content."""
+    for pdf in batches:
+        out = []
+        for path, data in zip(pdf["path"], pdf["content"]):
+            try:
+                with zipfile.ZipFile(io.BytesIO(data)) as archive:
+                    for info in archive.infolist():
+                        name = info.filename.rsplit("/", 1)[-1]
+                        if not info.is_dir() and not name.startswith("."):
+                            out.append((f"{path}!/{info.filename}", name, info.file_size, archive.read(info)))
+            except zipfile.BadZipFile:
+                out.append((path, path.rsplit("/", 1)[-1], len(data), data))
+        yield pd.DataFrame(out, columns=["path", "name", "length", "content"])
+
+
+def expand_archives(files: DataFrame, limit: int = MAX_FILE_BYTES) -> DataFrame:
+    """Replace ZIP files of accepted size by the files inside them; hidden members are skipped."""
+    cols = ["path", "name", "length", "content"]
+    zipped = (F.col("ext") == ".zip") & (F.col("length") <= limit)
+    inside = files.filter(zipped).select("path", "content").mapInPandas(
+        _members, "path string, name string, length bigint, content binary"
+    )
+    return with_extension(files.filter(~zipped).select(cols).unionByName(inside), "name")
+
+
 def _starts(content: Column, magic: str) -> Column:
     size = len(magic) // 2
     return F.substring(content, 1, size) == F.unhex(F.lit(magic))

@@ -1,4 +1,5 @@
 import hashlib
+import json
 import math
 import re
 
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quarrywork.functions import packers
 from quarrywork.functions.fixed import EMBEDDING_WORDS
-from quarrywork.operators import chunking, embedding
+from quarrywork.operators import chunking, embedding, prepare
 
 TEXTS = [
     "", "   \n", "short", "x" * 255, "x" * 256, "x" * 257, "word " * 700, "A sentence here. " * 300,
@@ -149,3 +150,16 @@ def test_dedup_with_a_dominant_text(spark):
     kept = embedding.distinct_texts(df, "id", "t")
     assert kept.count() == len({t for _, t in rows})
     assert kept.filter("t = 'same text'").first().copies == 1000
+
+
+def test_prepare_and_clean(spark):
+    df = spark.createDataFrame([(1, "f", "# T\n\nAuthor: x\nmail a@b.org\n\n" + "word " * 900)], "id bigint, name string, t string")
+    for export in ("jsonl", "arrays", "records"):
+        row = prepare.prepare(df, "id", "t", 64, 8, "character", export, include_analysis=True).first()
+        assert row.chunks_count > 10 and row.markdown_length == len(df.first().t) and row.basic_stats.word_count > 900
+    lines = prepare.prepare(df, "id", "t", 64, 8).first().export
+    assert [json.loads(e.value)["id"] for e in lines] == list(range(len(lines)))
+    forms = {o: prepare.clean_documents(df, "id", "name", "t", metadata=True, emails=True, output=o).first().content
+             for o in ("markdown", "text", "json", "xml", "other")}
+    assert forms["markdown"] == forms["other"] and forms["markdown"].startswith("# T\n\n\nmail [EMAIL_REDACTED]")
+    assert forms["text"].startswith("T\n") and json.loads(forms["json"])["document"]["filename"] == "f" and "<h1>T</h1>" in forms["xml"]

@@ -1,4 +1,5 @@
 import json
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,6 +111,19 @@ def test_binary_files(spark, tmp_path):
     assert done["f.txt"].error and done["f.txt"].output_name == "f_error.txt" and done["a.pdf"].text is None
 
 
+def test_archives(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("in/one.txt", "first file text")
+        z.writestr("in/.hidden.txt", "no")
+        z.writestr("two.html", "<!DOCTYPE html><p>second</p>")
+    (tmp_path / "broken.zip").write_bytes(b"PK\x03\x04 not an archive")
+    (tmp_path / "plain.txt").write_text("plain file text")
+    rows = binaries.convert(binaries.expand_archives(binaries.read_files(spark, str(tmp_path))), "text").collect()
+    assert {r.name: r.text for r in rows} == {
+        "one.txt": "first file text", "two.html": "second", "plain.txt": "plain file text", "broken.zip": None,
+    }
+
+
 def test_size_guard(spark):
     df = spark.createDataFrame([(MAX_FILE_BYTES, ".pdf"), (MAX_FILE_BYTES + 1, ".pdf"), (1, ".exe")], "n bigint, ext string")
     got = [r[0] for r in df.select(binaries.reject_reason(F.col("n"), F.col("ext"))).collect()]
