@@ -68,7 +68,24 @@ def chunk_token(spark, sf):
     return chunk_rows(chunks(spark, sf, "token", TOKEN_SIZE, TOKEN_OVERLAP))
 
 
-@query("chunk_char")
+def boundary_sql(start: str, size: int = SIZE) -> str:
+    """End of the window at ``start``: pulled back to the last sentence or word end near it."""
+    width = 4 * size
+    end, low, half = f"least({start} + {width}, n)", f"greatest(least({start} + {width}, n) - 100, {start})", f"{start} + {width // 2}"
+    near = f"substr(text, CAST({low} + 1 AS BIGINT), CAST({end} - {low} AS BIGINT))"
+    dot = f"CASE WHEN strpos(reverse({near}), ' .') > 0 THEN {low} + length({near}) - strpos(reverse({near}), ' .') - 1 ELSE -1 END"
+    gap = f"CASE WHEN strpos(reverse({near}), ' ') > 0 THEN {low} + length({near}) - strpos(reverse({near}), ' ') ELSE -1 END"
+    return f"CAST(CASE WHEN {end} >= n THEN n WHEN {dot} > {half} THEN {dot} + 1 WHEN {gap} > {half} THEN {gap} ELSE {end} END AS BIGINT)"
+
+
+CHAR_SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE regexp_matches(text, {sx.q(sx.re2(chr(92) + 'S'))})),
+c AS (SELECT doc_id, text, n, 0 AS idx, CAST(0 AS BIGINT) AS s, {boundary_sql('0')} AS e FROM d
+  UNION ALL SELECT doc_id, text, n, idx + 1, e - {4 * OVERLAP}, {boundary_sql(f'(e - {4 * OVERLAP})')} FROM c WHERE e < n),
+x AS (SELECT doc_id, idx, s, e, CASE WHEN n <= {4 * SIZE} THEN text ELSE {sx.strip('substr(text, s + 1, e - s)')} END AS t FROM c)
+SELECT doc_id, idx, md5(t) AS digest, CASE WHEN length(t) = 0 THEN 0 ELSE greatest(1, length(t) // 4) END AS token_count, length(t) AS char_count, s AS start_char, e AS end_char FROM x"""
+
+
+@query("chunk_char", CHAR_SQL)
 def chunk_char(spark, sf):
     return chunk_rows(chunks(spark, sf, "character"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window, functions as F
 
 from ..functions.numbers import half_up
@@ -17,8 +19,10 @@ from .registry import query
 def sql_query(name: str, text: str, twin: str | None = None) -> None:
     """Register a statement that goes through the guard; DuckDB gets ``twin`` or the same text."""
 
+    used = tuple(n for n in catalog.TEST_TABLES if re.search(rf"\b{n}\b", text))
+
     def build(spark, sf):
-        catalog.register_views(spark, sf)
+        catalog.register_views(spark, sf, used)
         return sandbox.unlimited(spark, text)
 
     build.__name__ = name
@@ -186,14 +190,14 @@ WHERE o_totalprice BETWEEN 1000 AND 250000 AND o_orderpriority LIKE '%-%' AND o_
 
 @query("view_filter", "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'MACHINERY'")
 def view_filter(spark, sf):
-    catalog.register_views(spark, sf)
+    catalog.register_views(spark, sf, ("customer",))
     sandbox.unlimited(spark, "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'MACHINERY'").createOrReplaceTempView("vip_customers")
     return spark.table("vip_customers")
 
 
 @query("ltv_sum", "SELECT c_custkey AS customer_id, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS lifetime_value FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 5000 GROUP BY c_custkey")
 def ltv_sum(spark, sf):
-    catalog.register_views(spark, sf)
+    catalog.register_views(spark, sf, ("customer", "orders"))
     text = sandbox.checked(spark, """SELECT c_custkey AS customer_id, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS lifetime_value
       FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > :floor GROUP BY c_custkey""")
     return spark.sql(text, args={"floor": 5000})
@@ -205,7 +209,7 @@ def ltv_sum(spark, sf):
 @query("sandbox_query", """
 SELECT l_orderkey, l_linenumber, l_partkey, true AS truncated FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 1000""")
 def sandbox_query(spark, sf):
-    catalog.register_views(spark, sf)
+    catalog.register_views(spark, sf, ("lineitem",))
     asked = "Here you go:\n```sql\nSELECT l_orderkey, l_linenumber, l_partkey FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey;\n```"
     return sandbox.run(spark, asked).with_flag()
 

@@ -12,6 +12,7 @@ from ..operators import reports
 from ..session import shared_path, table, wide_table
 from ..sources import binaries, catalog, dumps, files, html, knowledge, sinks
 from . import sqltext as sx
+from .chunk_queries import CHAR_SQL
 from .decision_queries import case_of
 from .mapping import K_SQL, prop_k
 from .registry import query
@@ -211,7 +212,7 @@ def udf_register(spark, sf):
     return spark.sql("SELECT doc_id, token_count(text) AS tokens, text_hash(text) AS fingerprint, md5(redact_emails(text)) AS redacted FROM documents")
 
 
-@query("udtf_chunk")
+@query("udtf_chunk", CHAR_SQL)
 def udtf_chunk(spark, sf):
     wide_table(spark, sf, "documents", "doc_id").createOrReplaceTempView("documents")
     register_functions(spark)

@@ -55,7 +55,7 @@ def stream_dedup(spark, sf):
     docs = table_stream(spark, sf, "documents").select(
         "doc_id", "text", (start + F.make_dt_interval(secs=F.pmod("doc_id", F.lit(86_400)).cast("decimal(18,6)"))).alias("arrived")
     )
-    return run_append(aggregates.distinct_texts(docs, "text", "arrived"), "dedup").select("text_hash")
+    return run_append(aggregates.distinct_texts(docs, "doc_id", "text", "arrived"), "dedup").select("text_hash")
 
 
 @query("stream_sessions", """

@@ -42,13 +42,17 @@ def normalise_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*unique_names(df.columns))
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Quoted multi-line CSV with a header.
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = True
+) -> DataFrame:
+    """Quoted CSV with a header.
 
     Bad bytes are replaced and short rows padded with nulls. Types are inferred unless
     ``schema`` is given; give it for large inputs, inference reads the data once more.
+    A file whose values hold line ends is one task; without them set ``multi_line`` to
+    false, and a large file is split.
     """
-    reader = spark.read.options(header=True, multiLine=True, escape='"', encoding="UTF-8", mode="PERMISSIVE")
+    reader = spark.read.options(header=True, multiLine=multi_line, escape='"', encoding="UTF-8", mode="PERMISSIVE")
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     return normalise_columns(reader.csv(path))
 

@@ -56,9 +56,13 @@ def sessions(events: DataFrame, key: str, ts: str = "ts", idle: int = SESSION_ID
 SESSION_CONF = {"spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true"}
 
 
-def distinct_texts(docs: DataFrame, text: str, ts: str, delay: str = "30 days") -> DataFrame:
-    """First row of each text hash inside the watermark."""
-    hashed = docs.withColumn("text_hash", embedding.text_hash(F.col(text)))
+def distinct_texts(docs: DataFrame, key: str, text: str, ts: str, delay: str = "30 days") -> DataFrame:
+    """Key and hash of the first row of each text inside the watermark.
+
+    The text itself is not carried into the state shuffle, so many copies of one long
+    text move only their hashes; join back on the key for the texts.
+    """
+    hashed = docs.select(key, embedding.text_hash(F.col(text)).alias("text_hash"), ts)
     return hashed.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["text_hash"])
 
 
