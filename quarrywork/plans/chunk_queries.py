@@ -288,11 +288,13 @@ def sink_vector_columnar(spark, sf):
     return batches.select("source", "doc_id", F.array_join("ids", ",").alias("ids"), F.size("embeddings").alias("vectors"))
 
 
-@query("sink_vector_records")
+@query("sink_vector_records", f"""WITH {CHUNKS} SELECT doc_id, 'chunk_' || CAST(idx AS VARCHAR) AS id, md5(text) AS digest, 100 AS dimensions,
+  {TOK} AS tokens, substr(md5(text), 1, 12) AS text_hash FROM chunks""")
 def sink_vector_records(spark, sf):
     from ..session import materialize
 
-    return materialize(embedding.vector_records(embedded(spark, sf), ["doc_id"]), "vector-records")
+    stored = materialize(embedding.vector_records(embedded(spark, sf), ["doc_id"]), "vector-records")
+    return stored.select("doc_id", "id", F.md5("text").alias("digest"), F.size("vector").alias("dimensions"), "tokens", "text_hash")
 
 
 @query("rag_prepare", f"""WITH {fixed_sql(SIZE, OVERLAP, keep="doc_id")}, c AS (SELECT doc_id, COUNT(*) AS chunks_count,

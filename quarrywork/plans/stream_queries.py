@@ -89,19 +89,71 @@ LIMIT, WINDOW_SECONDS = 2, 6 * 3600
 THRESHOLD = 5
 
 
-@query("stream_rate_limit")
+# The twins walk each user's events one by one with a recursive query.
+WALK = """o AS (SELECT event_id AS id, user_id, epoch_us(ts) AS at_us, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events)"""
+
+
+def rate_sql(name: str) -> str:
+    wide = WINDOW_SECONDS * 1_000_000
+    return f"""WITH RECURSIVE {WALK},
+r AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS id, true AS allowed, CAST([] AS BIGINT[]) AS log, CAST(0 AS BIGINT) AS remaining, CAST(0 AS BIGINT) AS reset_seconds FROM o
+  UNION ALL SELECT user_id, rn, id, len(live) < {LIMIT}, CASE WHEN len(live) < {LIMIT} THEN list_append(live, at_us) ELSE live END,
+    CAST(CASE WHEN len(live) < {LIMIT} THEN {LIMIT} - len(live) - 1 ELSE 0 END AS BIGINT),
+    CAST(CASE WHEN len(live) > 0 THEN ({wide} - (at_us - live[1])) // 1000000 ELSE {WINDOW_SECONDS} END AS BIGINT)
+  FROM (SELECT o.user_id, o.rn, o.id, o.at_us, list_filter(r.log, lambda x: o.at_us - x < {wide}) AS live FROM r JOIN o ON o.user_id = r.user_id AND o.rn = r.rn + 1))
+SELECT id AS {name}, allowed, remaining, reset_seconds FROM r WHERE rn > 0"""
+
+
+def breaker_sql(name: str) -> str:
+    return f"""WITH RECURSIVE {WALK},
+r AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS id, true AS allowed, 'closed' AS state, CAST(0 AS BIGINT) AS failures, CAST(0 AS BIGINT) AS good, CAST(0 AS BIGINT) AS last_bad FROM o
+  UNION ALL SELECT user_id, rn, id, NOT refused,
+    CASE WHEN refused THEN state WHEN ok AND st = 'half_open' AND sc + 1 >= {fixed.CIRCUIT_SUCCESSES} THEN 'closed' WHEN ok THEN st
+         WHEN st = 'half_open' OR failures + 1 >= {fixed.CIRCUIT_FAILURES} THEN 'open' ELSE st END,
+    CASE WHEN refused THEN failures WHEN ok AND st = 'half_open' THEN CASE WHEN sc + 1 >= {fixed.CIRCUIT_SUCCESSES} THEN 0 ELSE failures END
+         WHEN ok THEN greatest(0, failures - 1) ELSE failures + 1 END,
+    CASE WHEN refused THEN good WHEN ok AND st = 'half_open' THEN sc + 1 ELSE sc END,
+    CASE WHEN refused OR ok THEN last_bad ELSE at_us END
+  FROM (SELECT o.user_id, o.rn, o.id, o.at_us, o.k % 2 = 0 AS ok, r.state, r.failures, r.good, r.last_bad,
+      r.state = 'open' AND o.at_us - r.last_bad < {fixed.CIRCUIT_RESET_SECONDS * 1_000_000} AS refused,
+      CASE WHEN r.state = 'open' THEN 'half_open' ELSE r.state END AS st, CASE WHEN r.state = 'open' THEN 0 ELSE r.good END AS sc
+    FROM r JOIN o ON o.user_id = r.user_id AND o.rn = r.rn + 1))
+SELECT id AS {name}, allowed, state, failures FROM r WHERE rn > 0"""
+
+
+ABUSE_SQL = f"""WITH RECURSIVE {WALK},
+r AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS id, '' AS verdict, CAST([] AS BIGINT[]) AS log, CAST(0 AS BIGINT) AS refusals, CAST(0 AS BIGINT) AS until FROM o
+  UNION ALL SELECT user_id, rn, id,
+    CASE WHEN blocked THEN 'blocked' WHEN packed THEN 'rate_limited' WHEN bot THEN 'bot' ELSE 'ok' END,
+    CASE WHEN blocked THEN log WHEN packed THEN live ELSE list_append(live, at_us) END,
+    CASE WHEN blocked THEN refusals WHEN packed THEN refusals + 1 WHEN bot THEN refusals + {fixed.HONEYPOT_PENALTY} ELSE refusals END,
+    CASE WHEN NOT blocked AND packed AND refusals + 1 >= {THRESHOLD} THEN at_us + {fixed.ABUSE_BLOCK_SECONDS * 1_000_000} ELSE until END
+  FROM (SELECT *, len(live) >= {LIMIT} AS packed FROM (SELECT o.user_id, o.rn, o.id, o.at_us, o.k % 50 = 0 AS bot, r.log, r.refusals, r.until, o.at_us < r.until AS blocked,
+      list_filter(r.log, lambda x: o.at_us - x < {WINDOW_SECONDS * 1_000_000}) AS live FROM r JOIN o ON o.user_id = r.user_id AND o.rn = r.rn + 1)))
+SELECT id, verdict FROM r WHERE rn > 0"""
+
+ITEMS_SQL = f"""WITH RECURSIVE {WALK},
+r AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS id, CAST([] AS BIGINT[]) AS kept, CAST(0 AS BIGINT) AS seen FROM o
+  UNION ALL SELECT o.user_id, o.rn, o.id,
+    CASE WHEN o.at_us - r.seen > {fixed.SESSION_IDLE_SECONDS * 1_000_000} THEN [o.id] ELSE list_append(r.kept, o.id)[-{fixed.SESSION_MAX_ITEMS}:] END, o.at_us
+  FROM r JOIN o ON o.user_id = r.user_id AND o.rn = r.rn + 1)
+SELECT id, len(kept) AS items, kept[1] AS oldest FROM r WHERE rn > 0"""
+
+
+@query("stream_rate_limit", rate_sql("id"))
 def stream_rate_limit(spark, sf):
     stream = stateful.rate_limit(table_stream(spark, sf, "events"), "user_id", "event_id", "ts", LIMIT, WINDOW_SECONDS)
     return run_append(stream, "rate-limit", stateful.STATE_CONF)
 
 
-@query("rate_limit_batch")
+@query("rate_limit_batch", rate_sql("event_id"))
 def rate_limit_batch(spark, sf):
     events = table(spark, sf, "events").select("event_id", "user_id", "ts")
     return guards.rate_limit(events, "user_id", "ts", "event_id", LIMIT, WINDOW_SECONDS)
 
 
-@query("stream_abuse_block")
+@query("stream_abuse_block", ABUSE_SQL)
 def stream_abuse_block(spark, sf):
     bot = F.pmod(prop_k(), F.lit(50)) == 0
     stream = stateful.abuse_block(
@@ -110,20 +162,20 @@ def stream_abuse_block(spark, sf):
     return run_append(stream, "abuse", stateful.STATE_CONF)
 
 
-@query("stream_circuit_breaker")
+@query("stream_circuit_breaker", breaker_sql("id"))
 def stream_circuit_breaker(spark, sf):
     ok = F.pmod(prop_k(), F.lit(2)) == 0
     stream = stateful.circuit_breaker(table_stream(spark, sf, "events"), "user_id", "event_id", "ts", ok)
     return run_append(stream, "breaker", stateful.STATE_CONF)
 
 
-@query("circuit_breaker_batch")
+@query("circuit_breaker_batch", breaker_sql("event_id"))
 def circuit_breaker_batch(spark, sf):
     calls = table(spark, sf, "events").select("event_id", "user_id", "ts", (F.pmod(prop_k(), F.lit(2)) == 0).alias("ok"))
     return guards.circuit_breaker(calls, "user_id", "ts", "event_id", "ok")
 
 
-@query("stream_session_items")
+@query("stream_session_items", ITEMS_SQL)
 def stream_session_items(spark, sf):
     stream = stateful.session_items(table_stream(spark, sf, "events"), "user_id", "event_id", "ts")
     return run_append(stream, "session-items", stateful.STATE_CONF)
