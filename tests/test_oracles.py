@@ -23,7 +23,8 @@ def test_contract():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert not any("pipeline" in name or name.startswith("op") and name[2:3].isdigit() for name in entry.queries())
+    assert set(QUERIES) <= set(entry.queries())
+    assert not any(name == "pipeline" or name.startswith("op") and name[2:3].isdigit() for name in QUERIES)
 
 
 def test_entry(spark):
