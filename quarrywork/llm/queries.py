@@ -3,14 +3,28 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
 from .packing import pack
+from .sentence_pieces import piece_digests
 from .token_counts import token_counts
 from .token_files import token_round_trip
+from .top_vectors import top_k
+from .url_rules import ALLOW, BLOCK, Rule, domain_rule, judge
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
+DOMAIN_RULES = [
+    domain_rule("org", "/", ALLOW),
+    domain_rule("example.org", "/es/", BLOCK),
+    domain_rule("example.org", "/en/1", BLOCK),
+    domain_rule("com", "/fr/", ALLOW),
+    domain_rule("com", "/de/", BLOCK),
+]
+#: What decides where none of the above fits: hosts with a label of these names.
+SPAM_RULES = [Rule("||spam-farm.", BLOCK, "spam-farm"), Rule("||cheap-pills.", BLOCK, "cheap-pills")]
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,5 +39,50 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op4_packing, op6_token_counts)}
-SQL: dict[str, str] = {}
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = {r.name for r in DOMAIN_RULES}
+    return judge(table(spark, sf_dir, "pages"), [*DOMAIN_RULES, *SPAM_RULES], named=named)
+
+
+def op9_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
+def op10_top_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+_URL_SQL = r"""
+WITH rest AS (
+  SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages
+), parts AS (
+  SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest
+), rules(rule_host, rule_path, verdict) AS (
+  VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+), best AS (
+  SELECT page_id, max_by(rule_host || rule_path, length(rule_host || rule_path)) AS rule, max_by(verdict, length(rule_host || rule_path)) AS verdict
+  FROM parts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id
+)
+SELECT page_id, host, path, rule,
+       coalesce(verdict, CASE WHEN regexp_matches(host || path, '^([^/]*\.)?(spam-farm|cheap-pills)\.') THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts LEFT JOIN best USING (page_id)
+"""
+
+_TOP_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding) AND len(embedding) > 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 20
+"""
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_token_files, op4_packing, op6_token_counts, op7_url_rules, op9_sentence_pieces, op10_top_vectors)
+}
+SQL: dict[str, str] = {"op7_url_rules": _URL_SQL, "op10_top_vectors": _TOP_SQL}

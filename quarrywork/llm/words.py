@@ -19,9 +19,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from .common import per_process, ragged_take
+from .known import Known
 
-#: Distinct words a worker process keeps; about 200 bytes each.
-KEPT_WORDS = 1_000_000
 #: Bytes of text given to the library in one string.
 PIECE_BYTES = 4096
 #: Texts above this size are cut, where the tokenizer has a safe boundary.
@@ -48,12 +47,13 @@ def splits_before_space(spec: dict) -> bool:
     return pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
 
 
-class Words:
+class Words(Known):
     """Encodes Arrow string arrays; one object per worker process."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -68,22 +68,22 @@ class Words:
         self.ends = np.zeros(self.size, dtype=bool)
         if suffix:
             self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.starts, self.lengths = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        self.flat = np.zeros(0, dtype=np.int32)
 
     def library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[str]) -> None:
-        """Encode words not met before: plain words many to a string, others one by one."""
+    def encode_new(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Plain words many to a string, others one by one."""
         plain = [w for w in words if w.isalpha()]
         odd = [w for w in words if not w.isalpha()]
         arrays: list[np.ndarray] = []
         counts: list[np.ndarray] = []
+
+        def one_by_one(part: list[str]) -> None:
+            rows = self.library(part)
+            arrays.append(np.fromiter((x for row in rows for x in row), dtype=np.int32))
+            counts.append(np.array([len(row) for row in rows], dtype=np.int64))
+
         for lo in range(0, len(plain), 4 * PIECE_BYTES):
             part = plain[lo : lo + 4 * PIECE_BYTES]
             per = max(1, PIECE_BYTES * len(part) // (sum(map(len, part)) + len(part)))
@@ -94,27 +94,9 @@ class Words:
                 arrays.append(ids)
                 counts.append(np.diff(last, prepend=-1))
             else:  # a word of several pieces
-                rows = self.library(part)
-                arrays.append(np.fromiter((x for row in rows for x in row), dtype=np.int32))
-                counts.append(np.array([len(row) for row in rows], dtype=np.int64))
-        if odd:
-            rows = self.library(odd)
-            arrays.append(np.fromiter((x for row in rows for x in row), dtype=np.int32))
-            counts.append(np.array([len(row) for row in rows], dtype=np.int64))
-        lengths = np.concatenate(counts)
-        starts = np.cumsum(lengths) - lengths + len(self.flat)
-        self.known.update(zip(plain + odd, range(len(self.known), len(self.known) + len(words))))
-        self.flat = np.concatenate([self.flat, *arrays])
-        self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
-
-    def places(self, words: list[str]) -> np.ndarray:
-        """Index of each word among the known ones."""
-        if len(self.known) > KEPT_WORDS:
-            self.forget()
-        new = [w for w in words if w not in self.known]
-        if new:
-            self.learn(new)
-        return np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
+                one_by_one(part)
+        one_by_one(odd)
+        return plain + odd, np.concatenate(counts), np.concatenate(arrays)
 
     def cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Words of each text, and for all words together their place among the known ones."""
