@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
+from .exact_dedup import exact_dedup
 from .packing import pack
 from .sentence_pieces import piece_digests
 from .token_counts import token_counts
@@ -31,6 +32,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_round_trip(table(spark, sf_dir, "documents"), WORD_TOKENIZER, end_id=2)
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(table(spark, sf_dir, "documents")).drop("file", "row")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), WORD_TOKENIZER, end_id=1)
 
@@ -52,6 +57,12 @@ def op10_top_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+_DEDUP_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
 _URL_SQL = r"""
 WITH rest AS (
   SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages
@@ -83,6 +94,8 @@ FROM scored QUALIFY rank <= 20
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_files, op4_packing, op6_token_counts, op7_url_rules, op9_sentence_pieces, op10_top_vectors)
+    for f in (
+        op1_token_files, op2_exact_dedup, op4_packing, op6_token_counts, op7_url_rules, op9_sentence_pieces, op10_top_vectors,
+    )
 }
-SQL: dict[str, str] = {"op7_url_rules": _URL_SQL, "op10_top_vectors": _TOP_SQL}
+SQL: dict[str, str] = {"op2_exact_dedup": _DEDUP_SQL, "op7_url_rules": _URL_SQL, "op10_top_vectors": _TOP_SQL}
