@@ -9,8 +9,11 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import materialize
+
 _HOLDER = "_quarrywork_process"
 #: Texts of one piece of work in a task, in bytes.
 WORK_BYTES = 16 << 20
@@ -80,6 +83,23 @@ def table_of(schema: pa.Schema, **columns: Any) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
 
 
-def only(df: DataFrame, **columns: Column) -> DataFrame:
-    """A select by name: extra columns and clashing names of the input cannot get in."""
-    return df.select(*[c.alias(n) for n, c in columns.items()])
+#: The content locator of a row: its file and its place in that file.
+FILE, ROW = "__place_file", "__place_row"
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """``docs`` with each row's locator in ``FILE`` and ``ROW``.
+
+    A frame that is not read from files as it stands is written to the shared folder first.
+    """
+    place = [F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW)]
+    try:
+        return docs.select("*", *place)
+    except AnalysisException:
+        return materialize(docs, "placed").select("*", *place)
+
+
+def without(rows: DataFrame, dropped: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of ``placed`` documents that are not among ``dropped`` (file, row)."""
+    gone = dropped.select(F.col("file").alias(FILE), F.col("row").alias(ROW))
+    return rows.join(gone, [FILE, ROW], "left_anti").select(*[F.col(f"`{c}`") for c in columns])

@@ -19,12 +19,11 @@ Null text counts as empty. Other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize, shared_path
 from ..streaming.runner import ROCKS, run_update
-from .common import whole_text
+from .common import FILE, ROW, placed, whole_text, without
 
 #: Input files of one micro-batch.
 FILES_PER_BATCH = 256
@@ -37,20 +36,6 @@ _STATE = {
 }
 
 
-def located(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, text and the row's content locator: its file and its place in that file.
-
-    A frame that is not read from files as it stands is written to the shared folder first.
-    """
-    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
-    columns = [F.col(key).alias("key"), whole_text(text).alias("text")]
-    try:
-        return docs.select(*columns, *place)
-    except AnalysisException:
-        kept = materialize(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "located")
-        return kept.select("key", whole_text("text").alias("text"), *place)
-
-
 def arrivals(rows: DataFrame, digest: Column) -> DataFrame:
     return rows.select("key", "file", "row", digest.alias("digest"))
 
@@ -70,12 +55,17 @@ def exact_dedup(
 
     ``digest`` replaces the SHA-256 as the state's key, for tests of what happens when digests collide.
     """
-    rows = located(docs, key, text)
+    return _dedup(placed(docs), key, text, digest, files_per_batch)
+
+
+def _dedup(there: DataFrame, key: str, text: str, digest: Column | None, files_per_batch: int) -> DataFrame:
+    rows = there.select(F.col(key).alias("key"), whole_text(text).alias("text"), F.col(FILE).alias("file"), F.col(ROW).alias("row"))
+    spark = rows.sparkSession
     sha = F.sha2(F.col("text").cast("binary"), 256)
     digest = sha if digest is None else digest
-    path = shared_path(docs.sparkSession, "dedup-arrivals")
+    path = shared_path(spark, "dedup-arrivals")
     arrivals(rows, digest).write.parquet(path)
-    arrived = docs.sparkSession.read.parquet(path)
+    arrived = spark.read.parquet(path)
     state = stream_state(arrived, path, files_per_batch)
 
     # the full bytes, on every hit: equal if the smallest is the largest
@@ -99,15 +89,8 @@ def exact_dedup(
     )
 
 
-def keep_first_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one_copy(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    columns = docs.columns
-    place = ["_metadata.file_path", "_metadata.row_index"]
-    try:
-        there = docs.select("*", *[F.col(p).alias(f"__{p}") for p in place])
-    except AnalysisException:
-        docs = materialize(docs, "documents")
-        there = docs.select("*", *[F.col(p).alias(f"__{p}") for p in place])
-    dropped = exact_dedup(docs, key, text).filter(~F.col("kept")).select(F.col("file").alias("__file"), F.col("row").alias("__row"))
-    same = (F.col(f"`__{place[0]}`") == F.col("__file")) & (F.col(f"`__{place[1]}`") == F.col("__row"))
-    return there.join(dropped, same, "left_anti").select(*[F.col(f"`{c}`") for c in columns])
+    there = placed(docs)
+    dropped = _dedup(there, key, text, None, FILES_PER_BATCH).filter(~F.col("kept"))
+    return without(there, dropped, docs.columns)

@@ -9,6 +9,7 @@ from ..session import table
 from .exact_dedup import exact_dedup
 from .packing import pack
 from .sentence_pieces import piece_digests
+from .simhash import near_copies
 from .token_counts import token_counts
 from .token_files import token_round_trip
 from .top_vectors import top_k
@@ -49,6 +50,10 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), [*DOMAIN_RULES, *SPAM_RULES], named=named)
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(table(spark, sf_dir, "documents"))
+
+
 def op9_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
@@ -95,7 +100,8 @@ FROM scored QUALIFY rank <= 20
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_token_files, op2_exact_dedup, op4_packing, op6_token_counts, op7_url_rules, op9_sentence_pieces, op10_top_vectors,
+        op1_token_files, op2_exact_dedup, op4_packing, op6_token_counts, op7_url_rules, op8_simhash,
+        op9_sentence_pieces, op10_top_vectors,
     )
 }
 SQL: dict[str, str] = {"op2_exact_dedup": _DEDUP_SQL, "op7_url_rules": _URL_SQL, "op10_top_vectors": _TOP_SQL}
