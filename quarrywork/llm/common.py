@@ -16,7 +16,7 @@ from ..session import materialize
 
 _HOLDER = "_quarrywork_process"
 #: Texts of one piece of work in a task, in bytes.
-WORK_BYTES = 16 << 20
+WORK_BYTES = 6 << 20
 
 
 def per_process(key: tuple, make: Callable[[], Any]) -> Any:
