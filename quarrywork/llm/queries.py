@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
+from .byte_cnn import learn, predict
+from .common import fold
 from .exact_dedup import exact_dedup
 from .packing import pack
 from .sentence_pieces import piece_digests
@@ -41,6 +43,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), WORD_TOKENIZER, end_id=1)
 
 
+def op5_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    part = fold("doc_id", 3)
+    network = learn(docs, part != 1)
+    return predict(docs, network, {"doc_id": F.col("doc_id"), "held_out": F.coalesce(part == 1, F.lit(False))})
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
@@ -100,7 +109,7 @@ FROM scored QUALIFY rank <= 20
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_token_files, op2_exact_dedup, op4_packing, op6_token_counts, op7_url_rules, op8_simhash,
+        op1_token_files, op2_exact_dedup, op4_packing, op5_byte_cnn, op6_token_counts, op7_url_rules, op8_simhash,
         op9_sentence_pieces, op10_top_vectors,
     )
 }
