@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import per_process, pieces_of_work
+from .common import passed, per_process, pieces_of_work, restored
 
 LENGTH = 256
 WIDTHS = (2, 3, 4)
@@ -188,3 +188,9 @@ def predict(docs: DataFrame, network: Network | None, columns: dict[str, Column]
             )
 
     return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
+
+
+def keep_known(docs: DataFrame, network: Network | None, least: float = 0.3, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language is told with a score of ``least`` or more, with all their columns."""
+    told = predict(docs, network, passed(docs), text)
+    return restored(told.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)), docs.columns)

@@ -83,6 +83,16 @@ def table_of(schema: pa.Schema, **columns: Any) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
 
 
+def passed(docs: DataFrame) -> dict[str, Column]:
+    """All columns of ``docs`` under names of our own, to be carried through a function."""
+    return {f"__c{k}": F.col(f"`{c}`") for k, c in enumerate(docs.columns)}
+
+
+def restored(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The carried columns under their own names again."""
+    return rows.select(*[F.col(f"__c{k}").alias(c) for k, c in enumerate(columns)])
+
+
 #: The content locator of a row: its file and its place in that file.
 FILE, ROW = "__place_file", "__place_row"
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from .byte_cnn import learn, predict
+from . import byte_cnn, toxic_passages
 from .common import fold
 from .exact_dedup import exact_dedup
 from .packing import pack
@@ -39,6 +39,13 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("file", "row")
 
 
+def op3_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxic_passages.learn(docs, table(spark, sf_dir, "labels"), fold("key", 5) != 0)
+    columns = {"doc_id": F.col("doc_id"), "held_out": F.coalesce(fold("doc_id", 5) == 0, F.lit(False))}
+    return toxic_passages.score(docs, model, columns).drop("passages")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), WORD_TOKENIZER, end_id=1)
 
@@ -46,8 +53,8 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     part = fold("doc_id", 3)
-    network = learn(docs, part != 1)
-    return predict(docs, network, {"doc_id": F.col("doc_id"), "held_out": F.coalesce(part == 1, F.lit(False))})
+    network = byte_cnn.learn(docs, part != 1)
+    return byte_cnn.predict(docs, network, {"doc_id": F.col("doc_id"), "held_out": F.coalesce(part == 1, F.lit(False))})
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,8 +116,8 @@ FROM scored QUALIFY rank <= 20
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_token_files, op2_exact_dedup, op4_packing, op5_byte_cnn, op6_token_counts, op7_url_rules, op8_simhash,
-        op9_sentence_pieces, op10_top_vectors,
+        op1_token_files, op2_exact_dedup, op3_toxic_passages, op4_packing, op5_byte_cnn, op6_token_counts,
+        op7_url_rules, op8_simhash, op9_sentence_pieces, op10_top_vectors,
     )
 }
 SQL: dict[str, str] = {"op2_exact_dedup": _DEDUP_SQL, "op7_url_rules": _URL_SQL, "op10_top_vectors": _TOP_SQL}
