@@ -29,6 +29,8 @@ from .common import FILE, ROW, placed, whole_text, without
 FILES_PER_BATCH = 256
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": ROCKS,
+    # many small stores: no space is set aside before it is used
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import codecs
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -178,13 +179,13 @@ class Pieces(Known):
         """Text of the ids: control pieces vanish, runs of bytes are UTF-8 (a byte that is not is one U+FFFD)."""
         rows = ids.tolist()
         if self.high[ids].any():
-            out = bytearray()
-            for i in rows:
-                if i in self.byte_of:
-                    out.append(self.byte_of[i])
+            shown = []
+            for is_byte, run in itertools.groupby(rows, self.byte_of.__contains__):
+                if is_byte:
+                    shown.append(bytes(map(self.byte_of.__getitem__, run)).decode("utf-8", errors="one_by_one"))
                 else:
-                    out += self.shown[i].encode()
-            text = out.decode("utf-8", errors="one_by_one")
+                    shown += map(self.shown.__getitem__, run)
+            text = "".join(shown)
         else:
             text = "".join(map(self.shown.__getitem__, rows))
         first = next((i for i in rows if i not in self.control), None)
