@@ -53,7 +53,7 @@ def bit_slices(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         np.packbits(np.pad((above[:, d] >> np.uint64(b) & np.uint64(1)).astype(np.uint8), (0, pad)), bitorder="little")
         for d in range(values.shape[1]) for b in range(depth[d])
     ]
-    return low, depth, np.array(rows, dtype=np.uint8).reshape(len(rows), -1).view(_WORD)
+    return low, depth, np.array(rows, dtype=np.uint8).reshape(len(rows), (len(values) + pad) // 8).view(_WORD)
 
 
 def score_slices(query: np.ndarray, depth: np.ndarray, slices: np.ndarray, flipped: np.ndarray) -> list[np.ndarray]:
@@ -169,7 +169,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id"
                 keys = np.frombuffer(row["keys"].as_buffer(), "<i8")
                 items = np.frombuffer(row["items"].as_buffer(), "<i8").reshape(-1, dims)
                 depth = np.frombuffer(row["depth"].as_buffer(), "<i8")
-                slices = np.frombuffer(row["slices"].as_buffer(), _WORD).reshape(int(depth.sum()), -1)
+                slices = np.frombuffer(row["slices"].as_buffer(), _WORD).reshape(int(depth.sum()), -(-len(keys) // 64))
                 flipped = ~slices
                 full = np.packbits(np.ones(len(keys), np.uint8), bitorder="little")
                 everyone = np.pad(full, (0, -len(full) % 8)).view(_WORD)
