@@ -125,16 +125,23 @@ def asof_join(
 
 
 def sessions(df: DataFrame, keys: list[str], ts: str, idle_seconds: int) -> DataFrame:
-    """Sessions of each key: a new one starts after more than ``idle_seconds`` without a row.
+    """Sessions of each key: a new one starts after more than ``idle_seconds`` without a row."""
+    return merge_session_parts(session_parts(df, keys, ts, idle_seconds), keys, idle_seconds)
 
-    Rows are first reduced to one per ``(key, idle-wide bucket)``: inside such a bucket
-    no gap can end a session, so first, last and count are all that is needed. A key
-    then has at most one row per bucket of time.
+
+def session_parts(df: DataFrame, keys: list[str], ts: str, idle_seconds: int) -> DataFrame:
+    """First, last and count of each ``(key, idle-wide bucket)``.
+
+    No gap inside such a bucket can end a session, so that is all a session needs of it, in
+    whatever order the rows come. A key has at most one row per bucket of time.
     """
-    bucket = time_bucket(F.col(ts), idle_seconds)
-    reduced = df.groupBy(*keys, bucket.alias(BUCKET)).agg(
+    return df.groupBy(*keys, time_bucket(F.col(ts), idle_seconds).alias(BUCKET)).agg(
         F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.count("*").alias("_n")
     )
+
+
+def merge_session_parts(reduced: DataFrame, keys: list[str], idle_seconds: int) -> DataFrame:
+    """Sessions from :func:`session_parts`."""
     order = Window.partitionBy(*keys).orderBy(BUCKET)
     gap = micros(F.col("_first")) - micros(F.lag("_last").over(order))
     fresh = F.when(gap.isNull() | (gap > idle_seconds * 1_000_000), 1).otherwise(0)

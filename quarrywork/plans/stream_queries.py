@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.numbers import half_up
-from ..operators import guards
+from ..operators import guards, ordered
 from ..session import table
 from ..streaming import aggregates, stateful
 from ..streaming.runner import run_append, run_update, table_stream
@@ -34,7 +34,7 @@ def stream_counts_sliding(spark, sf):
   {rounded("CAST(COUNT(*) FILTER (event_type = 'error') AS DOUBLE) / COUNT(*)", 4)} AS error_rate FROM events GROUP BY 1 HAVING COUNT(*) FILTER (event_type = 'error') > 0.05 * COUNT(*)""")
 def stream_error_alerts(spark, sf):
     rates = run_update(aggregates.error_rates(table_stream(spark, sf, "events")), "error-rates", ["started"])
-    return aggregates.error_alerts(rates).select(
+    return rates.filter("alert").select(
         F.date_format("started", FMT).alias("started"), "requests", "errors", half_up(F.col("error_rate"), 4).alias("error_rate")
     )
 
@@ -49,35 +49,35 @@ def stream_metrics(spark, sf):
     return rows.withColumn("sum_value", F.col("sum_value").cast("double"))
 
 
-@query("stream_dedup", "SELECT DISTINCT substr(md5(text), 1, 12) AS text_hash FROM documents")
+@query("stream_dedup", "SELECT substr(md5(text), 1, 12) AS text_hash FROM (SELECT DISTINCT text FROM documents)")
 def stream_dedup(spark, sf):
-    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
-    docs = table_stream(spark, sf, "documents").select(
-        "doc_id", "text", (start + F.make_dt_interval(secs=F.pmod("doc_id", F.lit(86_400)).cast("decimal(18,6)"))).alias("arrived")
-    )
-    return run_append(aggregates.distinct_texts(docs, "doc_id", "text", "arrived"), "dedup").select("text_hash")
+    docs = table_stream(spark, sf, "documents").select("doc_id", "text")
+    return run_append(aggregates.distinct_texts(docs, "doc_id", "text"), "dedup", stateful.STATE_CONF).select("text_hash")
 
 
 @query("stream_sessions", """
 WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 3600000000 THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 n AS (SELECT *, SUM(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM g),
 s AS (SELECT user_id, MIN(ts) AS started, MAX(ts) + INTERVAL 1 HOUR AS ended, COUNT(*) AS events FROM n GROUP BY user_id, no)
-SELECT user_id, strftime(started, '%Y-%m-%d %H:%M:%S') AS started, strftime(ended, '%Y-%m-%d %H:%M:%S') AS ended, events FROM s
-WHERE ended <= (SELECT date_trunc('millisecond', MAX(ts)) - INTERVAL 10 MINUTE FROM events)""")
+SELECT user_id, strftime(started, '%Y-%m-%d %H:%M:%S') AS started, strftime(ended, '%Y-%m-%d %H:%M:%S') AS ended, events,
+  ended >= (SELECT MAX(ts) FROM events) AS is_open FROM s""")
 def stream_sessions(spark, sf):
-    """Sessions closed by the watermark; those still open at the end of the input are not emitted."""
-    events = table_stream(spark, sf, "events").select("user_id", "ts")
-    rows = run_append(aggregates.sessions(events, "user_id"), "sessions", aggregates.SESSION_CONF)
-    return rows.select("user_id", F.date_format("started", FMT).alias("started"), F.date_format("ended", FMT).alias("ended"), "events")
+    """All sessions; those that a row after the newest one could still prolong are open."""
+    parts = run_update(aggregates.session_parts(table_stream(spark, sf, "events").select("user_id", "ts"), "user_id"),
+                       "sessions", ["user_id", ordered.BUCKET])
+    newest = parts.agg(F.max("_last"))
+    found = ordered.merge_session_parts(parts, ["user_id"], fixed.SESSION_IDLE_SECONDS)
+    ended = F.col("last_access") + F.make_dt_interval(secs=F.lit(fixed.SESSION_IDLE_SECONDS))
+    return found.select(
+        "user_id", F.date_format("started", FMT).alias("started"), F.date_format(ended, FMT).alias("ended"), "events",
+        (ended >= newest.scalar()).alias("is_open"),
+    )
 
 
 @query("stream_ingest_docs", """SELECT doc_id, CASE WHEN regexp_matches(text, '\\S') THEN greatest(0, CAST(ceil((length(text) - 2048) / 1848.0) AS BIGINT)) + 1
   + CASE WHEN length(text) - 200 > greatest(0, CAST(ceil((length(text) - 2048) / 1848.0) AS BIGINT)) * 1848 THEN 1 ELSE 0 END END AS chunks FROM documents WHERE regexp_matches(text, '\\S')""")
 def stream_ingest_docs(spark, sf):
     docs = table_stream(spark, sf, "documents").select("doc_id", "text")
-    cores = spark.sparkContext.defaultParallelism
-    if table(spark, sf, "documents").rdd.getNumPartitions() < cores:
-        docs = docs.repartition(cores, "doc_id")
     stored = run_append(aggregates.ingest(docs, "doc_id", "text"), "ingest")
     return stored.groupBy("doc_id").agg(F.count("*").alias("chunks"))
 
@@ -144,7 +144,7 @@ SELECT id, len(kept) AS items, kept[1] AS oldest FROM r WHERE rn > 0"""
 @query("stream_rate_limit", rate_sql("id"))
 def stream_rate_limit(spark, sf):
     stream = stateful.rate_limit(table_stream(spark, sf, "events"), "user_id", "event_id", "ts", LIMIT, WINDOW_SECONDS)
-    return run_append(stream, "rate-limit", stateful.STATE_CONF)
+    return run_append(stream, "rate-limit", stateful.STATE_CONF).drop("late")
 
 
 @query("rate_limit_batch", rate_sql("event_id"))
@@ -159,14 +159,14 @@ def stream_abuse_block(spark, sf):
     stream = stateful.abuse_block(
         table_stream(spark, sf, "events"), "user_id", "event_id", "ts", bot, LIMIT, WINDOW_SECONDS, THRESHOLD
     )
-    return run_append(stream, "abuse", stateful.STATE_CONF)
+    return run_append(stream, "abuse", stateful.STATE_CONF).drop("late")
 
 
 @query("stream_circuit_breaker", breaker_sql("id"))
 def stream_circuit_breaker(spark, sf):
     ok = F.pmod(prop_k(), F.lit(2)) == 0
     stream = stateful.circuit_breaker(table_stream(spark, sf, "events"), "user_id", "event_id", "ts", ok)
-    return run_append(stream, "breaker", stateful.STATE_CONF)
+    return run_append(stream, "breaker", stateful.STATE_CONF).drop("late")
 
 
 @query("circuit_breaker_batch", breaker_sql("event_id"))
@@ -178,13 +178,15 @@ def circuit_breaker_batch(spark, sf):
 @query("stream_session_items", ITEMS_SQL)
 def stream_session_items(spark, sf):
     stream = stateful.session_items(table_stream(spark, sf, "events"), "user_id", "event_id", "ts")
-    return run_append(stream, "session-items", stateful.STATE_CONF)
+    return run_append(stream, "session-items", stateful.STATE_CONF).drop("late")
 
 
 @query("stream_retain", """SELECT event_type AS label, COUNT(*) AS retained, arg_min(event_id, {'t': ts, 'e': event_id}) AS oldest, arg_max(event_id, {'t': ts, 'e': event_id}) AS newest FROM (
   SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 1000 GROUP BY event_type""")
 def stream_retain(spark, sf):
     stream = stateful.retain_last(table_stream(spark, sf, "events"), "event_type", "event_id", "ts", 1000)
-    reports = run_append(stream, "retain", stateful.STATE_CONF)
-    latest = F.max_by(F.struct("retained", "oldest", "newest"), F.struct("newest", "retained"))
-    return reports.groupBy("label").agg(latest.alias("v")).select("label", "v.*")
+    rows = stateful.retained(run_append(stream, "retain", stateful.STATE_CONF), 1000)
+    place = F.struct("at", "id")
+    return rows.groupBy("label").agg(
+        F.count("*").alias("retained"), F.min_by("id", place).alias("oldest"), F.max_by("id", place).alias("newest")
+    )

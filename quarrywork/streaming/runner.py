@@ -29,26 +29,18 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
                 spark.conf.set(key, value)
 
 
-def local_partitions(spark: SparkSession) -> dict[str, str]:
-    """On a local session no more state stores than cores; a cluster's setting is left alone.
-
-    Each shuffle partition of a stateful stream is a store of its own that is opened and
-    committed in every micro-batch.
-    """
-    key = "spark.sql.shuffle.partitions"
-    if not spark.sparkContext.master.startswith("local"):
-        return {}
-    return {key: str(min(int(spark.conf.get(key)), spark.sparkContext.defaultParallelism))}
+#: Bytes of input files in a micro-batch (at least one file).
+MAX_BYTES = 1 << 30
 
 
-def table_stream(spark: SparkSession, sf_dir: str, name: str, max_bytes: int = 1 << 30) -> DataFrame:
-    """A table as a file stream; ``max_bytes`` bounds a micro-batch.
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a file stream; ``MAX_BYTES`` bounds a micro-batch.
 
     Times without zone become timestamps, the only type a watermark accepts.
     """
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
     # a pattern that matches the table's file or folder: the source takes no single file
-    stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", max_bytes).parquet(f"{sf_dir}/{name}.parque[t]")
+    stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", MAX_BYTES).parquet(f"{sf_dir}/{name}.parque[t]")
     zoned = {f.name: F.col(f.name).cast("timestamp") for f in schema.fields if f.dataType.typeName() == "timestamp_ntz"}
     return stream.withColumns(zoned)
 
@@ -57,7 +49,7 @@ def run_append(stream: DataFrame, label: str, conf: dict[str, str] | None = None
     """Run an append-mode stream over all available input into parquet, exactly once."""
     spark = stream.sparkSession
     path, checkpoint = shared_path(spark, label), shared_path(spark, f"{label}-checkpoint")
-    with settings(spark, {**local_partitions(spark), **(conf or {})}):
+    with settings(spark, conf or {}):
         run = (
             stream.writeStream.format("parquet").outputMode("append").option("path", path)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -77,7 +69,7 @@ def run_update(stream: DataFrame, label: str, keys: list[str], conf: dict[str, s
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
 
-    with settings(spark, {**local_partitions(spark), **(conf or {})}):
+    with settings(spark, conf or {}):
         run = (
             stream.writeStream.outputMode("update").foreachBatch(save)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,9 +1,12 @@
 """Streams with custom keyed state (``applyInPandasWithState``).
 
 A micro-batch's rows of one key are ordered by time before they are walked; the
-trigger's byte limit bounds how many there are. State is small and bounded per key
-and is dropped once the key has been silent for a day of event time. (Processing-time
-timeouts would keep a run over the available input from ever ending.)
+trigger's byte limit bounds how many there are. State is small and bounded per key.
+
+These verdicts depend on the order of events, so the input must come in time order from
+micro-batch to micro-batch (within one, any order will do). A row that is older than what its
+key has already seen is not lost: it leaves the stream at once with ``late`` set and no verdict,
+and does not touch the state. No watermark, so nothing is dropped on the way.
 """
 
 from __future__ import annotations
@@ -18,11 +21,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions import fixed
 from ..functions.limits import AbuseGuard, Breaker, SlidingLog
 from ..operators.ordered import micros
+from ..operators.topn import top_n_per_group
 from .runner import ROCKS
 
 STATE_CONF = {"spark.sql.streaming.stateStore.providerClass": ROCKS}
-SILENT_MS = 24 * 3600 * 1000
-LATE = "1 day"
+#: Shares of a key in ``retain_last``.
+SHARES = 16
 
 Load = Callable[[tuple | None], object]
 Walk = Callable[[object, pd.DataFrame], list[tuple]]
@@ -30,8 +34,8 @@ Save = Callable[[object], tuple]
 
 
 def _keyed(events: DataFrame, key: str, row_id: str, ts: str, **extra: Column) -> DataFrame:
-    return events.withWatermark(ts, LATE).select(
-        F.col(key), F.col(row_id).alias("id"), micros(F.col(ts)).alias("at"), F.col(ts).alias("event_time"),
+    return events.select(
+        F.col(key), F.col(row_id).alias("id"), micros(F.col(ts)).alias("at"),
         *[c.alias(n) for n, c in extra.items()],
     )
 
@@ -41,18 +45,21 @@ def _stateful(rows: DataFrame, key: str, output: str, state_schema: str, load: L
     names = [part.split()[0] for part in output.split(", ")]
 
     def run(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = load(state.get if state.exists else None)
+        seen, saved = (state.get[0], state.get[1:]) if state.exists else (None, None)
         pdf = pd.concat(list(batches)).sort_values(["at", "id"], kind="stable")
-        out = walk(held, pdf)
-        state.update(save(held))
-        state.setTimeoutTimestamp(max(int(pdf["at"].iloc[-1]) // 1000, state.getCurrentWatermarkMs()) + SILENT_MS)
-        yield pd.DataFrame(out, columns=names)
+        if seen is not None:
+            late = pdf[pdf["at"] < seen]
+            pdf = pdf[pdf["at"] >= seen]
+            if len(late):
+                yield late[["id"]].reindex(columns=names).astype(object).where(lambda x: x.notna(), None).assign(late=True)
+        if len(pdf):
+            held = load(saved)
+            out = walk(held, pdf)
+            state.update((int(pdf["at"].iloc[-1]), *save(held)))
+            yield pd.DataFrame(out, columns=names).assign(late=False)
 
     return rows.groupBy(key).applyInPandasWithState(
-        run, output, state_schema, "append", GroupStateTimeout.EventTimeTimeout
+        run, f"{output}, late boolean", f"seen bigint, {state_schema}", "append", GroupStateTimeout.NoTimeout
     )
 
 
@@ -132,22 +139,32 @@ def session_items(events: DataFrame, key: str, row_id: str, ts: str) -> DataFram
     )
 
 
-def retain_last(events: DataFrame, key: str, row_id: str, ts: str, n: int = 1000) -> DataFrame:
-    """Newest ``n`` rows of each key; every micro-batch reports what is retained."""
+def retain_last(events: DataFrame, key: str, row_id: str, ts: str, n: int = 1000, shares: int = SHARES) -> DataFrame:
+    """Newest ``n`` rows of each share of a key; every micro-batch reports what is retained.
+
+    A busy key is spread over ``shares`` by a hash of the row's id; :func:`retained` joins them.
+    """
 
     def run(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ids, times = state.get if state.exists else ([], [])
+        version, ids, times = state.get if state.exists else (0, [], [])
         kept = pd.DataFrame({"id": ids, "at": times}, dtype="int64")
         for pdf in batches:
             # never more than n rows and one Arrow batch in memory
             kept = pd.concat([kept, pdf[["id", "at"]]]).sort_values(["at", "id"]).tail(n)
-        state.update((kept["id"].tolist(), kept["at"].tolist()))
+        state.update((version + 1, kept["id"].tolist(), kept["at"].tolist()))
         yield pd.DataFrame({
-            "label": [group[0]], "retained": [len(kept)], "oldest": [int(kept["id"].iloc[0])],
-            "newest": [int(kept["id"].iloc[-1])],
+            "label": [group[0]], "share": [group[1]], "version": [version + 1], "ids": [kept["id"].tolist()], "times": [kept["at"].tolist()],
         })
 
-    return _keyed(events, key, row_id, ts).groupBy(key).applyInPandasWithState(
-        run, "label string, retained bigint, oldest bigint, newest bigint", "ids array<bigint>, times array<bigint>",
-        "append", GroupStateTimeout.NoTimeout,
+    share = F.pmod(F.xxhash64(row_id), F.lit(shares))
+    return _keyed(events, key, row_id, ts, share=share).groupBy(key, "share").applyInPandasWithState(
+        run, "label string, share bigint, version bigint, ids array<bigint>, times array<bigint>",
+        "version bigint, ids array<bigint>, times array<bigint>", "append", GroupStateTimeout.NoTimeout,
     )
+
+
+def retained(reports: DataFrame, n: int = 1000) -> DataFrame:
+    """label, id and time of the newest ``n`` rows of each key, from the last report of each share."""
+    latest = reports.groupBy("label", "share").agg(F.max_by(F.arrays_zip("ids", "times"), "version").alias("rows"))
+    rows = latest.select("label", "share", F.inline("rows")).select("label", "share", F.col("ids").alias("id"), F.col("times").alias("at"))
+    return top_n_per_group(rows, ["label"], [F.desc("at"), F.desc("id")], n, spread_on=["share"])
