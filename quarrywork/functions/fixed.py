@@ -91,22 +91,22 @@ CONVERTIBLE_EXTENSIONS = (
 )
 MAX_FILE_BYTES = 50 * 1024 * 1024
 
-# Leading bytes (hex) and the endings they may carry.
+# Leading bytes and the endings they may carry.
 MAGIC_BYTES = (
-    ("25504446", (".pdf",)),
-    ("504B0304", (".docx", ".xlsx", ".pptx", ".zip", ".epub")),
-    ("D0CF11E0", (".doc", ".xls", ".ppt")),
-    ("FFD8FF", (".jpg", ".jpeg")),
-    ("89504E47", (".png",)),
-    ("47494638", (".gif",)),
-    ("424D", (".bmp",)),
-    ("52494646", (".webp",)),
-    ("3C21444F4354595045", (".html", ".htm")),
-    ("3C68746D6C", (".html", ".htm")),
-    ("3C3F786D6C", (".xml",)),
-    ("7B", (".json",)),
-    ("5B", (".json",)),
-    ("53514C69746520666F726D61742033", (".db", ".sqlite", ".sqlite3")),
+    (b"%PDF", (".pdf",)),
+    (b"PK\x03\x04", (".docx", ".xlsx", ".pptx", ".zip", ".epub")),
+    (b"\xd0\xcf\x11\xe0", (".doc", ".xls", ".ppt")),
+    (b"\xff\xd8\xff", (".jpg", ".jpeg")),
+    (b"\x89PNG", (".png",)),
+    (b"GIF8", (".gif",)),
+    (b"BM", (".bmp",)),
+    (b"RIFF", (".webp",)),
+    (b"<!DOCTYPE", (".html", ".htm")),
+    (b"<html", (".html", ".htm")),
+    (b"<?xml", (".xml",)),
+    (b"{", (".json",)),
+    (b"[", (".json",)),
+    (b"SQLite format 3", (".db", ".sqlite", ".sqlite3")),
 )
 TEXT_EXTENSIONS = (".txt", ".csv", ".json", ".xml", ".sql")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -78,6 +79,36 @@ SUSPICIOUS = (
 )
 
 
+# What would let a SELECT of Spark's dialect leave the tables: static Java methods, programs, files by path, names made at run time.
+UNSAFE = (
+    (r"\b(JAVA_METHOD|REFLECT|TRY_REFLECT)\b", "Reflection calls not allowed"),
+    (r"\bUSING\s*['\"]", "Script transformations not allowed"),
+    (r"\bIDENTIFIER\s*\(", "Names made at run time not allowed"),
+    (r"`?\s*\.\s*`[^`]*[/\\:*]", "Files by path not allowed"),
+    (r"\b(AVRO|BINARYFILE|CSV|DELTA|IMAGE|JDBC|JSON|LIBSVM|ORC|PARQUET|TEXT|XML)`?\s*\.\s*`", "Files by path not allowed"),
+)
+
+
+def guard_text(sql: str) -> str | None:
+    """:func:`guard_sql` for one statement, without a job."""
+    upper = sql.upper()
+    if not sql:
+        return "Empty SQL query"
+    for keyword in fixed.BLOCKED_KEYWORDS:
+        if re.search(rf"\b{keyword}\b", upper):
+            return f"Blocked operation: {keyword} is not allowed"
+    if not re.search(OPENS_QUERY, upper):
+        return "Only SELECT queries are allowed"
+    return next((message for pattern, message in (*SUSPICIOUS, *UNSAFE) if re.search(pattern, upper)), None)
+
+
+def clean_text(sql: str) -> str:
+    """:func:`clean_sql` for one statement, without a job."""
+    bare = re.sub(r"```\s*", "", re.sub(r"```sql\s*", "", sql)).strip()
+    start = re.search(QUERY_START, bare)
+    return re.sub(r";+\Z", "", start[1] if start else bare)
+
+
 def guard_sql(sql: Column) -> Column:
     """Why a statement is refused, or NULL when it may run.
 
@@ -91,6 +122,6 @@ def guard_sql(sql: Column) -> Column:
             F.rlike(upper, F.lit(rf"(?U)\b{keyword}\b")), f"Blocked operation: {keyword} is not allowed"
         )
     verdict = verdict.when(~F.rlike(upper, F.lit("(?U)" + OPENS_QUERY)), "Only SELECT queries are allowed")
-    for pattern, message in SUSPICIOUS:
+    for pattern, message in (*SUSPICIOUS, *UNSAFE):
         verdict = verdict.when(F.rlike(upper, F.lit("(?U)" + pattern)), message)
     return verdict

@@ -46,13 +46,15 @@ def request_cost(requests: DataFrame, pricing: DataFrame) -> DataFrame:
     )
 
 
-def fallback_choice(attempts: DataFrame) -> DataFrame:
+def fallback_choice(attempts: DataFrame, limit: int | None = MAX_FALLBACKS) -> DataFrame:
     """The model that finally answered each request.
 
     ``attempts`` is ``(request_id, primary, model, ok, retryable)``. The primary is
     tried first, then the fixed order without it, at most five. The first success
-    wins unless an attempt before it failed for good. Plain aggregation with partial
-    results, so a request id with very many rows is combined before the shuffle.
+    wins unless an attempt before it failed for good. Attempts beyond ``limit`` (None: no
+    limit) decide nothing, but their request keeps its row and ``within_limit`` tells. Plain
+    aggregation with partial results, so a request id with very many rows is combined
+    before the shuffle.
     """
     places = F.create_map(*[x for i, m in enumerate(FALLBACK_ORDER) for x in (F.lit(m), F.lit(i + 1))])
     own = F.element_at(places, F.col("primary"))
@@ -61,13 +63,15 @@ def fallback_choice(attempts: DataFrame) -> DataFrame:
     rank = F.when(F.col("model") == F.col("primary"), F.lit(0)).otherwise(
         place - F.when(own < place, 1).otherwise(0)
     )
-    ranked = attempts.withColumn("rank", rank).filter(F.col("rank") <= MAX_FALLBACKS)
-    won = F.when(F.col("ok"), F.col("rank"))
-    stop = F.when(~F.col("ok") & ~F.col("retryable"), F.col("rank"))
+    ranked = attempts.withColumn("rank", rank)
+    counts = F.lit(True) if limit is None else F.coalesce(F.col("rank") <= limit, F.lit(False))
+    ok = counts & F.col("ok")
+    won = F.when(ok, F.col("rank"))
+    stop = F.when(counts & ~F.col("ok") & ~F.col("retryable"), F.col("rank"))
     summary = ranked.groupBy("request_id", "primary").agg(
         F.min(won).alias("won_at"), F.min(stop).alias("stopped_at"),
-        F.min(F.when(F.col("ok"), F.struct("rank", "model"))).alias("winner"),
-        F.max("rank").alias("last_rank"),
+        F.min(F.when(ok, F.struct("rank", "model"))).alias("winner"),
+        F.max(F.when(counts, F.col("rank"))).alias("last_rank"), F.every(counts).alias("within_limit"),
     )
     alive = F.col("won_at").isNotNull() & (F.col("stopped_at").isNull() | (F.col("won_at") < F.col("stopped_at")))
     return summary.select(
@@ -75,6 +79,7 @@ def fallback_choice(attempts: DataFrame) -> DataFrame:
         F.when(alive, F.col("winner.model")).alias("model_used"),
         F.coalesce(alive & (F.col("won_at") > 0), F.lit(False)).alias("fallback_used"),
         (F.least(F.when(alive, F.col("won_at")), F.col("stopped_at"), F.col("last_rank")) + 1).alias("models_tried"),
+        "within_limit",
     )
 
 

@@ -57,36 +57,41 @@ def retrieve_topk(rows: DataFrame, vector: Column, k: int = 3, tie_break: list[s
     return scored.orderBy(F.col("score").desc(), *(tie_break or [])).limit(k)
 
 
-def retrieve_multi(rows: DataFrame, tasks: list[str], key: list[str], per_task: int = 3, total: int = 10) -> DataFrame:
-    """Best chunks of several sub-tasks, without repeating a chunk's opening.
+def same_chunk(text: str, opening: int | None) -> Column:
+    """What makes two chunks one: the digest of the whole text, or of its first ``opening`` characters."""
+    return F.sha2(F.col(text) if opening is None else F.substring(text, 1, opening), 256)
 
-    Each task takes its top ``per_task``; of chunks with equal first 100 characters the
-    earliest task's stays; the best ``total`` remain. Chunks are scored against the
-    fixed list of tasks in place, so nothing is cross-joined.
+
+def retrieve_multi(rows: DataFrame, tasks: list[str], key: list[str], per_task: int = 3, total: int = 10,
+                   opening: int | None = None) -> DataFrame:
+    """Best chunks of several sub-tasks, without repeating a chunk.
+
+    Each task takes its top ``per_task``; of equal chunks (or, with ``opening``, of chunks that
+    begin alike) the earliest task's stays; the best ``total`` remain. Chunks are scored
+    against the fixed list of tasks in place, so nothing is cross-joined; only keys, scores and
+    digests are ranked, and the texts of the few winners are joined at the end.
     """
     spark = rows.sparkSession
     scored = rows.withColumn("_asked", query_vectors(spark, tasks)).select(
-        *rows.columns,
+        *key, same_chunk("text", opening).alias("_same"),
         F.inline(F.array(*[
             F.struct(F.lit(i).alias("task_no"), F.lit(task).alias("matched_task"),
                      cosine(F.col("embedding"), F.col("_asked")[i]).alias("relevance_score"))
             for i, task in enumerate(tasks)
         ])),
-    ).drop("embedding")
+    )
     order = [F.col("relevance_score").desc(), *[F.col(c) for c in key]]
     best = top_n_per_group(scored, ["task_no"], order, per_task, rank_name="_place", spread_on=key)
     # at most len(tasks) * per_task rows remain
-    opening = F.substring("text", 1, 100)
-    first = best.groupBy(opening.alias("_opening")).agg(
+    first = best.groupBy("_same").agg(
         F.min_by(F.struct(*best.columns), F.struct("task_no", "_place")).alias("r")
-    ).select("r.*")
-    return first.drop("_place").orderBy(*order).limit(total)
+    ).select("r.*").drop("_place", "_same").orderBy(*order).limit(total)
+    return first.join(rows.drop("embedding"), key)
 
 
-def retrieve_fallback(rows: DataFrame, order: list[str], n: int = 15) -> DataFrame:
+def retrieve_fallback(rows: DataFrame, order: list[str], n: int = 15, opening: int | None = None) -> DataFrame:
     """First distinct chunks in order, all with score 1, for when no vectors exist."""
-    opening = F.substring("text", 1, 100)
-    kept = rows.groupBy(opening.alias("_opening")).agg(F.min(F.struct(*order)).alias("_first"))
+    kept = rows.groupBy(same_chunk("text", opening).alias("_same")).agg(F.min(F.struct(*order)).alias("_first"))
     first = kept.select(*[F.col(f"_first.{c}").alias(c) for c in order]).orderBy(*order).limit(n)
     return first.join(rows, order).withColumn("relevance_score", F.lit(1.0)).withColumn(
         "matched_task", F.lit("full_content")

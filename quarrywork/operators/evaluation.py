@@ -121,15 +121,18 @@ def weighted_rows(scores: DataFrame, key: str, response_type: str) -> DataFrame:
 
 def retry_select(runs: DataFrame, key: str, iteration: str, score: str,
                  threshold: float = QUALITY_THRESHOLD, max_retries: int = MAX_RETRIES) -> DataFrame:
-    """First iteration that passes, else the last one allowed; partial aggregation per key."""
-    allowed = runs.filter(F.col(iteration) <= max_retries)
-    passed = F.col(score) >= threshold
+    """First iteration that passes, else the last one allowed; partial aggregation per key.
+
+    Iterations past ``max_retries`` cannot be chosen but are counted; a key with no other has a null choice.
+    """
+    allowed = F.col(iteration) <= max_retries
+    passed = allowed & (F.col(score) >= threshold)
     best = F.struct(F.col(iteration).alias("iteration"), F.col(score).alias("score"))
-    return allowed.groupBy(key).agg(
-        F.coalesce(F.min(F.when(passed, best)), F.max(best)).alias("chosen"),
+    return runs.groupBy(key).agg(
+        F.coalesce(F.min(F.when(passed, best)), F.max(F.when(allowed, best))).alias("chosen"),
         F.count("*").alias("iterations"),
     ).select(
-        key, "chosen.iteration", "chosen.score",
+        key, "iterations", "chosen.iteration", "chosen.score",
         (F.col("chosen.score") >= threshold).alias("passed"), (F.col("chosen.iteration") > 1).alias("retried"),
     )
 

@@ -228,7 +228,7 @@ def retrieve_vectors(spark, sf):
 @query("retrieve_multi", f"""WITH {EMBEDDED}, {", ".join(asked_sql(t, f"asked{i}") for i, t in enumerate(TASKS))},
 s AS ({" UNION ALL ".join(f"SELECT doc_id, source, idx, e.text, {i} AS task_no, {sx.q(t)} AS matched_task, list_cosine_similarity(e.embedding, asked{i}.embedding) AS score FROM embedded e, asked{i}" for i, t in enumerate(TASKS))}),
 r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_no ORDER BY score DESC, doc_id, idx) AS place FROM s) WHERE place <= 3),
-f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY left(text, 100) ORDER BY task_no, place) AS again FROM r) WHERE again = 1)
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY task_no, place) AS again FROM r) WHERE again = 1)
 SELECT doc_id, source, idx, matched_task, {rounded("score", 6)} AS relevance_score FROM f ORDER BY score DESC, doc_id, idx LIMIT 10""")
 def retrieve_multi(spark, sf):
     from ..functions.numbers import half_up
@@ -239,7 +239,7 @@ def retrieve_multi(spark, sf):
 
 
 @query("retrieve_fallback", f"""WITH {CHUNKS},
-f AS (SELECT *, row_number() OVER (PARTITION BY left(text, 100) ORDER BY doc_id, idx) AS again FROM chunks)
+f AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id, idx) AS again FROM chunks)
 SELECT doc_id, idx, source, 1.0 AS relevance_score, 'full_content' AS matched_task FROM f WHERE again = 1 ORDER BY doc_id, idx LIMIT 15""")
 def retrieve_fallback(spark, sf):
     rows = chunks(spark, sf).select("doc_id", "idx", "source", "text")

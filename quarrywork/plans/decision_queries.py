@@ -86,11 +86,11 @@ WITH a AS (SELECT l_orderkey AS request_id, list_extract({ORDER_LIST}, CAST(l_or
   list_extract({ORDER_LIST}, CAST((l_orderkey + l_linenumber) % 7 + 1 AS INTEGER)) AS model, l_returnflag = 'N' AS ok, l_linestatus = 'O' AS retryable FROM lineitem),
 r AS (SELECT *, CASE WHEN model = primary_model THEN 0 ELSE list_position({ORDER_LIST}, model) -
    CASE WHEN list_position({ORDER_LIST}, primary_model) < list_position({ORDER_LIST}, model) THEN 1 ELSE 0 END END AS rk FROM a),
-s AS (SELECT request_id, primary_model, MIN(rk) FILTER (ok) AS won_at, MIN(rk) FILTER (NOT ok AND NOT retryable) AS stopped_at,
-  MAX(rk) AS last_rank FROM r WHERE rk <= 5 GROUP BY ALL),
+s AS (SELECT request_id, primary_model, MIN(rk) FILTER (ok AND rk <= 5) AS won_at, MIN(rk) FILTER (NOT ok AND NOT retryable AND rk <= 5) AS stopped_at,
+  MAX(rk) FILTER (rk <= 5) AS last_rank, MAX(rk) <= 5 AS within_limit FROM r GROUP BY ALL),
 t AS (SELECT *, won_at IS NOT NULL AND (stopped_at IS NULL OR won_at < stopped_at) AS alive FROM s)
 SELECT t.request_id, primary_model AS "primary", CASE WHEN alive THEN (SELECT MIN(model) FROM r WHERE r.request_id = t.request_id AND r.rk = t.won_at) END AS model_used,
-  alive AND won_at > 0 AS fallback_used, least(CASE WHEN alive THEN won_at END, stopped_at, last_rank) + 1 AS models_tried FROM t""")
+  alive AND won_at > 0 AS fallback_used, least(CASE WHEN alive THEN won_at END, stopped_at, last_rank) + 1 AS models_tried, within_limit FROM t""")
 def fallback_choice(spark, sf):
     order = F.array(*[F.lit(m) for m in fixed.FALLBACK_ORDER])
     n = len(fixed.FALLBACK_ORDER)
@@ -268,9 +268,9 @@ def quality_gate(spark, sf):
 
 
 @query("retry_select", """
-WITH r AS (SELECT l_orderkey AS mission, l_linenumber AS iteration, l_quantity / 5 AS score FROM lineitem WHERE l_linenumber <= 4),
-c AS (SELECT mission, COALESCE(MIN({'i': iteration, 's': score}) FILTER (score >= 7), MAX({'i': iteration, 's': score})) AS chosen FROM r GROUP BY mission)
-SELECT mission, chosen.i AS iteration, chosen.s AS score, chosen.s >= 7 AS passed, chosen.i > 1 AS retried FROM c""")
+WITH r AS (SELECT l_orderkey AS mission, l_linenumber AS iteration, l_quantity / 5 AS score FROM lineitem),
+c AS (SELECT mission, COALESCE(MIN({'i': iteration, 's': score}) FILTER (score >= 7 AND iteration <= 4), MAX({'i': iteration, 's': score}) FILTER (iteration <= 4)) AS chosen, COUNT(*) AS iterations FROM r GROUP BY mission)
+SELECT mission, iterations, chosen.i AS iteration, chosen.s AS score, chosen.s >= 7 AS passed, chosen.i > 1 AS retried FROM c""")
 def retry_select(spark, sf):
     runs = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("mission"), F.col("l_linenumber").alias("iteration"), (F.col("l_quantity") / 5).alias("score")
@@ -349,8 +349,14 @@ SQL_TEXTS = (
     ("Here's the query:\n\nSELECT replace('", "', 'a', 'b');;"),
     ("SELECT updated_at, '", "' FROM created"),
     ("SELECT /* c */ '", "'"),
+    ("SELECT TRANSFORM(event_id) USING 'cat' AS (x string) FROM ", ""),
+    ("SELECT java_method('java.lang.System', 'getProperty', '", "')"),
+    ("SELECT * FROM text.`/etc/", "`"),
+    ("SELECT * FROM `org.example.Format` . `", ":9`"),
+    ("SELECT a.`b` FROM a JOIN c USING (", ")"),
+    ("SELECT * FROM IDENTIFIER('", "')"),
 )
-STATEMENTS = "statements AS (SELECT event_id, CASE event_id % 13 " + " ".join(
+STATEMENTS = f"statements AS (SELECT event_id, CASE event_id % {len(SQL_TEXTS) + 1} " + " ".join(
     f"WHEN {i} THEN {sx.q(a)} || event_type || {sx.q(b)}" for i, (a, b) in enumerate(SQL_TEXTS)
 ) + " ELSE '' END AS statement FROM events)"
 
@@ -369,7 +375,7 @@ CLEAN = r"""cleaned AS (SELECT event_id, regexp_replace(CASE WHEN regexp_matches
 GUARD = "CASE WHEN statement = '' THEN 'Empty SQL query' " + " ".join(
     f"WHEN regexp_matches(upper(statement), '\\b{k}\\b') THEN 'Blocked operation: {k} is not allowed'" for k in fixed.BLOCKED_KEYWORDS
 ) + r" WHEN NOT regexp_matches(upper(statement), '^\s*(SELECT|WITH)\b') THEN 'Only SELECT queries are allowed' " + " ".join(
-    f"WHEN regexp_matches(upper(statement), {sx.q(p)}) THEN {sx.q(m)}" for p, m in rq.SUSPICIOUS
+    f"WHEN regexp_matches(upper(statement), {sx.q(p)}) THEN {sx.q(m)}" for p, m in (*rq.SUSPICIOUS, *rq.UNSAFE)
 ) + " END"
 
 

@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Window, functions as F
 
+from ..functions import fixed
 from ..functions.numbers import half_up
 from ..operators import ordered, sandbox
 from ..operators.topn import top_n_per_group
@@ -199,7 +200,7 @@ def view_filter(spark, sf):
 def ltv_sum(spark, sf):
     catalog.register_views(spark, sf, ("customer", "orders"))
     text = sandbox.checked(spark, """SELECT c_custkey AS customer_id, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS lifetime_value
-      FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > :floor GROUP BY c_custkey""")
+      FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > :floor GROUP BY c_custkey""", args={"floor": 5000})
     return spark.sql(text, args={"floor": 5000})
 
 
@@ -211,7 +212,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, true AS truncated FROM lineitem ORDE
 def sandbox_query(spark, sf):
     catalog.register_views(spark, sf, ("lineitem",))
     asked = "Here you go:\n```sql\nSELECT l_orderkey, l_linenumber, l_partkey FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey;\n```"
-    return sandbox.run(spark, asked).with_flag()
+    return sandbox.run(spark, asked, fixed.MAX_RESULT_ROWS).with_flag()
 
 
 @query("sandbox_history", f"""WITH {STATEMENTS}, {CLEAN} SELECT event_type || ' question' AS question, c.statement AS sql, {GUARD.replace('statement', 'c.statement')} IS NULL AS success,

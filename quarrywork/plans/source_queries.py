@@ -127,7 +127,7 @@ def scan_binary_magic(spark, sf):
     return page_files(spark, sf).select("page_id", "ext", binaries.valid_magic(F.col("content"), F.col("ext")).alias("valid"))
 
 
-@query("scan_size_guard", f"""WITH {FILE_SQL} SELECT page_id, CASE WHEN ext = '.exe' THEN 'File type not supported' WHEN octet_length(encode(html)) > 1048576 THEN 'too large' END AS reason FROM f""")
+@query("scan_size_guard", f"""WITH {FILE_SQL} SELECT page_id, CASE WHEN ext = '.exe' THEN 'File type not supported' WHEN octet_length(encode(html)) > 1048576 THEN 'File too large. Maximum size is 1MB. Your file is ' || format('{{:.1f}}', octet_length(encode(html)) / 1048576.0) || 'MB.' END AS reason FROM f""")
 def scan_size_guard(spark, sf):
     reason = binaries.reject_reason(F.col("length"), F.col("ext"), 1024 * 1024)
     return page_files(spark, sf).select("page_id", reason.alias("reason"))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
-_fallback_dir: str | None = None
 
 
 def build_session(app: str = "quarrywork", master: str | None = None, **conf: str) -> SparkSession:
@@ -48,21 +46,13 @@ def wide_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFra
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder.
+    """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it. Only a local session that leaves it unset
-    gets a temporary folder; on a cluster the missing setting is an error, because
-    executors do not share a driver-local path.
+    ``spark.checkpoint.dir`` names it; unset, it is a folder below the session's warehouse, which they
+    share as well.
     """
-    global _fallback_dir
     configured = spark.conf.get(_CHECKPOINT_KEY, None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {_CHECKPOINT_KEY} to a folder every executor can reach")
-    if _fallback_dir is None:
-        _fallback_dir = tempfile.mkdtemp(prefix="quarrywork-")
-    return _fallback_dir
+    return (configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work").rstrip("/")
 
 
 def shared_path(spark: SparkSession, label: str) -> str:

@@ -26,47 +26,49 @@ def with_extension(df: DataFrame, name: str) -> DataFrame:
 
 
 def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Files inside archives; an unreadable archive becomes one row without content."""
+    """Files inside archives, one at a time; an archive or member that cannot be read becomes a row as it is."""
+    def row(*values) -> pd.DataFrame:
+        return pd.DataFrame([values], columns=["path", "name", "length", "content"])
+
     for pdf in batches:
-        out = []
         for path, data in zip(pdf["path"], pdf["content"]):
             try:
                 with zipfile.ZipFile(io.BytesIO(data)) as archive:
                     for info in archive.infolist():
                         name = info.filename.rsplit("/", 1)[-1]
                         if not info.is_dir() and not name.startswith("."):
-                            out.append((f"{path}!/{info.filename}", name, info.file_size, archive.read(info)))
-            except zipfile.BadZipFile:
-                out.append((path, path.rsplit("/", 1)[-1], len(data), data))
-        yield pd.DataFrame(out, columns=["path", "name", "length", "content"])
+                            yield row(f"{path}!/{info.filename}", name, info.file_size, archive.read(info))
+            except (zipfile.BadZipFile, RuntimeError, NotImplementedError):
+                yield row(path, path.rsplit("/", 1)[-1], len(data), data)
+
 
+def expand_archives(files: DataFrame) -> DataFrame:
+    """Replace ZIP files by the files inside them; hidden members are skipped.
 
-def expand_archives(files: DataFrame, limit: int = MAX_FILE_BYTES) -> DataFrame:
-    """Replace ZIP files of accepted size by the files inside them; hidden members are skipped."""
+    Members leave the task one by one; :func:`reject_reason` tells which are too large to convert.
+    """
     cols = ["path", "name", "length", "content"]
-    zipped = (F.col("ext") == ".zip") & (F.col("length") <= limit)
+    zipped = F.col("ext") == ".zip"
     inside = files.filter(zipped).select("path", "content").mapInPandas(
         _members, "path string, name string, length bigint, content binary"
     )
     return with_extension(files.filter(~zipped).select(cols).unionByName(inside), "name")
 
 
-def _starts(content: Column, magic: str) -> Column:
-    size = len(magic) // 2
-    return F.substring(content, 1, size) == F.unhex(F.lit(magic))
+def _starts(content: Column, magic: bytes) -> Column:
+    return F.substring(content, 1, len(magic)) == F.lit(magic)
 
 
 def valid_magic(content: Column, ext: Column) -> Column:
     """Whether the leading bytes agree with the ending.
 
     Fewer than eight bytes are invalid. The first known signature decides; without one
-    text endings must decode as UTF-8 in their first 1000 bytes and others pass.
+    text endings must decode as UTF-8 and others pass.
     """
     checks = F.when(F.length(content) < 8, F.lit(False))
     for magic, endings in MAGIC_BYTES:
         checks = checks.when(_starts(content, magic), ext.isin(*endings))
-    head = F.substring(content, 1, 1000)
-    return checks.when(ext.isin(*TEXT_EXTENSIONS), F.is_valid_utf8(head.cast("string"))).otherwise(True)
+    return checks.when(ext.isin(*TEXT_EXTENSIONS), F.is_valid_utf8(content.cast("string"))).otherwise(True)
 
 
 def reject_reason(length: Column, ext: Column, limit: int = MAX_FILE_BYTES) -> Column:

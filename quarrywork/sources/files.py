@@ -24,7 +24,7 @@ def column_name(name: str) -> str:
 
 
 def table_name(file_name: str) -> str:
-    return column_name(PurePosixPath(file_name).stem)[:64]
+    return column_name(PurePosixPath(file_name).stem)
 
 
 def unique_names(names: list[str]) -> list[str]:

@@ -50,7 +50,7 @@ def test_names(raw, name):
 
 
 def test_table_and_unique_names():
-    assert files.table_name("x/" + "y" * 90 + ".csv") == "y" * 64
+    assert files.table_name("x/" + "y" * 90 + ".csv") == "y" * 90
     assert files.unique_names(["a b", "a-b", "A_B", "c"]) == ["a_b", "a_b_2", "A_B_3", "c"]
 
 
