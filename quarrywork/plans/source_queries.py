@@ -49,6 +49,31 @@ def load_sql_dump_types(spark, sf):
     return loaded.select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("double"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
 
 
+@query("load_pg_dump", """SELECT 'documents' AS table_name, doc_id AS id, 0 AS turn, md5(text) AS digest, lang AS kind FROM documents
+UNION ALL SELECT 'conversations', conv_id, turn, md5(text), role FROM conversations""")
+def load_pg_dump(spark, sf):
+    """PostgreSQL's two forms: COPY blocks, and INSERT statements with line ends as they are."""
+    path = shared_path(spark, "pg.sql")
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    dumps.copy_blocks(docs, "documents").write.option("lineSep", "\n").text(path)
+    talks = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    dumps.insert_statements(talks, "conversations", dumps.POSTGRES).write.mode("append").option("lineSep", ";\n").text(path)
+    rows = dumps.read_dump(spark, path, dumps.POSTGRES)
+    first = dumps.dump_table(rows, "documents", {"doc_id": "bigint", "text": "text", "lang": "text"})
+    second = dumps.dump_table(rows, "conversations", {"conv_id": "bigint", "turn": "bigint", "role": "text", "text": "text"})
+    columns = lambda name, key, turn, kind: (F.lit(name).alias("table_name"), F.col(key).alias("id"), turn.cast("bigint").alias("turn"), F.md5("text").alias("digest"), F.col(kind).alias("kind"))
+    return first.select(*columns("documents", "doc_id", F.lit(0), "lang")).unionByName(second.select(*columns("conversations", "conv_id", F.col("turn"), "role")))
+
+
+@query("load_sql_talks", "SELECT conv_id, turn, role, md5(text) AS digest FROM conversations")
+def load_sql_talks(spark, sf):
+    path = shared_path(spark, "conversations.sql")
+    talks = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    dumps.insert_statements(talks, "conversations").write.option("lineSep", ";\n").text(path)
+    declared = {"conv_id": "bigint", "turn": "bigint", "role": "varchar(9)", "text": "text"}
+    return dumps.dump_table(dumps.read_dump(spark, path), "conversations", declared).select("conv_id", "turn", "role", F.md5("text").alias("digest"))
+
+
 @query("scan_semi", """SELECT 'json' AS format, COUNT(*) AS row_count, CAST(SUM(user_id) AS BIGINT) AS total FROM events
 UNION ALL SELECT 'xml', COUNT(*), CAST(SUM(user_id) AS BIGINT) FROM events
 UNION ALL SELECT 'text', COUNT(*), CAST(SUM(user_id) AS BIGINT) FROM events""")

@@ -1,22 +1,49 @@
-"""Rows of SQL dumps, extracted as a Spark job.
+"""Rows of SQL dumps (MySQL and PostgreSQL), extracted as a Spark job.
 
-A dump is scanned as text split at statement ends, so one large file is read by many
-tasks. INSERT statements become ``(table_name, row values)``; the values are then cast
-to the types the caller declares. Table definitions are not translated.
+A dump is scanned by lines, so one large file is read by many tasks. Whether a line begins inside a
+string, inside a COPY block or outside follows from running sums over the lines of the
+file, taken inside the file's splits first and across them after (:mod:`..operators.ordered`). Lines
+of a statement are then put together; a value may hold any line end, semicolon or comment sign.
+
+INSERT statements and COPY blocks become ``(table_name, columns, values)``; values are cast to
+the types the caller declares. What looks like data but yields no rows, or not all of its text, is
+listed by :func:`read_errors`; nothing is left out in silence. Table definitions are not translated.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-# a quoted string may hold commas, parentheses, doubled or escaped quotes
-# (possessive repeats, so that long strings are matched without recursion)
-STRING = r"'[^'\\]*+(?:(?:\\.|'')[^'\\]*+)*+'"
-VALUE = rf"(?:{STRING}|[^,()']++)"
-TUPLE = rf"(?s)\(\s*{VALUE}\s*(?:,\s*{VALUE}\s*)*+\)"
-INSERT = r"(?is)^\s*INSERT\s+INTO\s+[`\"]?(\w+)[`\"]?\s*(?:\(([^)]*)\)\s*)?VALUES\s*(.*)$"
-CONDITIONAL_COMMENT = r"(?s)/\*!\d+.*?\*/;?"
-LINE_COMMENT = r"(?m)^--.*$"
+from ..operators import ordered
+
+MYSQL, POSTGRES = "mysql", "postgres"
+
+# Possessive repeats, so that long strings are matched without recursion. A MySQL string may hold
+# backslash escapes; a PostgreSQL string only if it has the prefix E.
+ESCAPED = r"'[^'\\]*+(?:(?:\\.|'')[^'\\]*+)*+'"
+PLAIN = r"'[^']*+(?:''[^']*+)*+'"
+STRINGS = {MYSQL: ESCAPED, POSTGRES: rf"(?:[eE]{ESCAPED}|{PLAIN})"}
+NAME = r"""(?:`[^`]+`|"[^"]+"|[\w$]+)"""
+INSERT = rf"(?is)^\s*(?:INSERT|REPLACE)(?:\s+(?:LOW_PRIORITY|DELAYED|HIGH_PRIORITY|IGNORE))*\s+INTO\s+((?:{NAME}\s*\.\s*)*)({NAME})\s*(?:\(([^)]*)\)\s*)?VALUES?\s*(.*)$"
+COPY = rf"(?is)^\s*COPY\s+((?:{NAME}\s*\.\s*)*)({NAME})\s*(?:\(([^)]*)\)\s*)?FROM\s+stdin\b.*$"
+#: What may follow the rows of an INSERT.
+TAIL = r"(?is)^\s*(?:(?:AS\s+\w+\s*)?ON\s+(?:DUPLICATE|CONFLICT)\b.*|RETURNING\b.*)?;?\s*$"
+CONDITIONAL_COMMENT = r"/\*!\d+.*?\*/;?"
+DATA = r"(?is)^\s*(?:INSERT|REPLACE|COPY|LOAD)\b"
+
+
+def value_pattern(dialect: str) -> str:
+    """A literal with a prefix or a cast, or other text in which calls may have arguments."""
+    string = STRINGS[dialect]
+    literal = rf"(?:_\w+\s*|[bBnNxX])?{string}(?:\s*::\s*[\w \[\]]++(?:\([\d, ]*\))?)*"
+    call = rf"\((?:[^()']++|{string}|\((?:[^()']++|{string})*+\))*+\)"
+    return rf"(?:{literal}|(?:[^,()']++|{call})++)"
+
+
+def tuple_pattern(dialect: str) -> str:
+    value = value_pattern(dialect)
+    return rf"(?s)\(\s*{value}\s*(?:,\s*{value}\s*)*+\)"
+
 
 # Declared type families and the type rows are cast to.
 TYPE_FAMILIES = (
@@ -40,47 +67,121 @@ def spark_type(declared: str) -> str:
     return "string"
 
 
-def read_statements(spark: SparkSession, path: str, end: str = ";\n") -> DataFrame:
-    """Statements of a dump, comments removed: the text source cut at statement ends.
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with their place: file, split, and order inside the split."""
+    lines = spark.read.text(path)
+    return lines.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("nth"), F.regexp_replace("value", r"\r$", "").alias("line"),
+    )
 
-    Dump tools write line ends inside strings as escapes, so ``end`` cannot occur in one.
+
+def copy_rows(lines: DataFrame) -> DataFrame:
+    """Lines with ``header``, the opening line of the COPY block they are data of (null outside)."""
+    opens, closes = F.rlike("line", F.lit(COPY)), F.col("line") == "\\."
+    mark = F.when(opens, F.col("line")).when(closes, F.lit(""))
+    marked = ordered.previous_value(lines, ["file"], F.col("split"), [F.col("nth")], mark, "open")
+    inside = F.coalesce(F.col("open"), F.lit("")) != ""
+    return marked.withColumn("header", F.when(inside & ~closes, F.col("open"))).filter(~(inside & closes)).drop("open")
+
+
+def statements_of(lines: DataFrame, dialect: str) -> DataFrame:
+    """Statements, comments removed, of lines outside COPY blocks.
+
+    A line changes between inside and outside if it has an odd number of quotes that are not escaped.
+    A comment line with an odd number ends outside either way: outside it is a comment, inside it closes the string.
     """
-    raw = spark.read.option("lineSep", end).text(path)
-    bare = F.regexp_replace(F.regexp_replace("value", CONDITIONAL_COMMENT, ""), LINE_COMMENT, "")
-    cleaned = F.regexp_replace(bare, r"^\s+|[;\s]+\z", "")
-    return raw.select(cleaned.alias("statement")).filter(F.col("statement") != "")
+    bare = F.regexp_replace("line", CONDITIONAL_COMMENT, "")
+    plain = F.regexp_replace(bare, r"\\\\.", "") if dialect == MYSQL else bare
+    odd = F.pmod(F.length(plain) - F.length(F.replace(plain, F.lit("'"), F.lit(""))), F.lit(2))
+    comment = F.startswith(F.ltrim("line"), F.lit("--"))
+    turned = lines.withColumns({"line": bare, "_comment": comment, "_reset": comment & (odd == 1), "_odd": odd})
+    place = dict(keys=["file"], bucket=F.col("split"), order=[F.col("nth")])
+    summed = ordered.running_sum(turned, **place, values={"_sum": F.when(F.col("_reset"), 0).otherwise(F.col("_odd"))})
+    based = ordered.previous_value(summed, **place, value=F.when(F.col("_reset"), F.col("_sum")), name="_base")
+    base = F.coalesce("_base", F.lit(0))
+    before = F.pmod(F.col("_sum") - F.when(F.col("_reset"), 0).otherwise(F.col("_odd")) - base, F.lit(2)) == 1
+    after = ~F.col("_reset") & (F.pmod(F.col("_sum") - base, F.lit(2)) == 1)
+    known = based.withColumns({"_before": before, "_after": after}).filter(F.col("_before") | ~F.col("_comment"))
+    ends = ~F.col("_after") & F.rlike("line", F.lit(r";\s*$"))
+    numbered = ordered.running_sum(known.withColumn("_end", ends.cast("long")), **place, values={"_ended": F.col("_end")})
+    whole = numbered.groupBy("file", (F.col("_ended") - F.col("_end")).alias("statement_no")).agg(
+        F.array_sort(F.collect_list(F.struct("split", "nth", "line"))).alias("lines")
+    )
+    text = F.regexp_replace(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), r"^\s+|[;\s]+\z", "")
+    return whole.select(text.alias("statement")).filter(F.col("statement") != "")
+
+
+def read_statements(spark: SparkSession, path: str, dialect: str = MYSQL) -> DataFrame:
+    return statements_of(copy_rows(read_lines(spark, path)).filter("header is null"), dialect)
+
 
+def _unescaped(text: Column) -> Column:
+    """Backslash escapes of a MySQL or E string; line ends and tabs first, then the rest."""
+    for sign, char in (("n", "\n"), ("r", "\r"), ("t", "\t")):
+        text = F.regexp_replace(text, rf"(?<!\\)((?:\\\\)*+)\\{sign}", f"$1{char}")
+    return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
-def _unquoted(value: Column) -> Column:
+
+def _unquoted(value: Column, dialect: str) -> Column:
     trimmed = F.trim(value)
-    inner = F.substr(trimmed, F.lit(2), F.length(trimmed) - 2)
-    # escaped line ends first, then the remaining escapes
-    lines = F.regexp_replace(F.replace(inner, F.lit("''"), F.lit("'")), r"(?<!\\)((?:\\\\)*+)\\n", "$1\n")
-    plain = F.regexp_replace(lines, r"(?s)\\(.)", "$1")
+    prefix = F.lower(F.regexp_extract(trimmed, r"(?s)^(_\w+\s*|[bBnNxXeE])?'", 1))
+    inner = F.regexp_extract(trimmed, r"(?s)'(.*)'", 1)
+    single = F.replace(inner, F.lit("''"), F.lit("'"))
+    escapes = F.lit(True) if dialect == MYSQL else prefix == "e"
     return (
         F.when(F.upper(trimmed) == "NULL", F.lit(None).cast("string"))
-        .when(F.startswith(trimmed, F.lit("'")), plain)
+        .when(F.rlike(trimmed, F.lit(r"(?s)^(?:_\w+\s*|[bBnNxXeE])?'")), F.when(escapes, _unescaped(single)).otherwise(single))
         .otherwise(trimmed)
     )
 
 
-def read_dump(spark: SparkSession, path: str, end: str = ";\n") -> DataFrame:
-    """Every inserted row as ``(table_name, columns, values)``; values are strings or NULL."""
-    inserts = read_statements(spark, path, end).select(
-        F.regexp_extract("statement", INSERT, 1).alias("table_name"),
-        F.regexp_extract("statement", INSERT, 2).alias("listed"),
-        F.regexp_extract("statement", INSERT, 3).alias("body"),
-    ).filter(F.col("table_name") != "")
-    rows = inserts.select(
-        "table_name",
-        F.when(F.col("listed") != "", F.transform(F.split("listed", ","), lambda c: F.regexp_replace(c, r'[`"\s]', ""))).alias("columns"),
-        F.explode(F.regexp_extract_all("body", F.lit(TUPLE), F.lit(0))).alias("row_text"),
+def _name(quoted: Column) -> Column:
+    return F.regexp_replace(quoted, r'^[`"]|[`"]$', "")
+
+
+def _listed(columns: Column) -> Column:
+    return F.when(columns != "", F.transform(F.split(columns, ","), lambda c: F.regexp_replace(c, r'[`"\s]', "")))
+
+
+def _inserts(statements: DataFrame, dialect: str) -> DataFrame:
+    """table_name, columns, tuples (texts) and what is left of the body beside them."""
+    found = statements.filter(F.rlike("statement", F.lit(INSERT))).select(
+        "statement", *[F.regexp_extract("statement", INSERT, i).alias(n) for i, n in ((2, "table"), (3, "listed"), (4, "body"))]
+    )
+    one = tuple_pattern(dialect)
+    return found.select(
+        "statement", _name(F.col("table")).alias("table_name"), _listed(F.col("listed")).alias("columns"),
+        F.regexp_extract_all("body", F.lit(one), F.lit(0)).alias("tuples"),
+        F.regexp_replace("body", rf"{one}\s*,?", "").alias("rest"),
+    )
+
+
+def read_dump(spark: SparkSession, path: str, dialect: str = MYSQL) -> DataFrame:
+    """Every row of INSERT statements and COPY blocks as ``(table_name, columns, values)``; values are strings or NULL."""
+    lines = copy_rows(read_lines(spark, path))
+    rows = _inserts(statements_of(lines.filter("header is null"), dialect), dialect).select(
+        "table_name", "columns", F.explode("tuples").alias("row_text")
     )
     inside = F.substr("row_text", F.lit(2), F.length("row_text") - 2)
-    return rows.select(
-        "table_name", "columns",
-        F.transform(F.regexp_extract_all(inside, F.lit(rf"(?s)\s*({VALUE})\s*(?:,|\z)"), F.lit(1)), _unquoted).alias("values"),
+    values = F.regexp_extract_all(inside, F.lit(rf"(?s)\s*({value_pattern(dialect)})\s*(?:,|\z)"), F.lit(1))
+    inserted = rows.select("table_name", "columns", F.transform(values, lambda v: _unquoted(v, dialect)).alias("values"))
+    field = lambda v: F.when(v == "\\N", F.lit(None).cast("string")).otherwise(_unescaped(v))
+    copied = lines.filter("header is not null").select(
+        _name(F.regexp_extract("header", COPY, 2)).alias("table_name"), _listed(F.regexp_extract("header", COPY, 3)).alias("columns"),
+        F.transform(F.split("line", "\t"), field).alias("values"),
     )
+    return inserted.unionByName(copied)
+
+
+def read_errors(spark: SparkSession, path: str, dialect: str = MYSQL) -> DataFrame:
+    """Statements that carry data which :func:`read_dump` cannot give back whole: statement and reason."""
+    statements = read_statements(spark, path, dialect)
+    data = statements.filter(F.rlike("statement", F.lit(DATA)) & ~F.rlike("statement", F.lit(COPY)))
+    unknown = data.filter(~F.rlike("statement", F.lit(INSERT))).select("statement", F.lit("not a list of values").alias("reason"))
+    inserts = _inserts(statements, dialect)
+    partial = inserts.filter((F.size("tuples") == 0) | ~F.rlike("rest", F.lit(TAIL)))
+    return unknown.unionByName(partial.select("statement", F.concat(F.lit("text beside the rows: "), F.substring("rest", 1, 200)).alias("reason")))
 
 
 def dump_table(rows: DataFrame, name: str, columns: dict[str, str]) -> DataFrame:
@@ -92,17 +193,34 @@ def dump_table(rows: DataFrame, name: str, columns: dict[str, str]) -> DataFrame
     return rows.filter(F.col("table_name") == name).select(*casts)
 
 
-def insert_statements(df: DataFrame, name: str) -> DataFrame:
-    """Rows of a table as INSERT statements, the inverse of :func:`read_dump`."""
+def insert_statements(df: DataFrame, name: str, dialect: str = MYSQL) -> DataFrame:
+    """Rows of a table as INSERT statements, the inverse of :func:`read_dump`.
+
+    MySQL's tools write line ends inside strings as escapes, PostgreSQL's as they are.
+    """
     def literal(field: T.StructField) -> Column:
         col = F.col(field.name).cast("string")
         if isinstance(field.dataType, (T.NumericType, T.BooleanType)):
             quoted = col
         else:
-            escaped = F.replace(F.replace(col, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("''"))
-            escaped = F.replace(escaped, F.lit("\n"), F.lit("\\n"))
+            escaped = F.replace(col, F.lit("\\"), F.lit("\\\\")) if dialect == MYSQL else col
+            escaped = F.replace(escaped, F.lit("'"), F.lit("''"))
+            escaped = F.replace(escaped, F.lit("\n"), F.lit("\\n")) if dialect == MYSQL else escaped
             quoted = F.concat(F.lit("'"), escaped, F.lit("'"))
         return F.coalesce(quoted, F.lit("NULL"))
 
     values = F.concat_ws(",", *[literal(f) for f in df.schema.fields])
-    return df.select(F.concat(F.lit(f"INSERT INTO `{name}` VALUES ("), values, F.lit(")")).alias("value"))
+    table = f"`{name}`" if dialect == MYSQL else f'public."{name}"'
+    return df.select(F.concat(F.lit(f"INSERT INTO {table} VALUES ("), values, F.lit(")")).alias("value"))
+
+
+def copy_blocks(df: DataFrame, name: str) -> DataFrame:
+    """Rows of a table as PostgreSQL COPY blocks, one row each."""
+    def field(col: Column) -> Column:
+        text = F.replace(col.cast("string"), F.lit("\\"), F.lit("\\\\"))
+        for sign, char in (("n", "\n"), ("r", "\r"), ("t", "\t")):
+            text = F.replace(text, F.lit(char), F.lit(f"\\{sign}"))
+        return F.coalesce(text, F.lit("\\N"))
+
+    head = f'COPY public."{name}" ({", ".join(df.columns)}) FROM stdin;\n'
+    return df.select(F.concat(F.lit(head), F.concat_ws("\t", *[field(F.col(c)) for c in df.columns]), F.lit("\n\\.\n")).alias("value"))

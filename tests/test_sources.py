@@ -74,6 +74,52 @@ def test_dump_with_a_very_long_value(spark, tmp_path):
     assert row.b == body.replace("''", "'")
 
 
+NINE = """-- it's a comment; with a quote
+INSERT INTO public.customers VALUES (1, 'a;
+b');
+INSERT INTO "public"."customers" (id, name) VALUES (2, 'x -- y'), (3, 'line
+-- not a comment
+end');
+/*!40000 ALTER TABLE `customers` DISABLE KEYS */;
+INSERT IGNORE INTO customers VALUES (4, _binary 'z'), (5, NOW()), (6, concat('a', lower('B,(')));
+INSERT INTO customers VALUES (7, '-- don''t'), (8, N'n') ON DUPLICATE KEY UPDATE id = id;
+REPLACE INTO `shop`.`customers` VALUES (9, NULL);
+INSERT INTO customers SELECT * FROM old;
+INSERT INTO customers VALUES (10, 'ok') oops (11;
+CREATE TABLE t (a int);
+"""
+
+
+@pytest.mark.parametrize("split", [None, 40])
+def test_dump_loses_nothing(spark, tmp_path, split):
+    path = tmp_path / "nine.sql"
+    path.write_text(NINE)
+    if split:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        rows = dumps.read_dump(spark, str(path))
+        got = {r["id"]: r["name"] for r in dumps.dump_table(rows, "customers", {"id": "int", "name": "text"}).collect()}
+        errors = [r["statement"] for r in dumps.read_errors(spark, str(path)).collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == {
+        1: "a;\nb", 2: "x -- y", 3: "line\n-- not a comment\nend", 4: "z", 5: "NOW()", 6: "concat('a', lower('B,('))", 7: "-- don't", 8: "n",
+        9: None, 10: "ok",
+    }
+    assert sorted(e[:30] for e in errors) == ["INSERT INTO customers SELECT *", "INSERT INTO customers VALUES ("]
+
+
+def test_copy_blocks(spark, tmp_path):
+    path = tmp_path / "pg.sql"
+    path.write_text("SET x = 'y';\nCOPY public.t (id, body) FROM stdin;\n1\tit's; a\\tb\n2\t\\N\n3\tc:\\\\dir;\n\\.\n\nINSERT INTO t VALUES (4, 'c:\\');\nINSERT INTO t VALUES (5, E'it\\'s');\n")
+    rows = dumps.read_dump(spark, str(path), dumps.POSTGRES)
+    got = {r["id"]: r["body"] for r in dumps.dump_table(rows, "t", {"id": "int", "body": "text"}).collect()}
+    assert got == {1: "it's; a\tb", 2: None, 3: "c:\\dir;", 4: "c:\\", 5: "it's"}
+    assert dumps.read_errors(spark, str(path), dumps.POSTGRES).collect() == []
+
+
 @pytest.mark.parametrize("declared, kind", [
     ("tinyint(1)", "bigint"), ("INT unsigned", "bigint"), ("decimal(10,2)", "decimal(10,2)"), ("double", "double"),
     ("datetime", "timestamp"), ("enum('a')", "string"), ("varchar(9)", "string"), ("date", "date"),
