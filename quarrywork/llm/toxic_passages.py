@@ -52,6 +52,10 @@ def units(word: str) -> list[str]:
     return [word + " ", *[word[:n] for n in STEMS if len(word) >= n]]
 
 
+def strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def cut_words(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
     """Number of words of each text, and all words."""
     plain = pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(texts.fill_null("")), r"[^\pL]+", " "), " ")
@@ -78,12 +82,12 @@ class Model:
         """-ln of the least sum-statistic probability over the significant segments; 0 without any."""
         best, total = 0.0, 0.0
         for r, score in enumerate(sorted(segments, reverse=True), 1):
-            e = self.expected(score, n)
-            if e > EXPECTED:
+            log_expected = math.log(self.k * max(n, 1)) - self.rate * score
+            if log_expected > math.log(EXPECTED):
                 break
-            total -= math.log(e)
+            total -= log_expected
             if r == 1:
-                found = -math.log(-math.expm1(-e)) if e > 1e-12 else total
+                found = -math.log(-math.expm1(-math.exp(log_expected))) if log_expected > -20 else total
             else:
                 found = total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r)
             best = max(best, found)
@@ -118,7 +122,7 @@ def segments_of_batch(texts: pa.Array, model: Model) -> Iterator[tuple[int, list
     """Number of words and the segments of each text."""
     counts, lists = cut_words(texts)
     words = pc.dictionary_encode(pc.list_flatten(lists))
-    by_word = np.array([model.word_score(w) if w else 0.0 for w in words.dictionary.to_pylist()])
+    by_word = np.array([model.word_score(w) if w else 0.0 for w in strings(words.dictionary)])
     scores = by_word[np.asarray(words.indices)]
     ends = np.cumsum(np.asarray(pc.list_value_length(lists)))
     starts = np.concatenate([[0], ends[:-1]])
@@ -192,13 +196,16 @@ def background(docs: DataFrame, text: str, names: list[str]) -> tuple[np.ndarray
             owner = np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists)))
             words = pc.dictionary_encode(pc.list_flatten(lists))
             # (document, word) once, then (document, unit) once
-            pairs = np.unique(owner * len(words.dictionary) + np.asarray(words.indices))
-            document, word = np.divmod(pairs, max(1, len(words.dictionary)))
-            own = [units(w) if w else [] for w in words.dictionary.to_pylist()]
-            every += int(np.array([len(u) for u in own], dtype=np.int64)[word].sum())
-            for depth in range(1 + len(STEMS)):
-                place = np.array([wanted.get(u[depth], -1) if depth < len(u) else -1 for u in own], dtype=np.int64)[word]
-                both = np.unique(document[place >= 0] * len(wanted) + place[place >= 0])
+            size = max(1, len(words.dictionary))
+            document, word = np.divmod(np.unique(owner * size + np.asarray(words.indices)), size)
+            letters = np.asarray(pc.utf8_length(words.dictionary))
+            every += int(((letters > 0) + sum((letters >= n).astype(np.int64) for n in STEMS))[word].sum())
+            own = strings(words.dictionary)
+            for n in (0, *STEMS):
+                units_of = (w[:n] if len(w) >= n else "" for w in own) if n else (w + " " for w in own)
+                place = np.fromiter((wanted.get(u, -1) for u in units_of), dtype=np.int64, count=len(own))[word]
+                hit = place >= 0
+                both = np.unique(document[hit] * len(wanted) + place[hit])
                 totals += np.bincount(both % max(1, len(wanted)), minlength=len(wanted))
         used = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1), pa.int32()), pa.array(np.append(totals[used], every))], names=["unit", "n"])
