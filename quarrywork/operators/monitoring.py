@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import fixed
 from ..functions.numbers import exact_avg, half_up
 from .ordered import running_sum, time_bucket
-from .reports import with_overall
+from .reports import grouped_with_overall, with_overall
 
 SMALL_GROUP = 1000
 
@@ -58,27 +58,22 @@ def perf_report(metrics: DataFrame) -> DataFrame:
     ``metrics``: file_type, file_size_bytes, duration_seconds, success (boolean),
     chunks_generated, embedding_duration.
     """
-    won = metrics.filter("success")
-    d = F.col("duration_seconds")
-    speed = F.col("file_size_bytes") / F.greatest(d, F.lit(0.001))
-    embed_time = F.when(F.col("embedding_duration") > 0, F.col("embedding_duration"))
-    tried = metrics.agg(F.count("*").alias("n"), F.count_if("success").alias("won"))
-    overall = won.agg(
-        half_up(exact_avg(d), 3).alias("avg_seconds"),
-        half_up(F.min(d), 3).alias("min_seconds"),
-        half_up(F.max(d), 3).alias("max_seconds"),
-        half_up(exact_avg(speed) / (1024 * 1024), 2).alias("avg_mb_per_sec"),
-        F.sum("chunks_generated").alias("total_chunks"),
-        half_up(F.coalesce(exact_avg(embed_time), F.lit(0.0)), 3).alias("avg_embedding_time"),
-    )
-    by_type = won.groupBy("file_type").agg(
-        half_up(exact_avg(d), 3).alias("avg_latency"), F.count("*").alias("cnt")
-    )
-    rows = with_overall(by_type, overall)
-    rows = with_overall(rows, tried.select(
-        F.col("n").alias("total_processed"), half_up(F.col("won").cast("double") / F.col("n") * 100, 1).alias("success_rate")
-    ))
-    p95 = p95_exclusive(won, [], "duration_seconds", "p95_seconds")
+    d = F.when(F.col("success"), F.col("duration_seconds"))
+    speed = F.when(F.col("success"), F.col("file_size_bytes")) / F.greatest(d, F.lit(0.001))
+    embed_time = F.when(F.col("success") & (F.col("embedding_duration") > 0), F.col("embedding_duration"))
+    rows = grouped_with_overall(metrics, "file_type", {
+        "avg_latency": half_up(exact_avg(d), 3), "cnt": F.count_if("success"),
+    }, {
+        "avg_seconds": half_up(exact_avg(d), 3),
+        "min_seconds": half_up(F.min(d), 3),
+        "max_seconds": half_up(F.max(d), 3),
+        "avg_mb_per_sec": half_up(exact_avg(speed) / (1024 * 1024), 2),
+        "total_chunks": F.sum(F.when(F.col("success"), F.col("chunks_generated"))),
+        "avg_embedding_time": half_up(F.coalesce(exact_avg(embed_time), F.lit(0.0)), 3),
+        "total_processed": F.count("*"),
+        "success_rate": half_up(F.count_if("success").cast("double") / F.count("*") * 100, 1),
+    }).filter("cnt > 0")
+    p95 = p95_exclusive(metrics.filter("success"), [], "duration_seconds", "p95_seconds")
     return with_overall(rows, p95.select(half_up(F.col("p95_seconds"), 3).alias("p95_seconds")))
 
 

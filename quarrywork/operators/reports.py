@@ -1,14 +1,14 @@
 """Usage, cost, agent, sandbox and quality reports over telemetry tables.
 
-Every report is one aggregation pass: the separate counters of a dashboard become
-conditional aggregates over a single scan. ``as_of`` stands for "now".
+The separate counters of a dashboard become conditional aggregates over a single scan of each
+table; totals and groups of one table come from grouping sets. ``as_of`` stands for "now".
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numbers import exact_avg, exact_sum, half_up, human_bytes, percent
 from .topn import top_n_per_group
@@ -65,6 +65,20 @@ def with_overall(rows: DataFrame, overall: DataFrame) -> DataFrame:
     return rows.withColumn("_all", packed).select(*rows.columns, "_all.*")
 
 
+def grouped_with_overall(df: DataFrame, key: str, by_key: dict[str, Column], overall: dict[str, Column]) -> DataFrame:
+    """Aggregates per key with those of all rows on each of them, from one scan (grouping sets).
+
+    The window that brings the overall row to the others sees one row per key.
+    """
+    both = df.groupingSets([[key], []], key).agg(
+        F.grouping(key).alias("_all"), *[c.alias(n) for n, c in by_key.items()],
+        F.struct(*[c.alias(n) for n, c in overall.items()]).alias("_overall"),
+    )
+    total = F.any_value(F.when(F.col("_all") == 1, F.col("_overall")), F.lit(True)).over(Window.partitionBy())
+    rows = both.withColumn("_overall", total).filter(F.col("_all") == 0)
+    return rows.select(key, *by_key, *[F.col(f"_overall.{n}").alias(n) for n in overall])
+
+
 def count_by(df: DataFrame, key: Column | str, name: str) -> DataFrame:
     col = F.col(key) if isinstance(key, str) else key
     return df.groupBy(col.alias(name)).agg(F.count("*").alias("cnt"))
@@ -111,21 +125,17 @@ def feature_usage(features: dict[str, DataFrame], chunk_feature: str = "chunk")
 
 def top_types_brief(conversions: DataFrame, as_of: Column, n: int = 5) -> DataFrame:
     """The most used types with the overall size and success figures on each row."""
-    overall = conversions.agg(
-        F.count("*").alias("total_conversions"),
-        F.count_if(F.to_date("created_at") == _day(as_of)).alias("today_conversions"),
-        F.coalesce(F.sum("file_size"), F.lit(0)).alias("total_bytes_processed"),
-        half_up(F.coalesce(F.sum("file_size"), F.lit(0)) / F.lit(1024 * 1024), 2).alias("total_mb_processed"),
-        F.coalesce(
-            half_up(
-                exact_avg(F.when(F.col("file_size") > 0, F.col("file_size")), 0) / 1024, 2
-            ),
-            F.lit(0.0),
-        ).alias("avg_file_size_kb"),
-        F.when(F.count("*") > 0, F.lit(100.0)).otherwise(F.lit(0.0)).alias("success_rate"),
-    )
-    top = count_by(conversions, "file_type", "file_type").orderBy(F.col("cnt").desc(), "file_type").limit(n)
-    return with_overall(top, overall)
+    size = F.coalesce(F.sum("file_size"), F.lit(0))
+    mean = half_up(exact_avg(F.when(F.col("file_size") > 0, F.col("file_size")), 0) / 1024, 2)
+    rows = grouped_with_overall(conversions, "file_type", {"cnt": F.count("*")}, {
+        "total_conversions": F.count("*"),
+        "today_conversions": F.count_if(F.to_date("created_at") == _day(as_of)),
+        "total_bytes_processed": size,
+        "total_mb_processed": half_up(size / F.lit(1024 * 1024), 2),
+        "avg_file_size_kb": F.coalesce(mean, F.lit(0.0)),
+        "success_rate": F.when(F.count("*") > 0, F.lit(100.0)).otherwise(F.lit(0.0)),
+    })
+    return rows.orderBy(F.col("cnt").desc(), "file_type").limit(n)
 
 
 # -- cost ---------------------------------------------------------------------------------
@@ -168,35 +178,35 @@ def cost_by_day(llm: DataFrame, as_of: Column) -> DataFrame:
 # -- agents -------------------------------------------------------------------------------
 
 
-def agent_totals(agents: DataFrame, as_of: Column) -> DataFrame:
+def _agent_totals(as_of: Column) -> dict[str, Column]:
     won = F.col("success") == 1
-    return agents.agg(
-        F.count("*").alias("total_executions"),
-        F.count_if(won).alias("successful_executions"),
-        percent(F.count_if(won), F.count("*"), 1, 100.0).alias("success_rate"),
-        half_up(exact_sum(F.col("actual_cost"), 9), 6).alias("total_cost"),
-        half_up(exact_sum(F.col("savings"), 9), 6).alias("total_savings"),
-        half_up(F.coalesce(exact_avg(F.col("savings_percent"), 2), F.lit(0.0)), 2).alias("avg_savings_percent"),
-        F.floor(F.coalesce(exact_avg(F.col("total_latency_ms"), 0), F.lit(0.0))).alias("avg_latency_ms"),
-        half_up(F.coalesce(exact_avg(F.col("quality_score"), 2), F.lit(0.0)), 1).alias("avg_quality_score"),
-        half_up(
-            F.coalesce(exact_avg(F.when(won, F.col("findings_count")), 0), F.lit(0.0)), 1
-        ).alias("avg_findings"),
-        F.count_if(F.to_date("created_at") == _day(as_of)).alias("today_executions"),
-    )
+    return {
+        "total_executions": F.count("*"),
+        "successful_executions": F.count_if(won),
+        "success_rate": percent(F.count_if(won), F.count("*"), 1, 100.0),
+        "total_cost": half_up(exact_sum(F.col("actual_cost"), 9), 6),
+        "total_savings": half_up(exact_sum(F.col("savings"), 9), 6),
+        "avg_savings_percent": half_up(F.coalesce(exact_avg(F.col("savings_percent"), 2), F.lit(0.0)), 2),
+        "avg_latency_ms": F.floor(F.coalesce(exact_avg(F.col("total_latency_ms"), 0), F.lit(0.0))),
+        "avg_quality_score": half_up(F.coalesce(exact_avg(F.col("quality_score"), 2), F.lit(0.0)), 1),
+        "avg_findings": half_up(F.coalesce(exact_avg(F.when(won, F.col("findings_count")), 0), F.lit(0.0)), 1),
+        "today_executions": F.count_if(F.to_date("created_at") == _day(as_of)),
+    }
 
 
-def agents_by_type(agents: DataFrame) -> DataFrame:
-    return agents.groupBy("agent_type").agg(
-        F.count("*").alias("executions"),
-        half_up(exact_sum(F.col("savings"), 9), 6).alias("savings"),
-        F.floor(exact_avg(F.col("total_latency_ms"), 0)).alias("avg_latency_ms"),
-    )
+def agent_totals(agents: DataFrame, as_of: Column) -> DataFrame:
+    return agents.agg(*[c.alias(n) for n, c in _agent_totals(as_of).items()])
 
 
 def agent_stats(agents: DataFrame, as_of: Column) -> DataFrame:
     """Per agent type, with the overall figures repeated on each row."""
-    return with_overall(agents_by_type(agents), agent_totals(agents, as_of))
+    overall = _agent_totals(as_of)
+    overall["avg_latency_ms_overall"] = overall.pop("avg_latency_ms")
+    return grouped_with_overall(agents, "agent_type", {
+        "executions": F.count("*"),
+        "savings": half_up(exact_sum(F.col("savings"), 9), 6),
+        "avg_latency_ms": F.floor(exact_avg(F.col("total_latency_ms"), 0)),
+    }, overall)
 
 
 # -- sandbox ------------------------------------------------------------------------------
@@ -230,35 +240,34 @@ def sandbox_stats(requests: DataFrame, as_of: Column) -> DataFrame:
 QUALITY_DIMENSIONS = ("relevance", "accuracy", "helpfulness", "safety", "completeness")
 
 
-def quality_totals(evaluations: DataFrame, as_of: Column) -> DataFrame:
+def _quality_totals(as_of: Column) -> dict[str, Column]:
     def mean(name: str) -> Column:
         return half_up(F.coalesce(exact_avg(F.col(name)), F.lit(0.0)), 2)
 
     today = F.to_date("created_at") == _day(as_of)
-    return evaluations.agg(
-        F.count("*").alias("total_evaluations"),
-        mean("overall_score").alias("avg_overall_score"),
-        F.coalesce(F.sum("passed_threshold"), F.lit(0)).alias("passed_count"),
-        percent(F.sum("passed_threshold"), F.count("*"), 1, 0.0).alias("pass_rate"),
-        *[mean(f"{d}_score").alias(f"avg_{d}") for d in QUALITY_DIMENSIONS],
-        half_up(exact_sum(F.col("eval_cost")), 6).alias("total_eval_cost"),
-        F.count_if(today).alias("today_evaluations"),
-        half_up(
-            F.coalesce(exact_avg(F.when(today, F.col("overall_score"))), F.lit(0.0)), 2
-        ).alias("today_avg_score"),
-    )
+    return {
+        "total_evaluations": F.count("*"),
+        "avg_overall_score": mean("overall_score"),
+        "passed_count": F.coalesce(F.sum("passed_threshold"), F.lit(0)),
+        "pass_rate": percent(F.sum("passed_threshold"), F.count("*"), 1, 0.0),
+        **{f"avg_{d}": mean(f"{d}_score") for d in QUALITY_DIMENSIONS},
+        "total_eval_cost": half_up(exact_sum(F.col("eval_cost")), 6),
+        "today_evaluations": F.count_if(today),
+        "today_avg_score": half_up(F.coalesce(exact_avg(F.when(today, F.col("overall_score"))), F.lit(0.0)), 2),
+    }
 
 
-def quality_by_type(evaluations: DataFrame) -> DataFrame:
-    return evaluations.groupBy("response_type").agg(
-        F.count("*").alias("evaluations"),
-        half_up(exact_avg(F.col("overall_score")), 2).alias("avg_score"),
-        percent(F.sum("passed_threshold"), F.count("*"), 1, 0.0).alias("pass_rate_percent"),
-    )
+def quality_totals(evaluations: DataFrame, as_of: Column) -> DataFrame:
+    return evaluations.agg(*[c.alias(n) for n, c in _quality_totals(as_of).items()])
 
 
 def quality_stats(evaluations: DataFrame, as_of: Column) -> DataFrame:
-    return with_overall(quality_by_type(evaluations), quality_totals(evaluations, as_of))
+    """Per response type, with the overall figures repeated on each row."""
+    return grouped_with_overall(evaluations, "response_type", {
+        "evaluations": F.count("*"),
+        "avg_score": half_up(exact_avg(F.col("overall_score")), 2),
+        "pass_rate_percent": percent(F.sum("passed_threshold"), F.count("*"), 1, 0.0),
+    }, _quality_totals(as_of))
 
 
 # -- everything at once -------------------------------------------------------------------

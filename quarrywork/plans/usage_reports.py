@@ -143,9 +143,7 @@ t AS (SELECT agent_type, COUNT(*) AS executions, {rounded(dsum("savings", 9), 6)
 SELECT t.*, o.* FROM t, o""")
 def agent_stats(spark, sf):
     day = F.lit("1998-03-03 00:00:00").cast("timestamp_ntz")
-    runs = agents(spark, sf)
-    overall = reports.agent_totals(runs, day).withColumnRenamed("avg_latency_ms", "avg_latency_ms_overall")
-    return reports.with_overall(reports.agents_by_type(runs), overall)
+    return reports.agent_stats(agents(spark, sf), day)
 
 
 @query("sandbox_stats", f"""WITH {SANDBOX_REQUESTS}
