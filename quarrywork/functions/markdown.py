@@ -6,6 +6,8 @@ end, ``i`` ignore case, ``d`` only ``\\n`` ends a line, ``U`` Unicode classes.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 # Fixed values: (pattern, replacement) in the order they are applied to count plain text.
@@ -101,7 +103,7 @@ def java_pattern(pattern: str) -> str:
 
 
 def java_replacement(text: str) -> str:
-    return text.replace(r"\1", "$1")
+    return re.sub(r"\\(\d)", r"$\1", text)
 
 
 def apply_rules(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:

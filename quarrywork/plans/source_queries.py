@@ -163,7 +163,7 @@ def batch_convert(spark, sf):
     return binaries.convert(page_files(spark, sf), "text").select("path", "output_name", F.length("text").alias("chars"), "error")
 
 
-@query("html_to_text")
+@query("html_to_text", f"SELECT page_id, {sx.rules('html', html.PAGE_RULES)} AS text FROM pages")
 def html_to_text(spark, sf):
     return wide_table(spark, sf, "pages", "page_id").select("page_id", html.html_to_text(F.col("html")).alias("text"))
 

@@ -1,97 +1,47 @@
-"""Web pages to text."""
+"""Web pages to text, as chains of built-in regular expression calls."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
-
-_SPACES = re.compile(r"\s+")
-_HIDDEN = {"script", "style", "head", "noscript", "template"}
-_BLOCKS = {"p", "div", "section", "article", "main", "header", "footer", "nav", "aside", "table", "tr", "ul", "ol",
-           "blockquote", "pre", "form", "figure"}
-_HEADERS = {f"h{n}": "#" * n for n in range(1, 7)}
-_VOID = {"br", "hr", "img", "meta", "link", "input"}
-
-
-class _Markdown(HTMLParser):
-    """Collects the visible text of one page with headers, list items, links and emphasis marked."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.parts: list[str] = []
-        self.hidden = 0
-        self.links: list[str] = []
-
-    def handle_starttag(self, tag: str, attrs) -> None:
-        if tag in _HIDDEN:
-            self.hidden += 1
-        elif self.hidden:
-            return
-        elif tag in _HEADERS:
-            self.parts.append(f"\n\n{_HEADERS[tag]} ")
-        elif tag == "li":
-            self.parts.append("\n- ")
-        elif tag == "br":
-            self.parts.append("\n")
-        elif tag in _BLOCKS:
-            self.parts.append("\n\n")
-        elif tag in ("b", "strong"):
-            self.parts.append("**")
-        elif tag in ("i", "em"):
-            self.parts.append("*")
-        elif tag == "a":
-            self.links.append(dict(attrs).get("href") or "")
-            self.parts.append("[")
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in _HIDDEN:
-            self.hidden = max(0, self.hidden - 1)
-        elif self.hidden or tag in _VOID:
-            return
-        elif tag in _HEADERS or tag in _BLOCKS:
-            self.parts.append("\n\n")
-        elif tag in ("b", "strong"):
-            self.parts.append("**")
-        elif tag in ("i", "em"):
-            self.parts.append("*")
-        elif tag == "a" and self.links:
-            self.parts.append(f"]({self.links.pop()})")
-
-    def handle_data(self, data: str) -> None:
-        if not self.hidden:
-            self.parts.append(_SPACES.sub(" ", data))
-
-    def text(self) -> str:
-        lines = [" ".join(line.split()) for line in "".join(self.parts).split("\n")]
-        kept: list[str] = []
-        for line in lines:
-            if line or (kept and kept[-1]):
-                kept.append(line)
-        return "\n".join(kept).strip()
-
-
-def page_text(html: str | None) -> str | None:
-    if html is None:
-        return None
-    page = _Markdown()
-    page.feed(html)
-    page.close()
-    return page.text()
-
-
-def _page_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in batches:
-        yield batch.map(page_text)
+from pyspark.sql import Column, functions as F
+
+from ..functions.markdown import apply_rules
+
+_HIDDEN = ("script", "style", "head", "noscript", "template")
+_BLOCKS = "p|div|section|article|main|header|footer|nav|aside|table|tr|ul|ol|blockquote|pre|form|figure"
+_ENTITIES = (
+    ("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("apos", "'"), ("copy", "©"), ("reg", "®"), ("trade", "™"),
+    ("middot", "·"), ("bull", "•"), ("hellip", "…"), ("ndash", "–"), ("mdash", "—"), ("lsquo", "‘"), ("rsquo", "’"), ("ldquo", "“"),
+    ("rdquo", "”"), ("laquo", "«"), ("raquo", "»"), ("euro", "€"), ("pound", "£"), ("deg", "°"), ("amp", "&"),
+)
+
+#: Visible text with headers, list items, links and emphasis marked as Markdown. Character references by number and
+#: names beyond the list stay as they are.
+PAGE_RULES = (
+    (r"(?s)<!--.*?-->", ""),
+    *((rf"(?is)<{tag}(?:\s[^>]*)?>.*?(?:</{tag}\s*>|\z)", "") for tag in _HIDDEN),
+    (r"\s+", " "),
+    (r"""(?i)<a\s(?:[^>]*\s)?href\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a\s*>""", r"[\2](\1)"),
+    (r"(?i)<a(?:\s[^>]*)?>(.*?)</a\s*>", r"[\1]()"),
+    *((rf"(?i)<h{n}(?:\s[^>]*)?>", f"\n\n{'#' * n} ") for n in range(1, 7)),
+    (r"(?i)<li(?:\s[^>]*)?>", "\n- "),
+    (r"(?i)<br(?:\s[^>]*|/)?>", "\n"),
+    (rf"(?i)<(?:{_BLOCKS})(?:\s[^>]*)?>", "\n\n"),
+    (rf"(?i)</(?:{_BLOCKS}|h[1-6])\s*>", "\n\n"),
+    (r"(?i)</?(?:b|strong)(?:\s[^>]*)?>", "**"),
+    (r"(?i)</?(?:i|em)(?:\s[^>]*)?>", "*"),
+    (r"<[/!?a-zA-Z][^>]*>", ""),
+    *((f"&{name};", char) for name, char in _ENTITIES),
+    (r" {2,}", " "),
+    (r" ?\n ?", "\n"),
+    (r"\n{3,}", "\n\n"),
+    (r"^\s+", ""),
+    (r"\s+\z", ""),
+)
 
 
 def html_to_text(html: Column) -> Column:
-    """Visible text of each page as Markdown (Arrow batches)."""
-    convert = F.pandas_udf(_page_texts, T.StringType())
-    return convert(html)
+    """Visible text of a page as Markdown."""
+    return apply_rules(html, PAGE_RULES)
 
 
 TITLE = r"(?is)<title[^>]*>(.*?)</title>"
