@@ -119,6 +119,27 @@ def pack_sentences(text: str, size: int, overlap: int) -> Iterator[Span]:
     return pack(sentences(text), " ", lambda n: max(1, n // 4) <= size, carry)
 
 
+def cut_fixed(text: str, size: int, overlap: int) -> Iterator[Span]:
+    """Windows of ``4 * size`` characters every ``4 * (size - overlap)``, then the last ``4 * overlap`` characters."""
+    width, back = 4 * size, 4 * overlap
+    step = width - back
+    last = max(0, -((width - len(text)) // step))
+    for start in range(0, last * step + 1, step):
+        yield text[start : start + width], start, min(len(text), start + width)
+    if back and len(text) - back > last * step:
+        yield text[-back:], len(text) - back, len(text)
+
+
+def cut_tokens(text: str, size: int, overlap: int) -> Iterator[Span]:
+    """Windows of ``size`` words with the white space after them."""
+    tokens = [(m.start(), m.end()) for m in re.finditer(r"\S+\s*|\s+", text)]
+    step = size - overlap
+    last = max(0, -((size - len(tokens)) // step))
+    for first in range(0, last * step + 1, step):
+        own = tokens[first : first + size]
+        yield text[own[0][0] : own[-1][1]], own[0][0], own[-1][1]
+
+
 STRATEGIES = {
     "character": cut_at_boundaries,
     "recursive_character": pack_paragraphs,

@@ -6,6 +6,7 @@ Python and stay inside the optimised plan. ``chunk_document`` is a table functio
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
@@ -15,6 +16,10 @@ from . import packers
 from .markdown import EMAIL_MASK, EMAIL_PATTERN, TEXT_RULES, java_pattern, java_replacement
 
 
+STRATEGIES = {**packers.STRATEGIES, "fixed_size": packers.cut_fixed, "token": packers.cut_tokens}
+WORD = re.compile(r"\S+\s*|\s+")
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
 
@@ -50,9 +55,11 @@ class ChunkDocument:
             return
         size = max(64, min(size, 8192))
         overlap = max(0, min(overlap, size // 2))
-        cut = packers.STRATEGIES.get(strategy, packers.cut_at_boundaries)
-        for i, (body, low, high) in enumerate(cut(text, size, overlap)):
-            yield i, body, packers.estimate(body), len(body), low, high
+        if strategy not in STRATEGIES:
+            raise ValueError(f"unknown chunking strategy {strategy!r}; known: {', '.join(sorted(STRATEGIES))}")
+        for i, (body, low, high) in enumerate(STRATEGIES[strategy](text, size, overlap)):
+            tokens = len(WORD.findall(body)) if strategy == "token" else packers.estimate(body)
+            yield i, body, tokens, len(body), low, high
 
 
 def register_functions(spark: SparkSession) -> None:

@@ -16,6 +16,7 @@ from .chunk_queries import CHAR_SQL
 from .decision_queries import case_of
 from .mapping import K_SQL, prop_k
 from .registry import query
+from .text_queries import TEXT_SQL
 
 
 @query("scan_csv", 'SELECT doc_id, md5(text) AS digest, lang FROM documents')
@@ -158,7 +159,17 @@ def scan_size_guard(spark, sf):
     return page_files(spark, sf).select("page_id", reason.alias("reason"))
 
 
-@query("batch_convert")
+_PAGE_TEXT = sx.rules("html", html.PAGE_RULES)
+_READ_TEXT = TEXT_SQL.replace("md", "page")
+CONVERTED_SQL = f"""WITH {FILE_SQL}, u AS (SELECT page_id, url AS path, html, name, ext FROM f JOIN pages USING (page_id, html)),
+v AS (SELECT *, CASE WHEN octet_length(encode(html)) < 8 THEN false WHEN starts_with(html, '<!DOCTYPE') OR starts_with(html, '<html') THEN ext IN ('.html', '.htm')
+  WHEN starts_with(html, '<?xml') THEN ext = '.xml' WHEN starts_with(html, '{{') OR starts_with(html, '[') THEN ext = '.json' ELSE true END AS valid FROM u),
+e AS (SELECT *, CASE WHEN ext IN ('.pdf', '.exe') THEN 'Conversion failed: no converter for ' || ext WHEN NOT valid THEN 'Conversion failed: content does not match type' END AS error FROM v),
+t AS (SELECT *, CASE WHEN error IS NULL THEN CASE WHEN ext = '.html' THEN {_PAGE_TEXT} ELSE html END END AS page FROM e)
+SELECT path, regexp_replace(name, '\\.[^.]*$', '') || CASE WHEN error IS NULL THEN '.txt' ELSE '_error.txt' END AS output_name, length({_READ_TEXT}) AS chars, error FROM t"""
+
+
+@query("batch_convert", CONVERTED_SQL)
 def batch_convert(spark, sf):
     return binaries.convert(page_files(spark, sf), "text").select("path", "output_name", F.length("text").alias("chars"), "error")
 

@@ -163,3 +163,24 @@ def test_prepare_and_clean(spark):
              for o in ("markdown", "text", "json", "xml", "other")}
     assert forms["markdown"] == forms["other"] and forms["markdown"].startswith("# T\n\n\nmail [EMAIL_REDACTED]")
     assert forms["text"].startswith("T\n") and json.loads(forms["json"])["document"]["filename"] == "f" and "<h1>T</h1>" in forms["xml"]
+
+
+@pytest.mark.parametrize("strategy", ["fixed_size", "token", "character", "recursive_character", "semantic_window"])
+def test_table_function_equals_the_operator(spark, sf, strategy):
+    from quarrywork.functions.sqludf import register_functions
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 60").select("doc_id", "text")
+    docs.createOrReplaceTempView("chunk_docs")
+    register_functions(spark)
+    columns = ["doc_id", "idx", "text", "token_count", "char_count", "start_char", "end_char"]
+    called = spark.sql(f"SELECT d.doc_id, c.* FROM chunk_docs d, LATERAL chunk_document(d.text, 100, 10, '{strategy}') c").select(columns)
+    built = chunking.chunk_documents(docs, "text", ["doc_id"], 100, 10, strategy).select(columns)
+    assert sorted(map(tuple, called.collect())) == sorted(map(tuple, built.collect()))
+
+
+def test_table_function_refuses_unknown_strategies(spark):
+    from quarrywork.functions.sqludf import register_functions
+
+    register_functions(spark)
+    with pytest.raises(Exception, match="unknown chunking strategy"):
+        spark.sql("SELECT * FROM chunk_document('some text', 100, 10, 'by_moon')").collect()
