@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import passed, per_process, pieces_of_work, restored
+from .common import in_batches, passed, per_process, pieces_of_work, restored
 
 LENGTH = 256
 WIDTHS = (2, 3, 4)
@@ -155,7 +155,7 @@ def sample_windows(docs: DataFrame, usable: Column, key: str, text: str, label:
                     found.append(every[k].astype("<i2").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found, pa.binary())], names=["label", "window"])
 
-    got = sorted((r["label"], bytes(r["window"])) for r in chosen.select("label", "text").mapInArrow(cut, "label string, window binary").collect())
+    got = sorted((r["label"], bytes(r["window"])) for r in in_batches(chosen.select("label", "text"), cut, "label string, window binary").collect())
     return np.array([np.frombuffer(w, "<i2") for _, w in got], dtype=np.int16).reshape(-1, LENGTH), [name for name, _ in got]
 
 
@@ -187,7 +187,7 @@ def predict(docs: DataFrame, network: Network | None, columns: dict[str, Column]
                 [*[batch.column(n) for n in names], pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"]
             )
 
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return in_batches(rows, run, f"{schema}, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, network: Network | None, least: float = 0.3, text: str = "text") -> DataFrame:

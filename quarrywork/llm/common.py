@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -19,6 +20,18 @@ _HOLDER = "_quarrywork_process"
 WORK_BYTES = 6 << 20
 
 
+def in_batches(rows: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """``rows.mapInArrow`` with batches of some megabytes, whatever the length of the rows.
+
+    The bound is a setting of the session; a smaller one is left as it is.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = rows.sparkSession.conf
+    if not re.fullmatch(r"\d+b?", conf.get(key)) or int(conf.get(key).rstrip("b")) > WORK_BYTES:
+        conf.set(key, str(WORK_BYTES))
+    return rows.mapInArrow(function, schema)
+
+
 def per_process(key: tuple, make: Callable[[], Any]) -> Any:
     """One object per Python worker process and key.
 
@@ -68,6 +81,8 @@ def pieces_of_work(batches: Iterator[pa.RecordBatch], column: str, most: int = W
                 held, size = [], 0
     if held:
         yield flush()
+    held = []
+    pa.default_memory_pool().release_unused()
 
 
 def ragged_take(starts: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Distinct words a worker process keeps; about 200 bytes each. When full it starts anew.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 300_000
 
 
 class Known:

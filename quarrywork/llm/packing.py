@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import pieces_of_work
+from .common import in_batches, pieces_of_work
 from .words import words_of
 
 WIDTH = 2048
@@ -195,4 +195,4 @@ def pack(
             yield take()
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(packed, f"key {kind}, {_ROW}").withColumnRenamed("key", key)
+    return in_batches(rows, packed, f"key {kind}, {_ROW}").withColumnRenamed("key", key)

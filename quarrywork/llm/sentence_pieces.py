@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import per_process, pieces_of_work, ragged_take
+from .common import in_batches, per_process, pieces_of_work, ragged_take
 from .known import Known
 
 SPACE = "▁"
@@ -214,7 +214,7 @@ def piece_ids(docs: DataFrame, model: str, end_id: int = 2, key: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column("key"), lists], names=["key", "ids"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(encode, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+    return in_batches(rows, encode, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
 
 def piece_texts(encoded: DataFrame, model: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -227,7 +227,7 @@ def piece_texts(encoded: DataFrame, model: str, key: str = "doc_id", ids: str =
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(rows, pa.string())], names=["key", "text"])
 
     rows = encoded.select(F.col(key).alias("key"), F.col(ids).cast("array<int>").alias("ids"))
-    return rows.mapInArrow(decode, f"key {kind}, text string").withColumnRenamed("key", key)
+    return in_batches(rows, decode, f"key {kind}, text string").withColumnRenamed("key", key)
 
 
 def piece_digests(docs: DataFrame, model: str, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -257,4 +257,4 @@ def piece_digests(docs: DataFrame, model: str, end_id: int = 2, key: str = "doc_
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     schema = f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return rows.mapInArrow(digest, schema).withColumnRenamed("key", key)
+    return in_batches(rows, digest, schema).withColumnRenamed("key", key)

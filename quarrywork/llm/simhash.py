@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
-from .common import FILE, ROW, pieces_of_work, placed, without
+from .common import FILE, ROW, in_batches, pieces_of_work, placed, without
 from .components import roots
 
 #: Members of a key that one task compares at most twice over.
@@ -88,7 +88,7 @@ def fingerprints(docs: DataFrame, columns: dict, text: str, width: int, bits: in
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(found, pa.binary())], names=[*names, "fp"])
 
     schema = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
-    return rows.mapInArrow(run, f"{schema}, fp binary")
+    return in_batches(rows, run, f"{schema}, fp binary")
 
 
 # candidate keys
@@ -132,7 +132,7 @@ def keyed(nodes: DataFrame, keys: np.ndarray, bits: int) -> DataFrame:
                     key = mix(key ^ (prints[:, word] & mask[word]))
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("fp")], names=["bucket", "fp"])
 
-    return nodes.select("fp").mapInArrow(run, "bucket long, fp binary")
+    return in_batches(nodes.select("fp"), run, "bucket long, fp binary")
 
 
 # comparison
@@ -291,7 +291,7 @@ def link_prints(nodes: DataFrame, keys: np.ndarray, bits: int, radius: int, chun
         if rest is not None and rest.num_rows:
             yield linked(rest, np.zeros(1, dtype=np.int64))
 
-    return met.mapInArrow(run, "u binary, v binary").distinct()
+    return in_batches(met, run, "u binary, v binary").distinct()
 
 
 def _components(found: DataFrame, keys: np.ndarray, bits: int, radius: int) -> DataFrame:

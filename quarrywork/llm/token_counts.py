@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import per_process, pieces_of_work
+from .common import in_batches, per_process, pieces_of_work
 from .words import LONG_BYTES, balanced, words_of
 
 LIMIT = 2048
@@ -83,5 +83,5 @@ def token_counts(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
             )
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    counted = rows.mapInArrow(count, f"key {kind}, n_bytes long, n_tokens long")
+    counted = in_batches(rows, count, f"key {kind}, n_bytes long, n_tokens long")
     return counted.select(F.col("key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import materialize, shared_path
-from .common import pieces_of_work
+from .common import in_batches, pieces_of_work
 from .huffman import Code, canonical, code_lengths, pack_bits, unpack_bits
 from .packing import with_end
 from .words import words_of
@@ -106,7 +106,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int, key: str, text: str,
         .sortWithinPartitions("key", F.xxhash64("text"))
         .withColumn("shard", F.spark_partition_id())
     )
-    return rows.mapInArrow(blocks, f"shard int, first long, n_ids long, ids binary, keys array<{kind}>, {_PIECES}")
+    return in_batches(rows, blocks, f"shard int, first long, n_ids long, ids binary, keys array<{kind}>, {_PIECES}")
 
 
 def id_counts(blocks: DataFrame, vocabulary: int) -> np.ndarray:
@@ -123,7 +123,7 @@ def id_counts(blocks: DataFrame, vocabulary: int) -> np.ndarray:
 
     counts = np.zeros(vocabulary, dtype=np.int64)
     # at most one row per id of the vocabulary
-    for row in blocks.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():
+    for row in in_batches(blocks.select("ids"), count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[row["id"]] = row["n"]
     return counts
 
@@ -153,7 +153,7 @@ def write_token_files(
     kind = plain.schema["keys"].dataType.simpleString()
     schema = f"shard int, first long, n_ids long, keys {kind}, {_PIECES}, payload binary, checkpoints binary"
     # compressed already
-    plain.mapInArrow(packed, schema).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    in_batches(plain, packed, schema).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     used = np.flatnonzero(lengths)
     spark.createDataFrame([(int(i), int(lengths[i])) for i in used], "id int, length int").coalesce(1).write.parquet(f"{path}/codebook")
     totals = plain.groupBy("shard").agg(F.sum("n_ids").alias("n"))
@@ -218,7 +218,7 @@ def read_digests(spark: SparkSession, path: str, key: str = "doc_id") -> DataFra
             )
 
     key_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    found = blocks.mapInArrow(pieces, f"shard int, key {kind}, start long, n_tokens long, share long")
+    found = in_batches(blocks, pieces, f"shard int, key {kind}, start long, n_tokens long, share long")
     whole = found.groupBy("shard", "start").agg(F.first("key").alias("key"), F.first("n_tokens").alias("n_tokens"), F.bit_xor("share").alias("crc"))
     return whole.join(spark.read.parquet(f"{path}/shards"), "shard").select(
         F.col("key").alias(key), (F.col("start") + F.col("ids_before")).alias("start"), "n_tokens", F.col("crc").alias("ids_crc32")

@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialize
+from .common import in_batches
 
 #: Rows of a block of the index, and queries of a block of queries (about).
 ROWS, QUERIES = 16384, 1024
@@ -135,7 +136,7 @@ def build_index(vectors: DataFrame, key: str, vector: str, scale: int) -> DataFr
             yield block(dims)
 
     rows = vectors.filter(F.col(key).isNotNull() & usable(F.col(vector))).select(F.col(key).cast("long").alias("key"), quantised(F.col(vector), scale).alias("v"))
-    return rows.mapInArrow(build, "block string, dims int, keys binary, items binary, depth binary, slices binary")
+    return in_batches(rows, build, "block string, dims int, keys binary, items binary, depth binary, slices binary")
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -189,7 +190,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id"
                     out[2].append(items[best] @ q)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], names=["query_id", "key", "score"])
 
-    found = meet.mapInArrow(search, "query_id long, key long, score long")
+    found = in_batches(meet, search, "query_id long, key long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("key").alias(key), "score")

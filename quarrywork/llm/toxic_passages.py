@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialize
-from .common import passed, pieces_of_work, restored
+from .common import WORK_BYTES, in_batches, passed, pieces_of_work, restored
 
 LABELLED, UNITS = 10_000, 50_000
 STEMS = (4, 5, 6)
@@ -159,7 +159,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, key: str
             )
 
     kind = rows.schema["key"].dataType.simpleString()
-    seen = rows.select("key", F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(sketch, f"key {kind}, toxic int, text string, sketch long")
+    seen = in_batches(rows.select("key", F.col("toxic").cast("int").alias("toxic"), "text"), sketch, f"key {kind}, toxic int, text string, sketch long")
     first = F.row_number().over(Window.partitionBy("sketch", "toxic").orderBy("key", F.xxhash64("text")))
     return materialize(seen.withColumn("nth", first).filter("nth = 1").select("toxic", "text"), "labelled")
 
@@ -168,7 +168,7 @@ def unit_counts(sample: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, t
     """Units met in toxic documents (the ``UNITS`` most frequent), in how many toxic and other documents, and the sums over all units."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces_of_work(batches, "text"):
+        for batch in pieces_of_work(batches, "text", WORK_BYTES // 4):  # the counters outweigh the text
             found: tuple[Counter, Counter] = (Counter(), Counter())
             lists = cut_words(batch.column("text"))[1]
             for toxic, words in zip(batch.column("toxic").to_pylist(), lists.to_pylist()):
@@ -178,7 +178,7 @@ def unit_counts(sample: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, t
                 [pa.array(names, pa.string()), *[pa.array([c[u] for u in names], pa.int64()) for c in (found[1], found[0])]], names=["unit", "toxic", "other"]
             )
 
-    totals = sample.mapInArrow(count, "unit string, toxic long, other long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    totals = in_batches(sample, count, "unit string, toxic long, other long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     totals = materialize(totals, "unit-counts")
     sums = totals.agg(F.sum("toxic"), F.sum("other")).first()
     rows = totals.filter("toxic >= 3").orderBy(F.desc("toxic"), "unit").limit(UNITS).collect()
@@ -210,7 +210,7 @@ def background(docs: DataFrame, text: str, names: list[str]) -> tuple[np.ndarray
         used = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1), pa.int32()), pa.array(np.append(totals[used], every))], names=["unit", "n"])
 
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(count, "unit int, n long").groupBy("unit").agg(F.sum("n").alias("n")).collect()
+    rows = in_batches(docs.select(F.col(text).alias("text")), count, "unit int, n long").groupBy("unit").agg(F.sum("n").alias("n")).collect()
     found = {r["unit"]: r["n"] for r in rows}  # at most UNITS + 1 rows
     return np.array([found.get(k, 0) for k in range(len(names))], dtype=np.float64), found.get(-1, 0)
 
@@ -246,7 +246,7 @@ def calibrate(sample: DataFrame, model: Model) -> Model:
                 names=["toxic", "n", "best"],
             )
 
-    rows = sample.mapInArrow(score, "toxic int, n long, best array<double>").collect()
+    rows = in_batches(sample, score, "toxic int, n long, best array<double>").collect()
     others = [r for r in rows if not r["toxic"]]
     chance = sum(r["n"] * math.exp(-model.rate * max(r["best"], default=0.0)) for r in others)
     model.k = len(others) / chance if chance else 1.0
@@ -301,7 +301,7 @@ def score(docs: DataFrame, model: Model | None, columns: dict[str, Column], text
             )
 
     spans = "array<struct<score: double, expected: double, first_word: bigint, end_word: bigint>>"
-    return rows.mapInArrow(run, f"{schema}, score double, predicted int, passages {spans}")
+    return in_batches(rows, run, f"{schema}, score double, predicted int, passages {spans}")
 
 
 def keep_harmless(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

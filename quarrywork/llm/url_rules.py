@@ -25,6 +25,8 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import in_batches
+
 ALLOW, BLOCK = "allow", "block"
 #: Rules travel to every worker; beyond this many, split the list by verdict or topic.
 MOST_RULES = 500_000
@@ -141,4 +143,4 @@ def judge(pages: DataFrame, rules: list[Rule], default: str = ALLOW, key: str =
 
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.col(key).alias("key"), host.alias("host"), path.alias("path")).withColumn("tokens", url_tokens(F.col("host"), F.col("path")))
-    return rows.mapInArrow(decide, f"key {kind}, host string, path string, rule string, verdict string").withColumnRenamed("key", key)
+    return in_batches(rows, decide, f"key {kind}, host string, path string, rule string, verdict string").withColumnRenamed("key", key)
