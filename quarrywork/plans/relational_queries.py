@@ -98,9 +98,13 @@ SELECT o_orderstatus, o_orderpriority, COUNT(*) AS orders, grouping(o_orderstatu
 FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)""")
 
 
-@query("agg_approx_distinct")
+@query("agg_approx_distinct", "SELECT l_returnflag, COUNT(DISTINCT l_partkey) AS parts, true AS within_bound FROM lineitem GROUP BY l_returnflag")
 def agg_approx_distinct(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("parts"))
+    """The estimate lies within three standard errors of the exact count."""
+    near, exact = F.approx_count_distinct("l_partkey", 0.02), F.count_distinct("l_partkey")
+    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(
+        exact.alias("parts"), (F.abs(near - exact) <= 3 * 0.02 * exact).alias("within_bound")
+    )
 
 
 # -- windows ------------------------------------------------------------------------------
@@ -159,10 +163,23 @@ def catalog_row_counts(spark, sf):
     return catalog.row_counts(spark)
 
 
-@query("catalog_schema")
+KEYS = {
+    "region": ("r_regionkey",), "nation": ("n_nationkey",), "customer": ("c_custkey",), "supplier": ("s_suppkey",), "part": ("p_partkey",),
+    "orders": ("o_orderkey",), "lineitem": ("l_orderkey", "l_linenumber"), "events": ("event_id",), "documents": ("doc_id",),
+    "embeddings": ("vec_id",), "pages": ("page_id",), "benchmark": ("item_id",), "labels": ("doc_id",), "conversations": ("conv_id", "turn"),
+}
+SCHEMA_SQL = f"""WITH k(table_name, column_name) AS (VALUES {", ".join(f"('{t}', '{c}')" for t, cs in KEYS.items() for c in cs)}),
+n AS ({" UNION ALL ".join(f"SELECT '{t}' AS table_name, COUNT(*) AS row_count FROM {t}" for t in catalog.TEST_TABLES)})
+SELECT c.table_name, CAST(c.ordinal_position - 1 AS INTEGER) AS position, c.column_name,
+  CASE c.data_type WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'FLOAT[]' THEN 'array<float>' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(c.data_type) END AS data_type,
+  c.is_nullable = 'YES' AS nullable, k.column_name IS NOT NULL AS is_key, n.row_count
+FROM information_schema.columns c JOIN n USING (table_name) LEFT JOIN k ON k.table_name = c.table_name AND k.column_name = c.column_name"""
+
+
+@query("catalog_schema", SCHEMA_SQL)
 def catalog_schema(spark, sf):
     catalog.register_views(spark, sf)
-    return catalog.describe(spark)
+    return catalog.describe(spark, keys=KEYS)
 
 
 # -- set operations -----------------------------------------------------------------------

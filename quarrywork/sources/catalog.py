@@ -26,12 +26,12 @@ def row_counts(spark: SparkSession, names: tuple[str, ...] = TEST_TABLES) -> Dat
     return reduce(DataFrame.unionByName, counts)
 
 
-def columns(spark: SparkSession, names: tuple[str, ...] = TEST_TABLES) -> DataFrame:
-    """Name and type of every column, from the catalog."""
-    rows = [(n, i, c.name, c.dataType, bool(c.nullable))
+def columns(spark: SparkSession, names: tuple[str, ...] = TEST_TABLES, keys: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """Name and type of every column, from the catalog; ``keys`` declares each table's key, which files do not know."""
+    rows = [(n, i, c.name, c.dataType, bool(c.nullable), c.name in (keys or {}).get(n, ()))
             for n in names for i, c in enumerate(spark.catalog.listColumns(n))]
     return spark.createDataFrame(
-        rows, "table_name string, position int, column_name string, data_type string, nullable boolean"
+        rows, "table_name string, position int, column_name string, data_type string, nullable boolean, is_key boolean"
     )
 
 
@@ -44,6 +44,6 @@ def schema_text(spark: SparkSession, names: tuple[str, ...] = TEST_TABLES) -> st
     return "\n\n".join(parts)
 
 
-def describe(spark: SparkSession, names: tuple[str, ...] = TEST_TABLES) -> DataFrame:
+def describe(spark: SparkSession, names: tuple[str, ...] = TEST_TABLES, keys: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """Columns of every table together with the table's row count."""
-    return columns(spark, names).join(row_counts(spark, names), "table_name")
+    return columns(spark, names, keys).join(row_counts(spark, names), "table_name")
