@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed
 from ..functions.numbers import exact_avg, half_up
-from .ordered import running_sum, time_bucket
+from .ordered import PART, balanced, running_sum
 from .reports import grouped_with_overall, with_overall
 
 SMALL_GROUP = 1000
@@ -117,17 +117,19 @@ def metric_gauge(df: DataFrame, label: str, value: str, order: list[str]) -> Dat
     return df.groupBy(label).agg(F.max_by(value, F.struct(*order)).alias("value"))
 
 
-def concurrency_profile(requests: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
+def concurrency_profile(requests: DataFrame) -> DataFrame:
     """Requests active at each arrival, and whether a limit is passed.
 
     ``requests``: id, started, ended, heavy (boolean). Every request is a +1 at its
-    start and a -1 at its end; ends come before starts at the same instant.
+    start and a -1 at its end; ends come before starts at the same instant. The buckets of the running
+    sum hold about equal numbers of rows, so a busy hour is many tasks.
     """
     starts = requests.select("id", F.col("started").alias("at"), F.lit(1).alias("step"), "heavy")
     ends = requests.select("id", F.col("ended").alias("at"), F.lit(-1).alias("step"), "heavy")
-    line = starts.unionByName(ends)
+    order = [F.col("at"), F.col("step"), F.col("id")]
+    line = balanced(starts.unionByName(ends), [], order, "concurrency")
     summed = running_sum(
-        line, [], time_bucket(F.col("at"), bucket_seconds), [F.col("at"), F.col("step"), F.col("id")],
+        line, [], F.col(PART), order,
         {"active": F.col("step"), "heavy_active": F.when(F.col("heavy"), F.col("step")).otherwise(0)},
     )
     return summed.filter(F.col("step") == 1).select(

@@ -14,6 +14,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import materialize
+
 BUCKET = "_bucket"
 
 
@@ -31,6 +33,19 @@ def number_bucket(position: Column, width: int) -> Column:
     return position - F.pmod(position, F.lit(width))
 
 
+PART = "_part"
+
+
+def balanced(df: DataFrame, keys: list[str], order: list[Column], label: str) -> DataFrame:
+    """``df`` with buckets in ``PART`` that follow the counts: ranges of (key, order) of about equal size.
+
+    For keys or times of which one holds a large share of all rows. Written, because both passes of a
+    two-level sum must see the same ranges.
+    """
+    ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order)
+    return materialize(ranged.withColumn(PART, F.spark_partition_id()), label)
+
+
 def with_bucket_values(rows: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
     """Bring a summary's values to the rows of its ``(key, bucket)``; a NULL key is a key like any other."""
     on = [*keys, BUCKET]

@@ -104,9 +104,9 @@ def concurrency_profile(spark, sf):
 FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)""")
 def moving_avg_100(spark, sf):
     events = table(spark, sf, "events").select("event_id", "event_type", "ts", "value")
-    averaged = ordered.moving_average(
-        events, ["event_type"], ordered.time_bucket(F.col("ts"), 86_400), [F.col("ts"), F.col("event_id")], "value", 100, "mean_100"
-    )
+    order = [F.col("ts"), F.col("event_id")]
+    dealt = ordered.balanced(events, ["event_type"], order, "moving-average")
+    averaged = ordered.moving_average(dealt, ["event_type"], F.col(ordered.PART), order, "value", 100, "mean_100")
     return averaged.select("event_id", half_up(F.col("mean_100"), 6).alias("mean_100"))
 
 
