@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
 from ..functions.numbers import exact_avg, half_up
 from .ordered import PART, balanced, running_sum
 from .reports import grouped_with_overall, with_overall
 
-SMALL_GROUP = 1000
+SMALL_GROUP, RANGES = 1000, 1000
 
 
 def p95_exclusive(df: DataFrame, keys: list[str], value: str, name: str = "p95") -> DataFrame:
@@ -20,7 +20,8 @@ def p95_exclusive(df: DataFrame, keys: list[str], value: str, name: str = "p95")
     With ``m = n + 1`` the answer lies between the sorted values at ``19 m // 20`` and
     the next. No group is sorted whole: an approximate percentile brackets those two
     ranks, the rows below the bracket are only counted, and just the distinct values
-    inside it (about a fifth of a percent of a large group) are ranked.
+    inside it (about a fifth of a percent of a large group) are ranked, in ``RANGES``
+    ranges of equal width that are summed each for itself first.
     """
     v = F.col(value)
     keyed = df.select(*keys, value).filter(v.isNotNull())
@@ -36,11 +37,14 @@ def p95_exclusive(df: DataFrame, keys: list[str], value: str, name: str = "p95")
     )
     joined = keyed.join(bounds, keys) if keys else with_overall(keyed, bounds)
     near = joined.filter(v <= F.col("_hi"))
-    counted = near.groupBy(*keys, "_n", "_max", F.when(v >= F.col("_lo"), v).alias("_val")).agg(
-        F.count("*").alias("_c")
-    )
-    upto = Window.partitionBy(*keys).orderBy(F.col("_val").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("_cum", F.sum("_c").over(upto)).filter(F.col("_val").isNotNull())
+    share = (v - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
+    inside = v >= F.col("_lo")
+    counted = near.groupBy(
+        *keys, "_n", "_max", F.when(inside, v).alias("_val"),
+        F.when(inside, F.coalesce(F.floor(share * RANGES), F.lit(0))).otherwise(-1).alias("_range"),
+    ).agg(F.count("*").alias("_c"))
+    summed = running_sum(counted, keys, F.col("_range"), [F.col("_val").asc_nulls_first()], {"_cum": F.col("_c")})
+    ranked = summed.filter(F.col("_val").isNotNull())
     m = F.col("_n") + 1
     j = F.least(F.greatest(F.floor(m * 19 / 20), F.lit(1)), F.greatest(F.col("_n") - 1, F.lit(1)))
     delta = (m * 19 - j * 20).cast("double")
