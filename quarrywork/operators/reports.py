@@ -36,14 +36,15 @@ def usage_totals(conversions: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def usage_summary(conversions: DataFrame, errors: DataFrame, security: DataFrame, as_of: Column) -> DataFrame:
-    """One row: totals, today, this week, bytes, users, errors and security counters."""
+def usage_summary(conversions: DataFrame, errors: DataFrame, security: DataFrame, capacity: DataFrame, as_of: Column) -> DataFrame:
+    """One row: totals, today, this week, bytes, users, errors, security and capacity counters."""
     failures = errors.agg(F.count("*").alias("errors"))
     guards = security.agg(
         F.count_if(F.col("event_type") == "rate_limit").alias("rate_limit_hits"),
         F.count_if(F.col("event_type").startswith("blocked:")).alias("blocked_requests"),
     )
-    row = one_row(usage_totals(conversions, as_of), failures, guards)
+    full = capacity.agg(F.count("*").alias("capacity_exceeded"))
+    row = one_row(usage_totals(conversions, as_of), failures, guards, full)
     return row.select(
         "*",
         human_bytes(F.col("total_bytes")).alias("total_data_processed"),
@@ -277,6 +278,7 @@ def api_rollup(
     conversions: DataFrame,
     errors: DataFrame,
     security: DataFrame,
+    capacity: DataFrame,
     requests: DataFrame,
     llm: DataFrame,
     agents: DataFrame,
@@ -296,7 +298,7 @@ def api_rollup(
 
     recent = recent_rows(security.select("id", "event_type", "ip_hash", "created_at"))
     parts = one_row(
-        nested(usage_summary(conversions, errors, security, as_of), "usage"),
+        nested(usage_summary(conversions, errors, security, capacity, as_of), "usage"),
         listed(count_by(conversions, "file_type", "file_type"), "popular_formats"),
         listed(by_day(conversions, as_of), "conversions_by_day"),
         listed(by_hour(conversions), "conversions_by_hour"),

@@ -218,3 +218,12 @@ EVALUATIONS = """evaluations AS (
          CASE WHEN 5 + 4 * quality - 3 * toxic >= 7 THEN 1 ELSE 0 END AS passed_threshold,
          TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 1 DAY * (doc_id % 5) AS created_at
   FROM labels JOIN documents USING (doc_id))"""
+
+
+# requests refused because too many were active
+CAPACITY = "capacity AS (SELECT event_id AS id, user_id, ts AS created_at FROM events WHERE event_type = 'signup' AND value > 50)"
+
+
+def capacity(spark: SparkSession, sf: str) -> DataFrame:
+    refused = table(spark, sf, "events").filter((F.col("event_type") == "signup") & (F.col("value") > 50))
+    return refused.select(F.col("event_id").alias("id"), "user_id", F.col("ts").alias("created_at"))

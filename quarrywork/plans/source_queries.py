@@ -259,9 +259,9 @@ def udtf_chunk(spark, sf):
 @query("api_stats_rollup")
 def api_stats_rollup(spark, sf):
     from .decision_queries import priced
-    from .mapping import agents, as_of, conversions, errors, evaluations, sandbox_requests, security
+    from .mapping import agents, as_of, capacity, conversions, errors, evaluations, sandbox_requests, security
 
     return reports.api_rollup(
-        conversions(spark, sf), errors(spark, sf), security(spark, sf), sandbox_requests(spark, sf), priced(spark, sf),
+        conversions(spark, sf), errors(spark, sf), security(spark, sf), capacity(spark, sf), sandbox_requests(spark, sf), priced(spark, sf),
         agents(spark, sf), evaluations(spark, sf), as_of(), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"),
     )

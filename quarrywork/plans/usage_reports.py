@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import reports
 from ..session import table
 from .mapping import (
-    AGENTS, AS_OF_SQL, CONVERSIONS, ERRORS, EVALUATIONS, SANDBOX_REQUESTS, SECURITY, agents, as_of, conversions,
+    AGENTS, AS_OF_SQL, CAPACITY, CONVERSIONS, ERRORS, EVALUATIONS, SANDBOX_REQUESTS, SECURITY, agents, as_of, capacity, conversions,
     davg, dsum, errors, evaluations, rounded, sandbox_requests, security,
 )
 from .registry import query
@@ -17,22 +17,23 @@ WEEK = f"CAST(created_at AS DATE) >= CAST({AS_OF_SQL} AS DATE) - 7"
 
 
 @query("usage_summary", f"""
-WITH {CONVERSIONS}, {ERRORS}, {SECURITY},
+WITH {CONVERSIONS}, {ERRORS}, {SECURITY}, {CAPACITY},
 c AS (SELECT COUNT(*) AS total_conversions, COUNT(*) FILTER ({TODAY}) AS today_conversions,
              COUNT(*) FILTER ({WEEK}) AS week_conversions,
              CAST(COALESCE(SUM(file_size), 0) AS BIGINT) AS total_bytes,
              COUNT(DISTINCT ip_hash) AS unique_users FROM conversions),
 e AS (SELECT COUNT(*) AS errors FROM errors),
 s AS (SELECT COUNT(*) FILTER (event_type = 'rate_limit') AS rate_limit_hits,
-             COUNT(*) FILTER (event_type LIKE 'blocked:%') AS blocked_requests FROM security)
-SELECT c.*, e.errors, s.*,
+             COUNT(*) FILTER (event_type LIKE 'blocked:%') AS blocked_requests FROM security),
+f AS (SELECT COUNT(*) AS capacity_exceeded FROM capacity)
+SELECT c.*, e.errors, s.*, f.capacity_exceeded,
   CASE WHEN total_bytes >= 1073741824 THEN CAST(CAST(ROUND(CAST(total_bytes AS DECIMAL(38,9)) / 1073741824, 2) AS DECIMAL(28,2)) AS VARCHAR) || ' GB'
        WHEN total_bytes >= 1048576 THEN CAST(CAST(ROUND(CAST(total_bytes AS DECIMAL(38,9)) / 1048576, 2) AS DECIMAL(28,2)) AS VARCHAR) || ' MB'
        ELSE CAST(CAST(ROUND(CAST(total_bytes AS DECIMAL(38,9)) / 1024, 2) AS DECIMAL(28,2)) AS VARCHAR) || ' KB' END AS total_data_processed,
   {rounded("CAST(e.errors AS DOUBLE) / greatest(total_conversions, 1) * 100", 1)} AS error_rate_percent
-FROM c, e, s""")
+FROM c, e, s, f""")
 def usage_summary(spark, sf):
-    return reports.usage_summary(conversions(spark, sf), errors(spark, sf), security(spark, sf), as_of())
+    return reports.usage_summary(conversions(spark, sf), errors(spark, sf), security(spark, sf), capacity(spark, sf), as_of())
 
 
 @query("by_type", f"WITH {CONVERSIONS} SELECT file_type, COUNT(*) AS cnt FROM conversions GROUP BY file_type")
