@@ -65,6 +65,11 @@ def chunk_fixed(docs: DataFrame, text: str, keep: list[str], size: int = 512, ov
     )
 
 
+def running_starts(lengths: Column) -> Column:
+    """Where each part begins, and where the last one ends: the running sums of the lengths, in one pass."""
+    return F.aggregate(lengths, F.array(F.lit(0)), lambda sums, n: F.array_append(sums, F.element_at(sums, -1) + n))
+
+
 def chunk_token(docs: DataFrame, text: str, keep: list[str], size: int = 512, overlap: int = 50) -> DataFrame:
     """Windows of ``size`` word tokens with character offsets.
 
@@ -83,14 +88,14 @@ def chunk_token(docs: DataFrame, text: str, keep: list[str], size: int = 512, ov
     tokenized = docs.filter(_not_blank(F.col(text))).select(
         *keep, F.regexp_extract_all(F.col(text), F.lit(r"(?U)\S+\s*|\s+"), F.lit(0)).alias("_toks")
     )
-    cells = tokenized.select(*keep, "_toks", cell_lengths.alias("_cells"), last.alias("_last"))
+    cells = tokenized.select(*keep, "_toks", running_starts(cell_lengths).alias("_starts"), last.alias("_last"))
     chunk = F.transform(
         F.sequence(F.lit(0), F.col("_last")),
         lambda i: F.struct(
             i.alias("idx"),
             F.array_join(F.slice(toks, i * step + 1, F.lit(size)), "").alias("text"),
             F.least(F.lit(size), count - i * step).alias("token_count"),
-            F.aggregate(F.slice("_cells", F.lit(1), i), F.lit(0), lambda a, x: a + x).alias("start_char"),
+            F.get("_starts", i).alias("start_char"),
         ),
     )
     rows = cells.select(*keep, F.inline(chunk))
@@ -167,15 +172,13 @@ def headers(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Markdown headers with their character position: ``(key, pos, level, title)``."""
     found = F.regexp_extract_all(F.col(text), F.lit(HEADER_LINE), F.lit(0))
     between = F.split(F.col(text), HEADER_LINE)
-    # the text before header i is every gap up to it plus the headers already passed
-    place = F.transform(
-        F.sequence(F.lit(1), F.size("_found")),
-        lambda i: F.aggregate(F.slice("_gaps", F.lit(1), i), F.lit(0), lambda a, g: a + F.length(g))
-        + F.aggregate(F.slice("_found", F.lit(1), i - 1), F.lit(0), lambda a, h: a + F.length(h)),
-    )
+    # a header begins where the gap before it ends; gaps and headers take turns
+    passed = running_starts(F.zip_with(F.slice("_gaps", F.lit(1), F.size("_found")), "_found", lambda g, h: F.length(g) + F.length(h)))
+    place = F.transform("_found", lambda h, i: F.get("_passed", i) + F.length(F.get("_gaps", i)))
     rows = (
         docs.select(key, found.alias("_found"), between.alias("_gaps"))
         .filter(F.size("_found") > 0)
+        .withColumn("_passed", passed)
         .select(key, F.inline(F.arrays_zip(place.alias("pos"), F.col("_found").alias("line"))))
     )
     marks = F.length(F.regexp_extract("line", r"^(#{1,6})", 1))
