@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..operators import ordered
+from ..session import materialize
 
 MYSQL, POSTGRES = "mysql", "postgres"
 
@@ -80,6 +81,7 @@ def copy_rows(lines: DataFrame) -> DataFrame:
     """Lines with ``header``, the opening line of the COPY block they are data of (null outside)."""
     opens, closes = F.rlike("line", F.lit(COPY)), F.col("line") == "\\."
     mark = F.when(opens, F.col("line")).when(closes, F.lit(""))
+    lines = materialize(lines, "dump-lines")  # each of the passes below reads its input more than once
     marked = ordered.previous_value(lines, ["file"], F.col("split"), [F.col("nth")], mark, "open")
     inside = F.coalesce(F.col("open"), F.lit("")) != ""
     return marked.withColumn("header", F.when(inside & ~closes, F.col("open"))).filter(~(inside & closes)).drop("open")
@@ -95,16 +97,17 @@ def statements_of(lines: DataFrame, dialect: str) -> DataFrame:
     plain = F.regexp_replace(bare, r"\\\\.", "") if dialect == MYSQL else bare
     odd = F.pmod(F.length(plain) - F.length(F.replace(plain, F.lit("'"), F.lit(""))), F.lit(2))
     comment = F.startswith(F.ltrim("line"), F.lit("--"))
-    turned = lines.withColumns({"line": bare, "_comment": comment, "_reset": comment & (odd == 1), "_odd": odd})
+    turned = materialize(lines, "dump-statements").withColumns({"line": bare, "_comment": comment, "_reset": comment & (odd == 1), "_odd": odd})
     place = dict(keys=["file"], bucket=F.col("split"), order=[F.col("nth")])
     summed = ordered.running_sum(turned, **place, values={"_sum": F.when(F.col("_reset"), 0).otherwise(F.col("_odd"))})
-    based = ordered.previous_value(summed, **place, value=F.when(F.col("_reset"), F.col("_sum")), name="_base")
+    based = ordered.previous_value(materialize(summed, "dump-sums"), **place, value=F.when(F.col("_reset"), F.col("_sum")), name="_base")
     base = F.coalesce("_base", F.lit(0))
     before = F.pmod(F.col("_sum") - F.when(F.col("_reset"), 0).otherwise(F.col("_odd")) - base, F.lit(2)) == 1
     after = ~F.col("_reset") & (F.pmod(F.col("_sum") - base, F.lit(2)) == 1)
     known = based.withColumns({"_before": before, "_after": after}).filter(F.col("_before") | ~F.col("_comment"))
     ends = ~F.col("_after") & F.rlike("line", F.lit(r";\s*$"))
-    numbered = ordered.running_sum(known.withColumn("_end", ends.cast("long")), **place, values={"_ended": F.col("_end")})
+    ended = materialize(known.select("file", "split", "nth", "line", ends.cast("long").alias("_end")), "dump-ends")
+    numbered = ordered.running_sum(ended, **place, values={"_ended": F.col("_end")})
     whole = numbered.groupBy("file", (F.col("_ended") - F.col("_end")).alias("statement_no")).agg(
         F.array_sort(F.collect_list(F.struct("split", "nth", "line"))).alias("lines")
     )
