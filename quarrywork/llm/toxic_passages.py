@@ -13,10 +13,10 @@ chance (Karlin and Altschul, 1990): lambda solves sum p exp(lambda s) = 1 over t
 documents, K is its maximum-likelihood value on them. Segments expected at most ``EXPECTED`` times are
 significant. The r best of a text are judged together by Karlin and Altschul's sum statistic; the
 least probability over r is the text's, and a logistic curve over its logarithm, fitted on the
-labelled documents, is the score.
+labelled documents weighted to the real ratio of the labels, is the score.
 
 Bounds. At most about ``LABELLED`` documents of each label, chosen by a hash of the key, are
-learned from, one of each group of near copies; the counts of the prior cover all documents.
+learned from, one of each group of near copies (copies are put aside first); the counts of the prior cover all documents.
 The model has at most ``UNITS`` units. Scoring is one scan without an exchange.
 
 Null and empty texts, and texts without letters, have no segment. A key with several labels is
@@ -34,7 +34,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
 from .common import WORK_BYTES, in_batches, passed, pieces_of_work, restored
@@ -45,6 +45,8 @@ SURE, EXPECTED = 3.0, 0.05
 #: Weight of the prior, as a share of the labelled counts.
 PRIOR = 0.1
 _SHINGLE = 5
+#: Bits of the bitmap of labelled keys, a multiple of 32,768.
+PLACES = 1 << 25
 
 
 def units(word: str) -> list[str]:
@@ -134,34 +136,49 @@ def segments_of_batch(texts: pa.Array, model: Model) -> Iterator[tuple[int, list
 # learning
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, key: str, text: str, label: str) -> DataFrame:
-    """toxic and text of about ``LABELLED`` documents of each label, written; one of each group of near copies."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, key: str, text: str, label: str) -> tuple[DataFrame, dict[int, float]]:
+    """toxic and text of about ``LABELLED`` documents of each label, written, and how many each of a label stands for.
+
+    Copies go first: of each group of near copies one document is thinned or kept, so that the weights count groups.
+    """
     marks = (
-        labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(label).alias("toxic"))
-        .filter(usable).withColumn("h", F.xxhash64("key", F.lit("labelled")) / F.lit(2.0**64) + 0.5)
+        labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("toxic"))
+        .filter(usable)
     )
-    n = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    share = F.when(F.col("toxic") == 1, min(1.0, LABELLED / max(1, n.get(1, 0)))).otherwise(min(1.0, LABELLED / max(1, n.get(0, 0))))
-    # about twice LABELLED small rows, whatever the size of the tables
-    chosen = F.broadcast(marks.filter(F.col("h") < share).select("key", "toxic"))
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(chosen, "key")
+    marks = materialize(marks, "usable-labels")
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    # texts are not exchanged: a bitmap of the labelled keys spares most other texts the sketch, the join after it is exact
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(PLACES)) + 1
+    bits = np.zeros(PLACES // 8, dtype=np.uint8)
+    parts = marks.select(place("key").alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    for r in parts.collect():  # at most PLACES bits
+        bits.reshape(-1, len(r["bits"]))[r["part"] - 1] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         for batch in batches:
+            at = np.asarray(batch.column("at")) - 1
+            batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7) & 1).astype(bool)))
             least = []
             for body in batch.column("text").to_pylist():
                 words = (body or "").lower().split()
                 least.append(min(xxh64_intdigest(" ".join(words[i : i + _SHINGLE])) for i in range(max(1, len(words) - _SHINGLE + 1))) >> 1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("toxic"), batch.column("text"), pa.array(least, pa.int64())], names=["key", "toxic", "text", "sketch"]
+                [*[batch.column(c) for c in ("key", "body")], pa.array(least, pa.int64())], names=["key", "body", "sketch"]
             )
 
     kind = rows.schema["key"].dataType.simpleString()
-    seen = in_batches(rows.select("key", F.col("toxic").cast("int").alias("toxic"), "text"), sketch, f"key {kind}, toxic int, text string, sketch long")
-    first = F.row_number().over(Window.partitionBy("sketch", "toxic").orderBy("key", F.xxhash64("text")))
-    return materialize(seen.withColumn("nth", first).filter("nth = 1").select("toxic", "text"), "labelled")
+    seen = in_batches(rows.select("key", "text", F.xxhash64("text").alias("body"), place("key").alias("at")).filter("key is not null"), sketch, f"key {kind}, body long, sketch long")
+    first = seen.join(marks, "key").groupBy("sketch", "toxic").agg(F.min(F.struct("key", "body")).alias("first")).select("first.*", "toxic")
+    first = materialize(first.withColumn("h", F.xxhash64("key", F.lit("labelled")) / F.lit(2.0**64) + 0.5), "labelled-groups")
+    n = {r["toxic"]: r["n"] for r in first.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    share = F.when(F.col("toxic") == 1, min(1.0, LABELLED / max(1, n.get(1, 0)))).otherwise(min(1.0, LABELLED / max(1, n.get(0, 0))))
+    chosen = first.filter(F.col("h") < share).drop("h")
+    kept = {r["toxic"]: r["n"] for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    # about twice LABELLED small rows, whatever the size of the tables
+    found = rows.withColumn("body", F.xxhash64("text")).join(F.broadcast(chosen), ["key", "body"]).dropDuplicates(["key", "body", "toxic"])
+    return materialize(found.select("toxic", "text"), "labelled"), {toxic: n[toxic] / k for toxic, k in kept.items()}
 
 
 def unit_counts(sample: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, tuple[int, int]]:
@@ -234,8 +251,11 @@ def log_odds(names: list[str], toxic: np.ndarray, other: np.ndarray, sums: tuple
     return Model(scores, ground, low)
 
 
-def calibrate(sample: DataFrame, model: Model) -> Model:
-    """K from the other documents, then the logistic curve; a short row per labelled document comes to the driver."""
+def calibrate(sample: DataFrame, model: Model, weights: dict[int, float]) -> Model:
+    """K from the other documents, then the logistic curve; a short row per labelled document comes to the driver.
+
+    A document counts as many times in the curve as ``weights`` says of its label, so that the labels have their real ratio.
+    """
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of_work(batches, "text"):
@@ -254,12 +274,13 @@ def calibrate(sample: DataFrame, model: Model) -> Model:
     y = np.array([r["toxic"] for r in rows], dtype=float)
     order = np.lexsort((y, x))  # rows arrive in any order; sums of doubles shall not
     x, y = x[order], y[order]
+    times = np.where(y > 0, weights.get(1, 1.0), weights.get(0, 1.0))
     w = np.zeros(2)
     design = np.stack([x, np.ones_like(x)], axis=1)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -60, 60)))
-        slope = design.T @ (y - p) - 1e-2 * w
-        curve = (design * (p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(2)
+        slope = design.T @ (times * (y - p)) - 1e-2 * w
+        curve = (design * (times * p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(2)
         w = w + np.linalg.solve(curve, slope)
     model.slope, model.offset = float(w[0]), float(w[1])
     return model
@@ -267,12 +288,12 @@ def calibrate(sample: DataFrame, model: Model) -> Model:
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model | None:
     """``usable`` says which labels may be learned from, by the column ``key``."""
-    sample = labelled_sample(docs, labels, usable, key, text, label)
+    sample, weights = labelled_sample(docs, labels, usable, key, text, label)
     names, toxic, other, sums = unit_counts(sample)
     if not names or not sums[1]:
         return None
     model = log_odds(names, toxic, other, sums, *background(docs, text, names))
-    return calibrate(sample, model)
+    return calibrate(sample, model, weights)
 
 
 def score(docs: DataFrame, model: Model | None, columns: dict[str, Column], text: str = "text") -> DataFrame:

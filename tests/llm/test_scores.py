@@ -73,6 +73,28 @@ def test_toxic_passages_are_found(spark, odd_docs, no_docs):
     assert toxic_passages.score(no_docs, model, {"doc_id": F.col("doc_id")}).collect() == []
 
 
+def test_thinned_labels_keep_their_ratio(spark, monkeypatch):
+    draw = random.Random(8)
+    rows = []
+    for i in range(2050):
+        words = ["".join(draw.choice("abcdefghij") for _ in range(5)) for _ in range(30)]
+        if i < 170:  # 50 toxic and 120 clean documents have the passage
+            words[10:10] = ["vileword", "filthy", "vileword"]
+        rows.append((i, " ".join(words), int(i < 50)))
+    # copies of clean documents, which must not count
+    rows += [(3000 + i, text, 0) for i, (_, text, _) in enumerate(rows[1000:1400])]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int")
+    got = []
+    for most in (toxic_passages.LABELLED, 300):
+        monkeypatch.setattr(toxic_passages, "LABELLED", most)
+        model = toxic_passages.learn(docs, labels, F.lit(True))
+        got.append({r["doc_id"]: (r["score"], r["predicted"]) for r in toxic_passages.score(docs, model, {"doc_id": F.col("doc_id")}).collect()})
+    whole, thinned = got
+    assert all(0.2 < whole[i][0] < 0.45 for i in range(170))
+    assert all(abs(whole[i][0] - thinned[i][0]) < 0.15 and whole[i][1] == thinned[i][1] for i in whole)
+
+
 def test_toxicity_without_labels(spark, odd_docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     for docs in (odd_docs, no_docs):
