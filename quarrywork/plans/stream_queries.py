@@ -9,7 +9,7 @@ from ..functions.numbers import half_up
 from ..operators import guards, ordered
 from ..session import table
 from ..streaming import aggregates, stateful
-from ..streaming.runner import run_append, run_update, table_stream
+from ..streaming.runner import run_append, run_update, stored, table_stream
 from .mapping import prop_k, rounded
 from .registry import query
 
@@ -141,10 +141,15 @@ r AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS
 SELECT id, len(kept) AS items, kept[1] AS oldest FROM r WHERE rn > 0"""
 
 
+def verdicts_of(spark, sf, label, verdicts):
+    """Every event's verdict in time order, whatever the order of files."""
+    found = run_append(verdicts(table_stream(spark, sf, "events")), label, stateful.STATE_CONF)
+    return stateful.settled(found, verdicts, stored(spark, sf, "events"), "user_id").drop("late", "key")
+
+
 @query("stream_rate_limit", rate_sql("id"))
 def stream_rate_limit(spark, sf):
-    stream = stateful.rate_limit(table_stream(spark, sf, "events"), "user_id", "event_id", "ts", LIMIT, WINDOW_SECONDS)
-    return run_append(stream, "rate-limit", stateful.STATE_CONF).drop("late")
+    return verdicts_of(spark, sf, "rate-limit", lambda events: stateful.rate_limit(events, "user_id", "event_id", "ts", LIMIT, WINDOW_SECONDS))
 
 
 @query("rate_limit_batch", rate_sql("event_id"))
@@ -156,17 +161,15 @@ def rate_limit_batch(spark, sf):
 @query("stream_abuse_block", ABUSE_SQL)
 def stream_abuse_block(spark, sf):
     bot = F.pmod(prop_k(), F.lit(50)) == 0
-    stream = stateful.abuse_block(
-        table_stream(spark, sf, "events"), "user_id", "event_id", "ts", bot, LIMIT, WINDOW_SECONDS, THRESHOLD
-    )
-    return run_append(stream, "abuse", stateful.STATE_CONF).drop("late")
+    return verdicts_of(spark, sf, "abuse", lambda events: stateful.abuse_block(
+        events, "user_id", "event_id", "ts", bot, LIMIT, WINDOW_SECONDS, THRESHOLD
+    ))
 
 
 @query("stream_circuit_breaker", breaker_sql("id"))
 def stream_circuit_breaker(spark, sf):
     ok = F.pmod(prop_k(), F.lit(2)) == 0
-    stream = stateful.circuit_breaker(table_stream(spark, sf, "events"), "user_id", "event_id", "ts", ok)
-    return run_append(stream, "breaker", stateful.STATE_CONF).drop("late")
+    return verdicts_of(spark, sf, "breaker", lambda events: stateful.circuit_breaker(events, "user_id", "event_id", "ts", ok))
 
 
 @query("circuit_breaker_batch", breaker_sql("event_id"))
@@ -177,8 +180,7 @@ def circuit_breaker_batch(spark, sf):
 
 @query("stream_session_items", ITEMS_SQL)
 def stream_session_items(spark, sf):
-    stream = stateful.session_items(table_stream(spark, sf, "events"), "user_id", "event_id", "ts")
-    return run_append(stream, "session-items", stateful.STATE_CONF).drop("late")
+    return verdicts_of(spark, sf, "session-items", lambda events: stateful.session_items(events, "user_id", "event_id", "ts"))
 
 
 @query("stream_retain", """SELECT event_type AS label, COUNT(*) AS retained, arg_min(event_id, {'t': ts, 'e': event_id}) AS oldest, arg_max(event_id, {'t': ts, 'e': event_id}) AS newest FROM (

@@ -7,7 +7,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import shared_path
+from ..session import shared_path, table
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 BATCH = "batch_id"
@@ -41,8 +41,16 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
     # a pattern that matches the table's file or folder: the source takes no single file
     stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", MAX_BYTES).parquet(f"{sf_dir}/{name}.parque[t]")
-    zoned = {f.name: F.col(f.name).cast("timestamp") for f in schema.fields if f.dataType.typeName() == "timestamp_ntz"}
-    return stream.withColumns(zoned)
+    return _zoned(stream)
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The rows of ``table_stream`` as a table."""
+    return _zoned(table(spark, sf_dir, name))
+
+
+def _zoned(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({f.name: F.col(f.name).cast("timestamp") for f in rows.schema.fields if f.dataType.typeName() == "timestamp_ntz"})
 
 
 def run_append(stream: DataFrame, label: str, conf: dict[str, str] | None = None) -> DataFrame:

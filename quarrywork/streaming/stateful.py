@@ -6,7 +6,9 @@ trigger's byte limit bounds how many there are. State is small and bounded per k
 These verdicts depend on the order of events, so the input must come in time order from
 micro-batch to micro-batch (within one, any order will do). A row that is older than what its
 key has already seen is not lost: it leaves the stream at once with ``late`` set and no verdict,
-and does not touch the state. No watermark, so nothing is dropped on the way.
+and does not touch the state. No watermark, so nothing is dropped on the way. Where the events are
+stored, :func:`settled` walks the keys of late rows again from the start, in batch, so that every row
+gets the verdict of the true order. Every row carries its key as ``key``.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from ..functions import fixed
 from ..functions.limits import AbuseGuard, Breaker, SlidingLog
 from ..operators.ordered import micros
 from ..operators.topn import top_n_per_group
+from ..session import materialize
 from .runner import ROCKS
 
 STATE_CONF = {"spark.sql.streaming.stateStore.providerClass": ROCKS}
@@ -43,26 +46,56 @@ def _keyed(events: DataFrame, key: str, row_id: str, ts: str, **extra: Column) -
 def _stateful(rows: DataFrame, key: str, output: str, state_schema: str, load: Load, walk: Walk, save: Save) -> DataFrame:
     """Keep an object per key: ``load`` it from its saved tuple, ``walk`` the rows, ``save`` it."""
     names = [part.split()[0] for part in output.split(", ")]
+    told = f"{output}, late boolean, key {rows.schema[key].dataType.simpleString()}"
+    if not rows.isStreaming:
+        return _in_order(rows, key, names, told, load, walk)
 
     def run(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, saved = (state.get[0], state.get[1:]) if state.exists else (None, None)
+        seen, saved = (state.get[:2], state.get[2:]) if state.exists else (None, None)
         pdf = pd.concat(list(batches)).sort_values(["at", "id"], kind="stable")
         if seen is not None:
-            late = pdf[pdf["at"] < seen]
-            pdf = pdf[pdf["at"] >= seen]
+            # rows of one time are ordered by id, across micro-batches too
+            before = (pdf["at"] < seen[0]) | ((pdf["at"] == seen[0]) & (pdf["id"] < seen[1]))
+            late, pdf = pdf[before], pdf[~before]
             if len(late):
-                yield late[["id"]].reindex(columns=names).astype(object).where(lambda x: x.notna(), None).assign(late=True)
+                yield late[["id"]].reindex(columns=names).astype(object).where(lambda x: x.notna(), None).assign(late=True, key=group[0])
         if len(pdf):
             held = load(saved)
             out = walk(held, pdf)
-            state.update((int(pdf["at"].iloc[-1]), *save(held)))
-            yield pd.DataFrame(out, columns=names).assign(late=False)
+            state.update((int(pdf["at"].iloc[-1]), int(pdf["id"].iloc[-1]), *save(held)))
+            yield pd.DataFrame(out, columns=names).assign(late=False, key=group[0])
 
     return rows.groupBy(key).applyInPandasWithState(
-        run, f"{output}, late boolean", f"seen bigint, {state_schema}", "append", GroupStateTimeout.NoTimeout
+        run, told, f"seen bigint, seen_id bigint, {state_schema}", "append", GroupStateTimeout.NoTimeout
     )
 
 
+def _in_order(rows: DataFrame, key: str, names: list[str], told: str, load: Load, walk: Walk) -> DataFrame:
+    """The same walk over stored rows: sorted Arrow batches, the object of one key in memory."""
+    # a text label, so that a NULL key compares equal to itself in the walk
+    label = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))
+    ordered = rows.withColumn("_group", label).repartition("_group").sortWithinPartitions("_group", "at", "id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, held = None, None
+        for pdf in batches:
+            for group, part in pdf.groupby("_group", sort=False):
+                if group != current:
+                    current, held = group, load(None)
+                yield pd.DataFrame(walk(held, part), columns=names).assign(late=False, key=part[key].to_numpy())
+
+    return ordered.mapInPandas(run, told)
+
+
+def settled(found: DataFrame, verdicts: Callable[[DataFrame], DataFrame], events: DataFrame, key: str) -> DataFrame:
+    """``found``, what a stream of ``verdicts`` wrote, with the keys of late rows walked again over the stored ``events``."""
+    keys = materialize(found.filter("late").select(F.col("key").alias("_key")).distinct(), "late-keys")
+    if keys.isEmpty():
+        return found
+    again = verdicts(events.join(keys, F.col(key).eqNullSafe(F.col("_key")), "left_semi"))
+    return found.join(keys, F.col("key").eqNullSafe(F.col("_key")), "left_anti").unionByName(again)
+
+
 def rate_limit(events: DataFrame, key: str, row_id: str, ts: str, limit: int = fixed.RATE_LIMIT_REQUESTS,
                window: int = fixed.RATE_LIMIT_WINDOW_SECONDS) -> DataFrame:
     """Sliding-log verdict on every request; the state is the admitted times still in the window."""

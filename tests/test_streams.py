@@ -60,6 +60,11 @@ def test_time_order(name, spark, by_time, sf):
     same_as_twin(name, spark, by_time, sf)
 
 
+@pytest.mark.parametrize("name", TIME_ORDER)
+def test_verdicts_in_any_order_of_files(name, spark, shuffled, sf):
+    same_as_twin(name, spark, shuffled, sf)
+
+
 def test_late_rows_leave_with_a_flag(spark, shuffled, sf):
     stream = stateful.rate_limit(table_stream(spark, shuffled, "events"), "user_id", "event_id", "ts", 2, 3600)
     rows = run_append(stream, "late", stateful.STATE_CONF)
