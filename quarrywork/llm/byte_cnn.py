@@ -194,6 +194,11 @@ def predict(docs: DataFrame, network: Network | None, columns: dict[str, Column]
 
 
 def keep_known(docs: DataFrame, network: Network | None, least: float = 0.3, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language is told with a score of ``least`` or more, with all their columns."""
+    """The rows of ``docs`` whose language is told with a score of ``least`` or more, with all their columns.
+
+    Without a network (no label was learned) only null texts and texts without a letter are rejected.
+    """
+    if network is None:
+        return docs.filter(F.col(text).rlike(r"\p{L}"))
     told = predict(docs, network, passed(docs), text)
     return restored(told.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)), docs.columns)

@@ -129,6 +129,13 @@ def test_language_of_odd_texts(spark, odd_docs, no_docs):
     assert {(r["lang_pred"], r["score"]) for r in byte_cnn.predict(odd_docs, None, {"doc_id": F.col("doc_id")}).collect()} == {("und", 0.0)}
 
 
+def test_no_language_learned_keeps_texts(odd_docs):
+    kept = byte_cnn.keep_known(odd_docs, None)
+    want = [r for r in odd.rows() if any(c.isalpha() for c in r[1] or "")]
+    assert kept.columns == odd_docs.columns
+    assert sorted((r["text"] for r in kept.collect())) == sorted(r[1] for r in want)
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     net = byte_cnn.new_network(["a", "b", "c"], rng)
