@@ -112,19 +112,49 @@ def restored(rows: DataFrame, columns: list[str]) -> DataFrame:
 FILE, ROW = "__place_file", "__place_row"
 
 
+def carried(docs: DataFrame, column: str) -> Column:
+    """The column of ``docs`` in ``placed(docs)`` or ``passed``."""
+    return F.col(f"__c{docs.columns.index(column)}")
+
+
 def placed(docs: DataFrame) -> DataFrame:
-    """``docs`` with each row's locator in ``FILE`` and ``ROW``.
+    """All columns of ``docs`` under names of our own, and each row's locator in ``FILE`` and ``ROW``.
 
-    A frame that is not read from files as it stands is written to the shared folder first.
+    No column name clashes, ``_metadata`` neither. A frame that is not read from files as it stands is written to
+    the shared folder first.
     """
-    place = [F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW)]
+
+    def located(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+        place = rows.metadataColumn("_metadata")
+        return rows.select(*[c.alias(n) for n, c in columns.items()], place["file_path"].alias(FILE), place["row_index"].alias(ROW))
+
     try:
-        return docs.select("*", *place)
+        return located(docs, passed(docs))
     except AnalysisException:
-        return materialize(docs, "placed").select("*", *place)
+        rows = materialize(docs.select(*[c.alias(n) for n, c in passed(docs).items()]), "placed")
+        return located(rows, {c: F.col(c) for c in rows.columns})
 
 
 def without(rows: DataFrame, dropped: DataFrame, columns: list[str]) -> DataFrame:
-    """The rows of ``placed`` documents that are not among ``dropped`` (file, row)."""
+    """The rows of ``placed`` documents that are not among ``dropped`` (file, row), under their own names."""
     gone = dropped.select(F.col("file").alias(FILE), F.col("row").alias(ROW))
-    return rows.join(gone, [FILE, ROW], "left_anti").select(*[F.col(f"`{c}`") for c in columns])
+    return restored(rows.join(gone, [FILE, ROW], "left_anti"), columns)
+
+
+#: Keys that may count as hot: the broadcast side of ``join_hot`` has no more rows.
+HOT_KEYS = 100_000
+#: Rows of a key that are never hot.
+FEW_ROWS = 1_000
+
+
+def join_hot(rows: DataFrame, by_key: DataFrame, key: str, size: str) -> DataFrame:
+    """Inner join of ``rows`` with ``by_key``, which has one row per ``key`` and says in ``size`` how many ``rows`` have it.
+
+    A key is hot above a ``HOT_KEYS``-th of all rows; so there are at most ``HOT_KEYS`` hot ones, which are
+    broadcast, and a task of the shuffled rest meets few rows of any one key. Both frames should be written tables.
+    """
+    total = by_key.agg(F.sum(size)).first()[0] or 0
+    is_hot = F.col(size) > max(FEW_ROWS, total // HOT_KEYS)
+    hot = F.broadcast(by_key.filter(is_hot))
+    rest = rows.join(hot.select(key), key, "left_anti").join(by_key.filter(~is_hot), key)
+    return rows.join(hot, key).unionByName(rest)

@@ -7,10 +7,11 @@ expiry: per digest it retains the locator and identifier of the row that stays a
 number of rows seen, never a text. State crosses micro-batches, and a failed task repeats
 from the last committed version.
 
-A digest is not a proof. After the stream, the full bytes of all texts of a digest are
-compared: they are equal if their smallest and their largest are. Texts that share a digest
+A digest is not a proof. After the stream, the full bytes of all texts of a hit, a digest with several
+rows, are compared: they are equal if their smallest and their largest are. Texts that share a digest
 but not their bytes are grouped by their bytes instead. Both aggregations combine on the map side, so
-a text that a third of all rows share is one row per task before the exchange.
+a text that a third of all rows share is one row per task before the exchange. A Bloom filter of the
+hits, which Spark builds at run time, keeps the texts of other digests out of the exchange.
 
 Of equal texts the row with the largest identifier stays; null identifiers come last, and
 rows that repeat the identifier too are told apart by their locator, so exactly one stays.
@@ -22,8 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize, shared_path
-from ..streaming.runner import ROCKS, run_update
-from .common import FILE, ROW, placed, whole_text, without
+from ..streaming.runner import ROCKS, run_update, settings
+from .common import FILE, ROW, carried, join_hot, placed, whole_text, without
 
 #: Input files of one micro-batch.
 FILES_PER_BATCH = 256
@@ -36,6 +37,12 @@ _STATE = {
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
+#: A Bloom filter of the hits (bounded by Spark's own limits) is put on the scan of the texts, whatever their size.
+_BLOOM = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "16g",
+}
 
 
 def arrivals(rows: DataFrame, digest: Column) -> DataFrame:
@@ -57,25 +64,26 @@ def exact_dedup(
 
     ``digest`` replaces the SHA-256 as the state's key, for tests of what happens when digests collide.
     """
-    return _dedup(placed(docs), key, text, digest, files_per_batch)
+    return _dedup(docs, placed(docs), key, text, digest, files_per_batch)
 
 
-def _dedup(there: DataFrame, key: str, text: str, digest: Column | None, files_per_batch: int) -> DataFrame:
-    rows = there.select(F.col(key).alias("key"), whole_text(text).alias("text"), F.col(FILE).alias("file"), F.col(ROW).alias("row"))
+def _dedup(docs: DataFrame, there: DataFrame, key: str, text: str, digest: Column | None, files_per_batch: int) -> DataFrame:
+    rows = there.select(carried(docs, key).alias("key"), whole_text(carried(docs, text)).alias("text"), F.col(FILE).alias("file"), F.col(ROW).alias("row"))
     spark = rows.sparkSession
     sha = F.sha2(F.col("text").cast("binary"), 256)
     digest = sha if digest is None else digest
     path = shared_path(spark, "dedup-arrivals")
     arrivals(rows, digest).write.parquet(path)
     arrived = spark.read.parquet(path)
-    state = stream_state(arrived, path, files_per_batch)
+    state = materialize(stream_state(arrived, path, files_per_batch), "dedup-groups")
 
     # the full bytes, on every hit: equal if the smallest is the largest
     contents = rows.withColumn("digest", digest)
-    unequal = materialize(
-        contents.groupBy("digest").agg((F.min("text") != F.max("text")).alias("differs")).filter("differs").select("digest"), "dedup-collisions"
-    )
-    by_digest = arrived.join(unequal, "digest", "left_anti").join(state, "digest").withColumn("sha", F.col("digest") if digest is sha else F.lit(None))
+    hits = state.filter("group_size > 1").select("digest")
+    with settings(spark, _BLOOM):
+        on_hits = contents.join(hits, "digest", "left_semi").groupBy("digest").agg((F.min("text") != F.max("text")).alias("differs"))
+        unequal = materialize(on_hits.filter("differs").select("digest"), "dedup-collisions")
+    by_digest = join_hot(arrived.join(unequal, "digest", "left_anti"), state, "digest", "group_size").withColumn("sha", F.col("digest") if digest is sha else F.lit(None))
     collided = contents.join(unequal, "digest", "left_semi")
     by_bytes = collided.groupBy("text").agg(F.max(F.struct("key", "file", "row")).alias("keep"), F.count("*").alias("group_size"))
     apart = collided.select("key", "file", "row", "digest", "text").join(by_bytes, "text").select(
@@ -94,5 +102,5 @@ def _dedup(there: DataFrame, key: str, text: str, digest: Column | None, files_p
 def keep_one_copy(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     there = placed(docs)
-    dropped = _dedup(there, key, text, None, FILES_PER_BATCH).filter(~F.col("kept"))
+    dropped = _dedup(docs, there, key, text, None, FILES_PER_BATCH).filter(~F.col("kept"))
     return without(there, dropped, docs.columns)

@@ -29,10 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
-from .common import FILE, ROW, in_batches, pieces_of_work, placed, without
+from .common import FILE, ROW, carried, in_batches, join_hot, pieces_of_work, placed, without
 from .components import roots
 
 #: Members of a key that one task compares at most twice over.
@@ -77,9 +77,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, columns: dict, text: str, width: int, bits: int, seed: int) -> DataFrame:
+def fingerprints(docs: DataFrame, columns: dict, text: str | Column, width: int, bits: int, seed: int) -> DataFrame:
     """The given columns and the fingerprint of the whole text as ``fp``."""
-    rows = docs.select(*[c.alias(n) for n, c in columns.items()], F.col(text).alias("__text"))
+    text = F.col(text) if isinstance(text, str) else text
+    rows = docs.select(*[c.alias(n) for n, c in columns.items()], text.alias("__text"))
     names = list(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,13 +296,13 @@ def link_prints(nodes: DataFrame, keys: np.ndarray, bits: int, radius: int, chun
 
 
 def _components(found: DataFrame, keys: np.ndarray, bits: int, radius: int) -> DataFrame:
-    """fp and the smallest ``id`` (one column, possibly a struct) of its component."""
-    nodes = materialize(found.groupBy("fp").agg(F.min("id").alias("first")), "fingerprint-nodes")
-    group = materialize(roots(link_prints(nodes, keys, bits, radius)), "fingerprint-groups")
+    """fp, the number ``n`` of its rows, and ``least``, the smallest ``id`` (one column, possibly a struct) of its component."""
+    nodes = materialize(found.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "fingerprint-nodes")
+    group = materialize(roots(link_prints(nodes.select("fp"), keys, bits, radius)), "fingerprint-groups")
     linked = nodes.join(group, nodes.fp == group.node)
-    least = linked.groupBy("root").agg(F.min("first").alias("least"))
-    members = group.join(least, "root").select(F.col("node").alias("fp"), "least")
-    return nodes.join(members, "fp", "left").select("fp", F.coalesce("least", "first").alias("least"))
+    least = materialize(linked.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("size")), "fingerprint-least")
+    members = join_hot(group, least, "root", "size").select(F.col("node").alias("fp"), "least")
+    return materialize(nodes.join(members, "fp", "left").select("fp", "n", F.coalesce("least", "first").alias("least")), "fingerprint-components")
 
 
 def near_copies(
@@ -312,22 +313,24 @@ def near_copies(
     keys = exact_keys(bits, radius) if keys is None else keys
     found = materialize(fingerprints(docs, {"id": F.col(key)}, text, width, bits, seed), "fingerprints")
     groups = _components(found, keys, bits, radius)
-    return found.join(groups, "fp").select(F.col("id").alias(key), F.lower(F.hex("fp")).alias("fingerprint"), F.col("least").alias("component_id"))
+    named = join_hot(found, groups, "fp", "n")
+    return named.select(F.col("id").alias(key), F.lower(F.hex("fp")).alias("fingerprint"), F.col("least").alias("component_id"))
 
 
 def keep_one_of_near_copies(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, bits: int = 256, radius: int = 48, seed: int = 42,
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, bits: int = 64, radius: int = 4, seed: int = 42,
     keys: np.ndarray | None = None,
 ) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: of each component the row with the smallest key.
+    """The rows of ``docs`` that stay, with all their columns: of each component of ``near_copies`` the row with the smallest key.
 
-    Defaults: five words, and 208 of 256 bits alike. Two texts whose shingles have a Jaccard
-    similarity of 0.8 differ in 15 % of the bits on average, unrelated ones in half.
+    May remove any row whose fingerprint is within ``radius`` bits of another's, or reachable over such links; no
+    other similarity is asked for. Rows that repeat the key are told apart by their place; null keys come first.
+    Texts without a word have fingerprint zero and are linked like any other.
     """
-    keys = sampled_keys(bits, 14, 48) if keys is None else keys
+    keys = exact_keys(bits, radius) if keys is None else keys
     there = placed(docs)
-    columns = {"id": F.struct(F.col(key).alias("key"), F.col(FILE).alias("file"), F.col(ROW).alias("row"))}
-    found = materialize(fingerprints(there, columns, text, width, bits, seed), "fingerprints")
+    columns = {"id": F.struct(carried(docs, key).alias("key"), F.col(FILE).alias("file"), F.col(ROW).alias("row"))}
+    found = materialize(fingerprints(there, columns, carried(docs, text), width, bits, seed), "fingerprints")
     groups = _components(found, keys, bits, radius)
-    dropped = found.join(groups, "fp").filter(~F.col("id").eqNullSafe(F.col("least")))
+    dropped = join_hot(found, groups, "fp", "n").filter(~F.col("id").eqNullSafe(F.col("least")))
     return without(there, dropped.select("id.file", "id.row"), docs.columns)

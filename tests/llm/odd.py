@@ -1,6 +1,6 @@
 """Documents with every difficulty at once: nulls, empty and very long texts, ties, repeated rows, clashing names."""
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, id string, fp string, file string, key string, h string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, id string, fp string, file string, key string, h string, _metadata string, __place_file string, `a.b` string"
 
 
 def rows():
@@ -14,7 +14,7 @@ def rows():
         (None, "no id here", "en"), (None, None, None), (9, "a<|endoftext|>b <|startoftext|> it's DON'T", None),
         (10, "中文字符 ﬁ Σίσυφος İstanbul \U0001f600 ▁ \x00   é", None), (11, "x" * 30_000, "es"),
     ]
-    return [(i, t, lang, "s", 1, 0.5, "i", "f", "p", "k", "h") for i, t, lang in texts]
+    return [(i, t, lang, "s", 1, 0.5, "i", "f", "p", "k", "h", "m", "q", "d") for i, t, lang in texts]
 
 
 def documents(spark):
