@@ -36,7 +36,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
+    """Of each group that 64-bit fingerprints of four-word shingles link at 4 bits or fewer, the smallest doc_id stays."""
     return keep_one_of_near_copies(docs)
 
 
