@@ -10,6 +10,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -68,7 +69,7 @@ def pieces_of_work(batches: Iterator[pa.RecordBatch], column: str, most: int = W
         return table.to_batches()[0] if table.num_rows else held[0]
 
     for batch in batches:
-        ends = np.cumsum(np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0), dtype=np.int64))
+        ends = np.cumsum(np.asarray(pc.binary_length(batch.column(column)).fill_null(0), dtype=np.int64))
         at = done = 0
         while at < batch.num_rows:
             until = max(at + 1, int(np.searchsorted(ends, done + most - size, side="right")))
@@ -85,6 +86,35 @@ def pieces_of_work(batches: Iterator[pa.RecordBatch], column: str, most: int = W
     pa.default_memory_pool().release_unused()
 
 
+def term_table(digits: bool) -> bytes:
+    """For ``terms_of``: ASCII letters lowered, digits kept if wanted, all other ASCII characters a space."""
+    kept = set(range(97, 123)) | (set(range(48, 58)) if digits else set())
+    return bytes(b + 32 if 65 <= b <= 90 else b if b in kept or b >= 128 else 32 for b in range(256))
+
+
+def terms_of(texts: pa.Array, table: bytes) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """Number of terms of each text (null: none), and all terms one after another, as a dictionary array.
+
+    A term is a run of what ``table`` keeps; one pass over the bytes of the batch, which keeps UTF-8 valid.
+    """
+    texts = pa.array(texts.fill_null(""), pa.large_string()) if not pa.types.is_large_string(texts.type) else texts.fill_null("")
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    body = texts.buffers()[2]
+    lo, hi = int(offsets[0]), int(offsets[-1])
+    plain = (body.slice(lo, hi - lo).to_pybytes() if body is not None else b"").translate(table)
+    clean = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer((offsets - lo).tobytes()), pa.py_buffer(plain))
+    lists = pc.ascii_split_whitespace(clean)
+    counts = np.asarray(pc.list_value_length(lists), dtype=np.int64)
+    words = pc.list_flatten(lists)
+    filled = np.asarray(pc.binary_length(words)) > 0
+    if not filled.all():  # a text that starts or ends with a space has an empty first or last word
+        owner = np.repeat(np.arange(len(counts)), counts)[~filled]
+        counts = counts - np.bincount(owner, minlength=len(counts))
+        words = words.filter(pa.array(filled))
+    words = pc.dictionary_encode(words)
+    return counts, words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
+
+
 def ragged_take(starts: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> np.ndarray:
     """``flat[start:start + length]`` for every pair, one after another."""
     total = int(lengths.sum())

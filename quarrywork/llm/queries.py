@@ -10,6 +10,7 @@ from . import byte_cnn, toxic_passages
 from .common import fold
 from .decontamination import decontaminate
 from .exact_dedup import exact_dedup
+from .lexical_search import lexical_top
 from .packing import pack
 from .sentence_pieces import piece_digests
 from .simhash import near_copies
@@ -85,6 +86,10 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", listed.alias("items_sha256"), "contaminated")
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_top(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 _DEDUP_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -142,11 +147,31 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
 
+_RANK_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents
+), i AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark
+), tf AS (SELECT r, t, any_value(doc_id) AS doc_id, count(*) AS tf FROM d GROUP BY r, t),
+len AS (SELECT r, sum(tf)::BIGINT AS n FROM tf GROUP BY r),
+total AS (SELECT count(*) AS nn, sum(n)::BIGINT AS ll FROM len),
+asked AS (SELECT item_id, t, count(*) AS c FROM i GROUP BY item_id, t),
+weight AS (SELECT t, floor(1000 * ln((2 * any_value(nn) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY t),
+scored AS (
+  SELECT item_id, r, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nn) // ll))))::BIGINT AS score
+  FROM asked JOIN weight USING (t) JOIN tf USING (t) JOIN len USING (r), total GROUP BY item_id, r, doc_id
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scored WHERE score > 0 QUALIFY rank <= 20
+"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_files, op2_exact_dedup, op3_toxic_passages, op4_packing, op5_byte_cnn, op6_token_counts,
         op7_url_rules, op8_simhash, op9_sentence_pieces, op10_top_vectors, op11_decontamination,
+        op12_lexical_search,
     )
 }
-SQL: dict[str, str] = {"op2_exact_dedup": _DEDUP_SQL, "op7_url_rules": _URL_SQL, "op10_top_vectors": _TOP_SQL, "op11_decontamination": _LEAK_SQL}
+SQL: dict[str, str] = {"op2_exact_dedup": _DEDUP_SQL, "op7_url_rules": _URL_SQL, "op10_top_vectors": _TOP_SQL, "op11_decontamination": _LEAK_SQL, "op12_lexical_search": _RANK_SQL}
