@@ -14,6 +14,7 @@ from .lexical_search import lexical_top
 from .packing import pack
 from .sentence_pieces import piece_digests
 from .simhash import near_copies
+from .source_audit import divergence
 from .token_counts import token_counts
 from .token_files import token_round_trip
 from .top_vectors import top_k
@@ -90,6 +91,10 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_top(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
 _DEDUP_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -166,12 +171,39 @@ scored AS (
 SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scored WHERE score > 0 QUALIFY rank <= 20
 """
 
+_AUDIT_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), words AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+terms AS (SELECT lang, term, count(*) AS lang_n FROM words GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words GROUP BY lang, source, term),
+langs AS (SELECT lang, sum(lang_n)::HUGEINT AS lang_total, count(*) AS v FROM terms GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM d),
+cells AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n, lang_n, sum(coalesce(n, 0)) OVER (PARTITION BY lang, source)::HUGEINT AS total
+  FROM groups JOIN terms USING (lang) LEFT JOIN counts USING (lang, source, term)
+), weighed AS (
+  SELECT lang, source, term, n, (1 + (1000000000::HUGEINT * (n + 2)) // (total + 2 * v))::HUGEINT AS p,
+         (1 + (1000000000::HUGEINT * (lang_n + 2)) // (lang_total + 2 * v))::HUGEINT AS q
+  FROM cells JOIN langs USING (lang)
+), pairs AS (
+  SELECT g.lang, g.source, o.source AS item,
+         coalesce((SELECT sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) FROM weighed a JOIN weighed b ON a.lang = b.lang AND a.term = b.term
+                   WHERE a.lang = g.lang AND a.source = g.source AND b.source = o.source), 0)::BIGINT AS value
+  FROM groups g JOIN groups o ON g.lang = o.lang AND g.source <> o.source
+), best AS (SELECT lang, source, term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value FROM weighed WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+UNION ALL
+SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM best QUALIFY rank <= 10
+"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_files, op2_exact_dedup, op3_toxic_passages, op4_packing, op5_byte_cnn, op6_token_counts,
         op7_url_rules, op8_simhash, op9_sentence_pieces, op10_top_vectors, op11_decontamination,
-        op12_lexical_search,
+        op12_lexical_search, op13_source_audit,
     )
 }
-SQL: dict[str, str] = {"op2_exact_dedup": _DEDUP_SQL, "op7_url_rules": _URL_SQL, "op10_top_vectors": _TOP_SQL, "op11_decontamination": _LEAK_SQL, "op12_lexical_search": _RANK_SQL}
+SQL: dict[str, str] = {"op2_exact_dedup": _DEDUP_SQL, "op7_url_rules": _URL_SQL, "op10_top_vectors": _TOP_SQL, "op11_decontamination": _LEAK_SQL, "op12_lexical_search": _RANK_SQL, "op13_source_audit": _AUDIT_SQL}
