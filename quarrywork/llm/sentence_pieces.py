@@ -8,7 +8,9 @@ failed in a bit field and the walk steps back. No place fails twice.
 
 No piece of the model reaches from another character over a space, which is checked when
 it is loaded; so the pieces of a space-started word do not depend on what stands around
-it, and each distinct word of a worker is walked once. Characters without a piece of
+it, and each distinct word of a worker is worked on once. Where no piece joins an ASCII letter to a sign or digit,
+words end there too. One pass of the automaton takes the longest pieces of all new words; those whose
+neighbours all go together are done, the others are walked. Characters without a piece of
 their own become bytes.
 
 Null and empty texts give the end id alone. The space sign of the model, when it stands in
@@ -61,9 +63,17 @@ class Pieces(Known):
             raise ValueError("a model with plain text, a prefix space, byte pieces and no piece across a space is needed")
         self.automaton = ahocorasick.Automaton()
         for name, i in self.ids.items():
-            self.automaton.add_word(name, (len(name), i))
+            self.automaton.add_word(name, i)
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.letters = [len(n) for n in self.names]
+        self.spans = np.array(self.letters)
+        #: the longest piece that is a shorter start of a piece; -1: none
+        self.shorter = [next((self.ids[n[:k]] for k in range(len(n) - 1, 0, -1) if n[:k] in self.ids), -1) for n in self.names]
+        self.pairs: dict[int, bool] = {}
+        self.size = size
+        inside = {c for n in self.ids for c in zip(n, n[1:])}
+        #: no piece goes from an ASCII letter to an ASCII sign or digit, so a word may be cut there
+        self.cut_at_signs = not any(a.isascii() and a.isalpha() and "!" <= b <= "~" and not b.isalpha() for a, b in inside)
         self.alone: dict[int, bool] = {}
         self.shown = [n.replace(SPACE, " ") for n in self.names]
         for i in range(size):
@@ -97,39 +107,41 @@ class Pieces(Known):
             if piece not in self.alone:
                 self.alone[piece] = self.merge(self.names[piece]) == [piece]
             return self.alone[piece]
-        key = (last, piece)
-        if key not in self.pairs:
+        key = last * self.size + piece
+        found = self.pairs.get(key)
+        if found is None:
             if len(self.pairs) > KEPT_PAIRS:
-                self.pairs = {}
-            self.pairs[key] = self.merge(self.names[last] + self.names[piece]) == [last, piece]
-        return self.pairs[key]
+                self.pairs.clear()
+            found = self.pairs[key] = self.merge(self.names[last] + self.names[piece]) == [last, piece]
+        return found
 
     def walk(self, text: str) -> list[int]:
         """Pieces of a text whose characters all have a piece."""
-        at: list[list[tuple[int, int]]] = [[] for _ in text]  # by start, shortest first
-        for end, (length, i) in self.automaton.iter(text):
-            at[end + 1 - length].append((length, i))
-        taken: list[tuple[int, int]] = []  # (place among the candidates, start)
+        letters, shorter, pairs, size, n = self.letters, self.shorter, self.pairs, self.size, len(text)
+        longest = [-1] * n
+        for end, i in self.automaton.iter(text):
+            longest[end + 1 - letters[i]] = i  # of one start, the longer come later
         out: list[int] = []
-        failed = 0  # one bit per position
-        start, choice = 0, len(at[0]) - 1
-        while start < len(text):
+        failed = bytearray(n + 1)  # a mark per position
+        start, i = 0, longest[0]
+        while start < n:
             last = out[-1] if out else None
-            while choice >= 0:
-                length, i = at[start][choice]
-                if not failed >> (start + length) & 1 and self.compatible(last, i):
-                    break
-                choice -= 1
-            if choice >= 0:
-                taken.append((choice, start))
+            while i >= 0:
+                end = start + letters[i]
+                if not failed[end]:
+                    goes = pairs.get(last * size + i) if last is not None else None
+                    if self.compatible(last, i) if goes is None else goes:
+                        break
+                i = shorter[i]
+            if i >= 0:
                 out.append(i)
-                start += length
-                choice = len(at[start]) - 1 if start < len(text) else -1
+                start = end
+                i = longest[start] if start < n else -1
             else:
-                failed |= 1 << start
-                choice, start = taken.pop()
-                out.pop()
-                choice -= 1
+                failed[start] = 1
+                i = out.pop()
+                start -= letters[i]
+                i = shorter[i]
         return out
 
     def word(self, word: str) -> list[int]:
@@ -144,10 +156,39 @@ class Pieces(Known):
                 run = k + 1
         return out + (self.walk(word[run:]) if run < len(word) else [])
 
+    def longest(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which words are cut right by taking the longest piece at every place, how many pieces each has, and all pieces.
+
+        One pass of the automaton over all words; the neighbours of all words are checked together. Where every
+        two go with each other, the walk would have made no step back.
+        """
+        ends = np.cumsum([len(w) + 1 for w in words])
+        met = itertools.chain.from_iterable(self.automaton.iter_long(MARK.join(words)))
+        end, ids = np.fromiter(met, dtype=np.int64).reshape(-1, 2).T
+        owner = np.searchsorted(ends, end, side="right")
+        counts = np.bincount(owner, minlength=len(words))
+        covered = np.bincount(owner, weights=self.spans[ids], minlength=len(words)).astype(np.int64)
+        right = covered == np.diff(ends, prepend=0) - 1
+        same = owner[1:] == owner[:-1]
+        keys, where = np.unique((ids[:-1] * self.size + ids[1:])[same], return_inverse=True)
+        goes = np.array([self.compatible(*divmod(k, self.size)) for k in keys.tolist()], dtype=bool)
+        right[owner[1:][same][~goes[where]]] = False
+        first = np.flatnonzero(np.append(True, ~same)[: len(ids)])
+        heads, where = np.unique(ids[first], return_inverse=True)
+        alone = np.array([self.compatible(None, i) for i in heads.tolist()], dtype=bool)
+        right[owner[first][~alone[where]]] = False
+        return right, counts, ids
+
     def encode_new(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        rows = [self.word(w.replace(" ", SPACE)) for w in words]
-        ids = np.fromiter((i for row in rows for i in row), dtype=np.int32)
-        return words, np.array([len(r) for r in rows], dtype=np.int64), ids
+        """The words whose longest pieces go together, then the others, each by its own walk."""
+        spaced = [w.replace(" ", SPACE) for w in words]
+        right, counts, ids = self.longest(spaced)
+        rest = np.flatnonzero(~right).tolist()
+        rows = [self.word(spaced[k]) for k in rest]
+        own = np.fromiter((i for row in rows for i in row), dtype=np.int32)
+        lengths = np.concatenate([counts[right], np.array([len(r) for r in rows], dtype=np.int64)])
+        named = [words[k] for k in np.flatnonzero(right).tolist()] + [words[k] for k in rest]
+        return named, lengths, np.concatenate([ids[np.repeat(right, counts)].astype(np.int32), own])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each text, and all ids one after another."""
@@ -157,6 +198,8 @@ class Pieces(Known):
         prefixed = pc.binary_join_element_wise(pa.scalar(" "), texts, pa.scalar(""))
         cut = pc.replace_substring(prefixed, "\n", f"{MARK}\n{MARK}")
         cut = pc.replace_substring_regex(cut, " +", rf"{MARK}\0")
+        if self.cut_at_signs:
+            cut = pc.replace_substring_regex(cut, r"([A-Za-z])([!-@\[-`{-~])", rf"\1{MARK}\2")
         lists = pc.split_pattern(cut, MARK)
         words = pc.dictionary_encode(pc.list_flatten(lists))
         at = self.places(words.dictionary.to_numpy(zero_copy_only=False).tolist())[np.asarray(words.indices)]
