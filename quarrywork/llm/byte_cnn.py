@@ -5,8 +5,8 @@ several widths slide over a window, each keeps its maximum, and a softmax layer
 into log-probabilities. A text's are the mean over all its windows, weighted by their bytes.
 
 Training fits on the driver: of each language about ``DOCS`` labelled documents (chosen by a
-hash of the key) give ``WINDOWS`` windows each, spread over the whole text, for at most
-``LANGUAGES`` languages. That bound, not the table, decides the size of what is collected. Prediction is one scan without an exchange; a filter is
+hash of the key) give ``WINDOWS`` windows each, spread over the whole text. With so many languages that this would be more
+than ``TRAINED`` documents, each gives fewer, but one at least; every label is learned. That bound, not the table, decides the size of what is collected. Prediction is one scan without an exchange; a filter is
 applied through tables of its response to each pair of bytes at each offset.
 
 Null texts and texts without a letter are ``und`` with score 0, as is every text if no label was
@@ -29,8 +29,8 @@ WIDTHS = (2, 3, 4)
 FILTERS, DIMS = 16, 8
 #: Labelled documents of each language used for training (about), and windows of each.
 DOCS, WINDOWS = 500, 4
-#: Languages that can be learned, the most frequent ones.
-LANGUAGES = 1000
+#: Labelled documents of all languages together (about), as long as there are fewer languages.
+TRAINED = 500_000
 UNKNOWN = "und"
 _PAD = 256
 _REACH = max(WIDTHS)
@@ -141,12 +141,13 @@ def sample_windows(docs: DataFrame, usable: Column, key: str, text: str, label:
     """Training windows and their labels: about ``DOCS`` documents of each label, ``WINDOWS`` of each."""
     rows = docs.filter(usable & F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
     rows = rows.select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.lit("sample")).alias("h"))
-    counts = rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(LANGUAGES)
-    totals = {r["label"]: r["n"] for r in counts.collect()}
-    if not totals:
+    n_labels = rows.select("label").distinct().count()
+    if not n_labels:
         return np.zeros((0, LENGTH), dtype=np.int16), []
-    share = F.create_map(*[F.lit(x) for name, n in totals.items() for x in (name, min(1.0, DOCS / n))])
-    chosen = rows.filter((F.col("h") / F.lit(2.0**64) + 0.5) < F.element_at(share, F.col("label")))
+    share = F.least(F.lit(1.0), F.lit(max(1, min(DOCS, TRAINED // n_labels))) / F.col("n"))
+    # of a label with few rows the first by hash is there in any case
+    counts = rows.groupBy("label").agg(F.count("*").alias("n"), F.min("h").alias("first"))
+    chosen = rows.join(counts, "label").filter(((F.col("h") / F.lit(2.0**64) + 0.5) < share) | (F.col("h") == F.col("first")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -16,8 +16,13 @@ least probability over r is the text's, and a logistic curve over its logarithm,
 labelled documents weighted to the real ratio of the labels, is the score.
 
 Bounds. At most about ``LABELLED`` documents of each label, chosen by a hash of the key, are
-learned from, one of each group of near copies (copies are put aside first); the counts of the prior cover all documents.
-The model has at most ``UNITS`` units. Scoring is one scan without an exchange.
+learned from, one of each group of near copies (copies are put aside first: documents whose ``SKETCH`` smallest hashes of
+five-word shingles all agree, which a pair of Jaccard similarity 0.3 does in about one case of a hundred); the counts of the prior cover all documents.
+The driver holds the units of at least ``TIMES`` toxic documents of the sample, two numbers a labelled document, and a
+bitmap of ``PLACES`` bits; the sample's size decides all of them, not the tables'. Scoring is one scan without an exchange.
+
+Word scores are whole multiples of 2^-20, so sums are exact. Of equally good segments the shortest is maximal: a
+segment is not prolonged by words that add nothing. Segments of one text do not overlap; equal ones are all kept.
 
 Null and empty texts, and texts without letters, have no segment. A key with several labels is
 toxic if one says so; labels other than 0 and 1 are not read. Without two labels to learn from every
@@ -27,8 +32,9 @@ score is 0. Repeated rows are scored each.
 from __future__ import annotations
 
 import math
+import heapq
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,7 +45,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import materialize
 from .common import WORK_BYTES, in_batches, passed, pieces_of_work, restored
 
-LABELLED, UNITS = 10_000, 50_000
+LABELLED = 10_000
+#: Toxic documents of the sample that a unit of the model is in.
+TIMES = 3
+#: Smallest shingle hashes that copies share.
+SKETCH = 4
+#: Word scores are multiples of one part of this.
+PARTS = 1 << 20
 STEMS = (4, 5, 6)
 SURE, EXPECTED = 3.0, 0.05
 #: Weight of the prior, as a share of the labelled counts.
@@ -163,7 +175,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, key: str
             least = []
             for body in batch.column("text").to_pylist():
                 words = (body or "").lower().split()
-                least.append(min(xxh64_intdigest(" ".join(words[i : i + _SHINGLE])) for i in range(max(1, len(words) - _SHINGLE + 1))) >> 1)
+                own = {xxh64_intdigest(" ".join(words[i : i + _SHINGLE])) for i in range(max(1, len(words) - _SHINGLE + 1))}
+                least.append(xxh64_intdigest(np.array(heapq.nsmallest(SKETCH, own), dtype="<u8").tobytes()) >> 1)
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in ("key", "body")], pa.array(least, pa.int64())], names=["key", "body", "sketch"]
             )
@@ -182,7 +195,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, key: str
 
 
 def unit_counts(sample: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, tuple[int, int]]:
-    """Units met in toxic documents (the ``UNITS`` most frequent), in how many toxic and other documents, and the sums over all units."""
+    """Units of at least ``TIMES`` toxic documents, in how many toxic and other documents, and the sums over all units."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of_work(batches, "text", WORK_BYTES // 4):  # the counters outweigh the text
@@ -198,7 +211,7 @@ def unit_counts(sample: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, t
     totals = in_batches(sample, count, "unit string, toxic long, other long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     totals = materialize(totals, "unit-counts")
     sums = totals.agg(F.sum("toxic"), F.sum("other")).first()
-    rows = totals.filter("toxic >= 3").orderBy(F.desc("toxic"), "unit").limit(UNITS).collect()
+    rows = sorted(totals.filter(F.col("toxic") >= TIMES).collect(), key=lambda r: r["unit"])
     return [r["unit"] for r in rows], np.array([r["toxic"] for r in rows]), np.array([r["other"] for r in rows]), (sums[0] or 0, sums[1] or 0)
 
 
@@ -228,7 +241,7 @@ def background(docs: DataFrame, text: str, names: list[str]) -> tuple[np.ndarray
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1), pa.int32()), pa.array(np.append(totals[used], every))], names=["unit", "n"])
 
     rows = in_batches(docs.select(F.col(text).alias("text")), count, "unit int, n long").groupBy("unit").agg(F.sum("n").alias("n")).collect()
-    found = {r["unit"]: r["n"] for r in rows}  # at most UNITS + 1 rows
+    found = {r["unit"]: r["n"] for r in rows}  # a row per name, and one
     return np.array([found.get(k, 0) for k in range(len(names))], dtype=np.float64), found.get(-1, 0)
 
 
@@ -239,10 +252,11 @@ def log_odds(names: list[str], toxic: np.ndarray, other: np.ndarray, sums: tuple
     delta = np.log(in_toxic / (1 - in_toxic)) - np.log(in_other / (1 - in_other))
     sure = delta / np.sqrt(1 / (toxic + own) + 1 / (other + own)) >= SURE
     # of a stem and its longer forms the surest covers the words; count that one alone
+    delta = np.round(delta * PARTS) / PARTS
     scores = {names[k]: float(delta[k]) for k in np.flatnonzero(sure)}
     cover = [k for k in np.flatnonzero(sure) if not any(names[k][:n] in scores for n in STEMS if n < len(names[k].rstrip()))]
     p_toxic, p_other = min(0.5, in_toxic[cover].sum()), min(0.5, in_other[cover].sum())
-    ground = math.log((1 - p_toxic) / (1 - p_other)) if p_toxic > p_other else -1e-6
+    ground = min(-1, round(math.log((1 - p_toxic) / (1 - p_other)) * PARTS) if p_toxic > p_other else -1) / PARTS
     low, high = 1e-3, 20.0  # sum p exp(rate s) - 1 is below 0 just above 0, and grows without end
     for _ in range(60):
         mid = (low + high) / 2
@@ -252,27 +266,26 @@ def log_odds(names: list[str], toxic: np.ndarray, other: np.ndarray, sums: tuple
 
 
 def calibrate(sample: DataFrame, model: Model, weights: dict[int, float]) -> Model:
-    """K from the other documents, then the logistic curve; a short row per labelled document comes to the driver.
+    """K from the other documents, then the logistic curve; two numbers per labelled document come to the driver.
 
     A document counts as many times in the curve as ``weights`` says of its label, so that the labels have their real ratio.
     """
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces_of_work(batches, "text"):
-            found = list(segments_of_batch(batch.column("text"), model))
-            best = [sorted((s for s, _, _ in own), reverse=True) for _, own in found]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("toxic"), pa.array([n for n, _ in found], pa.int64()), pa.array([b[:64] for b in best], pa.list_(pa.float64()))],
-                names=["toxic", "n", "best"],
-            )
+    def measured(value: Callable[[int, list[float]], float]) -> list:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in pieces_of_work(batches, "text"):
+                found = [value(n, [s for s, _, _ in own]) for n, own in segments_of_batch(batch.column("text"), model)]
+                yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.float64())], names=["toxic", "x"])
+
+        return in_batches(sample, run, "toxic int, x double").collect()
 
-    rows = in_batches(sample, score, "toxic int, n long, best array<double>").collect()
-    others = [r for r in rows if not r["toxic"]]
-    chance = sum(r["n"] * math.exp(-model.rate * max(r["best"], default=0.0)) for r in others)
-    model.k = len(others) / chance if chance else 1.0
-    x = np.array([model.evidence(list(r["best"]), r["n"]) for r in rows])
+    # rows arrive in any order; sums of doubles shall not
+    chance = sorted(r["x"] for r in measured(lambda n, own: n * math.exp(-model.rate * max(own, default=0.0))) if not r["toxic"])
+    model.k = len(chance) / sum(chance) if chance and sum(chance) else 1.0
+    rows = measured(lambda n, own: model.evidence(own, n))
+    x = np.array([r["x"] for r in rows])
     y = np.array([r["toxic"] for r in rows], dtype=float)
-    order = np.lexsort((y, x))  # rows arrive in any order; sums of doubles shall not
+    order = np.lexsort((y, x))
     x, y = x[order], y[order]
     times = np.where(y > 0, weights.get(1, 1.0), weights.get(0, 1.0))
     w = np.zeros(2)

@@ -1,12 +1,14 @@
 """Operators 3 and 5: held-out quality, brute-force parts and difficult inputs."""
 
+import math
 import random
 
 import numpy as np
 import odd
 import pyarrow as pa
 import pytest
-from hypothesis import given, settings, strategies as st
+import regex
+from hypothesis import example, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from quarrywork.llm import byte_cnn, toxic_passages
@@ -25,14 +27,40 @@ def brute_segments(scores):
     return [*brute_segments(scores[:a]), (best[0], a, b), *[(s, x + b, y + b) for s, x, y in brute_segments(scores[b:])]]
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=500, deadline=None)
 @given(st.lists(st.integers(-6, 6), max_size=14))
+@example([0, 4, -4, 4, 4])
+@example([4, -4, 4])
 def test_segments(scores):
-    # tiny distinct parts make the best subsequence unique
-    values = [s + 1e-4 * ((i * 7) % 11) - 5e-4 for i, s in enumerate(scores)]
-    got = toxic_passages.segments(np.array(values))
-    assert [(a, b) for _, a, b in got] == [(a, b) for _, a, b in brute_segments(values)]
-    assert [s for s, _, _ in got] == pytest.approx([s for s, _, _ in brute_segments(values)])
+    """Whole parts of 2^-20, ties included: sums are exact, so the segments are those of the definition."""
+    got = toxic_passages.segments(np.array(scores) / toxic_passages.PARTS)
+    assert [(round(s * toxic_passages.PARTS), a, b) for s, a, b in got] == brute_segments(scores)
+
+
+def brute_score(text, model):
+    """Evidence by definition: all maximal segments, the least sum-statistic probability over the r best."""
+    words = [w for w in regex.split(r"[^\pL]+", (text or "").lower()) if w]
+    found = brute_segments([model.word_score(w) for w in words])
+    best = []
+    for r, s in enumerate(sorted((s for s, _, _ in found), reverse=True), 1):
+        if model.expected(s, len(words)) > toxic_passages.EXPECTED:
+            break
+        best.append(model.rate * s - math.log(model.k * max(1, len(words))))
+        total = sum(best)
+        told = -math.log(-math.expm1(-math.exp(-total))) if r == 1 else total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r)
+        yield told
+
+
+def test_scores_by_brute_force(spark):
+    """Every score of a small table from the definition, with the learned word scores, K and curve."""
+    rows, docs, labels = toxic_table(spark)
+    model = toxic_passages.learn(docs, labels, fold("key", 5) != 0)
+    texts = [t for _, t, _ in rows[::9]] + ["", None, "vileword", "vileword filthy clean vileword vileword " * 3]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in toxic_passages.score(table, model, {"doc_id": F.col("doc_id")}).collect()}
+    for k, text in enumerate(texts):
+        evidence = max(brute_score(text, model), default=0.0)
+        assert got[k]["score"] == pytest.approx(1 / (1 + math.exp(-(model.slope * max(evidence, 0) + model.offset))), rel=1e-6)
 
 
 def test_toxicity_held_out(spark):
@@ -136,6 +164,34 @@ def test_no_language_learned_keeps_texts(odd_docs):
     assert sorted((r["text"] for r in kept.collect())) == sorted(r[1] for r in want)
 
 
+def test_every_label_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(byte_cnn, "TRAINED", 20)
+    rows = [(i, f"text of {i % 60}", f"l{i % 60}") for i in range(300)]
+    _, labels = byte_cnn.sample_windows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), "doc_id", "text", "lang")
+    assert set(labels) == {f"l{k}" for k in range(60)}
+
+
+def test_plain_forward_pass(spark):
+    """Mean log-probabilities of all windows, filter by filter, byte by byte."""
+    sample = spark.read.parquet(f"{MIDDLE}/documents.parquet")
+    network = byte_cnn.learn(sample, fold("doc_id", 3) != 1)
+    rows = sample.filter("n_chars < 1500").limit(12).collect()
+    got = {r["doc_id"]: r for r in byte_cnn.predict(sample, network, {"doc_id": F.col("doc_id")}).collect()}
+    for r in rows:
+        body = r["text"].encode()
+        total, size = np.zeros(len(network.labels)), 0
+        for lo in range(0, len(body), byte_cnn.LENGTH):
+            part = body[lo : lo + byte_cnn.LENGTH]
+            padded = [*part, *[byte_cnn._PAD] * (byte_cnn.LENGTH - len(part) + byte_cnn._REACH)]
+            peak = np.max([sum(network.embedding[padded[i + d]] @ network.kernel[d] for d in range(byte_cnn._REACH)) for i in range(byte_cnn.LENGTH)], axis=0)
+            logits = np.maximum(peak + network.bias, 0) @ network.dense + network.offset
+            total += (logits - np.log(np.exp(logits - logits.max()).sum()) - logits.max()) * len(part)
+            size += len(part)
+        share = np.exp(total / size - (total / size).max())
+        assert got[r["doc_id"]]["lang_pred"] == network.labels[int(share.argmax())]
+        assert got[r["doc_id"]]["score"] == pytest.approx(share.max() / share.sum(), abs=2e-3)
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     net = byte_cnn.new_network(["a", "b", "c"], rng)
