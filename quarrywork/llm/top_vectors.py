@@ -41,7 +41,11 @@ def usable(vector: Column) -> Column:
 
 
 def quantised(vector: Column, scale: int) -> Column:
-    return F.transform(vector.cast("array<double>"), lambda x: F.floor(x * scale).cast("long"))
+    """floor(scale * x) of every component; an error where a score of such vectors might leave 64 bits."""
+    d = vector.cast("array<double>")
+    most = F.sqrt(F.lit(2.0**62) / F.size(d))
+    message = F.lit(f"a component times {scale} is too large: its square times the number of components must stay below 2^62")
+    return F.transform(d, lambda x: F.when(F.abs(x * scale) < most, F.floor(x * scale).cast("long")).otherwise(F.raise_error(message).cast("long")))
 
 
 def bit_slices(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,7 +149,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id"
     Ties go to the smaller key. Rows with a null key, and vectors that are null, empty or hold a
     null or non-finite component, take no part. Rows that repeat key and vector count once as a
     query and each as a candidate; rows of the query's own key are never its candidates.
-    Vectors of another length than the query's are not compared with it.
+    Vectors of another length than the query's are not compared with it. A vector of d components of which
+    one times ``scale`` reaches the square root of 2^62 / d ends the query with an error, because scores are 64-bit integers.
     """
     index = materialize(build_index(vectors, key, vector, scale), "bit-slices")
     asked = materialize(

@@ -1,5 +1,6 @@
 """Operators 7 and 10 against brute force, and their difficult inputs."""
 
+import math
 import re
 
 import numpy as np
@@ -96,3 +97,16 @@ def test_slices_add_up(rows, dims, k, seed):
     order = sorted(range(rows), key=lambda r: (-exact[r], r))[:k]
     assert sorted(best.tolist()) == sorted(order)
 
+
+
+def test_components_beyond_64_bits_are_refused(spark):
+    near = [(0, [1e6, -1e6]), (20, [3e6, 2e6]), (1, [-5.5, 2.0])]
+    got = top_k(spark.createDataFrame(near, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    of = {i: [math.floor(64 * x) for x in v] for i, v in near}
+    assert {(r["query_id"], r["vec_id"]): r["score"] for r in got} == {
+        (q, c): sum(a * b for a, b in zip(of[q], of[c])) for q in (0, 20) for c in of if c != q
+    }
+    for large in (1e30, 3e9):
+        table = spark.createDataFrame([*near, (2, [large, 1.0])], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="too large"):
+            top_k(table, F.col("vec_id") % 20 == 0).collect()
