@@ -30,6 +30,36 @@ def scan_csv(spark, sf):
     return rows.select(F.col("Doc_ID").alias("doc_id"), F.md5("col_2nd_text").alias("digest"), "lang")
 
 
+@query("scan_csv_inferred", """SELECT o_orderkey AS order_key, o_totalprice AS total, strftime(o_orderdate, '%Y-%m-%d') AS day,
+  CASE WHEN o_orderkey % 11 = 3 THEN NULL ELSE o_orderstatus || '"' || chr(10) || o_orderpriority END AS note, CASE WHEN o_orderkey % 11 = 3 THEN NULL WHEN o_orderkey % 2 = 0 THEN 'bad ' || chr(65533) END AS odd,
+  o_orderkey % 11 IN (3, 4) AS broken, 'bigint,double,date,string,string' AS kinds FROM orders""")
+def scan_csv_inferred(spark, sf):
+    """Types, line ends and quotes inside values, bad bytes, short rows (remainder 3) and long ones (4)."""
+    path = shared_path(spark, "orders.csv")
+    key = F.col("o_orderkey") % 11
+    note = F.concat(F.lit('"'), "o_orderstatus", F.lit('""\n'), "o_orderpriority", F.lit('"'))
+    odd = F.when(F.col("o_orderkey") % 2 == 0, F.expr("concat('bad ', CAST(X'FF' AS STRING))")).otherwise("")
+    start = F.concat_ws(",", F.col("o_orderkey").cast("string"), F.col("o_totalprice").cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd"))
+    line = F.when(key == 3, start).when(key == 4, F.concat_ws(",", start, note, odd, F.lit("more"))).otherwise(F.concat_ws(",", start, note, odd))
+    rows = table(spark, sf, "orders").select(line.alias("value"))
+
+    def headed(batches):  # every file begins with the header
+        import pyarrow as pa
+
+        for k, batch in enumerate(batches):
+            if not k:
+                yield pa.RecordBatch.from_arrays([pa.array(["Order Key,total,day,note,odd"], batch.schema.field(0).type)], schema=batch.schema)
+            yield batch
+
+    rows.mapInArrow(headed, "value string").write.option("lineSep", "\n").text(path)
+    found = files.read_csv(spark, path, corrupt="broken")
+    kinds = ",".join(f.dataType.simpleString() for f in found.schema.fields[:-1])
+    return found.select(
+        F.col("Order_Key").alias("order_key"), "total", F.date_format("day", "yyyy-MM-dd").alias("day"), "note", "odd", F.col("broken").isNotNull().alias("broken"),
+        F.lit(kinds).alias("kinds"),
+    )
+
+
 @query("load_sql_dump", "SELECT doc_id, md5(text) AS digest, lang, n_chars FROM documents")
 def load_sql_dump(spark, sf):
     path = shared_path(spark, "documents.sql")

@@ -1,50 +1,42 @@
 """Rows of SQL dumps (MySQL and PostgreSQL), extracted as a Spark job.
 
-A dump is scanned by lines, so one large file is read by many tasks. Whether a line begins inside a
-string, inside a COPY block or outside follows from running sums over the lines of the
-file, taken inside the file's splits first and across them after (:mod:`..operators.ordered`). Lines
-of a statement are then put together; a value may hold any line end, semicolon or comment sign.
+A dump is read in splits, each by its own task. Where strings, quoted names, comments, dollar quotes, COPY blocks and
+statements begin and end follows from a lexer that runs from all its states at once (:mod:`.lexers`), put together
+from split to split (:mod:`.chunked`); so a value may hold any line end, quote, semicolon or comment sign, and a line any
+number of statements.
 
 INSERT statements and COPY blocks become ``(table_name, columns, values)``; values are cast to
 the types the caller declares. What looks like data but yields no rows, or not all of its text, is
-listed by :func:`read_errors`; nothing is left out in silence. Table definitions are not translated.
+listed by :func:`read_errors`; nothing is left out in silence. Table definitions are not translated. Bodies between
+``DELIMITER`` lines are not data, nor are MySQL's conditional comments.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+import re
+from collections.abc import Iterator
 
-from ..operators import ordered
-from ..session import materialize
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-MYSQL, POSTGRES = "mysql", "postgres"
+from . import chunked
+from .lexers import MYSQL, POSTGRES, SqlLexer
 
-# Possessive repeats, so that long strings are matched without recursion. A MySQL string may hold
-# backslash escapes; a PostgreSQL string only if it has the prefix E.
-ESCAPED = r"'[^'\\]*+(?:(?:\\.|'')[^'\\]*+)*+'"
-PLAIN = r"'[^']*+(?:''[^']*+)*+'"
-STRINGS = {MYSQL: ESCAPED, POSTGRES: rf"(?:[eE]{ESCAPED}|{PLAIN})"}
+# A MySQL string may hold backslash escapes; a PostgreSQL string only if it has the prefix E.
+_ESCAPED = r"'[^'\\]*+(?:(?:\\.|'')[^'\\]*+)*+'"
+_PLAIN = r"'[^']*+(?:''[^']*+)*+'"
+STRINGS = {
+    MYSQL: rf'(?:{_ESCAPED}|"[^"\\]*+(?:(?:\\.|"")[^"\\]*+)*+")',
+    POSTGRES: rf"(?:[eE]{_ESCAPED}|{_PLAIN}|\$\$.*?\$\$|\$(?P<tag{{n}}>[^\W\d]\w*)\$.*?\$(?P=tag{{n}})\$)",
+}
 NAME = r"""(?:`[^`]+`|"[^"]+"|[\w$]+)"""
-INSERT = rf"(?is)^\s*(?:INSERT|REPLACE)(?:\s+(?:LOW_PRIORITY|DELAYED|HIGH_PRIORITY|IGNORE))*\s+INTO\s+((?:{NAME}\s*\.\s*)*)({NAME})\s*(?:\(([^)]*)\)\s*)?VALUES?\s*(.*)$"
-COPY = rf"(?is)^\s*COPY\s+((?:{NAME}\s*\.\s*)*)({NAME})\s*(?:\(([^)]*)\)\s*)?FROM\s+stdin\b.*$"
+INSERT = re.compile(rf"(?is)\s*(?:INSERT|REPLACE)(?:\s+(?:LOW_PRIORITY|DELAYED|HIGH_PRIORITY|IGNORE))*\s+INTO\s+((?:{NAME}\s*\.\s*)*)({NAME})\s*(?:\(([^)]*)\)\s*)?VALUES?\s*")
+COPY = re.compile(rf"(?is)\s*COPY\s+((?:{NAME}\s*\.\s*)*)({NAME})\s*(?:\(([^)]*)\)\s*)?FROM\s+stdin\b.*")
 #: What may follow the rows of an INSERT.
-TAIL = r"(?is)^\s*(?:(?:AS\s+\w+\s*)?ON\s+(?:DUPLICATE|CONFLICT)\b.*|RETURNING\b.*)?;?\s*$"
-CONDITIONAL_COMMENT = r"/\*!\d+.*?\*/;?"
-DATA = r"(?is)^\s*(?:INSERT|REPLACE|COPY|LOAD)\b"
-
-
-def value_pattern(dialect: str) -> str:
-    """A literal with a prefix or a cast, or other text in which calls may have arguments."""
-    string = STRINGS[dialect]
-    literal = rf"(?:_\w+\s*|[bBnNxX])?{string}(?:\s*::\s*[\w \[\]]++(?:\([\d, ]*\))?)*"
-    call = rf"\((?:[^()']++|{string}|\((?:[^()']++|{string})*+\))*+\)"
-    return rf"(?:{literal}|(?:[^,()']++|{call})++)"
-
-
-def tuple_pattern(dialect: str) -> str:
-    value = value_pattern(dialect)
-    return rf"(?s)\(\s*{value}\s*(?:,\s*{value}\s*)*+\)"
-
+TAIL = re.compile(r"(?is)\s*(?:(?:AS\s+\w+\s*)?ON\s+(?:DUPLICATE|CONFLICT)\b.*|RETURNING\b.*)?;?\s*")
+DATA = re.compile(r"(?is)\s*(?:INSERT|REPLACE|COPY|LOAD)\b")
+#: Dollar quotes of different names in one set of files.
+MOST_TAGS = 50
 
 # Declared type families and the type rows are cast to.
 TYPE_FAMILIES = (
@@ -59,8 +51,6 @@ TYPE_FAMILIES = (
 
 def spark_type(declared: str) -> str:
     """Spark type of a declared column type; anything unknown stays a string."""
-    import re
-
     for pattern, target in TYPE_FAMILIES:
         hit = re.search(pattern, declared.strip())
         if hit:
@@ -68,123 +58,139 @@ def spark_type(declared: str) -> str:
     return "string"
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their place: file, split, and order inside the split."""
-    lines = spark.read.text(path)
-    return lines.select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
-        F.monotonically_increasing_id().alias("nth"), F.regexp_replace("value", r"\r$", "").alias("line"),
-    )
-
-
-def copy_rows(lines: DataFrame) -> DataFrame:
-    """Lines with ``header``, the opening line of the COPY block they are data of (null outside)."""
-    opens, closes = F.rlike("line", F.lit(COPY)), F.col("line") == "\\."
-    mark = F.when(opens, F.col("line")).when(closes, F.lit(""))
-    lines = materialize(lines, "dump-lines")  # each of the passes below reads its input more than once
-    marked = ordered.previous_value(lines, ["file"], F.col("split"), [F.col("nth")], mark, "open")
-    inside = F.coalesce(F.col("open"), F.lit("")) != ""
-    return marked.withColumn("header", F.when(inside & ~closes, F.col("open"))).filter(~(inside & closes)).drop("open")
-
-
-def statements_of(lines: DataFrame, dialect: str) -> DataFrame:
-    """Statements, comments removed, of lines outside COPY blocks.
-
-    A line changes between inside and outside if it has an odd number of quotes that are not escaped.
-    A comment line with an odd number ends outside either way: outside it is a comment, inside it closes the string.
-    """
-    bare = F.regexp_replace("line", CONDITIONAL_COMMENT, "")
-    plain = F.regexp_replace(bare, r"\\\\.", "") if dialect == MYSQL else bare
-    odd = F.pmod(F.length(plain) - F.length(F.replace(plain, F.lit("'"), F.lit(""))), F.lit(2))
-    comment = F.startswith(F.ltrim("line"), F.lit("--"))
-    turned = materialize(lines, "dump-statements").withColumns({"line": bare, "_comment": comment, "_reset": comment & (odd == 1), "_odd": odd})
-    place = dict(keys=["file"], bucket=F.col("split"), order=[F.col("nth")])
-    summed = ordered.running_sum(turned, **place, values={"_sum": F.when(F.col("_reset"), 0).otherwise(F.col("_odd"))})
-    based = ordered.previous_value(materialize(summed, "dump-sums"), **place, value=F.when(F.col("_reset"), F.col("_sum")), name="_base")
-    base = F.coalesce("_base", F.lit(0))
-    before = F.pmod(F.col("_sum") - F.when(F.col("_reset"), 0).otherwise(F.col("_odd")) - base, F.lit(2)) == 1
-    after = ~F.col("_reset") & (F.pmod(F.col("_sum") - base, F.lit(2)) == 1)
-    known = based.withColumns({"_before": before, "_after": after}).filter(F.col("_before") | ~F.col("_comment"))
-    ends = ~F.col("_after") & F.rlike("line", F.lit(r";\s*$"))
-    ended = materialize(known.select("file", "split", "nth", "line", ends.cast("long").alias("_end")), "dump-ends")
-    numbered = ordered.running_sum(ended, **place, values={"_ended": F.col("_end")})
-    whole = numbered.groupBy("file", (F.col("_ended") - F.col("_end")).alias("statement_no")).agg(
-        F.array_sort(F.collect_list(F.struct("split", "nth", "line"))).alias("lines")
-    )
-    text = F.regexp_replace(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), r"^\s+|[;\s]+\z", "")
-    return whole.select(text.alias("statement")).filter(F.col("statement") != "")
-
-
-def read_statements(spark: SparkSession, path: str, dialect: str = MYSQL) -> DataFrame:
-    return statements_of(copy_rows(read_lines(spark, path)).filter("header is null"), dialect)
-
-
-def _unescaped(text: Column) -> Column:
-    """Backslash escapes of a MySQL or E string; line ends and tabs first, then the rest."""
-    for sign, char in (("n", "\n"), ("r", "\r"), ("t", "\t")):
-        text = F.regexp_replace(text, rf"(?<!\\)((?:\\\\)*+)\\{sign}", f"$1{char}")
-    return F.regexp_replace(text, r"(?s)\\(.)", "$1")
-
-
-def _unquoted(value: Column, dialect: str) -> Column:
-    trimmed = F.trim(value)
-    prefix = F.lower(F.regexp_extract(trimmed, r"(?s)^(_\w+\s*|[bBnNxXeE])?'", 1))
-    inner = F.regexp_extract(trimmed, r"(?s)'(.*)'", 1)
-    single = F.replace(inner, F.lit("''"), F.lit("'"))
-    escapes = F.lit(True) if dialect == MYSQL else prefix == "e"
-    return (
-        F.when(F.upper(trimmed) == "NULL", F.lit(None).cast("string"))
-        .when(F.rlike(trimmed, F.lit(r"(?s)^(?:_\w+\s*|[bBnNxXeE])?'")), F.when(escapes, _unescaped(single)).otherwise(single))
-        .otherwise(trimmed)
-    )
-
-
-def _name(quoted: Column) -> Column:
-    return F.regexp_replace(quoted, r'^[`"]|[`"]$', "")
-
-
-def _listed(columns: Column) -> Column:
-    return F.when(columns != "", F.transform(F.split(columns, ","), lambda c: F.regexp_replace(c, r'[`"\s]', "")))
-
-
-def _inserts(statements: DataFrame, dialect: str) -> DataFrame:
-    """table_name, columns, tuples (texts) and what is left of the body beside them."""
-    found = statements.filter(F.rlike("statement", F.lit(INSERT))).select(
-        "statement", *[F.regexp_extract("statement", INSERT, i).alias(n) for i, n in ((2, "table"), (3, "listed"), (4, "body"))]
-    )
-    one = tuple_pattern(dialect)
-    return found.select(
-        "statement", _name(F.col("table")).alias("table_name"), _listed(F.col("listed")).alias("columns"),
-        F.regexp_extract_all("body", F.lit(one), F.lit(0)).alias("tuples"),
-        F.regexp_replace("body", rf"{one}\s*,?", "").alias("rest"),
+class Values:
+    """Rows of statements and of COPY lines."""
+
+    def __init__(self, dialect: str):
+        string = iter(STRINGS[dialect].replace("{n}", str(n)) for n in range(9))
+        literal = rf"(?:_\w+\s*|[bBnNxX])?{next(string)}(?:\s*::\s*[\w \[\]]++(?:\([\d, ]*\))?)*"
+        quotes = "'\"" if dialect == MYSQL else "'$"
+        call = rf"\((?:[^(){quotes}]++|{next(string)}|\((?:[^(){quotes}]++|{next(string)})*+\))*+\)"
+        value = rf"(?:{literal}|(?:[^,(){quotes}]++|{call})++)"
+        self.value = re.compile(rf"(?s)\s*(?P<value>{value})\s*(?P<end>[,)])")
+        self.opens = re.compile(r"\s*,?\s*\(")
+        self.quoted = re.compile(r"(?s)(_\w+\s*|[bBnNxXeE])?(['\"$].*)")
+        self.mysql = dialect == MYSQL
+
+    def plain(self, text: str) -> str | None:
+        """A literal's value; other text stays as it is, NULL is null."""
+        text = text.strip()
+        found = self.quoted.match(text)
+        if not found:
+            return None if text.upper() == "NULL" else text
+        prefix, body = found.groups()
+        if body[0] == "$":
+            tag = body[: body.index("$", 1) + 1]
+            return body[len(tag) : body.rindex(tag)]
+        quote = body[0]
+        if not self.mysql and quote == '"':
+            return text
+        inner = body[1 : body.rindex(quote)].replace(quote * 2, quote) if quote * 2 in body[1:-1] else body[1 : body.rindex(quote)]
+        return unescaped(inner) if "\\" in inner and (self.mysql or (prefix or "").lower() == "e") else inner
+
+    def rows(self, body: str) -> tuple[list[list[str | None]], str]:
+        """The rows after VALUES, and the text that follows them."""
+        out, at = [], 0
+        while True:
+            opened = self.opens.match(body, at)
+            row, end = [], opened.end() if opened else at
+            while opened:
+                found = self.value.match(body, end)
+                if not found:
+                    return out, body[at:]
+                row.append(self.plain(found["value"]))
+                end = found.end()
+                if found["end"] == ")":
+                    break
+            if not opened:
+                return out, body[at:]
+            out.append(row)
+            at = end
+
+
+_SIGNS = {"n": "\n", "r": "\r", "t": "\t", "0": "\0", "b": "\b", "Z": "\x1a"}
+
+
+def unescaped(text: str) -> str:
+    """Backslash escapes: named signs, and any other character for itself."""
+    return re.sub(r"(?s)\\(.)", lambda m: _SIGNS.get(m[1], m[1]), text)
+
+
+def _name(quoted: str) -> str:
+    return quoted[1:-1] if quoted[0] in '`"' else quoted
+
+
+def _listed(columns: str | None) -> list[str] | None:
+    return [re.sub(r'[`"\s]', "", c) for c in columns.split(",")] if columns else None
+
+
+_PARSED = "table_name string, columns array<string>, values array<string>, statement string, reason string"
+
+
+def parsed(spark: SparkSession, path: str, dialect: str = MYSQL) -> DataFrame:
+    """A row per row of data (reason is null), and one per statement that is not given back whole."""
+    lines = chunked.read_lines(spark, path)
+    tags: tuple[str, ...] = ()
+    if dialect == POSTGRES:
+        found = F.explode(F.regexp_extract_all("line", F.lit(r"(?U)(?=(\$(?:[^\W\d]\w*)?\$))"), F.lit(1)))
+        tags = tuple(sorted(r["tag"] for r in lines.filter(F.contains("line", F.lit("$"))).select(found.alias("tag")).distinct().limit(MOST_TAGS + 1).collect()))
+        if len(tags) > MOST_TAGS:
+            raise ValueError(f"more than {MOST_TAGS} different dollar quotes")
+    lexer = SqlLexer(dialect, tags)
+    pieces = chunked.pieces(spark, path, lexer, lines)
+
+    def rows_of(text: str, state: int, header: str | None, values: Values) -> Iterator[tuple]:
+        statements: list[str] = []
+        copied: list[tuple[str | None, str]] = []
+        lexer.scan(text, state, statements, copied, header)
+        for statement in statements:
+            if not DATA.match(statement):
+                continue
+            found = INSERT.match(statement)
+            if not found:
+                if not COPY.match(statement):
+                    yield None, None, None, statement, "not a list of values"
+                continue
+            rows, rest = values.rows(statement[found.end() :])
+            for row in rows:
+                yield _name(found[2]), _listed(found[3]), row, None, None
+            if not rows or not TAIL.fullmatch(rest):
+                yield None, None, None, statement, f"text beside the rows: {rest[:200]}"
+        for head, body in copied:
+            found = COPY.match(head or "")
+            if not found:
+                if body:
+                    yield None, None, None, body[:1000], "lines of a COPY block whose opening is cut"
+                continue
+            name, listed = _name(found[2]), _listed(found[3])
+            for line in body.removesuffix("\n").split("\n") if body else ():
+                fields = [None if v == "\\N" else unescaped(v) if "\\" in v else v for v in line.removesuffix("\r").split("\t")]
+                yield name, listed, fields, None, None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = Values(dialect)
+        kinds = (pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string(), pa.string())
+        for batch in batches:
+            for text, state, header in zip(*[batch.column(c).to_pylist() for c in ("text", "state", "header")]):
+                rows = list(rows_of(text, state, header, values))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["table_name", "columns", "values", "statement", "reason"])
+
+    long = pieces.long.select(
+        *[F.lit(None).cast(k).alias(n) for n, k in (("table_name", "string"), ("columns", "array<string>"), ("values", "array<string>"))],
+        F.regexp_replace("begins", r"^\s+", "").alias("statement"), F.concat(F.lit("a statement of "), F.col("size").cast("string"), F.lit(" characters")).alias("reason"),
     )
+    return pieces.whole.select("text", "state", "header").mapInArrow(run, _PARSED).unionByName(long)
 
 
 def read_dump(spark: SparkSession, path: str, dialect: str = MYSQL) -> DataFrame:
     """Every row of INSERT statements and COPY blocks as ``(table_name, columns, values)``; values are strings or NULL."""
-    lines = copy_rows(read_lines(spark, path))
-    rows = _inserts(statements_of(lines.filter("header is null"), dialect), dialect).select(
-        "table_name", "columns", F.explode("tuples").alias("row_text")
-    )
-    inside = F.substr("row_text", F.lit(2), F.length("row_text") - 2)
-    values = F.regexp_extract_all(inside, F.lit(rf"(?s)\s*({value_pattern(dialect)})\s*(?:,|\z)"), F.lit(1))
-    inserted = rows.select("table_name", "columns", F.transform(values, lambda v: _unquoted(v, dialect)).alias("values"))
-    field = lambda v: F.when(v == "\\N", F.lit(None).cast("string")).otherwise(_unescaped(v))
-    copied = lines.filter("header is not null").select(
-        _name(F.regexp_extract("header", COPY, 2)).alias("table_name"), _listed(F.regexp_extract("header", COPY, 3)).alias("columns"),
-        F.transform(F.split("line", "\t"), field).alias("values"),
-    )
-    return inserted.unionByName(copied)
+    return parsed(spark, path, dialect).filter("reason is null").select("table_name", "columns", "values")
 
 
 def read_errors(spark: SparkSession, path: str, dialect: str = MYSQL) -> DataFrame:
     """Statements that carry data which :func:`read_dump` cannot give back whole: statement and reason."""
-    statements = read_statements(spark, path, dialect)
-    data = statements.filter(F.rlike("statement", F.lit(DATA)) & ~F.rlike("statement", F.lit(COPY)))
-    unknown = data.filter(~F.rlike("statement", F.lit(INSERT))).select("statement", F.lit("not a list of values").alias("reason"))
-    inserts = _inserts(statements, dialect)
-    partial = inserts.filter((F.size("tuples") == 0) | ~F.rlike("rest", F.lit(TAIL)))
-    return unknown.unionByName(partial.select("statement", F.concat(F.lit("text beside the rows: "), F.substring("rest", 1, 200)).alias("reason")))
+    return parsed(spark, path, dialect).filter("reason is not null").select("statement", "reason")
 
 
 def dump_table(rows: DataFrame, name: str, columns: dict[str, str]) -> DataFrame:

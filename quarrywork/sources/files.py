@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import csv
 import re
 from collections import Counter
+from collections.abc import Iterator
 from pathlib import PurePosixPath
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..session import materialize
+from .chunked import pieces
+from .lexers import CsvLexer
+
 CORRUPT = "_corrupt_record"
 
 
@@ -43,20 +50,92 @@ def normalise_columns(df: DataFrame) -> DataFrame:
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = True
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = True, corrupt: str | None = None
 ) -> DataFrame:
-    """Quoted CSV with a header.
+    """Quoted CSV with a header, one per file.
 
-    Bad bytes are replaced and short rows padded with nulls. Types are inferred unless
-    ``schema`` is given; give it for large inputs, inference reads the data once more.
-    A file whose values hold line ends is one task; without them set ``multi_line`` to
-    false, and a large file is split.
+    Bad bytes are replaced. Rows with too few or too many fields, or with a value that does not fit a declared type,
+    keep what can be read; with ``corrupt`` a column of that name holds their text (null for other rows).
+    Types are inferred from all rows unless ``schema`` is given; give it for large inputs, inference reads the rows once more.
+    With ``multi_line`` values may hold line ends, and a large file is still read by many tasks: records are cut
+    by :mod:`.chunked`, at the price of one written copy.
     """
-    reader = spark.read.options(header=True, multiLine=multi_line, escape='"', encoding="UTF-8", mode="PERMISSIVE")
+    if multi_line:
+        return _records_to_rows(spark, path, schema, corrupt)
+    reader = spark.read.options(header=True, escape='"', encoding="UTF-8", mode="PERMISSIVE")
+    if corrupt and schema is not None:
+        fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        reader = reader.option("columnNameOfCorruptRecord", corrupt)
+        schema = T.StructType([*fields.fields, T.StructField(corrupt, T.StringType())])
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     return normalise_columns(reader.csv(path))
 
 
+_OPTIONS = {"escape": '"', "mode": "PERMISSIVE", "multiLine": "true"}
+#: Types that a column may have, narrowest first; a column whose values fit none is a string.
+INFERRED = ("boolean", "bigint", "double", "date", "timestamp")
+#: Text that ``try_cast`` would take for a number, date or boolean, but that a reader of CSV does not.
+_LOOKS = {
+    "boolean": r"(?i)^(true|false)$", "bigint": r"^[+-]?\d+$", "double": r"(?i)^([+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?|NaN|[+-]?inf(inity)?)$",
+    "date": r"^\d{4}-\d{2}-\d{2}$", "timestamp": r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}.*$",
+}
+
+
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """Every record of CSV files: file, split, is_header (the first record of its file) and its text."""
+    lexer = CsvLexer()
+    whole = pieces(spark, path, lexer).whole
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, split, first, text in zip(*[batch.column(c).to_pylist() for c in ("file", "split", "first", "text")]):
+                ends = lexer.ends(text, 0)[0]
+                if not ends or ends[-1] < len(text):  # a quote that is never closed
+                    ends.append(len(text))
+                records = [text[a:b].removesuffix("\n").removesuffix("\r") for a, b in zip([0, *ends], ends)]
+                heads = [first] + [False] * (len(records) - 1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([file] * len(records), pa.string()), pa.array([split] * len(records), pa.int64()), pa.array(heads, pa.bool_()), pa.array(records, pa.string())],
+                    names=["file", "split", "is_header", "record"],
+                )
+
+    first = (F.col("split") == 0) & (F.col("chunk") == 0) & (F.col("begins") == 0)
+    rows = whole.select("file", "split", first.alias("first"), "text").mapInArrow(cut, "file string, split bigint, is_header boolean, record string")
+    return rows.filter(F.trim("record") != "")
+
+
+def _records_to_rows(spark: SparkSession, path: str, schema: T.StructType | str | None, corrupt: str | None) -> DataFrame:
+    records = csv_records(spark, path)
+    body = records.filter("not is_header").select("record")
+    if schema is None:
+        head = records.filter("is_header").orderBy("file").select("record").limit(1).collect()
+        names = next(csv.reader([head[0]["record"].removeprefix("\ufeff")], strict=False)) if head else []
+        body = materialize(body, "csv-records") if names else body
+        fields = inferred(body, unique_names(names))
+    else:
+        given = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        fields = [(n, f.dataType.simpleString()) for n, f in zip(unique_names(given.names), given.fields)]
+    bad = corrupt or CORRUPT
+    wanted = ", ".join([*[f"`{n}` {kind}" for n, kind in fields], f"`{bad}` string"])
+    parsed = body.select(F.from_csv("record", wanted, {**_OPTIONS, "columnNameOfCorruptRecord": bad}).alias("row")).select("row.*")
+    return parsed if corrupt else parsed.drop(bad)
+
+
+def inferred(body: DataFrame, names: list[str]) -> list[tuple[str, str]]:
+    """Each column with the narrowest type that all its values have, from one aggregation over all records."""
+    if not names:
+        return []
+    rows = body.select(F.from_csv("record", ", ".join(f"`{n}` string" for n in names), _OPTIONS).alias("row")).select("row.*")
+    value = lambda n: F.trim(F.col(f"`{n}`"))
+    fits = lambda n, kind: value(n).isNull() | (value(n).rlike(_LOOKS[kind]) & value(n).try_cast(kind).isNotNull())
+    found = rows.agg(
+        *[F.count(F.col(f"`{n}`")).alias(f"n{i}") for i, n in enumerate(names)],
+        *[F.bool_and(fits(n, kind)).alias(f"{kind}{i}") for i, n in enumerate(names) for kind in INFERRED],
+    ).first()
+    kinds = [next((k for k in INFERRED if found[f"n{i}"] and found[f"{k}{i}"]), "string") for i in range(len(names))]
+    return list(zip(names, kinds))
+
+
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None, array: bool = False) -> DataFrame:
     """JSON lines, or one JSON array per file."""
     reader = spark.read.option("multiLine", array)

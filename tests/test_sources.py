@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarrywork.functions.fixed import MAX_FILE_BYTES
 from quarrywork.session import materialize, shared_root
-from quarrywork.sources import binaries, dumps, files, html, knowledge, sinks
+from quarrywork.sources import binaries, chunked, dumps, files, html, knowledge, lexers, sinks
 
 FINANCE = '''TransactionID,Date,Account,2nd Amount,Description,Status,Status
 T-1,2023-01-15,A-9,"1,250.00","License, Annual",Cleared,
@@ -99,11 +99,12 @@ def test_dump_loses_nothing(spark, tmp_path, split):
         spark.conf.set("spark.sql.files.openCostInBytes", 0)
     try:
         rows = dumps.read_dump(spark, str(path))
-        got = {r["id"]: r["name"] for r in dumps.dump_table(rows, "customers", {"id": "int", "name": "text"}).collect()}
-        errors = [r["statement"] for r in dumps.read_errors(spark, str(path)).collect()]
+        listed = dumps.read_errors(spark, str(path))
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+    got = {r["id"]: r["name"] for r in dumps.dump_table(rows, "customers", {"id": "int", "name": "text"}).collect()}
+    errors = [r["statement"] for r in listed.collect()]
     assert got == {
         1: "a;\nb", 2: "x -- y", 3: "line\n-- not a comment\nend", 4: "z", 5: "NOW()", 6: "concat('a', lower('B,('))", 7: "-- don't", 8: "n",
         9: None, 10: "ok",
@@ -224,3 +225,144 @@ def test_event_rows(spark, tmp_path):
 def test_materialize(spark):
     df = materialize(spark.range(10), "unit")
     assert df.count() == 10 and shared_root(spark)
+
+
+def narrow(spark, size):
+    """Splits of ``size`` bytes, and chunks of a few lines."""
+    from contextlib import contextmanager
+
+    @contextmanager
+    def held():
+        before = chunked.CHUNK, chunked.FIRST_CHUNK
+        if size:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", 0)
+            chunked.CHUNK, chunked.FIRST_CHUNK = max(20, size // 3), 20
+        try:
+            yield
+        finally:
+            chunked.CHUNK, chunked.FIRST_CHUNK = before
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+
+    return held()
+
+
+PROBE = """/* don't */ INSERT INTO a VALUES (1, 'x');
+INSERT INTO a VALUES (2, "it's"); # don't
+# it's
+INSERT INTO a VALUES (3, 'y') /* isn't; */; INSERT INTO b VALUES (4, 'z'), (5, 'a;b'); INSERT INTO a VALUES (6, 'l1\r\nl2\rl3\nl4');
+/* a long
+ comment; INSERT INTO a VALUES (99, 'no');
+*/ INSERT INTO a VALUES (7, 'q /* no comment */ -- neither # nor this');
+DELIMITER ;;
+CREATE PROCEDURE p() BEGIN INSERT INTO a VALUES (98, 'no'); END ;;
+DELIMITER ;
+INSERT INTO `a` VALUES (8, 'back\\\\'), (9, 'quote\\''), (10, ''''), (11, "say ""hi"" to");
+-- don't
+INSERT INTO a VALUES (12, '
+;
+');
+"""
+
+
+@pytest.mark.parametrize("size", [None, 60])
+def test_dump_of_awkward_comments_and_quotes(spark, tmp_path, size):
+    path = tmp_path / "probe.sql"
+    path.write_bytes(PROBE.encode())
+    with narrow(spark, size):
+        found = dumps.parsed(spark, str(path))
+    rows = [(r["table_name"], int(r["values"][0]), r["values"][1]) for r in found.filter("reason is null").collect()]
+    assert found.filter("reason is not null").collect() == []
+    assert sorted(rows) == [
+        ("a", 1, "x"), ("a", 2, "it's"), ("a", 3, "y"), ("a", 6, "l1\r\nl2\rl3\nl4"), ("a", 7, "q /* no comment */ -- neither # nor this"),
+        ("a", 8, "back\\"), ("a", 9, "quote'"), ("a", 10, "'"), ("a", 11, 'say "hi" to'), ("a", 12, "\n;\n"), ("b", 4, "z"), ("b", 5, "a;b"),
+    ]
+
+
+PG_PROBE = """/* outer /* don't */ still; */ INSERT INTO t VALUES (1, 'c:\\');
+INSERT INTO t VALUES (2, E'it\\'s; ok'), (3, $$dollar's; body$$), (4, $fn$a $$ b; $fn$);
+CREATE FUNCTION f() RETURNS int AS $body$ BEGIN INSERT INTO t VALUES (99, 'no'); END; $body$ LANGUAGE plpgsql;
+COPY public.t (id, body) FROM stdin;
+5\tit's; -- a\\tb $$
+6\t/* no
+7\t\\N
+\\.
+INSERT INTO "t" VALUES (8, 'two
+lines; "quoted'); COPY u FROM stdin;
+9\tx
+\\.
+INSERT INTO t VALUES (10, 'end'::text);
+"""
+
+
+@pytest.mark.parametrize("size", [None, 60])
+def test_postgres_dump_of_awkward_quotes(spark, tmp_path, size):
+    path = tmp_path / "probe.sql"
+    path.write_bytes(PG_PROBE.encode())
+    with narrow(spark, size):
+        found = dumps.parsed(spark, str(path), dumps.POSTGRES)
+    rows = [(r["table_name"], int(r["values"][0]), r["values"][1]) for r in found.filter("reason is null").collect()]
+    assert found.filter("reason is not null").collect() == []
+    assert sorted(rows, key=lambda r: (r[0], r[1])) == [
+        ("t", 1, "c:\\"), ("t", 2, "it's; ok"), ("t", 3, "dollar's; body"), ("t", 4, "a $$ b; "), ("t", 5, "it's; -- a\tb $$"), ("t", 6, "/* no"), ("t", 7, None),
+        ("t", 8, 'two\nlines; "quoted'), ("t", 10, "end"), ("u", 9, "x"),
+    ]
+
+
+def test_lexers_do_not_depend_on_the_cuts():
+    """Cut at any lines, run from every state, put together by state: the same statements as in one piece."""
+    for dialect, text in ((dumps.MYSQL, PROBE), (dumps.POSTGRES, PG_PROBE)):
+        lexer = lexers.SqlLexer(dialect, ("$$", "$fn$", "$body$"))
+        lines = text.splitlines(keepends=True) if "\r" not in text else [x + "\n" for x in text.split("\n")]
+        states = [lexer.start]
+        for line in lines:
+            states.append(lexer.scan(line, states[-1]).state)
+        for lo in range(len(lines)):
+            for hi in range(lo + 1, len(lines) + 1):
+                assert lexer.scan("".join(lines[lo:hi]), states[lo]).state == states[hi]
+
+
+def test_a_statement_without_end_is_listed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(chunked, "LONGEST", 200)
+    path = tmp_path / "open.sql"
+    path.write_text("INSERT INTO a VALUES (1, 'x');\nINSERT INTO a VALUES (2, 'never closed\n" + "INSERT INTO a VALUES (3, \"y\");\n" * 40)
+    with narrow(spark, 300):
+        found = dumps.parsed(spark, str(path))
+    assert [r["values"] for r in found.filter("reason is null").collect()] == [["1", "x"]]
+    errors = found.filter("reason is not null").collect()
+    assert len(errors) == 1 and errors[0]["statement"].startswith("INSERT INTO a VALUES (2") and "characters" in errors[0]["reason"]
+
+
+@pytest.mark.parametrize("size", [None, 200])
+def test_multi_line_csv_in_many_tasks(spark, tmp_path, size):
+    """One file whose values hold line ends, quotes and delimiters is cut at records, whatever the splits."""
+    import csv as library
+    import random
+
+    draw = random.Random(7)
+    word = lambda: "".join(draw.choice('ab,"\n\r é') for _ in range(draw.randrange(12)))
+    rows = [[str(i), word().strip(" ") or "x", draw.choice(["1.5", "-2", ""])] for i in range(120)]
+    path = tmp_path / "one.csv"
+    with open(path, "w", newline="", encoding="utf-8") as file:
+        library.writer(file, lineterminator="\n", quoting=library.QUOTE_ALL).writerows([["id", "text", "x"], *rows])
+    with narrow(spark, size):
+        found = files.read_csv(spark, str(path))
+        splits = files.csv_records(spark, str(path)).select("split").distinct().count()
+    assert found.dtypes == [("id", "bigint"), ("text", "string"), ("x", "double")]
+    # Spark's parser turns line ends inside quotes into line feeds
+    line = lambda t: t.replace("\r\n", "\n").replace("\r", "\n")
+    assert sorted((r["id"], line(r["text"] or "")) for r in found.collect()) == [(int(i), line(t)) for i, t, _ in rows]
+    assert splits > 10 if size else splits == 1
+
+
+def test_csv_types_and_broken_rows(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text("a,b,c,d,e\n1,true,2020-01-02,x,2020-01-02 03:04:05\n-2,false,,1.5,2021-01-02T03:04:05\n,,2020-02-30,2,\n4,true\n5,true,2020-01-01,y,,extra\n")
+    found = files.read_csv(spark, str(path), corrupt="bad")
+    assert found.dtypes == [("a", "bigint"), ("b", "boolean"), ("c", "string"), ("d", "string"), ("e", "timestamp"), ("bad", "string")]
+    rows = {r["a"]: r for r in found.collect()}
+    assert len(rows) == 5 and rows[4]["bad"] == "4,true" and rows[4]["b"] and rows[5]["bad"].endswith("extra") and rows[1]["bad"] is None
+    empty = tmp_path / "e.csv"
+    empty.write_text("a,b\n")
+    assert files.read_csv(spark, str(empty)).dtypes == [("a", "string"), ("b", "string")]
