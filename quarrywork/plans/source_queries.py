@@ -189,7 +189,22 @@ def scan_size_guard(spark, sf):
     return page_files(spark, sf).select("page_id", reason.alias("reason"))
 
 
-_PAGE_TEXT = sx.rules("html", html.PAGE_RULES)
+def references_sql(expr: str) -> str:
+    """Character references in DuckDB: each piece after an ampersand by number or name."""
+    names = ", ".join(f"{sx.q(k)}: {sx.q(v)}" for k, v in html.reference_names().items())
+    old = ", ".join(f"{k}: {sx.q(v)}" for k, v in html._CP1252.items())
+    return f"""(SELECT coalesce(string_agg(CASE WHEN i = 1 THEN piece WHEN found IS NULL THEN '&' || piece ELSE (CASE WHEN found = chr(160) THEN ' ' ELSE found END) || substr(piece, length(body) + 1) END, '' ORDER BY i), '') FROM (
+      SELECT i, piece, body, CASE WHEN body ^@ '#' THEN CASE WHEN code BETWEEN 128 AND 159 THEN MAP {{{old}}}[code] WHEN code = 0 OR code > 1114111 OR code BETWEEN 55296 AND 57343 THEN chr(65533) ELSE chr(code) END
+        WHEN body <> '' THEN MAP {{{names}}}[body] END AS found FROM (
+      SELECT i, piece, body, CASE WHEN lower(body) ^@ '#x' THEN ('0x' || rtrim(substr(body, 3), ';'))::INTEGER WHEN body ^@ '#' THEN rtrim(substr(body, 2), ';')::INTEGER END AS code FROM (
+      SELECT i, piece, regexp_extract(piece, {sx.q(html.REFERENCE)}) AS body FROM (SELECT unnest(string_split(x, '&')) AS piece, generate_subscripts(string_split(x, '&'), 1) AS i FROM (SELECT {expr} AS x))))))"""
+
+
+def page_sql(expr: str) -> str:
+    return sx.rules(references_sql(sx.rules(expr, html.MARK_RULES)), html.SPACE_RULES)
+
+
+_PAGE_TEXT = page_sql("html")
 _READ_TEXT = TEXT_SQL.replace("md", "page")
 CONVERTED_SQL = f"""WITH {FILE_SQL}, u AS (SELECT page_id, url AS path, html, name, ext FROM f JOIN pages USING (page_id, html)),
 v AS (SELECT *, CASE WHEN octet_length(encode(html)) < 8 THEN false WHEN starts_with(html, '<!DOCTYPE') OR starts_with(html, '<html') THEN ext IN ('.html', '.htm')
@@ -204,13 +219,13 @@ def batch_convert(spark, sf):
     return binaries.convert(page_files(spark, sf), "text").select("path", "output_name", F.length("text").alias("chars"), "error")
 
 
-@query("html_to_text", f"SELECT page_id, {sx.rules('html', html.PAGE_RULES)} AS text FROM pages")
+@query("html_to_text", f"SELECT page_id, {page_sql('html')} AS text FROM pages")
 def html_to_text(spark, sf):
     return wide_table(spark, sf, "pages", "page_id").select("page_id", html.html_to_text(F.col("html")).alias("text"))
 
 
 @query("html_meta", r"""SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title,
-  len(regexp_extract_all(html, '(?is)<a\s[^>]*href=["'']([^"'']*)["'']', 1)) AS links, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages""")
+  len(regexp_extract_all(html, '(?is)<a\s(?:[^>]*\s)?href\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''>]+)')) AS links, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages""")
 def html_meta(spark, sf):
     return wide_table(spark, sf, "pages", "page_id").select(
         "page_id", html.title(F.col("html")).alias("title"), F.size(html.links(F.col("html"))).alias("links"),

@@ -57,12 +57,12 @@ def read_csv(
     Bad bytes are replaced. Rows with too few or too many fields, or with a value that does not fit a declared type,
     keep what can be read; with ``corrupt`` a column of that name holds their text (null for other rows).
     Types are inferred from all rows unless ``schema`` is given; give it for large inputs, inference reads the rows once more.
-    With ``multi_line`` values may hold line ends, and a large file is still read by many tasks: records are cut
-    by :mod:`.chunked`, at the price of one written copy.
+    With ``multi_line`` values may hold line ends. A file larger than a split is still read by many tasks: records are cut
+    by :mod:`.chunked`, at the price of one written copy. Files that are one split each, with a schema, are left to Spark's reader.
     """
-    if multi_line:
+    if multi_line and (schema is None or largest_file(spark, path) > split_bytes(spark)):
         return _records_to_rows(spark, path, schema, corrupt)
-    reader = spark.read.options(header=True, escape='"', encoding="UTF-8", mode="PERMISSIVE")
+    reader = spark.read.options(header=True, multiLine=multi_line, escape='"', encoding="UTF-8", mode="PERMISSIVE")
     if corrupt and schema is not None:
         fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         reader = reader.option("columnNameOfCorruptRecord", corrupt)
@@ -71,6 +71,16 @@ def read_csv(
     return normalise_columns(reader.csv(path))
 
 
+def split_bytes(spark: SparkSession) -> int:
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgt]?)i?b?", spark.conf.get("spark.sql.files.maxPartitionBytes").lower()).groups()
+    return int(number) << 10 * " kmgt".index(unit or " ")
+
+
+def largest_file(spark: SparkSession, path: str) -> int:
+    """Bytes of the largest file; nothing but the listing is read."""
+    return spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0
+
+
 _OPTIONS = {"escape": '"', "mode": "PERMISSIVE", "multiLine": "true"}
 #: Types that a column may have, narrowest first; a column whose values fit none is a string.
 INFERRED = ("boolean", "bigint", "double", "date", "timestamp")

@@ -352,7 +352,10 @@ def test_multi_line_csv_in_many_tasks(spark, tmp_path, size):
     assert found.dtypes == [("id", "bigint"), ("text", "string"), ("x", "double")]
     # Spark's parser turns line ends inside quotes into line feeds
     line = lambda t: t.replace("\r\n", "\n").replace("\r", "\n")
-    assert sorted((r["id"], line(r["text"] or "")) for r in found.collect()) == [(int(i), line(t)) for i, t, _ in rows]
+    with narrow(spark, size):
+        given = files.read_csv(spark, str(path), "id bigint, text string, x double")
+    for df in (found, given):
+        assert sorted((r["id"], line(r["text"] or "")) for r in df.collect()) == [(int(i), line(t)) for i, t, _ in rows]
     assert splits > 10 if size else splits == 1
 
 
@@ -366,3 +369,20 @@ def test_csv_types_and_broken_rows(spark, tmp_path):
     empty = tmp_path / "e.csv"
     empty.write_text("a,b\n")
     assert files.read_csv(spark, str(empty)).dtypes == [("a", "string"), ("b", "string")]
+
+
+@pytest.mark.parametrize("page, text", [
+    ("it&#8217;s caf&eacute; &#x27;q&#x27; <a href=/x/y>go</a>", "it\u2019s caf\u00e9 'q' [go](/x/y)"),
+    ("&amp;lt; &amp;#65; &lt;b&gt; &#0; &#xD800; &#x110000; &#146; &#x1F600;", "&lt; &#65; <b> \ufffd \ufffd \ufffd \u2019 \U0001f600"),
+    ("a&nbsp;b&#160;c &copy 2020 &unknown; & &; &#; &notit; R&D", "a b c \u00a9 2020 &unknown; & &; &#; &notit; R&D"),
+    ("<a href='/a?x=1&amp;y=2'>one</a> <a class=k href = two target=_blank>2</a> <a>none</a>", "[one](/a?x=1&y=2) [2](two) [none]()"),
+    ("&nGt; &NotEqualTilde; &CounterClockwiseContourIntegral;", "\u226b\u20d2 \u2242\u0338 \u2233"),
+])
+def test_references_and_links(spark, page, text):
+    df = spark.createDataFrame([(page,)], "page string")
+    assert df.select(html.html_to_text(F.col("page"))).first()[0] == text
+
+
+def test_link_targets(spark):
+    df = spark.createDataFrame([("<a href=/x/y>go</a><a id=1 HREF='b?c&amp;d'>x</a><a title=t href=\"e\">y</a><a name=z>w</a>",)], "page string")
+    assert df.select(html.links(F.col("page"))).first()[0] == ["/x/y", "b?c&d", "e"]
