@@ -167,26 +167,36 @@ FILE_SQL = f"""f AS (SELECT page_id, html, 'page_' || page_id || list_extract([{
   list_extract([{", ".join(sx.q(e) for e in ENDINGS)}], CAST(page_id % 5 + 1 AS INTEGER)) AS ext FROM pages)"""
 
 
-def page_files(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages as file rows under varying endings, in the shape of the ``binaryFile`` source."""
+def page_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages under file names with varying endings."""
     ending = F.get(F.array(*[F.lit(e) for e in ENDINGS]), F.pmod("page_id", F.lit(len(ENDINGS))).cast("int"))
-    rows = wide_table(spark, sf, "pages", "page_id").select(
-        "page_id", F.col("url").alias("path"), F.concat(F.lit("page_"), F.col("page_id").cast("string"), ending).alias("name"),
-        F.encode("html", "UTF-8").alias("content"),
+    return table(spark, sf, "pages").select(
+        "page_id", F.concat(F.lit("page_"), F.col("page_id").cast("string"), ending).alias("name"), F.encode("html", "UTF-8").alias("content")
     )
-    return binaries.with_extension(rows.withColumn("length", F.length("content").cast("bigint")), "name")
+
+
+def page_folder(spark: SparkSession, sf: str) -> str:
+    folder = shared_path(spark, "page-files")
+    binaries.write_files(page_rows(spark, sf), folder)
+    return folder
+
+
+def page_id():
+    return F.regexp_extract("name", r"^page_(\d+)", 1).cast("bigint").alias("page_id")
 
 
 @query("scan_binary_magic", f"""WITH {FILE_SQL} SELECT page_id, ext, CASE WHEN octet_length(encode(html)) < 8 THEN false WHEN starts_with(html, '<!DOCTYPE') OR starts_with(html, '<html') THEN ext IN ('.html', '.htm')
   WHEN starts_with(html, '<?xml') THEN ext = '.xml' WHEN starts_with(html, '{{') OR starts_with(html, '[') THEN ext = '.json' ELSE true END AS valid FROM f""")
 def scan_binary_magic(spark, sf):
-    return page_files(spark, sf).select("page_id", "ext", binaries.valid_magic(F.col("content"), F.col("ext")).alias("valid"))
+    found = binaries.read_files(spark, page_folder(spark, sf))
+    return found.select(page_id(), "ext", binaries.valid_magic(F.col("content"), F.col("ext")).alias("valid"))
 
 
 @query("scan_size_guard", f"""WITH {FILE_SQL} SELECT page_id, CASE WHEN ext = '.exe' THEN 'File type not supported' WHEN octet_length(encode(html)) > 1048576 THEN 'File too large. Maximum size is 1MB. Your file is ' || format('{{:.1f}}', octet_length(encode(html)) / 1048576.0) || 'MB.' END AS reason FROM f""")
 def scan_size_guard(spark, sf):
     reason = binaries.reject_reason(F.col("length"), F.col("ext"), 1024 * 1024)
-    return page_files(spark, sf).select("page_id", reason.alias("reason"))
+    # names and lengths come from the listing; no file is opened
+    return binaries.read_files(spark, page_folder(spark, sf)).select(page_id(), reason.alias("reason"))
 
 
 def references_sql(expr: str) -> str:
@@ -206,17 +216,35 @@ def page_sql(expr: str) -> str:
 
 _PAGE_TEXT = page_sql("html")
 _READ_TEXT = TEXT_SQL.replace("md", "page")
-CONVERTED_SQL = f"""WITH {FILE_SQL}, u AS (SELECT page_id, url AS path, html, name, ext FROM f JOIN pages USING (page_id, html)),
-v AS (SELECT *, CASE WHEN octet_length(encode(html)) < 8 THEN false WHEN starts_with(html, '<!DOCTYPE') OR starts_with(html, '<html') THEN ext IN ('.html', '.htm')
-  WHEN starts_with(html, '<?xml') THEN ext = '.xml' WHEN starts_with(html, '{{') OR starts_with(html, '[') THEN ext = '.json' ELSE true END AS valid FROM u),
+CONVERTED_SQL = f"""WITH {FILE_SQL}, v AS (SELECT *, CASE WHEN octet_length(encode(html)) < 8 THEN false WHEN starts_with(html, '<!DOCTYPE') OR starts_with(html, '<html') THEN ext IN ('.html', '.htm')
+  WHEN starts_with(html, '<?xml') THEN ext = '.xml' WHEN starts_with(html, '{{') OR starts_with(html, '[') THEN ext = '.json' ELSE true END AS valid FROM f),
 e AS (SELECT *, CASE WHEN ext IN ('.pdf', '.exe') THEN 'Conversion failed: no converter for ' || ext WHEN NOT valid THEN 'Conversion failed: content does not match type' END AS error FROM v),
 t AS (SELECT *, CASE WHEN error IS NULL THEN CASE WHEN ext = '.html' THEN {_PAGE_TEXT} ELSE html END END AS page FROM e)
-SELECT path, regexp_replace(name, '\\.[^.]*$', '') || CASE WHEN error IS NULL THEN '.txt' ELSE '_error.txt' END AS output_name, length({_READ_TEXT}) AS chars, error FROM t"""
+SELECT page_id, regexp_replace(name, '\\.[^.]*$', '') || CASE WHEN error IS NULL THEN '.txt' ELSE '_error.txt' END AS output_name, length({_READ_TEXT}) AS chars, error FROM t"""
 
 
 @query("batch_convert", CONVERTED_SQL)
 def batch_convert(spark, sf):
-    return binaries.convert(page_files(spark, sf), "text").select("path", "output_name", F.length("text").alias("chars"), "error")
+    found = binaries.convert(binaries.read_files(spark, page_folder(spark, sf)), "text")
+    return found.select(page_id(), "output_name", F.length("text").alias("chars"), "error")
+
+
+@query("convert_accepted", CONVERTED_SQL + " WHERE ext IN ('.html', '.txt', '.pdf', '.json') AND octet_length(encode(html)) <= 2000")
+def convert_accepted(spark, sf):
+    """Only files that pass the guard are opened: the length is a filter of the source."""
+    found = binaries.convert(binaries.accepted_files(spark, page_folder(spark, sf), 2000), "text")
+    return found.select(page_id(), "output_name", F.length("text").alias("chars"), "error")
+
+
+@query("convert_archives", CONVERTED_SQL)
+def convert_archives(spark, sf):
+    """Ten pages an archive, read back member by member."""
+    folder = shared_path(spark, "page-archives")
+    rows = page_rows(spark, sf)
+    archive = F.concat(F.lit("pages_"), F.floor(F.col("page_id") / 10).cast("string"), F.lit(".zip"))
+    binaries.write_files(binaries.zipped(rows, archive), folder)
+    found = binaries.convert(binaries.expand_archives(binaries.read_files(spark, folder)), "text")
+    return found.select(page_id(), "output_name", F.length("text").alias("chars"), "error")
 
 
 @query("html_to_text", f"SELECT page_id, {page_sql('html')} AS text FROM pages")

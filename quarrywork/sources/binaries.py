@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.fixed import CONVERTIBLE_EXTENSIONS, MAGIC_BYTES, MAX_FILE_BYTES, TEXT_EXTENSIONS
 from ..functions.markdown import md_to_text
+from ..session import materialize
 from .html import html_to_text
 
 
@@ -21,6 +25,47 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return with_extension(files.withColumn("name", name).filter(~F.startswith("name", F.lit("."))), "name")
 
 
+def accepted_files(spark: SparkSession, path: str, limit: int = MAX_FILE_BYTES) -> DataFrame:
+    """The files below ``path`` that may be converted; the source itself leaves larger ones unopened."""
+    return read_files(spark, path).filter((F.col("length") <= limit) & F.col("ext").isin(*CONVERTIBLE_EXTENSIONS))
+
+
+def write_files(files: DataFrame, folder: str, name: str = "name", content: str = "content") -> DataFrame:
+    """Write every row's bytes as a file of its own below ``folder``, from the tasks; returns name and length.
+
+    Names must be unique; a repeated task writes the same file again. ``folder`` lies where all executors can reach it.
+    """
+    place = re.sub(r"^file:/+", "/", folder)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = fs.FileSystem.from_uri(place)
+        system.create_dir(base, recursive=True)
+        for batch in batches:
+            sizes = []
+            for own, data in zip(*[batch.column(c).to_pylist() for c in ("name", "content")]):
+                with system.open_output_stream(f"{base}/{own}", compression=None) as out:
+                    out.write(data)
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(sizes, pa.int64())], names=["name", "length"])
+
+    rows = files.select(F.col(name).alias("name"), F.col(content).cast("binary").alias("content")).filter("name is not null and content is not null")
+    return materialize(rows.mapInArrow(write, "name string, length bigint"), "written-files")
+
+
+def zipped(files: DataFrame, group: Column, name: str = "name", content: str = "content") -> DataFrame:
+    """One ZIP file per ``group``: its name and bytes. A group is as large as the archive that is wanted."""
+
+    def pack(table: pa.Table) -> pa.Table:
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as archive:
+            for own, body in sorted(zip(table.column("name").to_pylist(), table.column("content").to_pylist())):
+                archive.writestr(zipfile.ZipInfo(own), body)
+        return pa.table({"name": pa.array([table.column("archive")[0].as_py()], pa.string()), "content": pa.array([data.getvalue()], pa.binary())})
+
+    rows = files.select(group.cast("string").alias("archive"), F.col(name).alias("name"), F.col(content).cast("binary").alias("content"))
+    return rows.groupBy("archive").applyInArrow(pack, "name string, content binary")
+
+
 def with_extension(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn("ext", F.lower(F.regexp_extract(F.col(name), r"(\.[^./]+)$", 1)))
 

@@ -386,3 +386,15 @@ def test_references_and_links(spark, page, text):
 def test_link_targets(spark):
     df = spark.createDataFrame([("<a href=/x/y>go</a><a id=1 HREF='b?c&amp;d'>x</a><a title=t href=\"e\">y</a><a name=z>w</a>",)], "page string")
     assert df.select(html.links(F.col("page"))).first()[0] == ["/x/y", "b?c&d", "e"]
+
+
+def test_files_written_from_tasks_and_the_pushed_length(spark, tmp_path):
+    rows = spark.createDataFrame([(f"p{i}.txt", bytes([65] * (i * 100))) for i in range(1, 9)] + [("x.exe", b"1"), (None, b"2")], "name string, content binary")
+    folder = shared_root(spark) + "/files-test-" + tmp_path.name
+    assert binaries.write_files(rows.repartition(3), folder).count() == 9
+    found = binaries.accepted_files(spark, folder, 350)
+    assert sorted((r["name"], len(r["content"])) for r in found.collect()) == [(f"p{i}.txt", i * 100) for i in (1, 2, 3)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(length,350)" in plan
+    listed = binaries.read_files(spark, folder).select("name", "length")._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in listed
