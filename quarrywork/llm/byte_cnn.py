@@ -22,7 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import in_batches, passed, per_process, pieces_of_work, restored
+from ..session import materialize
+from .common import in_batches, meet, passed, per_process, pieces_of_work, restored
 
 LENGTH = 256
 WIDTHS = (2, 3, 4)
@@ -141,13 +142,14 @@ def sample_windows(docs: DataFrame, usable: Column, key: str, text: str, label:
     """Training windows and their labels: about ``DOCS`` documents of each label, ``WINDOWS`` of each."""
     rows = docs.filter(usable & F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
     rows = rows.select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.lit("sample")).alias("h"))
-    n_labels = rows.select("label").distinct().count()
+    counts = materialize(rows.groupBy("label").agg(F.count("*").alias("n"), F.min("h").alias("first")), "label-counts")
+    n_labels = counts.count()
     if not n_labels:
         return np.zeros((0, LENGTH), dtype=np.int16), []
     share = F.least(F.lit(1.0), F.lit(max(1, min(DOCS, TRAINED // n_labels))) / F.col("n"))
-    # of a label with few rows the first by hash is there in any case
-    counts = rows.groupBy("label").agg(F.count("*").alias("n"), F.min("h").alias("first"))
-    chosen = rows.join(counts, "label").filter(((F.col("h") / F.lit(2.0**64) + 0.5) < share) | (F.col("h") == F.col("first")))
+    # of a label with few rows the first by hash is there in any case; texts are not exchanged while the labels fit a broadcast
+    labelled = meet(rows, counts, ["label"], "inner", n_labels, ["h"])
+    chosen = labelled.filter(((F.col("h") / F.lit(2.0**64) + 0.5) < share) | (F.col("h") == F.col("first")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

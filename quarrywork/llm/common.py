@@ -188,3 +188,18 @@ def join_hot(rows: DataFrame, by_key: DataFrame, key: str, size: str) -> DataFra
     hot = F.broadcast(by_key.filter(is_hot))
     rest = rows.join(hot.select(key), key, "left_anti").join(by_key.filter(~is_hot), key)
     return rows.join(hot, key).unionByName(rest)
+
+
+#: Rows of a small side that may be broadcast, about 100 bytes each.
+BROADCAST = 1_000_000
+#: Shares of a key beyond that.
+SALTS = 16
+
+
+def meet(rows: DataFrame, few: DataFrame, keys: list[str], how: str, n: int, spread: list[str]) -> DataFrame:
+    """``rows`` joined with the ``n`` rows of ``few``: broadcast while they are few, salted by ``spread`` beyond."""
+    if n <= BROADCAST:
+        return rows.join(F.broadcast(few), keys, how)
+    dealt = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
+    return salted.join(dealt, [*keys, "salt"], how).drop("salt")

@@ -12,8 +12,8 @@ All places of the smallest hash are fingerprints, so ties lose nothing.
 3. A document's hit words are the union of its windows.
 
 Texts are not exchanged in the first step: a fingerprint and the row's locator are. The items' fingerprints and
-windows are broadcast while there are at most ``BROADCAST`` of them. Beyond that both sides are dealt by a salt of
-``SALTS`` shares, so that a fingerprint in a third of all rows is spread over many tasks.
+windows are broadcast while there are at most ``common.BROADCAST`` of them. Beyond that both sides are dealt by a salt of
+``common.SALTS`` shares, so that a fingerprint in a third of all rows is spread over many tasks.
 
 Words are maximal runs of ``WORD`` in the text with A-Z lowered. Null and empty texts, and texts without a word, have no
 word and no hit. Repeated rows and null identifiers get a row each. Items without a word have no window. Items with a null
@@ -27,16 +27,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialize
-from .common import FILE, ROW, carried, placed, whole_text
+from .common import FILE, ROW, carried, meet, placed, whole_text
 
 #: Letters, digits and all characters beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same before A-Z are lowered.
 _RAW = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Rows of the items' side that may be broadcast, about 100 bytes each.
-BROADCAST = 1_000_000
-#: Shares of a key beyond that.
-SALTS = 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -112,15 +108,6 @@ def all_least(kinds: list[Winnow]) -> Column:
     return F.array_distinct(F.concat(*parts) if len(parts) > 1 else parts[0])
 
 
-def meet(rows: DataFrame, few: DataFrame, keys: list[str], how: str, n: int, spread: list[str]) -> DataFrame:
-    """``rows`` joined with the ``n`` rows of ``few``: broadcast while they are few, salted by ``spread`` beyond."""
-    if n <= BROADCAST:
-        return rows.join(F.broadcast(few), keys, how)
-    dealt = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
-    return salted.join(dealt, [*keys, "salt"], how).drop("salt")
-
-
 def hit_windows(there: DataFrame, windows: DataFrame, text: Column) -> DataFrame:
     """file, row, at, size, window: every window of a document that is an item's. ``there`` has a locator."""
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # at most ``window`` rows

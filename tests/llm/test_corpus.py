@@ -10,7 +10,7 @@ import odd
 import pytest
 from pyspark.sql import functions as F
 
-from quarrywork.llm import decontamination, lexical_search, source_audit
+from quarrywork.llm import common, decontamination, lexical_search, source_audit
 from quarrywork.llm.decontamination import Winnow, decontaminate
 from quarrywork.llm.lexical_search import lexical_top
 from quarrywork.llm.source_audit import divergence
@@ -74,7 +74,7 @@ def found_hits(rows):
 
 @pytest.mark.parametrize("most", [1_000_000, 0])
 def test_decontamination_of_odd_texts(spark, odd_docs, no_docs, monkeypatch, most):
-    monkeypatch.setattr(decontamination, "BROADCAST", most)
+    monkeypatch.setattr(common, "BROADCAST", most)
     got = decontaminate(odd_docs, items_of(spark, ODD_ITEMS)).collect()
     assert found_hits(got) == brute_hits(odd.rows(), ODD_ITEMS)
     if most:
