@@ -115,13 +115,15 @@ def guard_sql(sql: Column) -> Column:
     Read-only queries start with SELECT or WITH; the keyword check also fires inside
     literals, on purpose.
     """
-    upper = F.upper(sql)
-    verdict = F.when(F.coalesce(sql, F.lit("")) == "", "Empty SQL query")
-    for keyword in fixed.BLOCKED_KEYWORDS:
-        verdict = verdict.when(
-            F.rlike(upper, F.lit(rf"(?U)\b{keyword}\b")), f"Blocked operation: {keyword} is not allowed"
-        )
-    verdict = verdict.when(~F.rlike(upper, F.lit("(?U)" + OPENS_QUERY)), "Only SELECT queries are allowed")
-    for pattern, message in (*SUSPICIOUS, *UNSAFE):
-        verdict = verdict.when(F.rlike(upper, F.lit("(?U)" + pattern)), message)
-    return verdict
+    def judged(upper: Column) -> Column:
+        verdict = F.when(upper == "", "Empty SQL query")
+        for keyword in fixed.BLOCKED_KEYWORDS:
+            # the search for the bare word is cheap and mostly enough
+            named = F.contains(upper, F.lit(keyword)) & F.rlike(upper, F.lit(rf"(?U)\b{keyword}\b"))
+            verdict = verdict.when(named, f"Blocked operation: {keyword} is not allowed")
+        verdict = verdict.when(~F.rlike(upper, F.lit("(?U)" + OPENS_QUERY)), "Only SELECT queries are allowed")
+        for pattern, message in (*SUSPICIOUS, *UNSAFE):
+            verdict = verdict.when(F.rlike(upper, F.lit("(?U)" + pattern)), message)
+        return verdict
+
+    return judged(F.upper(F.coalesce(sql, F.lit(""))))

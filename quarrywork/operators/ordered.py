@@ -167,21 +167,49 @@ def merge_session_parts(reduced: DataFrame, keys: list[str], idle_seconds: int)
     )
 
 
-def interval_lookup(
-    points: DataFrame, at: str, intervals: DataFrame, low: str, high: str, width: int, payload: list[str]
-) -> DataFrame:
-    """Range join of points with non-overlapping half-open intervals ``[low, high)``.
+#: Levels of cells: whole numbers of 62 bits.
+LEVELS = 62
+
+
+def covering_cells(low: Column, high: Column) -> Column:
+    """The cells of doubling width that make up ``[low, high)``: at most two of each level, disjoint.
+
+    On every level the part that is left begins at ``ceil(low / 2^k)`` and ends at ``floor(high / 2^k)``; an odd cell at
+    either end has no whole parent inside the interval, so it is listed there.
+    """
+    levels = F.sequence(F.lit(0), F.lit(LEVELS - 1))
+    ends = F.transform(levels, lambda k: F.struct(k.alias("level"), _shifted_up(low, k).alias("first"), _shifted(high, k).alias("end")))
+    alive = F.filter(ends, lambda x: x["first"] < x["end"])
+    odd = lambda c: F.pmod(c, F.lit(2)) == 1
+    cell = lambda x, c: F.struct(x["level"].alias("level"), c.alias("cell"))
+    left = F.transform(F.filter(alive, lambda x: odd(x["first"])), lambda x: cell(x, x["first"]))
+    right = F.transform(F.filter(alive, lambda x: odd(x["end"])), lambda x: cell(x, x["end"] - 1))
+    return F.concat(left, right)
+
+
+def _shifted(value: Column, level: Column) -> Column:
+    """floor(value / 2^level)."""
+    return F.call_function("shiftright", value, level)
+
+
+def _shifted_up(value: Column, level: Column) -> Column:
+    """ceil(value / 2^level)."""
+    return -_shifted(-value, level)
+
+
+def interval_lookup(points: DataFrame, at: str, intervals: DataFrame, low: str, high: str, payload: list[str]) -> DataFrame:
+    """Range join of points with half-open intervals ``[low, high)`` of whole numbers; intervals may overlap.
 
-    Each interval is listed under the fixed-width cells it covers and points are
-    matched by cell, an equi join that AQE can broadcast or split when skewed. ``low``
-    and ``high`` are whole numbers; a point meets at most one interval.
+    An interval is listed under the cells of doubling width that make it up, at most two of each level however long it
+    is; a point lies in one cell of each level. Every pair meets in exactly one cell, an equi join that AQE
+    can broadcast or split when skewed. Points are looked up on the levels that occur. Empty intervals and nulls meet nothing.
     """
-    def cell(col: Column) -> Column:
-        return F.floor(col / F.lit(width))
-
-    listed = intervals.withColumn(
-        "_cell", F.explode(F.sequence(cell(F.col(low)), cell(F.col(high) - 1)))
-    ).select("_cell", F.col(low).alias("_low"), F.col(high).alias("_high"), *payload)
-    placed = points.withColumn("_cell", cell(F.col(at)))
-    hit = (F.col(at) >= F.col("_low")) & (F.col(at) < F.col("_high"))
-    return placed.join(listed, "_cell").filter(hit).select(*points.columns, *payload)
+    bounds = intervals.select(F.col(low).cast("bigint").alias("_low"), F.col(high).cast("bigint").alias("_high"), *payload)
+    listed = bounds.filter("_low < _high").withColumn("_listed", F.explode(covering_cells(F.col("_low"), F.col("_high"))))
+    listed = materialize(listed.select(F.col("_listed.level").alias("_level"), F.col("_listed.cell").alias("_cell"), *payload), "cells")
+    levels = [r["_level"] for r in listed.select("_level").distinct().collect()]  # at most LEVELS
+    value = F.col(at).cast("bigint")
+    cells = F.array(*[F.struct(F.lit(k).alias("level"), _shifted(value, F.lit(k)).alias("cell")) for k in sorted(levels)])
+    placed = points.filter(value.isNotNull()).withColumn("_at", F.explode(cells)) if levels else points.withColumn("_at", F.lit(None).cast("struct<level:int,cell:bigint>"))
+    found = placed.withColumns({"_level": F.col("_at.level"), "_cell": F.col("_at.cell")}).join(listed, ["_level", "_cell"])
+    return found.select(*points.columns, *payload)

@@ -10,7 +10,7 @@ from ..functions import fixed
 from ..functions.numbers import half_up
 from ..operators import ordered, sandbox
 from ..operators.topn import top_n_per_group
-from ..session import shared_path, table
+from ..session import materialize, shared_path, table
 from ..sources import catalog
 from .decision_queries import CLEAN, GUARD, STATEMENTS
 from .mapping import rounded
@@ -62,7 +62,23 @@ def join_range(spark, sf):
         "tier", (F.col("tier") * 10000).alias("low"), (F.col("tier") * 10000 + 7500).alias("high")
     )
     points = table(spark, sf, "orders").select("o_orderkey", F.floor("o_totalprice").alias("at"))
-    return ordered.interval_lookup(points, "at", tiers, "low", "high", 10000, ["tier"]).select("o_orderkey", "tier")
+    return ordered.interval_lookup(points, "at", tiers, "low", "high", ["tier"]).select("o_orderkey", "tier")
+
+
+@query("join_range_overlapping", """
+WITH spans AS (SELECT o_orderkey AS span, CAST(floor(o_totalprice) AS BIGINT) - 5 AS low, CAST(floor(o_totalprice) AS BIGINT) + o_orderkey % 7 AS high FROM orders WHERE o_orderstatus = 'P'
+  UNION ALL SELECT -1, -1000000000000, 1000000000000)
+SELECT c_custkey, COUNT(*) AS spans, SUM(span)::BIGINT AS total FROM customer JOIN spans ON CAST(floor(c_acctbal * 20) AS BIGINT) >= low AND CAST(floor(c_acctbal * 20) AS BIGINT) < high GROUP BY c_custkey""")
+def join_range_overlapping(spark, sf):
+    """One interval over the whole axis and many narrow ones that overlap."""
+    price = F.floor("o_totalprice")
+    narrow = table(spark, sf, "orders").filter("o_orderstatus = 'P'").select(
+        F.col("o_orderkey").cast("bigint").alias("span"), (price - 5).alias("low"), (price + F.col("o_orderkey") % 7).alias("high")
+    )
+    spans = narrow.unionByName(spark.range(1).select(F.lit(-1).cast("bigint").alias("span"), F.lit(-10**12).alias("low"), F.lit(10**12).alias("high")))
+    points = table(spark, sf, "customer").select("c_custkey", F.floor(F.col("c_acctbal") * 20).alias("at"))
+    met = ordered.interval_lookup(points, "at", spans, "low", "high", ["span"])
+    return met.groupBy("c_custkey").agg(F.count("*").alias("spans"), F.sum("span").alias("total"))
 
 
 @query("join_asof", """
@@ -107,6 +123,38 @@ def agg_approx_distinct(spark, sf):
     )
 
 
+@query("agg_stored_sketches", """
+WITH d AS (SELECT CAST(ts AS DATE) AS day, event_type, user_id FROM events),
+s AS (SELECT user_id, bool_or(event_type = 'click') AS c, bool_or(event_type = 'purchase') AS p FROM d GROUP BY user_id)
+SELECT 'hll' AS sketch, 'union' AS part, COUNT(*) FILTER (c OR p) AS users, true AS within_bound FROM s
+UNION ALL SELECT 'theta', 'union', COUNT(*) FILTER (c OR p), true FROM s
+UNION ALL SELECT 'theta', 'intersection', COUNT(*) FILTER (c AND p), true FROM s""")
+def agg_stored_sketches(spark, sf):
+    """Sketches of each day and event type are stored; unions and intersections over all days read sketches alone."""
+    events = table(spark, sf, "events").filter(F.col("event_type").isin("click", "purchase")).select(
+        F.to_date("ts").alias("day"), "event_type", F.col("user_id").cast("bigint").alias("user_id")
+    )
+    daily = events.groupBy("day", "event_type").agg(
+        F.hll_sketch_agg("user_id", 14).alias("hll"), F.theta_sketch_agg("user_id", 14).alias("theta")
+    )
+    stored = materialize(daily, "daily-sketches")
+    of = lambda kind: F.theta_union_agg(F.when(F.col("event_type") == kind, F.col("theta")), 14)
+    total = stored.agg(F.hll_union_agg("hll").alias("hll"), F.theta_union_agg("theta", 14).alias("theta"), of("click").alias("c"), of("purchase").alias("p"))
+    near = total.select(F.inline(F.array(
+        F.struct(F.lit("hll").alias("sketch"), F.lit("union").alias("part"), F.hll_sketch_estimate("hll").alias("near")),
+        F.struct(F.lit("theta").alias("sketch"), F.lit("union").alias("part"), F.theta_sketch_estimate("theta").alias("near")),
+        F.struct(F.lit("theta").alias("sketch"), F.lit("intersection").alias("part"), F.theta_sketch_estimate(F.theta_intersection("c", "p")).alias("near")),
+    )))
+    has = lambda kind: F.bool_or(F.col("event_type") == kind)
+    users = events.groupBy("user_id").agg((has("click") & has("purchase")).alias("both"))
+    exact = users.agg(F.count("*").alias("either"), F.count_if("both").alias("both"))
+    exact = exact.select(F.inline(F.array(F.struct(F.lit("union").alias("part"), F.col("either").alias("users")), F.struct(F.lit("intersection").alias("part"), F.col("both").alias("users")))))
+    # three standard errors of 2^14 entries; an intersection's error is relative to the union
+    bound = 3 / 2**7 * F.max("users").over(Window.partitionBy(F.lit(0)))
+    exact = exact.withColumn("bound", bound)
+    return near.join(exact, "part").select("sketch", "part", "users", (F.abs(F.col("near") - F.col("users")) <= F.col("bound")).alias("within_bound"))
+
+
 # -- windows ------------------------------------------------------------------------------
 
 
@@ -284,6 +332,23 @@ sql_query(
 )
 
 
+@query("fn_variant", """SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(NULL AS BIGINT) AS wrong_type, event_type AS kind, event_id % 3 AS second, CAST(NULL AS VARCHAR) AS missing,
+  'OBJECT<items: ARRAY<BIGINT>, kind: STRING, props: OBJECT<k: BIGINT>>' AS shape FROM events""")
+def fn_variant(spark, sf):
+    """Nested values stored as VARIANT in Parquet: paths, wrong types, missing fields and the schema of all rows."""
+    nested = F.concat(
+        F.lit('{"kind":"'), "event_type", F.lit('","props":'), "props", F.lit(',"items":['), F.col("event_id").cast("string"), F.lit(","),
+        (F.col("event_id") % 3).cast("string"), F.lit("]}"),
+    )
+    stored = materialize(table(spark, sf, "events").select("event_id", F.parse_json(nested).alias("v")), "variants")
+    shape = stored.select(F.schema_of_variant_agg("v").alias("shape")).scalar()
+    return stored.select(
+        "event_id", F.variant_get("v", "$.props.k", "bigint").alias("k"), F.try_variant_get("v", "$.kind", "bigint").alias("wrong_type"),
+        F.variant_get("v", "$.kind", "string").alias("kind"), F.variant_get("v", "$.items[1]", "bigint").alias("second"),
+        F.try_variant_get("v", "$.none", "string").alias("missing"), shape.alias("shape"),
+    )
+
+
 @query("fn_array_map", """
 SELECT doc_id, list_sum(list_transform(ws, lambda w: length(w))) AS letters, len(list_filter(ws, lambda w: length(w) > 6)) AS long_words, list_contains(ws, 'the') AS has_the,
   ws[1] AS first_word, len(list_distinct(ws)) AS vocabulary FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM documents)""")
