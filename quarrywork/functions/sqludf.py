@@ -1,7 +1,8 @@
 """Functions a user can call from SQL.
 
 The text functions are SQL functions: Spark inlines their body, so they cost no
-Python and stay inside the optimised plan. ``chunk_document`` is a table function.
+Python and stay inside the optimised plan. ``chunk_document`` is a table function for one text,
+``chunk_table`` one for a whole table, batch by batch.
 """
 
 from __future__ import annotations
@@ -9,8 +10,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
+from pyspark.sql.functions import arrow_udtf, udtf
 
 from . import packers
 from .markdown import EMAIL_MASK, EMAIL_PATTERN, TEXT_RULES, java_pattern, java_replacement
@@ -46,23 +48,45 @@ def function_bodies() -> dict[str, tuple[str, str]]:
     }
 
 
+def chunks_of(text: str | None, size: int, overlap: int, strategy: str) -> Iterator[tuple]:
+    """idx, text, token_count, char_count, start_char, end_char of each chunk; sizes are kept within their limits."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown chunking strategy {strategy!r}; known: {', '.join(sorted(STRATEGIES))}")
+    if text is None or not text.strip():
+        return
+    size = max(64, min(size, 8192))
+    overlap = max(0, min(overlap, size // 2))
+    for i, (body, low, high) in enumerate(STRATEGIES[strategy](text, size, overlap)):
+        tokens = len(WORD.findall(body)) if strategy == "token" else packers.estimate(body)
+        yield i, body, tokens, len(body), low, high
+
+
 @udtf(returnType="idx int, text string, token_count int, char_count int, start_char int, end_char int")
 class ChunkDocument:
     """``chunk_document(text, size, overlap, strategy)`` for LATERAL joins."""
 
     def eval(self, text: str, size: int, overlap: int, strategy: str) -> Iterator[tuple]:
-        if text is None or not text.strip():
-            return
-        size = max(64, min(size, 8192))
-        overlap = max(0, min(overlap, size // 2))
-        if strategy not in STRATEGIES:
-            raise ValueError(f"unknown chunking strategy {strategy!r}; known: {', '.join(sorted(STRATEGIES))}")
-        for i, (body, low, high) in enumerate(STRATEGIES[strategy](text, size, overlap)):
-            tokens = len(WORD.findall(body)) if strategy == "token" else packers.estimate(body)
-            yield i, body, tokens, len(body), low, high
+        yield from chunks_of(text, size, overlap, strategy)
+
+
+@arrow_udtf(returnType="key string, idx int, text string, token_count int, char_count int, start_char int, end_char int")
+class ChunkTable:
+    """``chunk_table(TABLE(...), size, overlap, strategy)``: a table of key and text, batches in and batches out.
+
+    Sizes and strategies are those of ``chunk_document``; ``key`` comes back as text. Null and blank texts give no chunk.
+    """
+
+    def eval(self, rows: pa.RecordBatch, size: pa.Array, overlap: pa.Array, strategy: pa.Array) -> Iterator[pa.Table]:
+        given = {"size": size[0].as_py(), "overlap": overlap[0].as_py(), "strategy": strategy[0].as_py()}
+        keys, texts = rows.column(0).cast(pa.string()).to_pylist(), rows.column(1).to_pylist()
+        found = [(key, *chunk) for key, text in zip(keys, texts) for chunk in chunks_of(text, **given)]
+        kinds = (pa.string(), pa.int32(), pa.string(), *[pa.int32()] * 4)
+        names = ("key", "idx", "text", "token_count", "char_count", "start_char", "end_char")
+        yield pa.table([pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)], names=names)
 
 
 def register_functions(spark: SparkSession) -> None:
     for name, (returns, body) in function_bodies().items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(t STRING) RETURNS {returns} RETURN {body}")
     spark.udtf.register("chunk_document", ChunkDocument)
+    spark.udtf.register("chunk_table", ChunkTable)

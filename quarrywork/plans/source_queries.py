@@ -15,7 +15,7 @@ from . import sqltext as sx
 from .chunk_queries import CHAR_SQL
 from .decision_queries import case_of
 from .mapping import K_SQL, prop_k
-from .registry import query
+from .registry import REGISTRY, query
 from .text_queries import TEXT_SQL
 
 
@@ -329,6 +329,28 @@ def udtf_chunk(spark, sf):
       FROM documents d, LATERAL chunk_document(d.text, 512, 50, 'character') c""")
 
 
+def chunk_table(spark: SparkSession, sf: str, size: int, overlap: int, strategy: str) -> DataFrame:
+    wide_table(spark, sf, "documents", "doc_id").createOrReplaceTempView("documents")
+    register_functions(spark)
+    return spark.sql(f"""SELECT CAST(key AS BIGINT) AS doc_id, idx, md5(text) AS digest, token_count, char_count, start_char, end_char
+      FROM chunk_table(TABLE(SELECT doc_id, text FROM documents), {size}, {overlap}, '{strategy}')""")
+
+
+@query("udtf_chunk_table", CHAR_SQL)
+def udtf_chunk_table(spark, sf):
+    return chunk_table(spark, sf, 512, 50, "character")
+
+
+@query("udtf_chunk_table_token", REGISTRY["chunk_token"].sql)
+def udtf_chunk_table_token(spark, sf):
+    return chunk_table(spark, sf, 128, 16, "token")
+
+
+@query("udtf_chunk_table_fixed", REGISTRY["chunk_fixed"].sql)
+def udtf_chunk_table_fixed(spark, sf):
+    return chunk_table(spark, sf, 512, 50, "fixed_size")
+
+
 @query("api_stats_rollup")
 def api_stats_rollup(spark, sf):
     from .decision_queries import priced

@@ -184,3 +184,16 @@ def test_table_function_refuses_unknown_strategies(spark):
     register_functions(spark)
     with pytest.raises(Exception, match="unknown chunking strategy"):
         spark.sql("SELECT * FROM chunk_document('some text', 100, 10, 'by_moon')").collect()
+
+
+@pytest.mark.parametrize("strategy", ["fixed_size", "token", "character", "recursive_character", "semantic_window"])
+def test_chunks_of_a_whole_table_from_sql(spark, sf, strategy):
+    from quarrywork.functions.sqludf import register_functions
+
+    register_functions(spark)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs.unionByName(docs.limit(1).withColumn("text", F.lit(None).cast("string"))).createOrReplaceTempView("chunk_docs")
+    columns = ["doc_id", "idx", "text", "token_count", "char_count", "start_char", "end_char"]
+    called = spark.sql(f"SELECT CAST(key AS BIGINT) AS doc_id, * FROM chunk_table(TABLE(SELECT doc_id, text FROM chunk_docs), 100, 10, '{strategy}')").select(columns)
+    built = chunking.chunk_documents(docs, "text", ["doc_id"], 100, 10, strategy).select(columns)
+    assert sorted(map(tuple, called.collect())) == sorted(map(tuple, built.collect()))
