@@ -90,7 +90,38 @@ def chunk_char(spark, sf):
     return chunk_rows(chunks(spark, sf, "character"))
 
 
-@query("chunk_paragraph")
+def packed_sql(source: str, parts: str, joiner: str, fits: str, carry: str) -> str:
+    """Greedy packing piece by piece as a recursive table; ``parts`` are the raw pieces in order, ``source`` gives doc_id and t."""
+    grown = f"length(cur) + {len(joiner.replace('chr(10)', 'n').replace(chr(39), '').replace(' || ', ''))} + length(body)"
+    return f"""{source},
+raw AS (SELECT doc_id, unnest({parts}) AS part, generate_subscripts({parts}, 1) AS i FROM src),
+placed AS (SELECT doc_id, i, part, COALESCE(SUM(length(part)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low FROM raw),
+bodies AS (SELECT doc_id, i, {sx.strip("part")} AS body, low + length(part) - length({sx.replace_all("part", r"^\s+")}) AS low FROM placed),
+pieces AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, body, CAST(low AS BIGINT) AS low, CAST(low + length(body) AS BIGINT) AS high FROM bodies WHERE body <> ''),
+walk AS (
+  SELECT doc_id, k, body AS cur, low AS s, high AS e, CAST(NULL AS VARCHAR) AS done, CAST(NULL AS BIGINT) AS ds, CAST(NULL AS BIGINT) AS de FROM pieces WHERE k = 1
+  UNION ALL
+  SELECT w.doc_id, p.k, CASE WHEN {fits.format(n=grown)} THEN cur || {joiner} || body WHEN {carry} = '' THEN body ELSE {carry} || {joiner} || body END,
+         CASE WHEN {fits.format(n=grown)} THEN s ELSE p.low END, p.high, CASE WHEN NOT ({fits.format(n=grown)}) THEN cur END, s, e
+  FROM walk w JOIN pieces p ON p.doc_id = w.doc_id AND p.k = w.k + 1),
+found AS (SELECT doc_id, k - 1 AS k, done AS t, ds AS s, de AS e FROM walk WHERE done IS NOT NULL
+  UNION ALL SELECT doc_id, k, cur, s, e FROM walk QUALIFY k = MAX(k) OVER (PARTITION BY doc_id)),
+x AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS idx, {sx.strip("t")} AS t, s, e FROM found)
+SELECT doc_id, idx, md5(t) AS digest, CASE WHEN length(t) = 0 THEN 0 ELSE greatest(1, length(t) // 4) END AS token_count, length(t) AS char_count, s AS start_char, e AS end_char"""
+
+
+# the breaks go with the piece before them: offsets are sums of lengths
+PARAGRAPH_SQL = packed_sql(
+    f"WITH RECURSIVE {MD_DOCS}, src AS (SELECT doc_id, md AS t FROM md_docs)", r"regexp_extract_all(t, '(?s).*?\n\n|.+\z')", "chr(10) || chr(10)",
+    f"{{n}} <= {4 * SIZE}", f"right(cur, {4 * OVERLAP})",
+) + f", length(t) > {4 * SIZE} AS is_oversize FROM x"
+SENTENCE_SQL = packed_sql(
+    "WITH RECURSIVE src AS (SELECT doc_id, text AS t FROM documents)", f"regexp_extract_all(t, {sx.q('(?s)' + sx.re2('.*?(?:[.!?]+' + chr(92) + 's+|' + chr(92) + 'n{2,})|.+' + chr(92) + 'z'))})",
+    "' '", f"greatest(1, ({{n}}) // 4) <= {SIZE}", f"array_to_string(list_slice({sx.words('cur')}, -{-(-OVERLAP // 4)}, -1), ' ')",
+) + " FROM x"
+
+
+@query("chunk_paragraph", PARAGRAPH_SQL)
 def chunk_paragraph(spark, sf):
     packed = chunking.chunk_packed(md_docs(spark, sf), "md", ["doc_id"], "recursive_character", SIZE, OVERLAP)
     flagged = chunking.mark_oversize(packed, SIZE)
@@ -98,7 +129,7 @@ def chunk_paragraph(spark, sf):
                           "start_char", "end_char", "is_oversize")
 
 
-@query("chunk_sentence")
+@query("chunk_sentence", SENTENCE_SQL)
 def chunk_sentence(spark, sf):
     return chunk_rows(chunks(spark, sf, "semantic_window"))
 
