@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import fixed, requests as rq
 from ..functions.numbers import half_up, hash_prefix, human_bytes
-from ..operators import costs, evaluation, experiments, reports, routing
+from ..operators import costs, evaluation, experiments, lookup, reports, routing
 from ..session import table
 from . import sqltext as sx
 from .mapping import AS_OF_SQL, K_SQL, MODEL_REQUESTS, as_of, davg, dsum, model_requests, prop_k, rounded
@@ -462,3 +462,14 @@ ANSWERS = (("what is", "product"), ("api", "interface"), ("summar", "summary"),
     f"WHEN contains(lower(prompt), {sx.q(k)}) THEN {sx.q(v)}" for k, v in ANSWERS) + " END AS answer FROM prompts")
 def first_match_lookup(spark, sf):
     return prompts(spark, sf).select("conv_id", "turn", rq.first_match(F.col("prompt"), ANSWERS).alias("answer"))
+
+
+@query("first_match_table", """WITH k AS (SELECT word, MIN(item_id) AS item_id FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{7,}')) AS word FROM benchmark) GROUP BY word),
+h AS (SELECT conv_id, turn, MIN(printf('%019d', item_id) || ' ' || word) AS hit FROM conversations JOIN k ON contains(lower(text), word) GROUP BY conv_id, turn)
+SELECT conv_id, turn, split_part(hit, ' ', 2) || '@' || CAST(CAST(split_part(hit, ' ', 1) AS BIGINT) AS VARCHAR) AS answer FROM conversations LEFT JOIN h USING (conv_id, turn)""")
+def first_match_table(spark, sf):
+    items = table(spark, sf, "benchmark")
+    words = items.select("item_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{7,}"), F.lit(0))).alias("needle"))
+    keys = words.withColumn("answer", F.concat_ws("@", "needle", F.col("item_id").cast("string")))
+    found = lookup.first_match(table(spark, sf, "conversations"), F.col("text"), keys, ["item_id"])
+    return found.select("conv_id", "turn", "answer")
