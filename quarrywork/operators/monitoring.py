@@ -11,31 +11,53 @@ from ..functions.numbers import exact_avg, half_up
 from .ordered import PART, balanced, running_sum
 from .reports import grouped_with_overall, with_overall
 
-SMALL_GROUP, RANGES = 1000, 1000
+RANGES = 1000
+#: Ranks, in thousandths, at which the approximate percentile is asked: one below the answer, the others at or above it.
+_BELOW, _ABOVE = 949, 951
+
+
+def p95_place(n: Column) -> Column:
+    """The answer lies between the sorted value of this rank, from one, and the next: ``19 m // 20`` with ``m = n + 1``."""
+    return F.least(F.greatest(F.floor((n + 1) * 19 / 20), F.lit(1)), F.greatest(n - 1, F.lit(1)))
+
+
+def p95_value(n: Column, at: Column, after: Column, largest: Column) -> Column:
+    """The 95th percentile by the exclusive rule from the two values around it; the maximum below 20 values."""
+    delta = ((n + 1) * 19 - p95_place(n) * 20).cast("double")
+    return F.when(n >= 20, (at * (20 - delta) + after * delta) / 20).otherwise(largest)
+
+
+def same_keys(left: str, right: str, keys: list[str]) -> Column:
+    """Equal keys of two aliased frames; a NULL key is a key like any other."""
+    return reduce(lambda a, b: a & b, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
 
 
 def p95_exclusive(df: DataFrame, keys: list[str], value: str, name: str = "p95") -> DataFrame:
     """Exact 95th percentile of each key by the exclusive rule; the maximum below 20 values.
 
-    With ``m = n + 1`` the answer lies between the sorted values at ``19 m // 20`` and
-    the next. No group is sorted whole: an approximate percentile brackets those two
-    ranks, the rows below the bracket are only counted, and just the distinct values
-    inside it (about a fifth of a percent of a large group) are ranked, in ``RANGES``
-    ranges of equal width that are summed each for itself first.
+    No group is sorted whole: an approximate percentile brackets the two ranks around
+    the answer, the rows below the bracket are only counted, and just the distinct values
+    inside it (about a fifth of a percent of a large group, up to the maximum of a small
+    one) are ranked, in ``RANGES`` ranges of equal width that are summed each for itself first.
     """
     v = F.col(value)
     keyed = df.select(*keys, value).filter(v.isNotNull())
+    asked = [_BELOW / 1000, *[i / 1000 for i in range(_ABOVE, 1001)]]
     bounds = keyed.groupBy(*keys).agg(
-        F.count("*").alias("_n"), F.min(v).alias("_min"), F.max(v).alias("_max"),
-        F.percentile_approx(v, [0.949, 0.951], 10_000).alias("_near"),
+        F.count("*").alias("_n"), F.max(v).alias("_max"), F.percentile_approx(v, asked, 10_000).alias("_near"),
     )
-    whole = F.col("_n") < SMALL_GROUP * 2
+    n, j = F.col("_n"), p95_place(F.col("_n"))
+    above = F.ceil((j + 1) * 1000 / n).cast("int") + 1
     bounds = bounds.select(
-        *keys, "_n", "_max",
-        F.when(whole, F.col("_min")).otherwise(F.col("_near")[0]).alias("_lo"),
-        F.when(whole, F.col("_max")).otherwise(F.col("_near")[1]).alias("_hi"),
+        *keys, "_n", "_max", F.col("_near")[0].alias("_lo"),
+        F.when(above >= 1000, F.col("_max")).otherwise(F.get("_near", F.greatest(above - _ABOVE, F.lit(0)) + 1)).alias("_hi"),
     )
-    joined = keyed.join(bounds, keys) if keys else with_overall(keyed, bounds)
+    if keys:
+        joined = keyed.alias("r").join(bounds.alias("b"), same_keys("r", "b", keys)).select(
+            *[F.col(f"r.{k}").alias(k) for k in keys], "_n", "_max", "_lo", "_hi", F.col(f"r.{value}").alias(value)
+        )
+    else:
+        joined = with_overall(keyed, bounds)
     near = joined.filter(v <= F.col("_hi"))
     share = (v - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
     inside = v >= F.col("_lo")
@@ -44,16 +66,11 @@ def p95_exclusive(df: DataFrame, keys: list[str], value: str, name: str = "p95")
         F.when(inside, F.coalesce(F.floor(share * RANGES), F.lit(0))).otherwise(-1).alias("_range"),
     ).agg(F.count("*").alias("_c"))
     summed = running_sum(counted, keys, F.col("_range"), [F.col("_val").asc_nulls_first()], {"_cum": F.col("_c")})
-    ranked = summed.filter(F.col("_val").isNotNull())
-    m = F.col("_n") + 1
-    j = F.least(F.greatest(F.floor(m * 19 / 20), F.lit(1)), F.greatest(F.col("_n") - 1, F.lit(1)))
-    delta = (m * 19 - j * 20).cast("double")
-    picked = ranked.groupBy(*keys, "_n", "_max").agg(
+    picked = summed.filter(F.col("_val").isNotNull()).groupBy(*keys, "_n", "_max").agg(
         F.min(F.when(F.col("_cum") >= j, F.col("_val"))).alias("_a"),
         F.min(F.when(F.col("_cum") >= j + 1, F.col("_val"))).alias("_b"),
     )
-    between = (F.col("_a") * (20 - delta) + F.col("_b") * delta) / 20
-    return picked.select(*keys, F.when(F.col("_n") >= 20, between).otherwise(F.col("_max")).alias(name))
+    return picked.select(*keys, p95_value(n, F.col("_a"), F.col("_b"), F.col("_max")).alias(name))
 
 
 def perf_report(metrics: DataFrame) -> DataFrame:
@@ -96,7 +113,8 @@ def model_perf_report(metrics: DataFrame) -> DataFrame:
         F.when(seconds > 0, half_up(F.sum(t) / seconds, 1)).otherwise(F.lit(0.0)).alias("throughput_tokens_sec"),
     )
     p95 = p95_exclusive(metrics, ["operation"], "duration_seconds", "p95_latency")
-    return base.join(p95.withColumn("p95_latency", half_up(F.col("p95_latency"), 4)), "operation")
+    joined = base.alias("b").join(p95.alias("p"), same_keys("b", "p", ["operation"]), "left")
+    return joined.select("b.*", half_up(F.col("p95_latency"), 4).alias("p95_latency"))
 
 
 def metric_counters(requests: DataFrame, labels: list[str]) -> DataFrame:

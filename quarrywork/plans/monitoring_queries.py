@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import fixed
 from ..functions.numbers import half_up
-from ..operators import monitoring, ordered
+from ..operators import monitoring, ordered, quantiles
 from ..operators.memory import combine_context, session_items, session_listing
-from ..session import table
+from ..session import shared_path, table
 from . import sqltext as sx
 from .mapping import K_SQL, davg, prop_k, rounded
 from .registry import query
@@ -60,6 +60,21 @@ def model_perf_report(spark, sf):
     return monitoring.model_perf_report(rows)
 
 
+@query("perf_p95_week", f"""WITH {METRICS}, m AS (SELECT file_type, duration_seconds FROM metrics WHERE success AND CAST(ts AS DATE) BETWEEN DATE '2024-01-08' AND DATE '2024-01-14'),
+{p95_sql('m', 'file_type', 'duration_seconds', 'q')}
+SELECT file_type, n, {rounded('p95', 4)} AS p95 FROM q JOIN (SELECT file_type AS f, COUNT(*) AS n FROM m GROUP BY 1) c ON f = file_type""")
+def perf_p95_week(spark, sf):
+    """Rows and sketches are stored by day once; a week is answered from its sketches and the top of its values."""
+    won = metrics(spark, sf).filter("success").select(F.to_date("ts").alias("day"), "file_type", "duration_seconds")
+    path, kept = shared_path(spark, "durations"), shared_path(spark, "duration-sketches")
+    won.hint("rebalance", "day").write.partitionBy("day").parquet(path)
+    rows = spark.read.parquet(path)
+    quantiles.daily_sketches(rows, "day", ["file_type"], "duration_seconds").write.parquet(kept)
+    first, last = F.lit("2024-01-08").cast("date"), F.lit("2024-01-14").cast("date")
+    found = quantiles.p95_of_span(rows, spark.read.parquet(kept), "day", ["file_type"], "duration_seconds", first, last)
+    return found.withColumn("p95", half_up(F.col("p95"), 4))
+
+
 @query("metric_counters", f"SELECT 'GET' AS method, event_type AS endpoint, CASE WHEN {K_SQL} % 10 = 0 THEN 500 ELSE 200 END AS status, COUNT(*) AS total FROM events GROUP BY ALL")
 def metric_counters(spark, sf):
     rows = table(spark, sf, "events").select(
