@@ -11,6 +11,8 @@ from ..functions.sqludf import register_functions
 from ..operators import reports
 from ..session import shared_path, table, wide_table
 from ..sources import binaries, catalog, dumps, files, html, knowledge, sinks
+from ..streaming import append
+from ..streaming.runner import table_stream
 from . import sqltext as sx
 from .chunk_queries import CHAR_SQL
 from .decision_queries import case_of
@@ -310,6 +312,19 @@ def sink_append_event(spark, sf):
     )
 
 
+@query("sink_append_stream", "SELECT event_id, user_id, substr(sha256('ip-' || user_id), 1, 16) AS ip_hash, strftime(ts, '%Y-%m-%d') AS day FROM events")
+def sink_append_stream(spark, sf):
+    """Events appended by a stream, then every day rewritten into few files and read back."""
+    events = table_stream(spark, sf, "events").select(
+        "event_id", "user_id", F.concat(F.lit("ip-"), F.col("user_id").cast("string")).alias("ip"), F.col("ts").alias("created_at"),
+    )
+    rows, path = sinks.event_rows(events), shared_path(spark, "event-table")
+    append.append_stream(rows, path, shared_path(spark, "event-table-checkpoint"), compact_every=8)
+    append.compact(spark, path, rows.schema, least=1)
+    stored = append.read_appended(spark, path, rows.schema)
+    return stored.select("event_id", "user_id", "ip_hash", F.date_format("day", "yyyy-MM-dd").alias("day"))
+
+
 # -- functions in SQL ---------------------------------------------------------------------
 
 
