@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import materialize
 from .ordered import PART, balanced, running_sum
 
-#: Characters of the keys that one automaton holds (about 100 bytes of memory each); a longer table becomes several.
+#: Characters of the keys, and 16 for each key, that one automaton holds (21 bytes each, measured on random keys of 24
+#: characters); a longer table becomes several automata.
 CHARACTERS = 4_000_000
 _PER_KEY = 16
 
