@@ -197,19 +197,35 @@ def _shifted_up(value: Column, level: Column) -> Column:
     return -_shifted(-value, level)
 
 
+#: Listed cells that are broadcast; levels with more meet their points in an exchange.
+FEW_CELLS = 20_000
+
+
 def interval_lookup(points: DataFrame, at: str, intervals: DataFrame, low: str, high: str, payload: list[str]) -> DataFrame:
     """Range join of points with half-open intervals ``[low, high)`` of whole numbers; intervals may overlap.
 
     An interval is listed under the cells of doubling width that make it up, at most two of each level however long it
-    is; a point lies in one cell of each level. Every pair meets in exactly one cell, an equi join that AQE
-    can broadcast or split when skewed. Points are looked up on the levels that occur. Empty intervals and nulls meet nothing.
+    is; a point lies in one cell of each level. Every pair meets in exactly one cell. Points are looked up on the levels that
+    occur: those of few cells are broadcast, so that points do not move for them; on the others both sides are dealt out
+    by cell. The planner is not asked, as it takes a side for as small as it was before its rows were repeated by level.
+    Empty intervals and nulls meet nothing.
     """
     bounds = intervals.select(F.col(low).cast("bigint").alias("_low"), F.col(high).cast("bigint").alias("_high"), *payload)
     listed = bounds.filter("_low < _high").withColumn("_listed", F.explode(covering_cells(F.col("_low"), F.col("_high"))))
     listed = materialize(listed.select(F.col("_listed.level").alias("_level"), F.col("_listed.cell").alias("_cell"), *payload), "cells")
-    levels = [r["_level"] for r in listed.select("_level").distinct().collect()]  # at most LEVELS
+    few, many, total = [], [], 0
+    for r in sorted(listed.groupBy("_level").count().collect(), key=lambda r: (r["count"], r["_level"])):  # at most LEVELS
+        total += r["count"]
+        (few if total <= FEW_CELLS else many).append(r["_level"])
     value = F.col(at).cast("bigint")
-    cells = F.array(*[F.struct(F.lit(k).alias("level"), _shifted(value, F.lit(k)).alias("cell")) for k in sorted(levels)])
-    placed = points.filter(value.isNotNull()).withColumn("_at", F.explode(cells)) if levels else points.withColumn("_at", F.lit(None).cast("struct<level:int,cell:bigint>"))
-    found = placed.withColumns({"_level": F.col("_at.level"), "_cell": F.col("_at.cell")}).join(listed, ["_level", "_cell"])
-    return found.select(*points.columns, *payload)
+
+    def met(levels: list[int], strategy: str) -> DataFrame:
+        cells = F.array(*[F.struct(F.lit(k).alias("level"), _shifted(value, F.lit(k)).alias("cell")) for k in sorted(levels)])
+        placed = points.filter(value.isNotNull()).withColumn("_at", F.explode(cells) if levels else F.lit(None).cast("struct<level:int,cell:bigint>"))
+        own = listed.filter(F.col("_level").isin(levels)).hint(strategy)
+        found = placed.withColumns({"_level": F.col("_at.level"), "_cell": F.col("_at.cell")}).join(own, ["_level", "_cell"])
+        return found.select(*points.columns, *payload)
+
+    if few and many:
+        return met(few, "broadcast").unionByName(met(many, "merge"))
+    return met(many, "merge") if many else met(few, "broadcast")
