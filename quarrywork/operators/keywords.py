@@ -1,16 +1,22 @@
 """Keywords of each document by frequency and by TF-IDF over its sentences.
 
-A document's rows are laid out together once (``repartition`` on its key before the
-text is exploded). Every later grouping and window includes that key, so Spark adds
-no further exchange. The key is unique, so no partition can inherit a hot key.
+A document's rows are laid out together once, by its key and in shares of some megabytes of text
+(:func:`..session.lay_out`), before the text is cut into words. Every later grouping and window includes that
+key, so Spark adds no further exchange. TF-IDF counts one document at a time, without a row per term.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.fixed import KEYWORD_STOP_WORDS
 from ..functions.numbers import half_up
+from ..functions.terms import best_terms
+from ..session import lay_out, small_batches
 
 WORD = r"(?U)\w+"
 # more than ten characters without the white space at the ends
@@ -19,7 +25,7 @@ SENTENCE = r"(?U)[^\s.!?][^.!?\n]{9,}[^\s.!?]"
 
 def keywords_by_frequency(docs: DataFrame, key: str, text: str, top_n: int = 10, laid_out: bool = False) -> DataFrame:
     """Most used words of three or more ASCII letters, with their share of all such words."""
-    docs = docs if laid_out else docs.repartition(key)
+    docs = docs if laid_out else lay_out(docs, key, text)
     tokens = F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0))
     kept = F.filter(tokens, lambda w: F.rlike(w, F.lit("^[a-z]{3,}$")) & ~w.isin(*KEYWORD_STOP_WORDS))
     words = docs.select(key, F.explode_outer(kept).alias("word")).filter(F.col("word").isNotNull())
@@ -37,14 +43,14 @@ def keywords_by_frequency(docs: DataFrame, key: str, text: str, top_n: int = 10,
     )
 
 
-def extract_keywords(docs: DataFrame, key: str, text: str, top_n: int = 10) -> DataFrame:
+def extract_keywords(docs: DataFrame, key: str, text: str, top_n: int = 10, laid_out: bool = False) -> DataFrame:
     """TF-IDF keywords, by frequency where a text has fewer than two sentences.
 
     Texts of fewer than five words have none.
     """
     # conditions blank the text instead of filtering rows: a filter would move below the
     # column that computes the text and evaluate it again
-    shared = docs.select(key, text).repartition(key)
+    shared = docs.select(key, text) if laid_out else lay_out(docs.select(key, text), key, text)
     enough = F.regexp_count(F.col(text), F.lit(r"(?U)\S+")) >= 5
     single = F.regexp_count(F.col(text), F.lit(SENTENCE)) < 2
     by_frequency = keywords_by_frequency(
@@ -65,50 +71,23 @@ def keywords_by_tfidf(
     the ``max_features`` most used remain, idf is ``ln((1+n)/(1+df)) + 1`` and each
     sentence vector has unit length.
     """
-    sentences = F.regexp_extract_all(F.col(text), F.lit(SENTENCE), F.lit(0))
-    stop = KEYWORD_STOP_WORDS
-    tokens = F.filter(
-        F.regexp_extract_all(F.lower(F.col("sentence")), F.lit(WORD), F.lit(0)),
-        lambda w: (F.length(w) >= 2) & ~w.isin(*stop),
-    )
-    pairs = F.when(
-        F.size("toks") > 1,
-        F.zip_with(
-            F.slice("toks", 1, F.size("toks") - 1), F.slice("toks", 2, F.size("toks") - 1),
-            lambda a, b: F.concat_ws(" ", a, b),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-    docs = docs if laid_out else docs.repartition(key)
-    rows = (
-        docs
-        .select(key, sentences.alias("sentences"))
-        # outer: a plain explode adds filters that evaluate the sentences again; a document
-        # with fewer than two sentences loses its terms to max_df
-        .select(key, F.size("sentences").alias("n"), F.posexplode_outer("sentences").alias("pos", "sentence"))
-        .select(key, "n", "pos", tokens.alias("toks"))
-        .select(key, "n", "pos", F.explode_outer(F.concat("toks", pairs)).alias("term"))
-        .filter(F.col("term").isNotNull())
-    )
-    tf = rows.groupBy(key, "n", "pos", "term").agg(F.count("*").alias("tf"))
-
-    term_rows = Window.partitionBy(key, "term")
-    # df and uses of a term, carried on each of its rows
-    counted = tf.withColumn("df", F.count("*").over(term_rows)).withColumn("uses", F.sum("tf").over(term_rows))
-    usable = counted.filter(F.col("df") <= max_df * F.col("n"))
-    place = Window.partitionBy(key).orderBy(F.col("uses").desc(), "term")
-    features = usable.withColumn("place", F.dense_rank().over(place)).filter(F.col("place") <= max_features)
-
-    weight = F.col("tf") * (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1)
-    sentence = Window.partitionBy(key, "pos")
-    valued = features.withColumn("v", weight).withColumn(
-        "norm", F.sqrt(F.sum((F.col("v") * F.col("v")).cast("decimal(28,12)")).over(sentence).cast("double"))
-    )
-    scored = valued.groupBy(key, "term", "n").agg(
-        F.sum((F.col("v") / F.col("norm")).cast("decimal(28,12)")).cast("double").alias("total")
-    ).withColumn("score", F.col("total") / F.col("n"))
-    best = Window.partitionBy(key).orderBy(F.col("score").cast("decimal(28,8)").desc(), "term")
-    return (
-        scored.withColumn("rank_in_doc", F.row_number().over(best))
-        .filter(F.col("rank_in_doc") <= top_n)
-        .select(key, F.col("term").alias("keyword"), half_up(F.col("score"), 4).alias("score"), "rank_in_doc")
-    )
+    docs = docs if laid_out else lay_out(docs, key, text)
+    sentences = docs.select(key, F.regexp_extract_all(F.col(text), F.lit(SENTENCE), F.lit(0)).alias("_sentences"))
+    words = F.transform("_sentences", lambda s: F.array_join(F.regexp_extract_all(F.lower(s), F.lit(WORD), F.lit(0)), " "))
+    rows = sentences.select(key, F.array_join(words, "\n").alias("_words")).filter(F.col("_words").isNotNull())
+    kind = rows.schema[key].dataType.simpleString()
+    stop = frozenset(KEYWORD_STOP_WORDS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = ((at, text) for batch in batches for at, text in zip(batch.column(0), batch.column(1).to_pylist()))
+        for at, own in groupby(given, key=lambda r: r[0]):
+            best = best_terms([text for _, text in own], stop, top_n, max_features, max_df)
+            terms, scores = zip(*best) if best else ((), ())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([at.as_py()] * len(best), at.type), pa.array(terms, pa.string()), pa.array(scores, pa.float64()), pa.array(range(1, len(best) + 1), pa.int32())],
+                names=[key, "keyword", "score", "rank_in_doc"],
+            )
+
+    small_batches(docs.sparkSession)
+    ranked = rows.sortWithinPartitions(key).mapInArrow(run, f"`{key}` {kind}, keyword string, score double, rank_in_doc int")
+    return ranked.select(key, "keyword", half_up(F.col("score"), 4).alias("score"), "rank_in_doc")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -41,10 +42,38 @@ def spread_if_narrow(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key)
 
 
+#: Bytes of text in a share of :func:`lay_out`.
+SHARE_BYTES = 4_000_000
+
+
+def lay_out(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows of a key together, in shares of some megabytes of text: their number grows with the text, not their size.
+
+    A fixed number of shares, or one put together by the size of the texts, holds more rows of exploded words the longer the input.
+    """
+    size = docs.agg(F.sum(F.octet_length(text).cast("bigint"))).first()[0] or 0
+    return docs.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // SHARE_BYTES)), key)
+
+
 def wide_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
     return spread_if_narrow(table(spark, sf_dir, name), key)
 
 
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH_BYTES = 2_000_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on batches for Python hold some megabytes, whatever the length of the rows; a smaller bound is left as it is.
+
+    Rows alone (10,000 of them) bound nothing where each is a whole text.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    if not re.fullmatch(r"\d+b?", now) or int(now.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 

@@ -2,9 +2,12 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quarrywork.operators import ordered
+from quarrywork import session
+from quarrywork.functions import sqludf
+from quarrywork.operators import chunking, keywords, ordered
 
 
 def plan_of(df) -> str:
@@ -27,3 +30,51 @@ def test_interval_lookup_moves_no_repeated_points_to_the_driver(spark, monkeypat
         plan = plan_of(met)
         assert "BuildLeft" not in plan and plan.count("SortMergeJoin") == (most < 10**6) and ("BroadcastHashJoin" in plan) == (most > 0)
     assert ordered.interval_lookup(left, "at", right.filter("span < -1"), "low", "high", ["span"]).count() == 0
+
+
+def test_shares_grow_in_number(spark, monkeypatch):
+    monkeypatch.setattr(session, "SHARE_BYTES", 1_000)
+    docs = spark.createDataFrame([(i % 300, f"apple pear number {i} " * 20) for i in range(600)], "id bigint, t string")
+    laid = session.lay_out(docs, "id", "t")
+    assert laid.rdd.getNumPartitions() == docs.agg(F.ceil(F.sum(F.length("t")) / 1_000)).first()[0]
+    assert laid.select("id", F.spark_partition_id().alias("p")).distinct().count() == 300
+    found = keywords.keywords_by_frequency(docs, "id", "t", top_n=3)
+    shares = [p for p in plan_of(found).splitlines() if "Exchange hashpartitioning" in p]
+    assert len(shares) == 1 and "REPARTITION_BY_NUM" in shares[0]
+    assert {(r.keyword, r.uses, r.score) for r in found.collect()} == {("apple", 40, 0.3333), ("number", 40, 0.3333), ("pear", 40, 0.3333)}
+
+
+def test_tfidf_makes_no_row_per_term(spark):
+    """Repeated and null keys are one document; a key whose rows have as many sentences shares their places."""
+    text = "red apple pie here. green apple tart now. short"
+    rows = [(1, text), (1, text), (None, text), (2, "one sentence alone"), (3, None), (None, "blue plum cake. old plum jam. raw plum stew.")]
+    found = keywords.keywords_by_tfidf(spark.createDataFrame(rows, "id bigint, t string"), "id", "t", top_n=50)
+    plan = plan_of(found)
+    assert "Generate" not in plan and "Window" not in plan and "HashAggregate" not in plan
+    scores = {(r.id, r.keyword): r.score for r in found.collect()}
+    assert {k for k, _ in scores} == {1, None}
+    assert scores[1, "red"] == scores[1, "red apple"] == 0.25 and (1, "apple") not in scores
+    # of the other row with this key, three sentences; places 0 and 1 are shared, so the unit length is too
+    assert (None, "plum") not in scores and scores[None, "raw"] == 0.1667 and scores[None, "red"] < 0.25
+
+
+def test_small_batches(spark):
+    """Rows do not bound a batch of whole texts, bytes do; a bound that is smaller stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for start, end in (("67108864b", session.BATCH_BYTES), ("1000", 1000)):
+        spark.conf.set(key, start)
+        docs = spark.range(400, numPartitions=1).select("id", F.repeat(F.lit("one two. "), 2_000).alias("t"))
+        sizes = docs.mapInArrow(lambda batches: batches, docs.schema)  # planned with the bound of its time
+        chunking.chunk_documents(docs, "t", ["id"], strategy="semantic_window")
+        assert int(spark.conf.get(key).rstrip("b")) == end
+        most = sizes.mapInPandas(lambda frames: (f.head(1).assign(id=len(f)) for f in frames), docs.schema).agg(F.max("id")).first()[0]
+        assert most <= max(1, end // 18_000 + 1)
+    spark.conf.unset(key)
+
+
+def test_chunk_table_gives_back_small_tables():
+    rows = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(["word " * 20_000] * 60)], names=["id", "t"])
+    given = [pa.array([v] * 60) for v in (128, 16, "token")]
+    tables = list(sqludf.ChunkTable.func.eval(None, rows, *given))
+    assert len(tables) > 2 and max(t.nbytes for t in tables) < 2 * sqludf.MOST_HELD
+    assert pa.concat_tables(tables).column("key").unique().to_pylist() == [str(i) for i in range(60)]
