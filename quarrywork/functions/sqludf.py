@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import arrow_udtf, udtf
 
+from ..session import small_batches
 from . import packers
 from .markdown import EMAIL_MASK, EMAIL_PATTERN, TEXT_RULES, java_pattern, java_replacement
 
@@ -22,6 +23,10 @@ STRATEGIES = {**packers.STRATEGIES, "fixed_size": packers.cut_fixed, "token": pa
 WORD = re.compile(r"\S+\s*|\s+")
 
 
+#: Characters of chunks in a table that goes back to Spark.
+MOST_HELD = 2_000_000
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
 
@@ -78,14 +83,26 @@ class ChunkTable:
 
     def eval(self, rows: pa.RecordBatch, size: pa.Array, overlap: pa.Array, strategy: pa.Array) -> Iterator[pa.Table]:
         given = {"size": size[0].as_py(), "overlap": overlap[0].as_py(), "strategy": strategy[0].as_py()}
-        keys, texts = rows.column(0).cast(pa.string()).to_pylist(), rows.column(1).to_pylist()
-        found = [(key, *chunk) for key, text in zip(keys, texts) for chunk in chunks_of(text, **given)]
         kinds = (pa.string(), pa.int32(), pa.string(), *[pa.int32()] * 4)
         names = ("key", "idx", "text", "token_count", "char_count", "start_char", "end_char")
-        yield pa.table([pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)], names=names)
+
+        def tabled(found: list[tuple]) -> pa.Table:
+            return pa.table([pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)], names=names)
+
+        found, held = [], 0
+        for key, text in zip(rows.column(0).cast(pa.string()), rows.column(1)):
+            for chunk in chunks_of(text.as_py(), **given):
+                found.append((key.as_py(), *chunk))
+                held += len(chunk[1])
+                if held > MOST_HELD:
+                    yield tabled(found)
+                    found, held = [], 0
+        yield tabled(found)
 
 
 def register_functions(spark: SparkSession) -> None:
+    """The functions by name; ``chunk_table`` gets its rows in small batches from then on."""
+    small_batches(spark)
     for name, (returns, body) in function_bodies().items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(t STRING) RETURNS {returns} RETURN {body}")
     spark.udtf.register("chunk_document", ChunkDocument)

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import packers
 from ..functions.numbers import half_up
 from ..functions.textstats import estimate_tokens
+from ..session import small_batches
 
 CHUNK_SCHEMA = (
     "array<struct<idx:int,text:string,token_count:int,char_count:int,start_char:int,end_char:int>>"
@@ -108,19 +109,21 @@ def chunk_token(docs: DataFrame, text: str, keep: list[str], size: int = 512, ov
 def _packer(strategy: str, size: int, overlap: int):
     cut = packers.STRATEGIES[strategy]
 
-    def chunks_of(text: str | None) -> list[dict]:
+    def chunks_of(text: str | None) -> list[tuple]:
         if text is None or not text.strip():
             return []
-        return [
-            {"idx": i, "text": t, "token_count": packers.estimate(t), "char_count": len(t),
-             "start_char": low, "end_char": high}
-            for i, (t, low, high) in enumerate(cut(text, size, overlap))
-        ]
-
-    @F.pandas_udf(CHUNK_SCHEMA)
-    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return [(i, t, packers.estimate(t), len(t), low, high) for i, (t, low, high) in enumerate(cut(text, size, overlap))]
+
+    @F.arrow_udf(CHUNK_SCHEMA)
+    def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kinds = {"idx": pa.int32(), "text": pa.string(), "token_count": pa.int32(), "char_count": pa.int32(), "start_char": pa.int32(), "end_char": pa.int32()}
         for batch in batches:
-            yield batch.map(chunks_of)
+            ends, found = [0], []
+            for text in batch:
+                found.extend(chunks_of(text.as_py()))
+                ends.append(len(found))
+            columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds.values())]
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names=list(kinds)))
 
     return split
 
@@ -128,8 +131,9 @@ def _packer(strategy: str, size: int, overlap: int):
 def chunk_packed(
     docs: DataFrame, text: str, keep: list[str], strategy: str, size: int = 512, overlap: int = 50
 ) -> DataFrame:
-    """The strategies whose next cut depends on the last one, as an Arrow-batched UDF per document."""
+    """The strategies whose next cut depends on the last one, as an Arrow UDF over small batches of documents."""
     size, overlap = clamp(size, overlap)
+    small_batches(docs.sparkSession)
     split = _packer(strategy, size, overlap)
     return docs.select(*keep, split(F.col(text)).alias("_chunks")).select(*keep, F.inline("_chunks"))
 
