@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import materialize
+from ..session import materialize, small_batches
 
 #: Characters of a chunk, and of a split's first one, after which few runs are left.
 CHUNK, FIRST_CHUNK = 2_000_000, 50_000
@@ -43,6 +43,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def tables_of(lines: DataFrame, lexer) -> DataFrame:
     """file, split, chunk, text and its table; the last row of a split has no text and the states at the end."""
     size, first_size = CHUNK, FIRST_CHUNK
+    small_batches(lines.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key: tuple | None = None

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -35,6 +36,8 @@ COPY = re.compile(rf"(?is)\s*COPY\s+((?:{NAME}\s*\.\s*)*)({NAME})\s*(?:\(([^)]*)
 #: What may follow the rows of an INSERT.
 TAIL = re.compile(r"(?is)\s*(?:(?:AS\s+\w+\s*)?ON\s+(?:DUPLICATE|CONFLICT)\b.*|RETURNING\b.*)?;?\s*")
 DATA = re.compile(r"(?is)\s*(?:INSERT|REPLACE|COPY|LOAD)\b")
+#: Rows put together before they go back to Spark.
+MOST_ROWS = 1_000
 #: Dollar quotes of different names in one set of files.
 MOST_TAGS = 50
 
@@ -171,9 +174,9 @@ def parsed(spark: SparkSession, path: str, dialect: str = MYSQL) -> DataFrame:
         values = Values(dialect)
         kinds = (pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string(), pa.string())
         for batch in batches:
-            for text, state, header in zip(*[batch.column(c).to_pylist() for c in ("text", "state", "header")]):
-                rows = list(rows_of(text, state, header, values))
-                if rows:
+            for text, state, header in zip(*[batch.column(c) for c in ("text", "state", "header")]):
+                found = rows_of(text.as_py(), state.as_py(), header.as_py(), values)
+                while rows := list(islice(found, MOST_ROWS)):
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["table_name", "columns", "values", "statement", "reason"])
 
     long = pieces.long.select(

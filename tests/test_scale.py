@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarrywork import session
 from quarrywork.functions import sqludf
 from quarrywork.operators import chunking, keywords, ordered
+from quarrywork.sources import dumps
 
 
 def plan_of(df) -> str:
@@ -78,3 +79,15 @@ def test_chunk_table_gives_back_small_tables():
     tables = list(sqludf.ChunkTable.func.eval(None, rows, *given))
     assert len(tables) > 2 and max(t.nbytes for t in tables) < 2 * sqludf.MOST_HELD
     assert pa.concat_tables(tables).column("key").unique().to_pylist() == [str(i) for i in range(60)]
+
+
+def test_dump_batches(spark, monkeypatch):
+    """Rows of a long statement go back in parts, in order and without loss."""
+    monkeypatch.setattr(dumps, "MOST_ROWS", 7)
+    path = session.shared_path(spark, "test-dump")
+    values = ",".join(f"({i},'t{i}')" for i in range(100))
+    spark.createDataFrame([(f"INSERT INTO `d` VALUES {values};",)], "value string").write.text(path)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    loaded = dumps.dump_table(dumps.read_dump(spark, path), "d", {"i": "int", "t": "text"})
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= session.BATCH_BYTES
+    assert [(r.i, r.t) for r in loaded.collect()] == [(i, f"t{i}") for i in range(100)]
