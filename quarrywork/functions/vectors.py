@@ -14,7 +14,8 @@ MAX_WORD = 20
 
 
 def _occurrences(text: Column, char: str) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
+    """Of an ASCII character, so each is one byte: bytes are known, characters would be counted."""
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(char), F.lit("")))
 
 
 def _code(n: Column) -> Column:
@@ -54,7 +55,7 @@ def text_features(text: Column, n_words: Column, lengths: Column, common: Column
         n_words / F.lit(100.0),
         F.length(text) / F.lit(1000.0),
         zero,  # share of capitals: the text is already lower case
-        F.regexp_count(text, F.lit(r"\p{Nd}")) / n_chars,
+        (F.length(text) - F.length(F.regexp_replace(text, r"\p{Nd}+", ""))) / n_chars,
         _occurrences(text, "\n") / n_chars * 100,
     ]
     values += [zero] * 10
@@ -81,6 +82,6 @@ def unit(a: Column) -> Column:
     return let(norm(a), lambda size: F.when(size > 0, F.transform(a, lambda v: v / size)).otherwise(a))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity; zero when either vector is zero."""
-    return let(norm(a) * norm(b), lambda size: F.when(size > 0, dot(a, b) / size).otherwise(F.lit(0.0)))
+def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
+    """Cosine similarity; zero when either vector is zero. Norms that are known are not computed again."""
+    return let((norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b), lambda size: F.when(size > 0, dot(a, b) / size).otherwise(F.lit(0.0)))

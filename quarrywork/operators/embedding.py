@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.textstats import words
-from ..functions.vectors import MODEL_NAME, common_word_codes, cosine, length_codes, text_features, unit
+from ..functions.vectors import MODEL_NAME, common_word_codes, cosine, length_codes, norm, text_features, unit
 from .topn import top_n_per_group
 
 
@@ -34,16 +34,17 @@ def embed_rows(chunks: DataFrame) -> DataFrame:
 
 
 def query_vectors(spark: SparkSession, texts: list[str]) -> Column:
-    """Vectors of questions, in order, as one scalar subquery: computed once, shipped with the plan."""
+    """Vectors of questions and their norms, in order, as one scalar subquery: computed once, shipped with the plan."""
     asked = spark.range(1).select(
         F.posexplode(F.array(*[F.lit(t) for t in texts])).alias("pos", "text")
     )
     listed = embed(asked, "text").agg(F.array_sort(F.collect_list(F.struct("pos", "embedding"))).alias("rows"))
-    return listed.select(F.transform("rows", lambda r: r["embedding"]).alias("vectors")).scalar()
+    vectors = F.transform("rows", lambda r: F.struct(r["embedding"].alias("embedding"), norm(r["embedding"]).alias("norm")))
+    return listed.select(vectors.alias("vectors")).scalar()
 
 
 def query_vector(spark: SparkSession, text: str) -> Column:
-    return query_vectors(spark, [text])[0]
+    return query_vectors(spark, [text])[0]["embedding"]
 
 
 def retrieve_topk(rows: DataFrame, vector: Column, k: int = 3, tie_break: list[str] | None = None) -> DataFrame:
@@ -72,11 +73,11 @@ def retrieve_multi(rows: DataFrame, tasks: list[str], key: list[str], per_task:
     digests are ranked, and the texts of the few winners are joined at the end.
     """
     spark = rows.sparkSession
-    scored = rows.withColumn("_asked", query_vectors(spark, tasks)).select(
+    scored = rows.withColumns({"_asked": query_vectors(spark, tasks), "_norm": norm(F.col("embedding"))}).select(
         *key, same_chunk("text", opening).alias("_same"),
         F.inline(F.array(*[
             F.struct(F.lit(i).alias("task_no"), F.lit(task).alias("matched_task"),
-                     cosine(F.col("embedding"), F.col("_asked")[i]).alias("relevance_score"))
+                     cosine(F.col("embedding"), F.col("_asked")[i]["embedding"], F.col("_norm"), F.col("_asked")[i]["norm"]).alias("relevance_score"))
             for i, task in enumerate(tasks)
         ])),
     )
