@@ -19,13 +19,22 @@ def estimate_tokens(text: Column) -> Column:
     )
 
 
+def _count(text: Column, gap: str, unit: str) -> Column:
+    """How often ``unit`` follows ``gap``: each becomes one letter, and what is left at the end holds none.
+
+    ``regexp_count`` puts every match into an array first.
+    """
+    marked = F.regexp_replace(text, f"(?U){gap}{unit}", "a")
+    return F.octet_length(marked) - F.octet_length(F.replace(marked, F.lit("a"), F.lit("")))
+
+
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"(?U)\S+"))
+    return _count(text, r"\s*+", r"\S++")
 
 
 def sentence_count(text: Column) -> Column:
     """Pieces between runs of ``.!?`` that hold more than white space."""
-    return F.regexp_count(text, F.lit(r"(?U)[^.!?\s][^.!?]*"))
+    return _count(text, r"[.!?\s]*+", "[^.!?]++")
 
 
 def paragraph_count(text: Column) -> Column:
@@ -86,8 +95,8 @@ def readability_inputs(text: Column) -> dict[str, Column]:
     return {
         "n_words": n_words,
         "n_sentences": F.greatest(sentence_count(text), F.lit(1)),
-        "n_letters": F.regexp_count(text, F.lit(r"[\p{L}\p{N}]")),
-        "n_syllables": F.greatest(F.regexp_count(lower, F.lit(f"[{VOWELS}]+")), n_words),
+        "n_letters": F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]+", "")),
+        "n_syllables": F.greatest(_count(lower, f"[^{VOWELS}]*+", f"[{VOWELS}]++"), n_words),
         "n_complex": F.regexp_count(lower, F.lit("(?U)" + COMPLEX_WORD)),
     }
 
@@ -120,10 +129,14 @@ def readability(n_words: Column, n_sentences: Column, n_letters: Column, n_sylla
 MIN_LANGUAGE_WORDS = 5
 
 
-def language_hits(lower_words: Column) -> dict[str, Column]:
-    """How many of the words belong to each language's profile."""
+def telling_words(text: Column) -> Column:
+    """The words of a text that are in any language's profile."""
     known = sorted({w for profile in LANGUAGE_PROFILES.values() for w in profile})
-    telling = F.filter(lower_words, lambda w: w.isin(*known))
+    return F.filter(letter_words(text), lambda w: w.isin(*known))
+
+
+def language_hits(telling: Column) -> dict[str, Column]:
+    """How many of the words belong to each language's profile; :func:`telling_words`, a column of their own, are enough."""
 
     def hits(profile: tuple[str, ...]) -> Column:
         return F.size(F.filter(telling, lambda w: w.isin(*profile)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import markdown as md, textstats as ts
+from ..session import shares
 from .keywords import extract_keywords
 
 
@@ -19,7 +20,7 @@ def analyze_documents(docs: DataFrame, key: str, text: str) -> DataFrame:
     inputs = ts.readability_inputs(F.col("plain"))
     hits = ts.language_hits(F.col("ws"))
     counted = plain.select(
-        key, text, "blank", "plain", ts.letter_words(F.col("plain")).alias("ws"),
+        key, text, "blank", "plain", ts.telling_words(F.col("plain")).alias("ws"),
         *[c.alias(n) for n, c in inputs.items()],
     )
     stats = ts.text_stats(F.col("plain"))
@@ -40,8 +41,8 @@ def analyze_documents(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def analyze_with_keywords(docs: DataFrame, key: str, text: str) -> DataFrame:
     """The row-wise analysis joined to each document's keywords (at most ten)."""
-    plain = docs.select(key, md.md_to_plain(F.col(text)).alias("plain"))
-    terms = extract_keywords(plain, key, "plain").groupBy(key).agg(
+    plain = docs.select(key, md.md_to_plain(F.col(text)).alias("plain")).repartition(shares(docs, text), key)
+    terms = extract_keywords(plain, key, "plain", laid_out=True).groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("rank_in_doc", "keyword", "score"))).alias("keywords")
     )
     return analyze_documents(docs, key, text).join(terms, key, "left")

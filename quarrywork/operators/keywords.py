@@ -74,12 +74,13 @@ def keywords_by_tfidf(
     docs = docs if laid_out else lay_out(docs, key, text)
     sentences = docs.select(key, F.regexp_extract_all(F.col(text), F.lit(SENTENCE), F.lit(0)).alias("_sentences"))
     words = F.transform("_sentences", lambda s: F.array_join(F.regexp_extract_all(F.lower(s), F.lit(WORD), F.lit(0)), " "))
-    rows = sentences.select(key, F.array_join(words, "\n").alias("_words")).filter(F.col("_words").isNotNull())
+    # no filter here: it would move below the exchange with the expressions it reads, and the exchange would not be shared
+    rows = sentences.select(key, F.array_join(words, "\n").alias("_words"))
     kind = rows.schema[key].dataType.simpleString()
     stop = frozenset(KEYWORD_STOP_WORDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given = ((at, text) for batch in batches for at, text in zip(batch.column(0), batch.column(1).to_pylist()))
+        given = ((at, text) for batch in batches for at, text in zip(batch.column(0), batch.column(1).to_pylist()) if text is not None)
         for at, own in groupby(given, key=lambda r: r[0]):
             best = best_terms([text for _, text in own], stop, top_n, max_features, max_df)
             terms, scores = zip(*best) if best else ((), ())

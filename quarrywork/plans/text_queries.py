@@ -231,7 +231,7 @@ SELECT doc_id, lang, hits, code, CASE code {name} ELSE upper(code) END AS name F
 def guess_language(docs: DataFrame) -> DataFrame:
     hits = ts.language_hits(F.col("ws"))
     counted = docs.select(
-        "doc_id", "lang", ts.word_count(F.col("text")).alias("n"), ts.letter_words(F.col("text")).alias("ws")
+        "doc_id", "lang", ts.word_count(F.col("text")).alias("n"), ts.telling_words(F.col("text")).alias("ws")
     ).select("doc_id", "lang", "n", *[c.alias(f"h_{k}") for k, c in hits.items()])
     named = {k: F.col(f"h_{k}") for k in hits}
     return counted.select(

@@ -46,13 +46,18 @@ def spread_if_narrow(df: DataFrame, key: str) -> DataFrame:
 SHARE_BYTES = 4_000_000
 
 
+def shares(docs: DataFrame, text: str) -> int:
+    """Into how many shares of some megabytes a table of texts is dealt; one pass over the texts' lengths."""
+    size = docs.agg(F.sum(F.octet_length(text).cast("bigint"))).first()[0] or 0
+    return max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // SHARE_BYTES))
+
+
 def lay_out(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Rows of a key together, in shares of some megabytes of text: their number grows with the text, not their size.
 
     A fixed number of shares, or one put together by the size of the texts, holds more rows of exploded words the longer the input.
     """
-    size = docs.agg(F.sum(F.octet_length(text).cast("bigint"))).first()[0] or 0
-    return docs.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // SHARE_BYTES)), key)
+    return docs.repartition(shares(docs, text), key)
 
 
 def wide_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:

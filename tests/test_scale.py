@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quarrywork import session
-from quarrywork.functions import sqludf
+from quarrywork.functions import sqludf, textstats, vectors
 from quarrywork.operators import chunking, keywords, ordered
 from quarrywork.sources import dumps
 
@@ -91,3 +91,24 @@ def test_dump_batches(spark, monkeypatch):
     loaded = dumps.dump_table(dumps.read_dump(spark, path), "d", {"i": "int", "t": "text"})
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= session.BATCH_BYTES
     assert [(r.i, r.t) for r in loaded.collect()] == [(i, f"t{i}") for i in range(100)]
+
+
+def test_counts_put_no_matches_into_arrays(spark):
+    texts = ["", " ", "a", "?!.", " a.b ! c?d e\n", "Queue aaa x́ 1² 中\U0001d7d8. ", "...a", "b  ", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    exact = {"n_words": r"(?U)\S+", "n_sentences": r"(?U)[^.!?\s][^.!?]*", "n_letters": r"[\p{L}\p{N}]"}
+    found = textstats.readability_inputs(t)
+    counted = df.select(*[found[n].alias(n) for n in exact], textstats.sentence_count(t).alias("s"), found["n_syllables"].alias("y"))
+    want = df.select(
+        F.regexp_count(t, F.lit(exact["n_words"])), F.greatest(F.regexp_count(t, F.lit(exact["n_sentences"])), F.lit(1)), F.regexp_count(t, F.lit(exact["n_letters"])),
+        F.regexp_count(t, F.lit(exact["n_sentences"])), F.greatest(F.regexp_count(F.lower(t), F.lit("[aeiouy]+")), F.regexp_count(t, F.lit(exact["n_words"]))),
+    )
+    assert [tuple(r) for r in counted.collect()] == [tuple(r) for r in want.collect()]
+    assert "regexp_extract_all" not in plan_of(counted)
+
+
+def test_norms_of_questions_and_rows_are_computed_once(spark):
+    a, b = F.array(*[F.lit(float(i % 7)) for i in range(100)]), F.array(*[F.lit(float(i % 5)) for i in range(100)])
+    r = spark.range(1).select(vectors.cosine(a, b).alias("x"), vectors.cosine(a, b, vectors.norm(a), vectors.norm(b)).alias("y")).first()
+    assert r.x == r.y
