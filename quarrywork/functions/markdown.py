@@ -8,8 +8,12 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
+from .scan import SPACES
+
 # Fixed values: (pattern, replacement) in the order they are applied to count plain text.
 PLAIN_RULES = (
     (r"```[\s\S]*?```", ""),
@@ -95,6 +99,7 @@ STRUCTURE_PATTERNS = {
     "blockquotes": r"(?m)^>\s+",
     "table_rows": r"(?m)^\|.+\|$",
 }
+NAMED_IMAGES = r"!\[([^\]]+)\]\([^)]+\)"
 
 
 def java_pattern(pattern: str) -> str:
@@ -112,6 +117,33 @@ def apply_rules(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
     return text
 
 
+def re2_pattern(pattern: str) -> str:
+    """The same classes for RE2, whose own are ASCII; it knows ``\\n`` alone as a line end."""
+    spaces = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+    for java, re2 in ((r"[\s\S]", "(?s:.)"), (r"[\s]", r"\s"), (r"\s", f"[{spaces}]"), (r"\d", r"\p{Nd}")):
+        pattern = pattern.replace(java, re2)
+    return pattern
+
+
+def plain_texts(texts: pa.Array) -> list[str | None]:
+    """:func:`md_to_plain` of an Arrow column, by RE2: some hundred MB a second and rule, in time linear in the text."""
+    for pattern, replacement in PLAIN_RULES:
+        texts = pc.replace_substring_regex(texts, re2_pattern(pattern), replacement)
+    return [t if t is None else t.strip(SPACES) for t in texts.to_pylist()]
+
+
+def structure_counts(texts: pa.Array) -> dict[str, pa.Array]:
+    """The counts that :func:`structure_of` needs, of an Arrow column."""
+
+    def count(pattern: str) -> pa.Array:
+        if not pattern.startswith("(?m)^"):
+            return pc.count_substring_regex(texts, pattern)
+        # that function goes on behind a match as if a line began there; a replacement, of one byte more, does not
+        return pc.subtract(pc.binary_length(pc.replace_substring_regex(texts, pattern, r"a\0")), pc.binary_length(texts))
+
+    return {name: count(re2_pattern(p)) for name, p in {**STRUCTURE_PATTERNS, "named_images": NAMED_IMAGES}.items()}
+
+
 def strip(text: Column) -> Column:
     """Remove white space at both ends (any Unicode white space)."""
     return F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+", ""), r"(?U)\s+\z", "")
@@ -159,10 +191,16 @@ def clean_text(
 
 def structure(text: Column) -> dict[str, Column]:
     """Counts of headers, list items, code, links, images, quotes and table rows."""
-    count = {name: F.regexp_count(text, F.lit(java_pattern(p))) for name, p in STRUCTURE_PATTERNS.items()}
-    fences = count.pop("fences")
+    patterns = {**STRUCTURE_PATTERNS, "named_images": NAMED_IMAGES}
+    return structure_of({name: F.regexp_count(text, F.lit(java_pattern(p))) for name, p in patterns.items()})
+
+
+def structure_of(counts: dict[str, Column]) -> dict[str, Column]:
+    """The structure from the counts of ``STRUCTURE_PATTERNS`` and of images with a name."""
+    count = dict(counts)
+    fences, named_images = count.pop("fences"), count.pop("named_images")
     count["code_blocks"] = F.floor(fences / 2).cast("int")
     count["headers_total"] = count["h1"] + count["h2"] + count["h3"] + count["h4_plus"]
     count["list_items_total"] = count["bullet_items"] + count["numbered_items"]
-    count["links_only"] = count["links"] - F.regexp_count(text, F.lit(java_pattern(r"!\[([^\]]+)\]\([^)]+\)")))
+    count["links_only"] = count["links"] - named_images
     return count

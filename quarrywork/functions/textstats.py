@@ -47,15 +47,25 @@ def words(text: Column) -> Column:
 
 def text_stats(text: Column) -> dict[str, Column]:
     """Word, character, sentence and paragraph counts with the two averages."""
-    n_words = word_count(text)
-    n_sentences = sentence_count(text)
-    letters = F.length(F.regexp_replace(text, r"(?U)\s+", ""))
+    return stats_of({
+        "words": word_count(text),
+        "characters": F.length(text),
+        "characters_no_spaces": F.length(F.translate(text, " \n\t", "")),
+        "black": F.length(F.regexp_replace(text, r"(?U)\s+", "")),
+        "sentences": sentence_count(text),
+        "paragraphs": paragraph_count(text),
+    })
+
+
+def stats_of(counts: dict[str, Column]) -> dict[str, Column]:
+    """The statistics from counts by :func:`text_stats` or :func:`.scan.counts`."""
+    n_words, n_sentences, letters = counts["words"], counts["sentences"], counts["black"]
     return {
         "word_count": n_words,
-        "character_count": F.length(text),
-        "character_count_no_spaces": F.length(F.translate(text, " \n\t", "")),
+        "character_count": counts["characters"],
+        "character_count_no_spaces": counts["characters_no_spaces"],
         "sentence_count": n_sentences,
-        "paragraph_count": paragraph_count(text),
+        "paragraph_count": counts["paragraphs"],
         "average_word_length": half_up(letters.cast("double") / F.greatest(n_words, F.lit(1)), 1),
         "average_sentence_length": half_up(n_words.cast("double") / F.greatest(n_sentences, F.lit(1)), 1),
     }
@@ -91,13 +101,23 @@ COMPLEX_WORD = rf"[{VOWELS}]+[^{VOWELS}\s]+[{VOWELS}]+[^{VOWELS}\s]+[{VOWELS}]\S
 def readability_inputs(text: Column) -> dict[str, Column]:
     """The counts the readability formulas share; a syllable is a run of vowels."""
     lower = F.lower(text)
-    n_words = word_count(text)
+    return readability_inputs_of({
+        "words": word_count(text),
+        "sentences": sentence_count(text),
+        "letters": F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]+", "")),
+        "vowel_runs": _count(lower, f"[^{VOWELS}]*+", f"[{VOWELS}]++"),
+        "complex": F.regexp_count(lower, F.lit("(?U)" + COMPLEX_WORD)),
+    })
+
+
+def readability_inputs_of(counts: dict[str, Column]) -> dict[str, Column]:
+    """The inputs from counts by :func:`readability_inputs` or :func:`.scan.counts`."""
     return {
-        "n_words": n_words,
-        "n_sentences": F.greatest(sentence_count(text), F.lit(1)),
-        "n_letters": F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]+", "")),
-        "n_syllables": F.greatest(_count(lower, f"[^{VOWELS}]*+", f"[{VOWELS}]++"), n_words),
-        "n_complex": F.regexp_count(lower, F.lit("(?U)" + COMPLEX_WORD)),
+        "n_words": counts["words"],
+        "n_sentences": F.greatest(counts["sentences"], F.lit(1)),
+        "n_letters": counts["letters"],
+        "n_syllables": F.greatest(counts["vowel_runs"], counts["words"]),
+        "n_complex": counts["complex"],
     }
 
 

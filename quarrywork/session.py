@@ -52,12 +52,14 @@ def shares(docs: DataFrame, text: str) -> int:
     return max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // SHARE_BYTES))
 
 
-def lay_out(docs: DataFrame, key: str, text: str) -> DataFrame:
+def lay_out(docs: DataFrame, key: str, text: str, spread_null: bool = False) -> DataFrame:
     """Rows of a key together, in shares of some megabytes of text: their number grows with the text, not their size.
 
     A fixed number of shares, or one put together by the size of the texts, holds more rows of exploded words the longer the input.
+    With ``spread_null``, rows without a key do not belong together.
     """
-    return docs.repartition(shares(docs, text), key)
+    by = [F.col(key), F.when(F.col(key).isNull(), F.xxhash64(text))] if spread_null else [F.col(key)]
+    return docs.repartition(shares(docs, text), *by)
 
 
 def wide_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
